@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate
+from quarrylark.llm import decontaminate, licenses, quality
 
 QUERIES = {
+    "op1_licenses": licenses.op1,
+    "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
 }
 
