@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, licenses, quality
+from quarrylark.llm import decontaminate, languages, licenses, quality, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
+    "op4_languages": languages.op4,
+    "op6_urls": urls.op6,
     "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
 }
 
 ORACLE_SQL = {
+    "op6_urls": urls.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
