@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, languages, licenses, quality, urls
+from quarrylark.llm import decontaminate, languages, licenses, packing, quality, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
     "op4_languages": languages.op4,
+    "op5_packing": packing.op5,
     "op6_urls": urls.op6,
     "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
