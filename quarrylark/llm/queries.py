@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, languages, licenses, packing, quality, urls
+from quarrylark.llm import decontaminate, languages, licenses, packing, pii, quality, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
+    "op2_pii": pii.op2,
     "op4_languages": languages.op4,
     "op5_packing": packing.op5,
     "op6_urls": urls.op6,
