@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, languages, licenses, packing, pii, quality, urls
+from quarrylark.llm import decontaminate, languages, licenses, minhash, packing, pii, quality, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_urls": urls.op6,
     "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
+    "op10_minhash": minhash.op10,
 }
 
 ORACLE_SQL = {
     "op6_urls": urls.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op10_minhash": minhash.SQL,
 }
