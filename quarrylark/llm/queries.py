@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, languages, licenses, minhash, packing, pii, quality, urls
+from quarrylark.llm import decontaminate, languages, licenses, minhash, packing, pii, quality, substrings, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
     "op2_pii": pii.op2,
+    "op3_substrings": substrings.op3,
     "op4_languages": languages.op4,
     "op5_packing": packing.op5,
     "op6_urls": urls.op6,
