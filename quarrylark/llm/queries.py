@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, languages, licenses, minhash, packing, pii, quality, substrings, urls
+from quarrylark.llm import decontaminate, languages, licenses, minhash, packing, pii, quality, substrings, urls, vectors
 
 QUERIES = {
     "op1_licenses": licenses.op1,
@@ -13,11 +13,13 @@ QUERIES = {
     "op6_urls": urls.op6,
     "op7_quality": quality.op7,
     "op8_decontaminate": decontaminate.op8,
+    "op9_vectors": vectors.op9,
     "op10_minhash": minhash.op10,
 }
 
 ORACLE_SQL = {
     "op6_urls": urls.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op9_vectors": vectors.SQL,
     "op10_minhash": minhash.SQL,
 }
