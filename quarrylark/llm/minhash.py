@@ -10,10 +10,16 @@ Candidates: in every band bucket the member first by a hash order is the hub
 and is paired with each other member, so a bucket of n gives n - 1 pairs. A
 pair is dropped if its signatures agree in less than `least_agree` of the
 minima (six standard deviations below the threshold), else its full sets are
-intersected. Links are joined to components. Then, so that no link is lost
-where a hub links with nothing, every bucket that still holds several
-components pairs the members outside its largest component with all members
-of other components, and those pairs are verified as well.
+intersected. Links are joined to components. So that no link is lost where
+the hub does not link, buckets that still hold several components go on:
+shingles that no other such member has can be in no intersection, so they
+bound what a pair can reach. Each member is compared with a second hub, the
+one of its buckets with the smallest share of them. What a member has in
+common with any other is partly in its hub, of which it has in_hub, or not.
+So another member can only link with it if in_hub alone is enough for their
+sizes (such pairs are taken from the buckets), or if the two have shingles
+in common that the hub lacks (such pairs are found by these shingles, which
+are rare, and counted). Both kinds are verified on their full sets.
 
 Sets are made again only for documents that share a bucket, found through a
 bit filter of fixed size and confirmed by a join, so texts are not shuffled
@@ -177,6 +183,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int, least_agree: floa
     return both.where(F.when(small * 100 < large * similar, False).when(agree < least_agree * minima, False).otherwise(common * 100 >= union * similar)).select("a", "b")
 
 
+def _with_unique(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds n, the set's size, and u, how many of its shingles no other
+    member's set has: those can be in no intersection."""
+    own = members.select("rep").distinct().join(sets.select("rep", "shingles"), "rep")
+    lone = own.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where(F.col("c") == 1)
+    sized = own.select("rep", F.size("shingles").alias("n")).join(lone.groupBy("rep").agg(F.count("*").alias("u")), "rep", "left")
+    return cut(members.join(sized.select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")), "rep"))
+
+
+def _beside_hub(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Adds, from each member's and its hub's full sets: in_hub, the size of
+    their intersection; beyond, the member's shingles that the hub lacks;
+    linked, whether the two reach the similarity."""
+    mine = sets.select("rep", F.col("shingles").alias("mine"))
+    theirs = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("theirs"))
+    both = members.join(mine, "rep").join(theirs, "hub").withColumn("in_hub", F.size(F.array_intersect("mine", "theirs")))
+    linked = (F.col("rep") != F.col("hub")) & (F.col("in_hub") * 100 >= (F.col("n") + F.size("theirs") - F.col("in_hub")) * similar)
+    return both.select(*members.columns, "in_hub", F.array_except("mine", "theirs").alias("beyond"), linked.alias("linked"))
+
+
+def _possible(n1: str, u1: str, n2: str, u2: str, similar: int):
+    """Whether sets of these sizes and unique shingles can reach the similarity."""
+    most = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
+    return most * 100 >= (F.col(n1) + F.col(n2) - most) * similar
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: int = SIMILAR, least_agree: float = LEAST_AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     signed = cut(signatures(docs, bands, rows, words))
@@ -185,9 +217,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
     # a document with rows of several texts joins their classes
     links = some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
+    first = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min(order).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", F.col("head.rep").alias("hub"))
+    heads = members.groupBy("bucket").agg(F.min(first).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", F.col("head.rep").alias("hub"))
     shared = cut(members.join(heads, "bucket").select("bucket", "rep", "hub"))
     sharing = shared.select("rep").distinct().join(classes.select("rep", "d1", "d2"), "rep")
     full = _sets(_only(docs, sharing.select(F.col("rep").alias("doc_id"))), bands, rows, words)
@@ -198,16 +230,36 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
     part = cut(components(found, "a", "b"))
 
     placed = shared.select("bucket", "rep").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = cut(placed)
-    each = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = each.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where(F.col("k") > 1).select("bucket", F.col("m.component").alias("largest"))
-    open_buckets = cut(placed.join(largest, "bucket"))
-    outside = open_buckets.where(F.col("component") != F.col("largest")).select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    rest = outside.join(open_buckets.select("bucket", "rep", "component"), "bucket").where(F.col("cx") != F.col("component"))
-    rest = rest.select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(rest, sets, similar, least_agree, bands * rows)
-
-    final = cut(components(found.unionByName(more).unionByName(links), "a", "b"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
+    undecided = _with_unique(cut(placed.join(mixed, "bucket")), sets)
+    order = F.struct((F.col("u") / F.col("n")).alias("r"), (-F.col("n")).alias("m"), F.col("rep").alias("rep"))
+    hubs = undecided.groupBy("bucket").agg(F.min(order).alias("h"))
+    own_hub = undecided.join(hubs, "bucket").groupBy("rep").agg(F.min("h").alias("h"), F.first("component").alias("component"), F.first("n").alias("n"), F.first("u").alias("u"))
+    own_hub = cut(_beside_hub(own_hub.select("rep", F.col("h.rep").alias("hub"), "component", "n", "u"), sets, similar))
+    second = own_hub.where("linked").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b"))
+
+    # components joined by these links count as one below; joining more of them would only spare work
+    joined = own_hub.where("linked").select("component", F.col("hub").alias("rep")).join(own_hub.select("rep", F.col("component").alias("into")), "rep").where(F.col("into") != F.col("component")).groupBy("component").agg(F.min("into").alias("into"))
+    known = cut(own_hub.join(joined, "component", "left").select("rep", "n", "u", "in_hub", "beyond", F.coalesce("into", "component").alias("component")))
+    placed = undecided.select("bucket", "rep").join(known.drop("beyond"), "rep")
+    each = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    largest = each.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("k")).where(F.col("k") > 1).select("bucket", F.col("most.component").alias("largest"))
+    open_now = cut(placed.join(largest, "bucket"))
+    seeking = open_now.where((F.col("component") != F.col("largest")) & (F.col("n") - F.col("u") >= F.col("n") * similar / 100))
+    query = seeking.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "u", "in_hub")))
+    apart = (F.col("x_component") != F.col("component")) & _possible("n", "u", "x_n", "x_u", similar)
+    need = (F.col("x_n") + F.col("n")) * similar / (100 + similar)
+    # pairs that may reach the similarity by what the one has of its hub
+    inside = query.join(open_now.drop("in_hub"), "bucket").where(apart & (need <= F.col("x_in_hub"))).select("x_rep", "rep")
+    # all others must have so many shingles in common that the hub doesn't have
+    asking = known.join(seeking.select("rep").distinct(), "rep", "left_semi").select(*(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "u", "in_hub")), F.explode("beyond").alias("s"))
+    having = known.drop("beyond", "in_hub").join(sets.select("rep", F.explode("shingles").alias("s")), "rep")
+    beyond = asking.join(having, "s").where(apart).groupBy("x_rep", "rep", "x_in_hub", "x_n", "n").agg(F.count("*").alias("c")).where(F.col("x_in_hub") + F.col("c") >= need).select("x_rep", "rep")
+    rest = inside.unionByName(beyond).select(F.greatest("x_rep", "rep").alias("a"), F.least("x_rep", "rep").alias("b")).distinct()
+    third = _verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similar, least_agree, bands * rows)
+
+    stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = cut(components(stars.unionByName(second).unionByName(third).unionByName(links), "a", "b"))
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
