@@ -117,6 +117,6 @@ def workday_parts(url: Column) -> Column:
 
 def boards_in_text(text: Column, limit: int = 50) -> Column:
     """Distinct boards named in a text, the first `limit` (EXT-10)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"'<>)]+)"), 1), lambda u: detect_board(u))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"'<>)]+)"), 1), lambda u: detect_board(F.regexp_replace(u, "[.,;:!?]+$", "")))
     boards = F.transform(F.filter(found, lambda b: b.isNotNull()), lambda b: F.concat_ws(":", b["ats"], b["slug"]))
     return F.slice(F.array_distinct(boards), 1, limit)

@@ -112,7 +112,7 @@ class _Tree(HTMLParser):
         if tag == "a" and a.get("href"):
             self.link, self.link_text = a["href"], []
         if a.get("property") and tag != "meta" or a.get("itemprop"):
-            self.props.append([(a.get("property") or a.get("itemprop")).split(":")[-1], a.get("content") or a.get("datetime") or "", len(self.stack)])
+            self.props.append([(a.get("property") or a.get("itemprop")).split(":")[-1], a.get("content") or a.get("datetime") or "", len(self.stack), not (a.get("content") or a.get("datetime"))])
         if tag not in ("br", "img", "meta", "link", "input", "hr", "source", "area", "base", "col", "embed", "param", "track", "wbr"):
             self.stack.append((tag, None))
 
@@ -132,6 +132,8 @@ class _Tree(HTMLParser):
             if self.stack[k][0] == tag:
                 del self.stack[k:]
                 break
+        for p in self.props[-8:]:
+            p[3] = p[3] and len(self.stack) > p[2]
 
     def handle_data(self, data):
         if self.script_kind is not None and self.scripts:
@@ -144,9 +146,8 @@ class _Tree(HTMLParser):
         if self.link is not None:
             self.link_text.append(data)
         for p in self.props[-8:]:
-            if not p[1] or p[1].endswith("\x00"):
-                if len(self.stack) > p[2]:
-                    p[1] = p[1].rstrip("\x00") + data + "\x00"
+            if p[3]:
+                p[1] += data
 
 
 def tidy(text: str) -> str:
@@ -158,6 +159,7 @@ def html_to_text(value: str | None) -> str:
     """EXT-07, exactly."""
     t = _Tree()
     t.feed(htmllib.unescape(value) if value and "&lt;" in value and "<" not in value else value or "")
+    t.close()
     return tidy("".join(t.text))
 
 
@@ -215,8 +217,8 @@ def jsonld_postings(t: _Tree, url: str, today: str) -> list[dict]:
 def rdfa_postings(t: _Tree, url: str, today: str) -> list[dict]:
     """EXT-03."""
     found: dict[str, str] = {}
-    for k, v, _ in t.props:
-        found.setdefault(k, tidy(v.rstrip("\x00")))
+    for k, v, _, _ in t.props:
+        found.setdefault(k, tidy(v))
     if not found.get("title") or not (found.get("description") or found.get("hiringOrganization")):
         return []
     return [{"title": found["title"], "company": found.get("hiringOrganization") or found.get("name"), "location": found.get("jobLocation") or found.get("addressLocality"), "remote": None, "description": found.get("description", ""), "salary": found.get("baseSalary"), "posted": found.get("datePosted"), "url": url, "method": "rdfa"}]
@@ -265,6 +267,7 @@ def extract_jobs(page: str | None, url: str, today: str, adapters=None) -> list[
     fails counts as empty."""
     t = _Tree()
     t.feed(page or "")
+    t.close()
     host = urlsplit(url or "").netloc
     for step in [f for p, f in (SITE_ADAPTERS if adapters is None else adapters) if p.search(host)] + LADDER:
         try:
