@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylark.llm.bytescan import SPACED, mix64, runs, slices
+from quarrylark.llm.shared import bounded_batches, cut
 
 WINDOW_BITS, MASK_BITS, LEAST, MOST, MIN_BYTES, MIN_WORDS = 4, 5, 4, 256, 80, 12
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
@@ -92,6 +93,7 @@ def chunk_rows(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST,
                     names=["doc_id", "pos", "digest", "start", "length", "n_words", "bytes"],
                 )
 
+    bounded_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, digest long, start int, length int, n_words int, bytes int")
 
@@ -100,7 +102,8 @@ def repeated_spans(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEA
     """doc_id, start, length, n_words, n_chunks, first_doc_id, kept."""
     rows = chunk_rows(docs, mask_bits, least, most)
     held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    held = held.where(F.col("first_doc_id") < F.col("last_doc_id")).select("digest", "first_doc_id")
+    # cut, so that the join has an exchange of its own, which can be split where a digest is hot
+    held = cut(held.where(F.col("first_doc_id") < F.col("last_doc_id")).select("digest", "first_doc_id"))
     hits = rows.join(held, "digest").drop("digest")
     # the document alone bounds a window's rows; only repeated chunks are in it
     by_doc = Window.partitionBy("doc_id").orderBy("pos", "start", "length")
