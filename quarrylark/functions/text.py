@@ -110,6 +110,12 @@ def phrase_pattern(phrase: str, fillers: int = 2) -> str:
     return rf"(?:^|[^a-z0-9+#]){gap.join(re.escape(w) for w in phrase.split())}(?:$|[^a-z0-9+#])"
 
 
+def whole_word(word: str) -> str:
+    """A pattern of one whole word of folded text that starts with the word
+    itself, so that the search can skip (OPT-08)."""
+    return rf"{re.escape(word)}(?![a-z0-9])(?<![a-z0-9]{re.escape(word)})"
+
+
 def has_word(text: Column, word: str) -> Column:
     """Whether folded text holds the word or phrase, whole (STR-15)."""
     return text.rlike(rf"(?:^|[^a-z0-9]){re.escape(word)}(?:$|[^a-z0-9])")

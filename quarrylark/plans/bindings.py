@@ -7,16 +7,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylark.functions.text import fold
+from quarrylark.functions.text import fold, whole_word
 from quarrylark.operators.scoring import Taxonomy, Term, score
 
 NOW = "2024-01-31 00:00:00"
 
 
-def word(w: str) -> str:
-    """A whole word of folded text, in the subset of regular expressions that
-    all engines share."""
-    return rf"(^|[^a-z0-9]){w}($|[^a-z0-9])"
+word = whole_word
+
+
+def sql_pattern(pattern: str) -> str:
+    """The same whole word in the subset of regular expressions that DuckDB
+    has; other patterns stay."""
+    w = pattern.split("(?!")[0]
+    return rf"(^|[^a-z0-9]){w}($|[^a-z0-9])" if "(?!" in pattern else pattern
 
 
 TAXONOMY = Taxonomy(
@@ -59,15 +63,15 @@ SQL_TITLE = r"regexp_extract(text, '^[^.\n]*')"
 
 
 def _sql_any(x: str, patterns: list[str]) -> str:
-    return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
+    return "(" + " OR ".join(f"regexp_matches({x}, '{sql_pattern(p)}')" for p in patterns) + ")"
 
 
 def sql_scored() -> str:
     """CTEs that end in `scored`, with the columns of scored()."""
     t = TAXONOMY
     domain = _sql_any("title", t.domain)
-    negative = " OR ".join(f"(regexp_matches(title, '{p}')" + (f" AND NOT {domain}" if o else "") + (f" AND NOT regexp_matches(title, '{b}')" if b else "") + ")" for p, o, b in t.negative)
-    hits = ", ".join(f"regexp_matches(body, '{x.pattern}') AS r{k}" for k, x in enumerate(t.terms))
+    negative = " OR ".join(f"(regexp_matches(title, '{sql_pattern(p)}')" + (f" AND NOT {domain}" if o else "") + (f" AND NOT regexp_matches(title, '{sql_pattern(b)}')" if b else "") + ")" for p, o, b in t.negative)
+    hits = ", ".join(f"regexp_matches(body, '{sql_pattern(x.pattern)}') AS r{k}" for k, x in enumerate(t.terms))
     at = {x.canonical: k for k, x in enumerate(t.terms)}
     kept = ", ".join(f"(r{k}" + (f" AND r{at[x.requires]}" if x.requires else "") + f") AS t{k}" for k, x in enumerate(t.terms))
     have = t.have()

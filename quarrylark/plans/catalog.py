@@ -57,17 +57,22 @@ def prefilter(spark, sf):
     return d.where(scoring.title_prefilter(text.fold(title()), TAXONOMY, F.col("source") == "src0")).select("doc_id")
 
 
+def _hits(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.fold(F.col("text")).alias("body"))
+    return scoring.with_hits(scoring.settled(d, "body"), "body", TAXONOMY).drop("body")
+
+
 @query("term_hits", f"{_SCORED} SELECT doc_id, terms FROM scored WHERE terms <> ''")
 def term_hits(spark, sf):
     """SCR-02, AGG-13, JOIN-19, TOP-05."""
-    d = table(spark, sf, "documents").select("doc_id", scoring.term_hits(text.fold(F.col("text")), TAXONOMY).alias("hits"))
+    d = _hits(spark, sf)
     return d.where(F.size("hits") > 0).select("doc_id", F.array_join(F.transform("hits", lambda h: h["canonical"]), ",").alias("terms"))
 
 
 @query("family_counts", f"{_SCORED} SELECT unnest(string_split(families, ',')) AS family, count(*) AS n FROM scored WHERE families <> '' GROUP BY 1")
 def family_counts(spark, sf):
     """AGG-14."""
-    d = table(spark, sf, "documents").select(F.explode(scoring.family_list(scoring.term_hits(text.fold(F.col("text")), TAXONOMY))).alias("family"))
+    d = _hits(spark, sf).select(F.explode(scoring.family_list(F.col("hits"))).alias("family"))
     return insights.tally(d, "family")
 
 
@@ -664,8 +669,7 @@ def radar_shares(spark, sf):
 
 
 def _terms_of(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), scoring.term_hits(text.fold(F.col("text")), TAXONOMY).alias("hits"))
-    return d.select("id", F.explode(F.transform("hits", lambda h: h["canonical"])).alias("feature"))
+    return _hits(spark, sf).select(F.col("doc_id").alias("id"), F.explode(F.transform("hits", lambda h: h["canonical"])).alias("feature"))
 
 
 def _label_weights(spark, sf):

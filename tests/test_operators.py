@@ -106,7 +106,7 @@ def test_score_parts_add_up(spark):
 
 def test_required_terms(spark):
     df = spark.createDataFrame([("from here",), ("from with",)], "t string")
-    assert [[h.canonical for h in r.h] for r in df.select(scoring.term_hits(F.col("t"), TAXONOMY).alias("h")).collect()] == [[], ["from", "with"]]
+    assert [[h.canonical for h in r.h] for r in scoring.with_hits(df, "t", TAXONOMY, "h").collect()] == [[], ["from", "with"]]
 
 
 AUTH = [
