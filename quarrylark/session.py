@@ -21,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute the frame once into the shared folder; later reads survive the
-    loss of any executor."""
+    loss of any executor. Then let the driver collect its garbage, so that
+    Spark removes the shuffle files of what was cut before; else they stay
+    until the driver's heap happens to fill."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    out.sparkSession._jvm.System.gc()
+    return out
