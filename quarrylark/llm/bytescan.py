@@ -1,6 +1,6 @@
 """Numpy scanning of Arrow string columns: slices, words, word hashes.
 
-A column's UTF-8 bytes are read in place, a few megabytes at a time, so that
+A column's UTF-8 bytes are read in place, a megabyte at a time, so that
 memory stays bounded whatever the batch holds; one text longer than the
 limit makes a slice of its own. Null texts count as empty.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.llm.bytescan import ALNUM, LOWER, hash_spans, mix64, runs, slices, split_words
+from quarrylark.llm.shared import bounded_batches
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -175,6 +176,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     null for none), a row for each document."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     out = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(*keep)
     blocks = list(_blocks(benchmark, block_bytes, window)) or [Benchmark([], window)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.llm.bytescan import LOWER, mix64, slices
-from quarrylark.llm.shared import cut, held_out
+from quarrylark.llm.shared import bounded_batches, cut, held_out
 
 FLOOR, SHARE, PROBES, BITS_PER_GRAM, MIN_SLOTS = 2e-5, 0.25, 4, 16, 1 << 12
 _LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -116,6 +116,7 @@ class LanguageModel:
 
 
 def learn_languages(docs: DataFrame, floor: float = FLOOR, share: float = SHARE) -> LanguageModel:
+    bounded_batches(docs.sparkSession)
     taught = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

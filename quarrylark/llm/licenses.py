@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.llm.bytescan import ALNUM, LOWER, hash_bytes, hash_spans, runs, slices, split_words
+from quarrylark.llm.shared import bounded_batches
 
 ANCHORS = 4
 MIN_COVERAGE = 0.7
@@ -150,6 +151,7 @@ _SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labe
 
 def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, anchors: int = ANCHORS, base=BASE, notices=NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     plain = Index(None, base, notices, anchors)
     index = Index(document_frequency(docs, plain.vocabulary), base, notices, anchors)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.llm.bytescan import SPACED, hash_spans, mix64, runs, slices
-from quarrylark.llm.shared import held_out
+from quarrylark.llm.shared import bounded_batches, held_out
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -81,6 +81,7 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns and one double column f_<statistic> for each statistic."""
+    bounded_batches(docs.sparkSession)
     fields = [*keep, *(["text"] if "text" not in keep else [])]
     docs = docs.select(*fields[: len(keep)], *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
     place = fields.index("text")

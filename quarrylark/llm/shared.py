@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylark.session import cut, shared_folder
+
+__all__ = ["bounded_batches", "cut", "held_out", "shared_folder", "table"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none
-    is named, as in tests, a local one is made and set."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='quarrylark-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute the frame once into the shared folder; later reads survive the
-    loss of any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, whatever the texts' lengths: rows go to and
+    from Python through buffers outside the heap that hold whole batches. A
+    smaller setting of the session stays."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

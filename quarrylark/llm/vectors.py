@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.llm.bytescan import mix64
-from quarrylark.llm.components import components
-from quarrylark.llm.shared import cut
+from quarrylark.llm.shared import bounded_batches, cut
+from quarrylark.operators.graph import components
 
 THRESHOLD, RECALL, BUCKET, CELL, SEED = 0.95, 0.9995, 32, 1024, 977
 
@@ -130,6 +130,7 @@ def _links(cell: dict, planes: Planes, threshold: float) -> tuple[np.ndarray, np
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    bounded_batches(vectors.sparkSession)
     signed, classes = _classes(vectors)
     signed, classes = cut(signed), cut(classes)
     planes = Planes(*plan_tables(classes.count(), threshold, recall, bucket))
