@@ -131,12 +131,29 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """doc_id, d1, d2, sig (minima), shingles: the full sets."""
+def _id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit filter of fixed size over the ids."""
+    words = ids.select(_slot("doc_id", bits).alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("m")).collect()
+    table = np.zeros(bits // 32, np.uint32)
+    for r in words:  # at most bits / 32 rows
+        table[r.w] = r.m
+    return table
+
+
+def _slot(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, bands: int, rows: int, words: int, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, d1, d2, sig (minima), shingles: the full sets of all rows whose
+    doc_id is among the ids, and of some others."""
     hashes = Hashes(bands * rows)
+    mask = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            s = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((mask.value[s // 32] >> (s % 32).astype(np.uint32)) & 1 == 1))
             for first, end, raw, offs in slices(batch.column(1)):
                 values, at = shingle_sets(raw, offs, words)
                 full = np.flatnonzero(np.diff(at))
@@ -148,28 +165,10 @@ def _sets(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                 sigs = pa.ListArray.from_arrays(pa.array((np.arange(len(full) + 1) * sig.shape[1]).astype(np.int32)), pa.array(sig.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(full)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), sigs, kept], names=["doc_id", "d1", "d2", "sig", "shingles"])
 
-    docs = _plain(docs)
+    docs = _plain(docs).withColumn("slot", _slot("doc_id", bits))
     return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d1 long, d2 long, sig array<int>, shingles array<long>")
 
 
-def _only(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """A bit filter of fixed size over doc_id: keeps all rows of the ids."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("m")).collect()
-    table = np.zeros(bits // 32, np.uint32)
-    for r in words:  # at most bits / 32 rows
-        table[r.w] = r.m
-    mask = docs.sparkSession.sparkContext.broadcast(table)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((mask.value[s // 32] >> (s % 32).astype(np.uint32)) & 1 == 1))
-
-    marked = _plain(docs).withColumn("slot", slot)
-    return marked.mapInArrow(keep, marked.schema).drop("slot")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similar: int, least_agree: float, minima: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     one = sets.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
@@ -223,7 +222,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
     heads = members.groupBy("bucket").agg(F.min(first).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", F.col("head.rep").alias("hub"))
     shared = cut(members.join(heads, "bucket").select("bucket", "rep", "hub"))
     sharing = shared.select("rep").distinct().join(classes.select("rep", "d1", "d2"), "rep")
-    full = _sets(_only(docs, sharing.select(F.col("rep").alias("doc_id"))), bands, rows, words)
+    full = _sets(docs, sharing.select(F.col("rep").alias("doc_id")), bands, rows, words)
     sets = cut(full.join(sharing, (full.doc_id == sharing.rep) & (full.d1 == sharing.d1) & (full.d2 == sharing.d2)).select("rep", "sig", "shingles").dropDuplicates(["rep"]))
 
     pairs = cut(shared.where(F.col("rep") != F.col("hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
