@@ -20,7 +20,6 @@ is one pass over the documents, in one stage, without a shuffle.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
