@@ -93,7 +93,7 @@ def remember_text(old: DataFrame, new: DataFrame, cap: int = 2500, size: int = 6
 
 
 def new_items(items: DataFrame, memory: DataFrame, key: str = "id") -> DataFrame:
-    """Items not in the memory, each once, the first by key order (JOIN-14)."""
+    """Items not in the memory, each key once (JOIN-14)."""
     return items.dropDuplicates([key]).join(memory.select(key), key, "left_anti")
 
 
