@@ -788,7 +788,7 @@ def deadline_find(spark, sf):
     """DAT-04, DAT-05, over texts that end in a made date."""
     import datetime as dt
 
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(". Apply by "), F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("doc_id") % 60).cast("int")), "d MMMM yyyy")).alias("t"), F.lit(None).cast("string").alias("country"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(". Apply by "), F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("doc_id") % 60).cast("int")), "d MMMM yyyy")).alias("t"), F.lit(None).cast("string").alias("country"))
     return d.select("doc_id", dates.find_deadline(dt.date(2024, 1, 31))("t", "country").alias("deadline"))
 
 
@@ -796,7 +796,7 @@ def deadline_find(spark, sf):
 def work_auth(spark, sf):
     """SCR-03."""
     k = F.col("doc_id") % 4
-    t = F.concat(F.substring("text", 1, 300), F.when(k == 0, ". Visa sponsorship is available.").when(k == 1, ". We are unable to offer sponsorship.").when(k == 2, ". You must have the right to work here.").otherwise("."))
+    t = F.concat("text", F.when(k == 0, ". Visa sponsorship is available.").when(k == 1, ". We are unable to offer sponsorship.").when(k == 2, ". You must have the right to work here.").otherwise("."))
     return table(spark, sf, "documents").select("doc_id", scoring.work_authorisation(t).alias("reading"))
 
 
@@ -812,7 +812,7 @@ def location_parse(spark, sf):
 @query("digest_pack")
 def digest_pack(spark, sf):
     """TOP-11, STR-13: a recipient's lines in parts."""
-    c = table(spark, sf, "conversations").select(F.col("role").alias("role"), F.concat(F.col("conv_id").cast("string"), F.lit("/"), "role").alias("recipient"), F.col("turn").alias("ordinal"), F.substring("text", 1, 400).alias("line"))
+    c = table(spark, sf, "conversations").select(F.col("role").alias("role"), F.concat(F.col("conv_id").cast("string"), F.lit("/"), "role").alias("recipient"), F.col("turn").alias("ordinal"), F.col("text").alias("line"))
     return select.digest(c, 1000).select("recipient", "part", F.length("text").alias("size"))
 
 

@@ -59,3 +59,49 @@ def test_title_filter_reaches_below_parsers(spark):
 
     plan = table(spark, SF, "documents").where(title_prefilter(fold(title()), TAXONOMY)).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
+
+
+@pytest.fixture()
+def long_texts(spark, tmp_path):
+    far = "word " * 200
+    texts = [far + "No sponsorship", far, far + "Apply by 3 April 2024", far + "Visa sponsorship is available", "short", far + "You must have the right to work", "Apply by 5 March 2024", far + "Deadline: 1 February 2024"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(1, k, "user", t) for k, t in enumerate(["a" * 450, "b" * 450, "c" * 450, "d" * 2500, "e", "f" * 998, "g"])] + [(2, 0, "user", "h" * 1500)]
+    spark.createDataFrame(lines, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path), texts, lines
+
+
+def test_work_auth_reads_whole_texts(spark, long_texts):
+    from quarrylark.operators.scoring import read_work_auth
+
+    sf, texts, _ = long_texts
+    ends = [". Visa sponsorship is available.", ". We are unable to offer sponsorship.", ". You must have the right to work here.", "."]
+    got = {r.doc_id: r.reading for r in catalog.QUERIES["work_auth"](spark, sf).collect()}
+    assert got == {k: read_work_auth(t + ends[k % 4]) for k, t in enumerate(texts)}
+    assert got[0] == "refusal" and got[3] == "offer" and got[4] == "offer" and got[7] == "neutral"
+
+
+def test_deadline_find_reads_whole_texts(spark, long_texts):
+    import datetime as dt
+
+    from quarrylark.functions.dates import deadline_in
+
+    sf, texts, _ = long_texts
+    got = {r.doc_id: r.deadline for r in catalog.QUERIES["deadline_find"](spark, sf).collect()}
+    made = [dt.date(2024, 2, 1) + dt.timedelta(k) for k in range(len(texts))]
+    assert got == {k: deadline_in(f"{t}. Apply by {d.day} {d:%B %Y}", dt.date(2024, 1, 31)) for (k, t), d in zip(enumerate(texts), made, strict=True)}
+    assert got[2] == dt.date(2024, 4, 3) and got[7] == dt.date(2024, 2, 1) and got[3] == made[3]
+
+
+def test_digest_pack_keeps_whole_lines(spark, long_texts):
+    sf, _, lines = long_texts
+    got = {(r.recipient, r.part): r.size for r in catalog.QUERIES["digest_pack"](spark, sf).collect()}
+    want, size, part = {}, {}, {}
+    for conv, _, role, t in lines:
+        to = f"{conv}/{role}"
+        if size.get(to, 0) and size[to] + 1 + len(t) > 1000:
+            part[to], size[to] = part[to] + 1, 0
+        part.setdefault(to, 0)
+        size[to] = size.get(to, 0) + len(t) + (1 if size.get(to, 0) else 0)
+        want[to, part[to]] = size[to]
+    assert got == want and got["1/user", 2] == 2500 and got["2/user", 0] == 1500
