@@ -1,5 +1,7 @@
 """The engine's queries by name, each with its DuckDB equivalent where SQL has
-one. Every query reads its whole tables; limits are top-k features only."""
+one. Queries read their whole tables and limits are top-k features only, but for
+still_listed, ttl_prune, source_yield and yield_verdicts, which take a part of
+the events, as their SQL does."""
 
 from __future__ import annotations
 
