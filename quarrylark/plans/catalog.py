@@ -1,7 +1,8 @@
 """The engine's queries by name, each with its DuckDB equivalent where SQL has
 one. Queries read their whole tables and limits are top-k features only, but for
 still_listed, ttl_prune, source_yield and yield_verdicts, which take a part of
-the events, and text_memory, which keeps 600 characters, as their SQL does."""
+the events, text_memory, which keeps 600 characters, and same_company, which compares the
+first 60 suppliers, as their SQL does."""
 
 from __future__ import annotations
 
