@@ -5,15 +5,18 @@ where its low bits are zero, or after `most` bytes, so that an insertion
 moves no boundary but those beside it. Chunks shorter than `least` grow into
 the next. A chunk's 64-bit digest is aggregated over the corpus to the
 smallest and largest doc_id that holds it; a chunk held by different
-documents is repeated. Adjoining repeated chunks of a document make a span;
-spans of at least `min_bytes` bytes and `min_words` words are the result.
+documents is repeated. Adjoining repeated chunks of a document make a run;
+runs of at least `min_bytes` bytes and `min_words` words are the result.
+
+A run is divided where kept changes, so that each chunk stays in its first
+document: chunks that a smaller document holds go, if a stretch of them
+reaches both bounds by itself; shorter ones stay with the text beside them.
 
 One row per span: doc_id, start and length (code points), n_words,
-n_chunks, first_doc_id (the smallest document that holds its first chunk)
-and kept (whether this document is that one, so that the passage stays in
-one place). Null and short texts give no rows; nor do rows with a null
-doc_id, and repeats inside one document. Repeated rows of one document
-count once. Other columns are ignored.
+n_chunks, first_doc_id (this document where kept, else the smallest one that
+holds the span's first chunk) and kept. Null and short texts give no rows;
+nor do rows with a null doc_id, and repeats inside one document. Repeated
+rows of one document count once. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,16 +112,20 @@ def repeated_spans(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEA
     by_doc = Window.partitionBy("doc_id").orderBy("pos", "start", "length")
     hits = hits.dropDuplicates(["doc_id", "pos", "start", "length"])
     run = hits.withColumn("run", F.col("pos") - F.row_number().over(by_doc))
-    spans = run.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"),
-        F.sum("length").alias("length"),
-        F.sum("n_words").alias("n_words"),
-        F.sum("bytes").alias("bytes"),
-        F.count("*").alias("n_chunks"),
-        F.min_by("first_doc_id", "pos").alias("first_doc_id"),
-    )
-    spans = spans.where((F.col("bytes") >= min_bytes) & (F.col("n_words") >= min_words))
-    return spans.select("doc_id", F.col("start").cast("long").alias("start"), "length", "n_words", "n_chunks", "first_doc_id", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
+    # stretches of chunks that this document holds first, or doesn't
+    run = run.withColumn("own", F.col("first_doc_id") == F.col("doc_id"))
+    run = run.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("pos", "start", "length")))
+    sums = [F.sum(c).alias(c) for c in ("length", "n_words", "bytes")]
+    parts = run.groupBy("doc_id", "run", "own", "stretch").agg(F.min("pos").alias("pos"), F.min("start").alias("start"), *sums, F.count("*").alias("n_chunks"), F.min_by("first_doc_id", "pos").alias("first_doc_id"))
+    by_run = Window.partitionBy("doc_id", "run")
+    whole = (F.sum("bytes").over(by_run) >= min_bytes) & (F.sum("n_words").over(by_run) >= min_words)
+    parts = parts.withColumn("whole", whole).where("whole").withColumn("kept", F.col("own") | (F.col("bytes") < min_bytes) | (F.col("n_words") < min_words))
+    turned = F.coalesce((F.col("kept") != F.lag("kept").over(by_run.orderBy("pos"))).cast("int"), F.lit(0))
+    parts = parts.withColumn("turned", turned).withColumn("piece", F.sum("turned").over(by_run.orderBy("pos")))
+    sums = [F.sum(c).alias(c) for c in ("length", "n_words", "n_chunks")]
+    spans = parts.groupBy("doc_id", "run", "piece", "kept").agg(F.min("start").alias("start"), *sums, F.min_by("first_doc_id", "pos").alias("held_by"))
+    first = F.when(F.col("kept"), F.col("doc_id")).otherwise(F.col("held_by")).alias("first_doc_id")
+    return spans.select("doc_id", F.col("start").cast("long").alias("start"), "length", "n_words", "n_chunks", first, "kept")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

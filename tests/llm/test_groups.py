@@ -126,6 +126,23 @@ def test_substrings(spark):
     assert substrings.repeated_spans(docs_of(spark, [])).count() == 0
 
 
+def test_substrings_keep_each_passage_once(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    a, b, opening, rest = say(90), say(90), say(8), say(90)
+    rows = [(3, a), (5, f"{a} {b}"), (7, f"{a} {b}"), (9, b), (11, f"{opening} {say(60)}"), (12, f"{opening} {rest} x"), (17, f"{opening} {rest} y")]
+    text, stays = dict(rows), {}
+    for r in substrings.repeated_spans(docs_of(spark, rows)).collect():
+        assert r.kept == (r.first_doc_id == r.doc_id) and r.first_doc_id <= r.doc_id
+        stays.setdefault(r.doc_id, []).append((r.start, r.start + r.length, r.kept))
+    left = {k: "".join(c for i, c in enumerate(t) if not any(s <= i < e and not kept for s, e, kept in stays.get(k, []))) for k, t in rows}
+    middle = lambda t: t[len(t) // 3 : 2 * len(t) // 3]
+    assert [k for k in left if middle(a) in left[k]] == [3]
+    assert [k for k in left if middle(b) in left[k]] == [5]
+    assert [k for k in left if middle(rest) in left[k]] == [12]
+    assert left[12] == text[12] and left[11] == text[11] and len(left[17]) < 100
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     rng = np.random.default_rng(4)
     body = rng.integers(97, 123, 5000).astype(np.uint8)
