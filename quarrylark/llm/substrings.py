@@ -1,12 +1,13 @@
 """Substring dedup: content-defined chunks by a gear rolling hash.
 
-The gear hash of the last 16 bytes is rolled over every text; a chunk ends
-where its low bits are zero, or after `most` bytes, so that an insertion
-moves no boundary but those beside it. Chunks shorter than `least` grow into
-the next. A chunk's 64-bit digest is aggregated over the corpus to the
-smallest and largest doc_id that holds it; a chunk held by different
-documents is repeated. Adjoining repeated chunks of a document make a run;
-runs of at least `min_bytes` bytes and `min_words` words are the result.
+The gear hash of the last 8 bytes is rolled over every text; a chunk ends
+where the hash is smaller than at the 14 places before and not larger than at
+the 14 after, or after `most` bytes, so that an insertion moves no boundary
+but those beside it, and few chunks are long. A chunk's 64-bit digest is
+aggregated over the corpus to the smallest and largest doc_id that holds it;
+a chunk held by different documents is repeated. Adjoining repeated chunks of
+a document make a run; runs of at least `min_bytes` bytes and `min_words`
+words are the result.
 
 A run is divided where kept changes, so that each chunk stays in its first
 document: chunks that a smaller document holds go, if a stretch of them
@@ -33,13 +34,13 @@ from pyspark.sql.window import Window
 from quarrylark.llm.bytescan import SPACED, mix64, runs, slices
 from quarrylark.llm.shared import bounded_batches, cut
 
-WINDOW_BITS, MASK_BITS, LEAST, MOST, MIN_BYTES, MIN_WORDS = 4, 5, 4, 256, 80, 12
+WINDOW_BITS, RADIUS, MOST, MIN_BYTES, MIN_WORDS = 3, 14, 256, 80, 12
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
     """The gear hash at every byte: sum of GEAR[byte at distance j] << j over
-    the last 16 bytes, by doubling the window."""
+    the last 8 bytes, by doubling the window."""
     h = _GEAR[data]
     for k in range(WINDOW_BITS):
         w = 1 << k
@@ -48,22 +49,33 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, offs: np.ndarray, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def least_ahead(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of the `width` values from every place on, by doubling."""
+    out, n = h.copy(), 1
+    while n < width:
+        step = min(n, width - n)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        n += step
+    return out
+
+
+def chunks(data: np.ndarray, offs: np.ndarray, radius: int = RADIUS, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """(ends of all chunks, rows' places in them (rows + 1)) of a slice."""
-    top = np.uint32(((1 << mask_bits) - 1) << (32 - mask_bits))
-    cuts = np.flatnonzero((gear(data) & top) == 0) + 1
+    h = gear(data)
+    low = least_ahead(h, radius)
+    at = np.arange(radius, max(len(h) - radius, radius))
+    cuts = at[(h[at] < low[at - radius]) & (h[at] <= low[at + 1])] + 1
     ends, at = [], [0]
     for r in range(len(offs) - 1):
         low, high = int(offs[r]), int(offs[r + 1])
-        # the window reaches over the row's start only for its first bytes, where no cut is taken
+        # no cut is taken where the window or the radius reaches over an end of the row
         last = low
-        for c in cuts[np.searchsorted(cuts, low + (1 << WINDOW_BITS)) : np.searchsorted(cuts, high)].tolist():
+        for c in cuts[np.searchsorted(cuts, low + (1 << WINDOW_BITS) + radius) : np.searchsorted(cuts, high - radius, "right")].tolist():
             while c - last > most:
                 last += most
                 ends.append(last)
-            if c - last >= least:
-                ends.append(c)
-                last = c
+            ends.append(c)
+            last = c
         while high - last > most:
             last += most
             ends.append(last)
@@ -73,13 +85,13 @@ def chunks(data: np.ndarray, offs: np.ndarray, mask_bits: int = MASK_BITS, least
     return np.array(ends, np.int64), np.array(at, np.int64)
 
 
-def chunk_rows(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
+def chunk_rows(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, pos, digest, start, length, n_words, bytes of every chunk."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offs in slices(batch.column(1)):
-                ends, at = chunks(data, offs, mask_bits, least, most)
+                ends, at = chunks(data, offs, radius, most)
                 row = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 if len(ends):
@@ -101,9 +113,9 @@ def chunk_rows(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST,
     return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, digest long, start int, length int, n_words int, bytes int")
 
 
-def repeated_spans(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, radius: int = RADIUS, most: int = MOST, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, length, n_words, n_chunks, first_doc_id, kept."""
-    rows = chunk_rows(docs, mask_bits, least, most)
+    rows = chunk_rows(docs, radius, most)
     held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     # cut, so that the join has an exchange of its own, which can be split where a digest is hot
     held = cut(held.where(F.col("first_doc_id") < F.col("last_doc_id")).select("digest", "first_doc_id"))

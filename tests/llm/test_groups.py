@@ -143,6 +143,15 @@ def test_substrings_keep_each_passage_once(spark):
     assert left[12] == text[12] and left[11] == text[11] and len(left[17]) < 100
 
 
+def test_substrings_find_passages_of_51_short_words(spark):
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 5)))) for _ in range(n))
+    passages = [say(n) for n in (51, 55, 60, 70) for _ in range(60)]
+    rows = [(2 * k + j, f"{say(60)} {p} {say(60)}") for k, p in enumerate(passages) for j in range(2)]
+    got = substrings.repeated_spans(docs_of(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {k for k, _ in rows}
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     rng = np.random.default_rng(4)
     body = rng.integers(97, 123, 5000).astype(np.uint8)
