@@ -1,5 +1,5 @@
-"""The query language: commands and free text (VIEW-01 to VIEW-17, UDX-05,
-UDX-06, STR-12). A text becomes a Command; its view compiles to a DataFrame
+"""The query language: commands and free text (VIEW-01 to VIEW-17 but VIEW-15,
+UDX-05, UDX-06, STR-12). A text becomes a Command; its view compiles to a DataFrame
 over the tables it is given."""
 
 from __future__ import annotations

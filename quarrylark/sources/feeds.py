@@ -1,4 +1,4 @@
-"""Landed feeds as observations (SRC-01 to SRC-40, DAT-06).
+"""Landed feeds as observations (SRC-01 to SRC-40 but SRC-19, DAT-06).
 
 A connector never calls the network: bodies are landed as (source, body)
 rows or files, with the outcome of the fetch. Each feed is a declaration:
