@@ -8,12 +8,18 @@ A document's ids end with `end_id`; documents longer than a sequence are cut
 into whole sequences and a rest.
 
 Pieces are dealt evenly over shards of about `shard` pieces. In each shard
-several islands evolve packings: a crossover injects well-filled bins of one
-parent into the other, removes the bins that hold the same pieces, and
-best-fits the displaced ones. The islands' elites then migrate to one
-population, which evolves on. Sequences that stay below `tight` of the
-capacity are opened again and their pieces packed across shards, until one
-shard is left or opening them no longer helps. Every piece is placed.
+several islands evolve packings apart, from different random orders: a
+crossover injects well-filled bins of one parent into the other, removes the
+bins that hold the same pieces and some of the emptiest, swaps displaced
+pieces for shorter ones of the bins that stay, and best-fits the rest. The
+islands' elites then migrate to one population, which evolves on. Islands and
+the joint population always run all their generations. Plain best-fit
+decreasing is only a yardstick: it is taken where evolution needs more bins.
+
+Sequences that stay below `tight` of the capacity are opened again and their
+pieces dealt anew over fewer shards, until one shard is left or a round saves
+less than one sequence in a thousand of those it opened; so what the division
+into shards costs is below that. Every piece is placed.
 
 A null text counts as empty: one piece that holds only end_id. Rows are
 packed one by one, so repeated rows are packed repeatedly. An empty table
@@ -25,16 +31,19 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.llm.bytescan import LOWER, SPACED, hash_spans, runs, slices
 from quarrylark.llm.shared import bounded_batches, cut
 
-CAPACITY, SHARD, ISLANDS, POPULATION, GENERATIONS, TIGHT = 2048, 4096, 2, 6, 6, 0.995
+CAPACITY, SHARD, TIGHT, SAVED = 2048, 4096, 0.995, 0.001
+ISLANDS, POPULATION, GENERATIONS, CHILDREN = 3, 6, 10, 4
 _SLOTS, _MOST_IDS = 1 << 20, 8 << 20
 _CLASS = np.array([1 if 48 <= b <= 57 or 97 <= b <= 122 else 2 if b < 128 and SPACED[b] and b != 39 else 0 for b in range(256)], np.uint8)
 _ENCODERS: dict[str, Encoder] = {}
@@ -117,10 +126,13 @@ class Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document.
+    The driver's tokenizer file goes to the executors as a file of the job."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.at(tokenizer)
+        encoder = Encoder.at(SparkFiles.get(name))
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for r, ids in encoder.rows(batch.column(1), end_id):
@@ -136,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], items: list[int], assigned: np.ndarray, free: list[int], capacity: int) -> None:
+def best_fit(lengths: list[int], items: list[int], assigned: list[int], free: list[int], capacity: int) -> None:
     """Put each item into the fullest bin that takes it, opening bins as needed."""
     by_free: dict[int, list[int]] = {}
     mask = 0
@@ -164,88 +176,122 @@ def best_fit(lengths: list[int], items: list[int], assigned: np.ndarray, free: l
             mask |= 1 << room
 
 
-def _fitness(assigned: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, float]:
-    fill = np.bincount(assigned, lengths)
-    return -len(fill), float(((fill / capacity) ** 2).sum() / max(1, len(fill)))
+def swap_in(lengths: list[int], items: list[int], assigned: list[int], free: list[int], staying: list[int]) -> list[int]:
+    """Let the longest waiting item that its bin can take replace each shorter
+    one of those that stay. Returns the items that wait then."""
+    by_length: dict[int, list[int]] = {}
+    mask = 0
+    for i in items:
+        by_length.setdefault(lengths[i], []).append(i)
+        mask |= 1 << lengths[i]
+    for i in staying:
+        room, n = free[assigned[i]], lengths[i]
+        fits = mask >> n + 1 & (1 << room) - 1
+        if fits:
+            longer = n + fits.bit_length()
+            j = by_length[longer].pop()
+            if not by_length[longer]:
+                mask &= ~(1 << longer)
+            assigned[j], assigned[i] = assigned[i], -1
+            free[assigned[j]] = room - (longer - n)
+            by_length.setdefault(n, []).append(i)
+            mask |= 1 << n
+    return [i for same in by_length.values() for i in same]
+
+
+def packed(order: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    assigned = [0] * len(lengths)
+    best_fit(lengths.tolist(), order.tolist(), assigned, [], capacity)
+    return np.array(assigned, np.int64)
 
 
-def _packed(order: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    assigned = np.zeros(len(lengths), np.int64)
-    best_fit(lengths.tolist(), order.tolist(), assigned, [], capacity)
-    return assigned
+def decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best-fit decreasing, the yardstick."""
+    return packed(np.argsort(-lengths, kind="stable"), lengths, capacity)
+
+
+def random_packing(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Best fit in the order of the lengths under a noise of random strength."""
+    noise = rng.uniform(0.1, 0.9)
+    return packed(np.argsort(-lengths * rng.uniform(1 - noise, 1 + noise, len(lengths)), kind="stable"), lengths, capacity)
 
 
 def crossover(into: np.ndarray, of: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Inject well-filled bins of one packing into another."""
-    fill = np.bincount(of, lengths)
-    chosen = (fill >= np.quantile(fill, 0.5)) & (rng.random(len(fill)) < 0.5)
+    """Inject the best-filled bins of one packing into another."""
+    fill = np.bincount(of, lengths) / capacity + rng.normal(0, 0.02, int(of.max()) + 1)
+    chosen = np.zeros(len(fill), bool)
+    chosen[np.argsort(-fill)[: max(1, int(len(fill) * rng.uniform(0.2, 0.6)))]] = True
     injected = chosen[of]
-    hit = np.zeros(int(into.max()) + 1, bool)
-    hit[into[injected]] = True
-    moved = ~injected & hit[into]
-    kept = ~injected & ~moved
+    opened = np.zeros(int(into.max()) + 1, bool)
+    opened[into[injected]] = True
+    left = np.flatnonzero(~opened)
+    if len(left):
+        fill = np.bincount(into, lengths)[left]
+        opened[left[np.argsort(fill, kind="stable")[: max(1, len(left) // 50)]]] = True
+    kept = ~injected & ~opened[into]
     child = np.full(len(into), -1)
-    _, child[injected] = np.unique(of[injected], return_inverse=True)
-    base = int(child.max()) + 1
+    child[injected] = np.unique(of[injected], return_inverse=True)[1]
     if kept.any():
-        child[kept] = base + np.unique(into[kept], return_inverse=True)[1]
-    placed = child >= 0
-    free = (capacity - np.bincount(child[placed], lengths[placed])).astype(int).tolist() if placed.any() else []
-    items = np.flatnonzero(moved)
-    best_fit(lengths.tolist(), items[np.argsort(-lengths[items], kind="stable")].tolist(), child, free, capacity)
-    return child
+        child[kept] = int(child.max()) + 1 + np.unique(into[kept], return_inverse=True)[1]
+    free = (capacity - np.bincount(child[child >= 0], lengths[child >= 0])).astype(int).tolist()
+    n, out = lengths.tolist(), child.tolist()
+    waiting = swap_in(n, np.flatnonzero(child < 0).tolist(), out, free, np.flatnonzero(kept).tolist())
+    best_fit(n, sorted(waiting, key=lambda i: -n[i]), out, free, capacity)
+    return np.array(out, np.int64)
 
 
-def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """The best packing found; it stops early at the lower bound on bins."""
+class Evolved(NamedTuple):
+    bins: np.ndarray
+    generations: int
+    crossovers: int
+
+
+def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS, children: int = CHILDREN) -> Evolved:
+    """The fewest bins found in so many generations, the fuller packing where
+    several need as few. Without elites the population is random."""
     if not len(lengths):
-        return np.zeros(0, np.int64)
+        return Evolved(np.zeros(0, np.int64), 0, 0)
     rng = np.random.default_rng(seed)
-    least = -(-int(lengths.sum()) // capacity)
-    order = np.argsort(-lengths, kind="stable")
-    pool = seeds or [_packed(order, lengths, capacity)]
-    score = lambda x: _fitness(x, lengths, capacity)
-    best = max(pool, key=score)
-    if -score(best)[0] <= least:
-        return best
-    while len(pool) < population:
-        pool.append(_packed(np.argsort(-lengths * rng.uniform(0.8, 1.2, len(lengths)), kind="stable"), lengths, capacity))
+
+    def scored(bins: np.ndarray) -> tuple[int, float, np.ndarray]:
+        fill = np.bincount(bins, lengths) / capacity
+        return -len(fill), float((fill**2).sum()), bins
+
+    pool = [scored(e) for e in elites]
+    pool += [scored(random_packing(lengths, capacity, rng)) for _ in range(population - len(pool))]
+    crossovers = 0
     for _ in range(generations):
-        pool.sort(key=score, reverse=True)
-        pool = pool[:population]
-        if -score(pool[0])[0] <= least:
-            break
-        half = max(2, population // 2)
-        pairs = [rng.choice(min(half, len(pool)), 2, replace=False) for _ in range(half)]
-        pool += [crossover(pool[a], pool[b], lengths, capacity, rng) for a, b in pairs]
-    return max(pool, key=score)
+        pool = sorted(pool, key=lambda x: x[:2], reverse=True)[:population]
+        for _ in range(children):
+            a, b = rng.choice(max(2, len(pool) // 2 + 1), 2, replace=False)
+            pool.append(scored(crossover(pool[a][2], pool[b][2], lengths, capacity, rng)))
+            crossovers += 1
+    return Evolved(max(pool, key=lambda x: x[:2])[2], generations, crossovers)
 
 
 def _round(items: DataFrame, shards: int, level: int, capacity: int, islands: int) -> DataFrame:
     """items: doc_id, piece, start, length, ids_crc32, item (unique). Adds sequence_id, offset, fill."""
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
     copies = dealt.select("shard", "item", "length").withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
 
-    def sort(table: pa.Table) -> pa.Table:
-        return table.sort_by("item")
-
     def island(key: tuple, table: pa.Table) -> pa.Table:
-        table = sort(table)
+        table = table.sort_by("item")
         n = table["length"].to_numpy()
         small = n < capacity
         bins = np.zeros(len(n), np.int64)
-        bins[small] = evolve(n[small], [], capacity, key[0].as_py() * islands + key[1].as_py())
+        bins[small] = evolve(n[small], [], capacity, key[0].as_py() * islands + key[1].as_py()).bins
         return pa.table({"shard": table["shard"], "item": table["item"], "island": table["island"].cast(pa.int32()), "bin": pa.array(bins)})
 
     elites = copies.groupBy("shard", "island").applyInArrow(island, "shard long, item long, island int, bin long")
 
     def settle(key: tuple, table: pa.Table, elite: pa.Table) -> pa.Table:
-        table, elite = sort(table), elite.sort_by([("island", "ascending"), ("item", "ascending")])
+        table, elite = table.sort_by("item"), elite.sort_by([("island", "ascending"), ("item", "ascending")])
         n = table["length"].to_numpy()
         small = n < capacity
-        seeds = [b[small] for b in elite["bin"].to_numpy().reshape(-1, len(n))] if len(n) else []
         bins = np.zeros(len(n), np.int64)
-        bins[small] = evolve(n[small], seeds, capacity, key[0].as_py()) if small.any() else 0
+        if small.any():
+            found = evolve(n[small], [b[small] for b in elite["bin"].to_numpy().reshape(-1, len(n))], capacity, key[0].as_py()).bins
+            bins[small] = min(found, decreasing(n[small], capacity), key=lambda x: int(x.max()))
         bins[~small] = (int(bins[small].max()) + 1 if small.any() else 0) + np.arange(int((~small).sum()))
         order = np.argsort(bins, kind="stable")
         fill, before = np.bincount(bins, n).astype(np.int64), np.zeros(len(n), np.int64)
@@ -260,10 +306,10 @@ def _round(items: DataFrame, shards: int, level: int, capacity: int, islands: in
     return dealt.groupBy("shard").cogroup(elites.groupBy("shard")).applyInArrow(settle, f"{kinds}, sequence_id long, offset long, fill long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, shard: int = SHARD, islands: int = ISLANDS, tight: float = TIGHT) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, shard: int = SHARD, islands: int = ISLANDS, tight: float = TIGHT, saved: float = SAVED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     items = cut(token_pieces(docs, tokenizer, capacity, end_id)).withColumn("item", F.monotonically_increasing_id())
-    done, level = [], 0
+    done, level, opened = [], 0, None
     n = items.count()
     while True:
         shards = max(1, -(-n // shard))
@@ -273,12 +319,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             break
         placed = cut(placed)
         loose = F.col("fill") < int(tight * capacity)
-        left = placed.where(loose).count()
-        if not left or left > n // 2 and level:
+        first = F.col("offset") == 0
+        now, left, still = placed.agg(F.count_if(first), F.count_if(loose), F.count_if(first & loose)).first()
+        if not left or opened is not None and opened - now < saved * opened:
             done.append(placed)
             break
         done.append(placed.where(~loose))
-        items, n, level = placed.where(loose).select(*items.columns), left, level + 1
+        items, n, level, opened = placed.where(loose).select(*items.columns), left, level + 1, still
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -210,14 +210,43 @@ def test_packing(spark, tokenizer):
     assert packing.pack(docs_of(spark, []), tokenizer).count() == 0
 
 
+def bins_of(n, capacity, packing_):
+    assert packing_.min() >= 0 and np.bincount(packing_, n).max() <= capacity and set(np.unique(packing_)) == set(range(packing_.max() + 1))
+    return int(packing_.max()) + 1
+
+
 def test_crossover_keeps_items_and_capacity():
     rng = np.random.default_rng(7)
     n = rng.integers(1, 900, 200)
-    a, b = (packing._packed(rng.permutation(200), n, 2048) for _ in range(2))
-    child = packing.crossover(a, b, n, 2048, rng)
-    assert child.min() >= 0 and np.bincount(child, n).max() <= 2048 and set(np.unique(child)) == set(range(child.max() + 1))
+    a, b = (packing.packed(rng.permutation(200), n, 2048) for _ in range(2))
+    bins_of(n, 2048, packing.crossover(a, b, n, 2048, rng))
     best = packing.evolve(n, [a, b], 2048, 1)
-    assert best.max() <= min(a.max(), b.max())
+    assert bins_of(n, 2048, best.bins) <= min(a.max(), b.max()) + 1
+    assert (best.generations, best.crossovers) == (packing.GENERATIONS, packing.GENERATIONS * packing.CHILDREN)
+
+
+@pytest.mark.parametrize(("low", "high", "gain"), [(0.25, 0.5, 0.03), (0.3, 0.36, 0.04), (0.15, 0.45, 0.02)])
+def test_evolution_beats_best_fit_decreasing(low, high, gain):
+    """Pieces near a third of the capacity, where greedy packing misses the bound."""
+    n = np.random.default_rng(1).integers(int(2048 * low), int(2048 * high), 2000)
+    found = packing.evolve(n, [], 2048, 3)
+    assert found.crossovers == packing.GENERATIONS * packing.CHILDREN
+    assert bins_of(n, 2048, found.bins) < (1 - gain) * bins_of(n, 2048, packing.decreasing(n, 2048))
+    # what migrates evolves on
+    more = packing.evolve(n, [found.bins, packing.evolve(n, [], 2048, 4).bins], 2048, 5)
+    assert bins_of(n, 2048, more.bins) <= bins_of(n, 2048, found.bins)
+
+
+def test_rounds_pack_hard_pieces_below_best_fit_decreasing(spark):
+    """Many shards of hard pieces: all are loose, and rounds end."""
+    n = np.random.default_rng(2).integers(520, 1020, 3000)
+    items = spark.createDataFrame([(k, 0, 0, int(x), 0, k) for k, x in enumerate(n)], "doc_id long, piece int, start long, length long, ids_crc32 long, item long")
+    placed = packing._round(items, 3, 0, 2048, 2).collect()
+    fill = Counter()
+    for r in placed:
+        fill[r.sequence_id] += r.length
+    assert len(placed) == 3000 and max(fill.values()) <= 2048
+    assert len(fill) < 0.98 * (int(packing.decreasing(n, 2048).max()) + 1)
 
 
 RE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
