@@ -4,20 +4,25 @@ The gear hash of the last 8 bytes is rolled over every text; a chunk ends
 where the hash is smaller than at the 14 places before and not larger than at
 the 14 after, or after `most` bytes, so that an insertion moves no boundary
 but those beside it, and few chunks are long. A chunk's 64-bit digest is
-aggregated over the corpus to the smallest and largest doc_id that holds it;
-a chunk held by different documents is repeated. Adjoining repeated chunks of
-a document make a run; runs of at least `min_bytes` bytes and `min_words`
-words are the result.
-
-A run is divided where kept changes, so that each chunk stays in its first
-document: chunks that a smaller document holds go, if a stretch of them
-reaches both bounds by itself; shorter ones stay with the text beside them.
+aggregated over the corpus to the smallest and largest doc_id that holds it; a
+chunk is repeated if different documents hold it, or if it stands twice in one
+text. Adjoining repeated chunks of a text make a run; runs of at least
+`min_bytes` bytes and `min_words` words are the result. A run lacks what of a
+passage lies in the chunks over its ends, so `min_words` is half of the
+shortest passage meant, 50 words.
+
+Each repeated chunk stays in one place, its first: the smallest doc_id, there
+the first place. A run is divided where kept changes: chunks that stand
+earlier go, if a stretch of them reaches both bounds by itself; shorter ones
+stay with the text beside them.
 
 One row per span: doc_id, start and length (code points), n_words,
 n_chunks, first_doc_id (this document where kept, else the smallest one that
 holds the span's first chunk) and kept. Null and short texts give no rows;
-nor do rows with a null doc_id, and repeats inside one document. Repeated
-rows of one document count once. Other columns are ignored.
+nor do rows with a null doc_id. Repeated rows of one document count once.
+Rows that share a doc_id but differ in text are texts of one document, each
+with its own spans; a chunk that only they share isn't repeated. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql.window import Window
 from quarrylark.llm.bytescan import SPACED, mix64, runs, slices
 from quarrylark.llm.shared import bounded_batches, cut
 
-WINDOW_BITS, RADIUS, MOST, MIN_BYTES, MIN_WORDS = 3, 14, 256, 80, 12
+WINDOW_BITS, RADIUS, MOST, MIN_BYTES, MIN_WORDS = 3, 14, 256, 80, 25
 _GEAR = mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -86,47 +91,56 @@ def chunks(data: np.ndarray, offs: np.ndarray, radius: int = RADIUS, most: int =
 
 
 def chunk_rows(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """doc_id, pos, digest, start, length, n_words, bytes of every chunk."""
+    """A row for each chunk: doc_id, digest, pos (31 bits of the text's hash,
+    then the chunk's number), start, size (code points, words and bytes of 10
+    bits each), again (whether its text holds an equal chunk elsewhere)."""
+    if most >= 1 << 10:
+        raise ValueError("chunks of so many bytes don't fit the sizes")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offs in slices(batch.column(1)):
                 ends, at = chunks(data, offs, radius, most)
-                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                n = np.diff(at)
+                row = np.repeat(np.arange(len(n)), n)
                 begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 if len(ends):
-                    begin[at[:-1][np.diff(at) > 0]] = offs[:-1][np.diff(at) > 0]
+                    begin[at[:-1][n > 0]] = offs[:-1][n > 0]
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 starts, _, _ = runs(data, offs, SPACED)
                 whole = data.tobytes()
                 digest = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
+                text = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) >> 33 for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.int64)
+                words = np.searchsorted(starts, ends) - np.searchsorted(starts, begin)
+                size = (points[ends] - points[begin]) << 20 | words << 10 | (ends - begin)
+                order = np.lexsort((digest, row))
+                same = (digest[order][1:] == digest[order][:-1]) & (row[order][1:] == row[order][:-1])
+                again = np.zeros(len(digest), bool)
+                again[order[1:][same]] = again[order[:-1][same]] = True
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(first + row)), pa.array((np.arange(len(ends)) - at[row]).astype(np.int32)), pa.array(digest), pa.array((points[begin] - points[offs[row]]).astype(np.int32)),
-                        pa.array((points[ends] - points[begin]).astype(np.int32)), pa.array((np.searchsorted(starts, ends) - np.searchsorted(starts, begin)).astype(np.int32)), pa.array((ends - begin).astype(np.int32)),
-                    ],
-                    names=["doc_id", "pos", "digest", "start", "length", "n_words", "bytes"],
+                    [batch.column(0).take(pa.array(first + row)), pa.array(digest), pa.array(text[row] << 32 | np.arange(len(row)) - at[row]), pa.array((points[begin] - points[offs[row]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)],
+                    names=["doc_id", "digest", "pos", "start", "size", "again"],
                 )
 
     bounded_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, digest long, start int, length int, n_words int, bytes int")
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, pos long, start int, size int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, radius: int = RADIUS, most: int = MOST, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, length, n_words, n_chunks, first_doc_id, kept."""
     rows = chunk_rows(docs, radius, most)
-    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.max("again").alias("again"))
     # cut, so that the join has an exchange of its own, which can be split where a digest is hot
-    held = cut(held.where(F.col("first_doc_id") < F.col("last_doc_id")).select("digest", "first_doc_id"))
-    hits = rows.join(held, "digest").drop("digest")
-    # the document alone bounds a window's rows; only repeated chunks are in it
-    by_doc = Window.partitionBy("doc_id").orderBy("pos", "start", "length")
-    hits = hits.dropDuplicates(["doc_id", "pos", "start", "length"])
-    run = hits.withColumn("run", F.col("pos") - F.row_number().over(by_doc))
-    # stretches of chunks that this document holds first, or doesn't
-    run = run.withColumn("own", F.col("first_doc_id") == F.col("doc_id"))
-    run = run.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("pos", "start", "length")))
+    held = cut(held.where((F.col("first_doc_id") < F.col("last_doc_id")) | F.col("again")).select("digest", "first_doc_id"))
+    # from here on a document's repeated chunks are in one task, and nothing is dealt again
+    hits = rows.drop("again").join(held, "digest").repartition("doc_id").dropDuplicates(["doc_id", "pos"])
+    sizes = [F.shiftright("size", 20).alias("length"), (F.shiftright("size", 10) % 1024).alias("n_words"), (F.col("size") % 1024).alias("bytes")]
+    first_here = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("pos")) == 1
+    hits = hits.withColumn("own", (F.col("first_doc_id") == F.col("doc_id")) & first_here).select("doc_id", "pos", "start", "first_doc_id", "own", *sizes)
+    run = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
+    # stretches of chunks that stay here, or don't
+    run = run.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("pos")))
     sums = [F.sum(c).alias(c) for c in ("length", "n_words", "bytes")]
     parts = run.groupBy("doc_id", "run", "own", "stretch").agg(F.min("pos").alias("pos"), F.min("start").alias("start"), *sums, F.count("*").alias("n_chunks"), F.min_by("first_doc_id", "pos").alias("first_doc_id"))
     by_run = Window.partitionBy("doc_id", "run")

@@ -116,7 +116,7 @@ def test_substrings(spark):
     say = lambda n: " ".join(word() for _ in range(n))
     passages = [say(70) for _ in range(20)]
     rows = [(2 * k + j, f"{say(20 + 7 * j + k)} {p} {say(30)}") for k, p in enumerate(passages) for j in range(2)]
-    clean = [(1000 + k, say(150)) for k in range(100)] + [(2000, None), (2001, ""), (2002, "x"), (2003, say(30) * 2 + ("loop " * 300)), (None, passages[0])]
+    clean = [(1000 + k, say(150)) for k in range(100)] + [(2000, None), (2001, ""), (2002, "x"), (2003, say(20) * 2), (None, passages[0])]
     got = substrings.repeated_spans(docs_of(spark, rows + clean + rows[:1])).collect()
     assert {r.doc_id for r in got} == set(range(40))
     text = dict(rows)
@@ -126,6 +126,66 @@ def test_substrings(spark):
     assert substrings.repeated_spans(docs_of(spark, [])).count() == 0
 
 
+def brute_spans(rows, min_bytes, min_words):
+    """The definition in plain code, from the chunks of each text on."""
+    texts, holders, again = {}, {}, set()
+    for k, t in {(k, t) for k, t in rows if k is not None and t}:
+        data = np.frombuffer(t.encode(), np.uint8)
+        ends, _ = substrings.chunks(data, np.array([0, len(data)]))
+        pieces = [data[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        texts[(k, substrings.xxhash.xxh3_64_intdigest(t.encode()) >> 33)] = pieces
+        for c in pieces:
+            holders.setdefault(c, set()).add(k)
+        again |= {c for c, n in Counter(pieces).items() if n > 1}
+    out, seen, keep = Counter(), set(), {}
+    for key in sorted(texts):
+        for i, c in enumerate(texts[key]):
+            keep[key, i] = (key[0], c) not in seen and key[0] == min(holders[c])
+            seen.add((key[0], c))
+    for key, pieces in texts.items():
+        held = [len(holders[c]) > 1 or c in again for c in pieces]
+        said = [c.decode("utf-8", "replace") for c in pieces]
+        begins = np.cumsum([0, *(len(c.decode("utf-8", "ignore")) for c in pieces)])
+        words = lambda a, b: len(re.findall(r"(?:(?<![^\x20\x09-\x0D])|^)[^\x20\x09-\x0D]", "".join(said)[begins[a] : begins[b]])) - (begins[a] > 0 and "".join(said)[begins[a] - 1] not in " \t\n\v\f\r" and "".join(said)[begins[a]] not in " \t\n\v\f\r")  # noqa: B023, E731
+        enough = lambda a, b: sum(map(len, pieces[a:b])) >= min_bytes and words(a, b) >= min_words  # noqa: B023, E731
+        i = 0
+        while i < len(pieces):
+            j = i
+            while j < len(pieces) and held[j]:
+                j += 1
+            if j > i and enough(i, j):
+                parts, a = [], i
+                for b in range(i + 1, j + 1):
+                    if b == j or keep[key, b] != keep[key, a]:
+                        parts.append((a, b, keep[key, a] or not enough(a, b)))
+                        a = b
+                k = 0
+                while k < len(parts):
+                    n = k
+                    while n < len(parts) and parts[n][2] == parts[k][2]:
+                        n += 1
+                    a, b, kept = parts[k][0], parts[n - 1][1], parts[k][2]
+                    out[(key[0], int(begins[a]), int(begins[b] - begins[a]), words(a, b), b - a, key[0] if kept else min(holders[pieces[a]]), kept)] += 1
+                    k = n
+            i = j + 1 if j == i else j
+    return out
+
+
+def test_substrings_against_plain_code(spark):
+    """Random texts of shared parts, some of them twice in a text, under
+    repeated ids and with repeated rows."""
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 7)))) for _ in range(n))
+    shared = [say(int(n)) for n in rng.integers(5, 80, 15)]
+    rows = [(int(rng.integers(0, 50)), " ".join(say(int(rng.integers(1, 30))) if rng.random() < 0.4 else shared[rng.integers(0, 15)] for _ in range(int(rng.integers(0, 7))))) for _ in range(70)]
+    rows += rows[:5] + [(60, f"{shared[0]} {shared[1]}"), (60, f"{shared[1]} {shared[2]} {shared[1]}"), (61, say(90) + " " + say(40)), (None, shared[3])]
+    rows[-2] = (61, f"{rows[-2][1]} {rows[-2][1]}")
+    for min_words in (4, 25):
+        got = Counter((r.doc_id, r.start, r.length, r.n_words, r.n_chunks, r.first_doc_id, r.kept) for r in substrings.repeated_spans(docs_of(spark, rows), min_words=min_words).collect())
+        assert got == brute_spans(rows, 80, min_words)
+        assert 61 in {k[0] for k in got}
+
+
 def test_substrings_keep_each_passage_once(spark):
     rng = np.random.default_rng(8)
     say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
