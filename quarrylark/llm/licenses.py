@@ -1,12 +1,15 @@
 """Licence scan: a positional index of rare licence words.
 
-Every template (a notice, or a base phrase) is a list of words. Its rarest
-words, by document frequency over the whole corpus, are posted with their
-offsets. A document's words are looked up in the postings; each occurrence
-proposes an alignment (template, start), and the template's words are then
-compared place by place. A base phrase needs every word; a notice needs
-`min_coverage` of its words and all words of its mandatory key phrases at
-their places.
+Every template (a notice or a clause of a licence, or a base phrase) is a
+list of words with mandatory key phrases; all of a base phrase is mandatory.
+The rarest words of the key phrases, by document frequency over the whole
+corpus, are posted with their offsets. A document's words are looked up in
+the postings; an occurrence proposes an alignment (template, start), and only
+alignments that all of a template's posted words propose are kept. As the key
+phrases must stand at their places, no place that can hold is passed over.
+There the template's words are compared place by place, by their bytes: the
+key phrases must be whole, and `min_coverage` of all words must agree. An
+alignment may begin before or end after the text.
 
 Words are runs of digits, letters a-z after lower-casing A-Z, and all other
 characters from U+0080. A null text counts as empty: no words, no labels,
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from quarrylark.llm.bytescan import ALNUM, LOWER, hash_bytes, hash_spans, runs, slices, split_words
 from quarrylark.llm.shared import bounded_batches
 
-ANCHORS = 4
+ANCHORS = 2
 MIN_COVERAGE = 0.7
 
 #: (label, phrase)
@@ -56,6 +59,21 @@ NOTICES = [
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc0-1.0", "released under the creative commons zero cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    # clauses of whole licence texts
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["on an as is basis"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ["merge publish distribute sublicense"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["substantial portions of the software"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission notice appear in all copies"]),
+    ("gpl-any", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["in the hope that it will be useful"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions must be plainly marked"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["accompanying documentation covered by this license"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike 4 0"]),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
     ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", ["unauthorized copying"]),
 ]
 
@@ -79,9 +97,9 @@ class _Template:
         self.anchors: list[int] = []
 
     def choose(self, documents_with: dict[bytes, int], most: int) -> None:
-        """Offsets of the rarest words; ties go to the longer, then the first."""
-        rank = sorted(range(len(self.words)), key=lambda i: (documents_with.get(self.words[i], 0), -len(self.words[i]), i))
-        self.anchors = rank[: 1 if self.base else most]
+        """Offsets of the rarest mandatory words; ties go to the longer, then the first."""
+        rank = sorted(np.flatnonzero(self.must).tolist(), key=lambda i: (documents_with.get(self.words[i], 0), -len(self.words[i]), i))
+        self.anchors = rank[:most]
 
 
 class Index:
@@ -98,25 +116,31 @@ class Index:
         self.keys = np.array(sorted(self.posted), np.uint64)
 
     def places(self, words: np.ndarray, row_at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Yield (template, starts, coverage) of the alignments that hold."""
+        """Yield (template, starts, rows) where all key phrases' hashes stand."""
         slot = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         found = np.flatnonzero(self.keys[slot] == words)
         row = np.searchsorted(row_at, found, "right") - 1
-        slot, proposed = slot[found], defaultdict(list)
+        slot, proposed, rows = slot[found], defaultdict(list), len(row_at)
         for n in np.unique(slot).tolist():
             here = slot == n
             for k, at in self.posted[int(self.keys[n])]:
-                proposed[k].append(np.stack((found[here] - at, row[here])))
+                # one number for start and row; a start may lie before its row
+                proposed[k].append((found[here] - at) * rows + row[here])
         for k, parts in sorted(proposed.items()):
             t = self.templates[k]
-            start, of = np.unique(np.concatenate(parts, axis=1), axis=1)
-            same = np.zeros((len(t.words), len(start)), bool)
-            for j in range(len(t.words)):
+            if len(parts) < len(t.anchors):
+                continue
+            both = parts[0]
+            for part in parts[1:]:
+                both = np.intersect1d(both, part, assume_unique=True)
+            start, of = both // rows, both % rows
+            good = np.ones(len(start), bool)
+            for j in np.flatnonzero(t.must).tolist():
                 at = start + j
-                inside = (at >= row_at[of]) & (at < row_at[of + 1])
-                same[j, inside] = words[at[inside]] == t.hashes[j]
-            good = same[t.must].all(axis=0)
-            yield k, start[good], same.mean(axis=0)[good]
+                good &= (at >= row_at[of]) & (at < row_at[of + 1])
+                good[good] = words[at[good]] == t.hashes[j]
+            if good.any():
+                yield k, start[good], of[good]
 
 
 def _sliced(batches):
@@ -146,6 +170,16 @@ def document_frequency(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes,
     return {vocabulary[r.word]: r.n for r in rows}
 
 
+def _coverage(t: _Template, start: int, row: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row_at: np.ndarray) -> float:
+    """The share of the template's words that stand at their places; 0 where
+    a mandatory one doesn't."""
+    low, high = max(start, int(row_at[row])), min(start + len(t.words), int(row_at[row + 1]))
+    same = np.zeros(len(t.words), bool)
+    for p in range(low, high):
+        same[p - start] = data[starts[p] : ends[p]].tobytes() == t.words[p - start]
+    return float(same.mean()) if same[t.must].all() else 0.0
+
+
 _SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -162,15 +196,12 @@ def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, anchors:
             n_base, low, high = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
             base_said, said = [set() for _ in range(n)], [set() for _ in range(n)]
             score = np.zeros(n)
-            for k, at, coverage in index.places(words, row_at):
+            for k, at, row in index.places(words, row_at):
                 t = index.templates[k]
-                if t.base:  # the words' bytes confirm the hashes
-                    same = [b" ".join(data[a:b].tobytes() for a, b in zip(starts[p : p + len(t.words)].tolist(), ends[p : p + len(t.words)].tolist(), strict=True)) == t.bytes for p in at.tolist()]
-                    at, coverage = at[np.array(same, bool)], coverage[np.array(same, bool)]
-                else:
-                    at, coverage = at[coverage >= min_coverage], coverage[coverage >= min_coverage]
-                row = np.searchsorted(row_at, at, "right") - 1
-                np.maximum.at(score, row, coverage)
+                coverage = np.array([_coverage(t, p, r, data, starts, ends, row_at) for p, r in zip(at.tolist(), row.tolist(), strict=True)])
+                good = coverage >= (1 if t.base else min_coverage)
+                at, row = at[good], row[good]
+                np.maximum.at(score, row, coverage[good])
                 for r in np.unique(row).tolist():
                     said[r].add(t.label)
                     if t.base:

@@ -56,6 +56,45 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def brute_labels(text):
+    """Every template at every place, in plain code."""
+    w = WORD.findall((text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for label, said, keys in [(a, p, [p]) for a, p in licenses.BASE] + licenses.NOTICES:
+        t = said.split()
+        must = set()
+        for key in keys:
+            q = key.split()
+            i = next(i for i in range(len(t)) if t[i : i + len(q)] == q)
+            must |= set(range(i, i + len(q)))
+        for start in range(-len(t) + 1, len(w)):
+            same = {j for j in range(len(t)) if 0 <= start + j < len(w) and w[start + j] == t[j]}
+            if must <= same and len(same) / len(t) >= licenses.MIN_COVERAGE:
+                labels.add(label)
+                score = max(score, len(same) / len(t))
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_labels_and_scores_against_plain_code(spark):
+    """Notices whole, cut at an end and with words changed or left out, where
+    some words of a notice stand in no document."""
+    rng = np.random.default_rng(4)
+    notices = [n.split() for _, n, _ in licenses.NOTICES] + [p.split() for _, p in licenses.BASE]
+    rows = [(0, "you get permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to xxxx xx the software yyyy zzzz", None)]
+    for k in range(1, 260):
+        said = []
+        for _ in range(int(rng.integers(0, 4))):
+            n = list(notices[rng.integers(0, len(notices))])
+            for _ in range(int(rng.integers(0, 5))):
+                n[int(rng.integers(0, len(n)))] = str(rng.choice(["x", "the", "software", "license", "4"]))
+            a = int(rng.integers(0, 4)) if rng.random() < 0.3 else 0
+            said += [*n[a:], *rng.choice(["alpha", "license", "public"], int(rng.integers(0, 3))).tolist()]
+        rows.append((k, " ".join(said), None))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {k: brute_labels(t) for k, t, _ in rows}
+    assert got[0][0] == "mit" and sum(bool(x) for x, _ in got.values()) > 100
+
+
 def hits_of(items, text, window=10):
     w = WORD.findall((text or "").translate(LOWER))
     hit, named = set(), set()
