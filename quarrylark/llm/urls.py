@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylark.llm.shared import shared_folder
+from quarrylark.llm.shared import share_file
 
 #: (verdict, host, path)
 RULES = [
@@ -126,21 +126,10 @@ def judge(index: DigestIndex, urls: list[str | None], default: str) -> tuple[lis
     return hosts, paths, rule, verdict
 
 
-def _share(spark: SparkSession, content: bytes) -> str:
-    """Write the file to the shared folder and hand it to all executors."""
-    name = f"url-index-{uuid.uuid4().hex}.bin"
-    jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(content))
-    out.close()
-    sc.addFile(path.toString())
-    return name
-
-
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow", key: str = "page_id") -> DataFrame:
     """The key, host, path, rule and verdict of each row's url."""
-    name = _share(pages.sparkSession, build_index(rules))
+    name = f"url-index-{uuid.uuid4().hex}.bin"
+    share_file(pages.sparkSession, name, build_index(rules))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestIndex.open(SparkFiles.get(name))

@@ -130,6 +130,22 @@ def test_decontaminate(spark, block):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_benchmark_tables_are_small_and_complete():
+    """The tables of a block take a few times its text; every window is found
+    at its place, also where a bucket holds many."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "dddd", "e1"], 60)).encode() for _ in range(3000)]
+    body = decontaminate.build_tables(texts)
+    assert len(body) < 20 * sum(map(len, texts))
+    block = decontaminate.Benchmark(body)
+    data = np.frombuffer(b"".join(texts[:20]), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(t) for t in texts[:20]])))
+    starts, ends, row_at = runs(data, offs, ALNUM)
+    found = {(p, i) for p, m, i in block.find(data, hash_spans(data, starts, ends), starts, ends, row_at)}
+    assert {(int(row_at[i]) + k, i) for i in range(20) for k in range(51)} <= found
+    assert all(b" ".join(data[a:b].tobytes() for a, b in zip(starts[p : p + 10], ends[p : p + 10], strict=True)) in b" ".join(texts[i].split()) for p, i in found)
+
+
 def test_urls(spark):
     said = ["http://a.com/x?y", "https://WWW.Example.com/en/1", "http://example.com/en/", "http://x.net/es/2#a", "http://net/fr/", "http://xnet/fr/", None, "nothing", "http://a.com", "a://b.example.com/en", "://", "http://example.com/en/ü"]
     pages = spark.createDataFrame(list(enumerate(said)), "page_id long, url string")
