@@ -80,7 +80,7 @@ def build_tables(texts: list[bytes], window: int = WINDOW) -> bytes:
         many = n[rows] - m + 1
         first = np.repeat(row_at[rows] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
         block = min(2, m)
-        bits = 64 - max(12, min(22, int(len(first) * m).bit_length() + 1))
+        bits = 64 - max(12, min(22, int(n[rows].sum()).bit_length() + 2))
         key = _blocks_at(words, block, bits)
         shift = np.full(1 << 64 - bits, m - block + 1, np.uint8 if m < 256 else np.int32)
         for end in range(block - 1, m):
