@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two collections of the driver's garbage, at least.
+COLLECT_EVERY = 5.0
+_collected = 0.0
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Where none
-    is named, as in tests, a local one is made and set."""
+    is named, as in tests, a local session makes and sets one of its own; on
+    a cluster that would be a folder that executors don't share, an error."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='quarrylark-')}"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='quarrylark-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -21,11 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute the frame once into the shared folder; later reads survive the
-    loss of any executor. Then let the driver collect its garbage, so that
-    Spark removes the shuffle files of what was cut before; else they stay
-    until the driver's heap happens to fill."""
+    loss of any executor. From time to time the driver collects its garbage
+    then, so that Spark removes the shuffle files of what was cut before; else
+    they stay until the driver's heap happens to fill."""
+    global _collected
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
-    out.sparkSession._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        out.sparkSession._jvm.System.gc()
+        _collected = time.monotonic()
     return out
