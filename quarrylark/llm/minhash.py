@@ -3,8 +3,8 @@ and full-set verification, components by alternating stars.
 
 A document's set is its distinct five-word shingles, each a 64-bit hash. One
 pass over the texts gives the set's size, a 128-bit digest of the whole set
-and one hash per band of minima. Documents with equal digests are one class,
-represented by its smallest doc_id; only classes are compared.
+and one hash per band of minima. Documents with equal digests are one class
+with a number of its own; only classes are compared.
 
 Candidates: in every band bucket the member first by a hash order is the hub
 and is paired with each other member, so a bucket of n gives n - 1 pairs. A
@@ -12,18 +12,22 @@ pair is dropped if its signatures agree in less than `least_agree` of the
 minima (six standard deviations below the threshold), else its full sets are
 intersected. Links are joined to components. So that no link is lost where
 the hub does not link, buckets that still hold several components go on:
-shingles that no other such member has can be in no intersection, so they
-bound what a pair can reach. Each member is compared with a second hub, the
-one of its buckets with the smallest share of them. What a member has in
-common with any other is partly in its hub, of which it has in_hub, or not.
-So another member can only link with it if in_hub alone is enough for their
-sizes (such pairs are taken from the buckets), or if the two have shingles
-in common that the hub lacks (such pairs are found by these shingles, which
-are rare, and counted). Both kinds are verified on their full sets.
-
-Sets are made again only for documents that share a bucket, found through a
-bit filter of fixed size and confirmed by a join, so texts are not shuffled
-for the rest.
+each member is compared with a second hub, the one of its buckets with the
+smallest share of shingles that no other such member has. Then the members
+beside their buckets' largest components look for the rest by their rarest
+shingles: at a similarity of `similar` two sets have so many shingles in
+common that both hold a common one among the first of each, rarest first, as
+many as the set's size less what must be common, plus one. Those that share
+such a shingle and are in different components are verified. Shingles that
+many have come last in that order, so groups with much in common aren't
+paired by it.
+
+Aggregates by bucket are cut before they are joined back, so that each join
+has exchanges of its own, which are split where a bucket is hot.
+
+Sets are made again only for documents that share a bucket: up to FILTER_IDS
+of them through a bit filter of eight bits for each, beyond by a semi-join,
+so texts are not shuffled for the rest.
 
 Documents without words, with a null text or with a null doc_id link with
 nothing; the latter have no component and are not kept. Rows with equal
@@ -47,7 +51,7 @@ from quarrylark.llm.shared import bounded_batches, cut
 from quarrylark.operators.graph import components
 
 WORDS, BANDS, ROWS, SIMILAR, LEAST_AGREE, SEED = 5, 32, 4, 75, 0.5, 20240229
-FILTER_BITS = 1 << 20
+FILTER_IDS = 4 << 20
 
 
 class Hashes:
@@ -131,29 +135,35 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
+def _slot(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
 def _id_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit filter of fixed size over the ids."""
-    words = ids.select(_slot("doc_id", bits).alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))).alias("m")).collect()
+    """A bit filter over the ids."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 32).cast("int"))
+    words = ids.select(_slot("doc_id", bits).alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(one).alias("m")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
-    for r in words:  # at most bits / 32 rows
-        table[r.w] = r.m
+    table[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)  # at most bits / 32 rows
     return table
 
 
-def _slot(column: str, bits: int):
-    return F.pmod(F.xxhash64(column), F.lit(bits))
-
-
-def _sets(docs: DataFrame, ids: DataFrame, bands: int, rows: int, words: int, bits: int = FILTER_BITS) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, bands: int, rows: int, words: int, most: int = FILTER_IDS) -> DataFrame:
     """doc_id, d1, d2, sig (minima), shingles: the full sets of all rows whose
     doc_id is among the ids, and of some others."""
-    hashes = Hashes(bands * rows)
-    mask = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, bits))
+    hashes, n = Hashes(bands * rows), ids.count()
+    bits = max(1 << 16, 1 << (8 * n).bit_length())
+    docs, mask = _plain(docs), None
+    if n > most:
+        docs, bits = docs.join(ids, "doc_id", "left_semi"), 1
+    else:
+        mask = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((mask.value[s // 32] >> (s % 32).astype(np.uint32)) & 1 == 1))
+            if mask is not None:
+                s = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((mask.value[s // 32] >> (s % 32).astype(np.uint32)) & 1 == 1))
             for first, end, raw, offs in slices(batch.column(1)):
                 values, at = shingle_sets(raw, offs, words)
                 full = np.flatnonzero(np.diff(at))
@@ -165,8 +175,7 @@ def _sets(docs: DataFrame, ids: DataFrame, bands: int, rows: int, words: int, bi
                 sigs = pa.ListArray.from_arrays(pa.array((np.arange(len(full) + 1) * sig.shape[1]).astype(np.int32)), pa.array(sig.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(full)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), sigs, kept], names=["doc_id", "d1", "d2", "sig", "shingles"])
 
-    docs = _plain(docs).withColumn("slot", _slot("doc_id", bits))
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d1 long, d2 long, sig array<int>, shingles array<long>")
+    return docs.withColumn("slot", _slot("doc_id", bits)).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d1 long, d2 long, sig array<int>, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: int, least_agree: float, minima: int) -> DataFrame:
@@ -182,30 +191,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int, least_agree: floa
     return both.where(F.when(small * 100 < large * similar, False).when(agree < least_agree * minima, False).otherwise(common * 100 >= union * similar)).select("a", "b")
 
 
-def _with_unique(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds n, the set's size, and u, how many of its shingles no other
-    member's set has: those can be in no intersection."""
-    own = members.select("rep").distinct().join(sets.select("rep", "shingles"), "rep")
-    lone = own.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where(F.col("c") == 1)
-    sized = own.select("rep", F.size("shingles").alias("n")).join(lone.groupBy("rep").agg(F.count("*").alias("u")), "rep", "left")
-    return cut(members.join(sized.select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")), "rep"))
-
-
-def _beside_hub(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Adds, from each member's and its hub's full sets: in_hub, the size of
-    their intersection; beyond, the member's shingles that the hub lacks;
-    linked, whether the two reach the similarity."""
-    mine = sets.select("rep", F.col("shingles").alias("mine"))
-    theirs = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("theirs"))
-    both = members.join(mine, "rep").join(theirs, "hub").withColumn("in_hub", F.size(F.array_intersect("mine", "theirs")))
-    linked = (F.col("rep") != F.col("hub")) & (F.col("in_hub") * 100 >= (F.col("n") + F.size("theirs") - F.col("in_hub")) * similar)
-    return both.select(*members.columns, "in_hub", F.array_except("mine", "theirs").alias("beyond"), linked.alias("linked"))
-
-
-def _possible(n1: str, u1: str, n2: str, u2: str, similar: int):
-    """Whether sets of these sizes and unique shingles can reach the similarity."""
-    most = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
-    return most * 100 >= (F.col(n1) + F.col(n2) - most) * similar
+def _weighed(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Of each member: rep, n (the set's size), u (how many of its shingles no
+    other member's set has: those can be in no intersection) and rare, the
+    first of its other shingles by how many have them."""
+    own = members.select("rep").distinct().join(sets.select("rep", "shingles"), "rep").select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    own = cut(own)
+    common = cut(own.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > 1))
+    ranked = own.join(common, "s").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "s"))).alias("ranked"))
+    must = F.ceil(F.col("n") * similar / 100)
+    rare = F.transform(F.slice("ranked", 1, F.greatest(F.size("ranked") - must + 1, F.lit(0)).cast("int")), lambda x: x["s"])
+    ranked = ranked.select("rep", (F.col("n") - F.size("ranked")).alias("u"), rare.alias("rare"))
+    sizes = own.groupBy("rep").agg(F.first("n").alias("n"))
+    return cut(sizes.join(ranked, "rep", "left").select("rep", "n", F.coalesce("u", "n").alias("u"), F.coalesce("rare", F.array().cast("array<bigint>")).alias("rare")))
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: int = SIMILAR, least_agree: float = LEAST_AGREE) -> DataFrame:
@@ -213,54 +211,62 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
     bounded_batches(docs.sparkSession)
     signed = cut(signatures(docs, bands, rows, words))
     some = signed.where(F.col("doc_id").isNotNull() & F.col("d1").isNotNull())
-    classes = cut(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    # a document with rows of several texts joins their classes
-    links = some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # cut before they are numbered, so that the numbers stay
+    classes = cut(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))).withColumn("rep", F.monotonically_increasing_id())
 
     first = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min(first).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", F.col("head.rep").alias("hub"))
+    heads = cut(members.groupBy("bucket").agg(F.min(first).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", F.col("head.rep").alias("hub")))
     shared = cut(members.join(heads, "bucket").select("bucket", "rep", "hub"))
-    sharing = shared.select("rep").distinct().join(classes.select("rep", "d1", "d2"), "rep")
-    full = _sets(docs, sharing.select(F.col("rep").alias("doc_id")), bands, rows, words)
-    sets = cut(full.join(sharing, (full.doc_id == sharing.rep) & (full.d1 == sharing.d1) & (full.d2 == sharing.d2)).select("rep", "sig", "shingles").dropDuplicates(["rep"]))
+    sharing = cut(shared.select("rep").distinct().join(classes.select("rep", "doc_id", "d1", "d2"), "rep"))
+    full = _sets(docs, sharing.select("doc_id").distinct(), bands, rows, words)
+    sets = cut(full.join(sharing.drop("doc_id"), ["d1", "d2"]).select("rep", "sig", "shingles").dropDuplicates(["rep"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(_verified(pairs, sets, similar, least_agree, bands * rows))
 
-    pairs = cut(shared.where(F.col("rep") != F.col("hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
-    found = cut(_verified(pairs, sets, similar, least_agree, bands * rows))
-    part = cut(components(found, "a", "b"))
+    def ordered(one: str, other: str) -> list:
+        return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
+
+    pairs = cut(shared.where(F.col("rep") != F.col("hub")).select(*ordered("rep", "hub")).distinct())
+    part = cut(components(linked(pairs), "a", "b"))
 
     placed = shared.select("bucket", "rep").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
-    undecided = _with_unique(cut(placed.join(mixed, "bucket")), sets)
+    mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("bucket"))
+    undecided = cut(placed.join(mixed, "bucket"))
+    weighed = _weighed(undecided, sets, similar)
+    undecided = cut(undecided.join(weighed.select("rep", "n", "u"), "rep"))
     order = F.struct((F.col("u") / F.col("n")).alias("r"), (-F.col("n")).alias("m"), F.col("rep").alias("rep"))
-    hubs = undecided.groupBy("bucket").agg(F.min(order).alias("h"))
-    own_hub = undecided.join(hubs, "bucket").groupBy("rep").agg(F.min("h").alias("h"), F.first("component").alias("component"), F.first("n").alias("n"), F.first("u").alias("u"))
-    own_hub = cut(_beside_hub(own_hub.select("rep", F.col("h.rep").alias("hub"), "component", "n", "u"), sets, similar))
-    second = own_hub.where("linked").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b"))
+    hubs = cut(undecided.groupBy("bucket").agg(F.min(order).alias("h")))
+    hub_of = cut(undecided.join(hubs, "bucket").groupBy("rep").agg(F.min("h").alias("h"), F.first("component").alias("component")).select("rep", "component", F.col("h.rep").alias("hub")))
+    second = linked(hub_of.where(F.col("rep") != F.col("hub")).select(*ordered("rep", "hub")).distinct())
 
     # components joined by these links count as one below; joining more of them would only spare work
-    joined = own_hub.where("linked").select("component", F.col("hub").alias("rep")).join(own_hub.select("rep", F.col("component").alias("into")), "rep").where(F.col("into") != F.col("component")).groupBy("component").agg(F.min("into").alias("into"))
-    known = cut(own_hub.join(joined, "component", "left").select("rep", "n", "u", "in_hub", "beyond", F.coalesce("into", "component").alias("component")))
-    placed = undecided.select("bucket", "rep").join(known.drop("beyond"), "rep")
+    of = lambda name, to: hub_of.select(F.col("rep").alias(name), F.col("component").alias(to))
+    ends = second.join(of("a", "one"), "a").join(of("b", "other"), "b").select(F.greatest("one", "other").alias("component"), F.least("one", "other").alias("into")).where(F.col("component") != F.col("into"))
+    joined = ends.groupBy("component").agg(F.min("into").alias("into"))
+    known = cut(hub_of.join(joined, "component", "left").select("rep", F.coalesce("into", "component").alias("component")).join(weighed, "rep"))
+    placed = undecided.select("bucket", "rep").join(known.select("rep", "component"), "rep")
     each = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    largest = each.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("k")).where(F.col("k") > 1).select("bucket", F.col("most.component").alias("largest"))
-    open_now = cut(placed.join(largest, "bucket"))
-    seeking = open_now.where((F.col("component") != F.col("largest")) & (F.col("n") - F.col("u") >= F.col("n") * similar / 100))
-    query = seeking.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "u", "in_hub")))
-    apart = (F.col("x_component") != F.col("component")) & _possible("n", "u", "x_n", "x_u", similar)
-    need = (F.col("x_n") + F.col("n")) * similar / (100 + similar)
-    # pairs that may reach the similarity by what the one has of its hub
-    inside = query.join(open_now.drop("in_hub"), "bucket").where(apart & (need <= F.col("x_in_hub"))).select("x_rep", "rep")
-    # all others must have so many shingles in common that the hub doesn't have
-    asking = known.join(seeking.select("rep").distinct(), "rep", "left_semi").select(*(F.col(c).alias(f"x_{c}") for c in ("rep", "component", "n", "u", "in_hub")), F.explode("beyond").alias("s"))
-    having = known.drop("beyond", "in_hub").join(sets.select("rep", F.explode("shingles").alias("s")), "rep")
-    beyond = asking.join(having, "s").where(apart).groupBy("x_rep", "rep", "x_in_hub", "x_n", "n").agg(F.count("*").alias("c")).where(F.col("x_in_hub") + F.col("c") >= need).select("x_rep", "rep")
-    rest = inside.unionByName(beyond).select(F.greatest("x_rep", "rep").alias("a"), F.least("x_rep", "rep").alias("b")).distinct()
-    third = _verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similar, least_agree, bands * rows)
+    largest = cut(each.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("k")).where(F.col("k") > 1).select("bucket", F.col("most.component").alias("largest")))
+    seeking = placed.join(largest, "bucket").where(F.col("component") != F.col("largest")).select("rep").distinct()
+    reach = known.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * similar)
+    asked = cut(reach.select("rep", "n", "component", F.explode("rare").alias("s")))
+    asking = asked.join(seeking, "rep", "left_semi").select("s", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "component")))
+    alike = (F.col("x_component") != F.col("component")) & (F.least("n", "x_n") * 100 >= F.greatest("n", "x_n") * similar)
+    rest = asking.join(asked, "s").where(alike).select(*ordered("x_rep", "rep")).distinct()
+    third = linked(rest.join(pairs, ["a", "b"], "left_anti"))
 
+    # a document with rows of several texts joins their classes
+    held = cut(some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct())
+    several = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("doc_id", "a")
+    clashes = held.join(several, "doc_id").select("a", F.col("rep").alias("b"))
     stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = cut(components(stars.unionByName(second).unionByName(third).unionByName(links), "a", "b"))
-    out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    final = components(stars.unionByName(second).unionByName(third).unionByName(clashes), "a", "b")
+    named = cut(classes.select("rep", "doc_id").join(final.withColumnRenamed("node", "rep"), "rep").groupBy("component").agg(F.min("doc_id").alias("least")).join(final, "component").select(F.col("node").alias("rep"), "least"))
+    own = classes.select("rep", F.col("doc_id").alias("low")).join(named, "rep", "left").select("rep", F.coalesce("least", "low").alias("component"))
+    of_doc = held.join(own, "rep").groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 

@@ -85,6 +85,19 @@ def test_near_duplicates_with_few_bands(spark, near_rows):
     assert got == brute_near(near_rows)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark, near_rows, monkeypatch):
+    """Texts under one id keep their own links, and join what they link with;
+    beyond the filter's ids a semi-join finds the texts."""
+    rng = np.random.default_rng(13)
+    say = lambda n: " ".join("".join(rng.choice(list("klmnop"), 4)) for _ in range(n))
+    one, two, three = say(50), say(50), say(50)
+    rows = [(1, one), (1, two), (700, f"{one} x"), (701, f"{two} y"), (2, three), (2, ""), (2, f"{three} z"), (702, f"{three} w"), (3, None), (3, "a b")] + near_rows[:60]
+    for most in (minhash.FILTER_IDS, 0):
+        monkeypatch.setattr(minhash._sets, "__defaults__", (most,))
+        got = Counter(tuple(r) for r in minhash.near_duplicates(docs_of(spark, rows)).collect())
+        assert got == brute_near(rows)
+
+
 def test_drop_near_duplicates(spark, near_rows):
     kept = minhash.drop_near_duplicates(docs_of(spark, near_rows))
     assert kept.columns == ["doc_id", "text", "D1", "rep"]
