@@ -3,9 +3,9 @@ AGG-04, JOIN-01, JOIN-02, ARR-01 to ARR-03).
 
 Observations carry obs_seq, which fixes the input order that ties depend on.
 Groups are built in three passes (strong keys; URL keys unless the groups'
-ids conflict; fuzzy keys unless platform ids are disjoint). Components over
-all keys hold every group whole, so the ordered passes are replayed inside
-each component.
+ids conflict; fuzzy keys unless both groups have platform ids and share
+none). Components over all keys hold every group whole, so the ordered passes
+are replayed inside each component.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from quarrylark.functions.urls import canonical_url, detect_board, is_aggregator
 from quarrylark.operators.graph import components
 
 FULL_TEXT, MAX_ALIASES, FUZZY_TTL_DAYS = 300, 25, 60
-#: Namespaces that say nothing about identity.
+#: Namespaces that say nothing about identity, the platforms'
+#: namespaces, and the authority of a source type and of an extraction method.
 WEAK_NAMESPACES = {"http", "https", "urn", "tag", "mailto"}
 PLATFORM_NAMESPACES = {"greenhouse", "lever", "ashby", "smartrecruiters", "workable", "recruitee", "personio", "workday", "oracle"}
-#: Authority of a source type, and what its extraction adds.
 AUTHORITY = {"ats": 100, "employer_page": 80, "government": 75, "feed": 55, "aggregator": 40, "search": 20, "unknown": 10}
 EXTRACTION = {"api": 5, "jsonld": 3, "rdfa": 3, "embedded_json": 0, "html": -15}
 
@@ -63,9 +63,15 @@ def ids_by_namespace(keys: list[str]) -> dict[str, set[str]]:
     return out
 
 
-def conflicting(a: dict[str, set[str]], b: dict[str, set[str]], spaces: set[str] | None = None) -> bool:
+def conflicting(a: dict[str, set[str]], b: dict[str, set[str]]) -> bool:
     """Whether a namespace that both know has disjoint ids."""
-    return any(a[s].isdisjoint(b[s]) for s in a.keys() & b.keys() if spaces is None or s in spaces)
+    return any(a[s].isdisjoint(b[s]) for s in a.keys() & b.keys())
+
+
+def other_posting(a: dict[str, set[str]], b: dict[str, set[str]]) -> bool:
+    """Whether both have ids of platforms, of any, and share none."""
+    x, y = ({(s, i) for s in ids.keys() & PLATFORM_NAMESPACES for i in ids[s]} for ids in (a, b))
+    return bool(x) and bool(y) and x.isdisjoint(y)
 
 
 def replay(rows: list[tuple[int, list[str], str | None]]) -> dict[int, int]:
@@ -102,7 +108,7 @@ def replay(rows: list[tuple[int, list[str], str | None]]) -> dict[int, int]:
     for seq, _, fuzzy in rows:
         if fuzzy:
             first = owner.setdefault(fuzzy, seq)
-            if not conflicting(ids[find(first)], ids[find(seq)], PLATFORM_NAMESPACES):
+            if not other_posting(ids[find(first)], ids[find(seq)]):
                 union(first, seq)
     return {seq: find(seq) for seq, _, _ in rows}
 
@@ -152,20 +158,67 @@ def fuse(obs: DataFrame, aggregators: list[str] | None = None) -> DataFrame:
 
 
 def alias_index(jobs: DataFrame) -> DataFrame:
-    """(alias, canonical_id, last_seen): an own id beats aliases, else the job
-    seen last (WIN-08, STA-02). jobs: canonical_id, aliases, last_seen."""
-    named = jobs.select("canonical_id", "last_seen", F.explode(F.array_distinct(F.concat(F.array("canonical_id"), "aliases"))).alias("alias"))
-    return named.groupBy("alias").agg(F.max_by(F.struct("canonical_id", "last_seen"), F.struct(F.col("alias") == F.col("canonical_id"), "last_seen", "canonical_id")).alias("j")).select("alias", "j.*")
+    """(alias, canonical_id, last_seen, known): an own id beats aliases, else
+    the job seen last (WIN-08, STA-02); known are the job's id and aliases.
+    jobs: canonical_id, aliases, last_seen."""
+    known = F.array_distinct(F.concat(F.array(F.lower("canonical_id")), "aliases"))
+    named = jobs.select("canonical_id", "last_seen", known.alias("known")).withColumn("alias", F.explode("known"))
+    job = F.struct("canonical_id", "last_seen", "known")
+    return named.groupBy("alias").agg(F.max_by(job, F.struct(F.col("alias") == F.lower("canonical_id"), "last_seen", "canonical_id")).alias("j")).select("alias", "j.*")
+
+
+def _space(key: Column) -> Column:
+    return F.substring_index(key, ":", 1)
+
+
+def strong_ids(keys: Column) -> Column:
+    """The keys that a source issued: no URL, hash or fuzzy key."""
+    return F.filter(keys, lambda k: k.contains(":") & ~_space(k).isin(*WEAK_NAMESPACES, "url", "hash", "fz"))
+
+
+def platform_ids(keys: Column) -> Column:
+    return F.filter(keys, lambda k: k.contains(":") & _space(k).isin(*PLATFORM_NAMESPACES))
+
+
+def ids_conflict(a: Column, b: Column) -> Column:
+    """Whether a namespace that both key arrays know has disjoint ids."""
+    x, y = strong_ids(a), strong_ids(b)
+    spaces = F.array_intersect(F.transform(x, _space), F.transform(y, _space))
+    return F.size(F.array_except(spaces, F.transform(F.array_intersect(x, y), _space))) > 0
+
+
+def platforms_differ(a: Column, b: Column) -> Column:
+    """Whether both key arrays have platform ids and share none."""
+    x, y = platform_ids(a), platform_ids(b)
+    return (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
 
 
 def resolve_ids(groups: DataFrame, index: DataFrame) -> DataFrame:
     """(group, canonical_id) by the first key that the index knows (JOIN-01);
-    groups: group, keys (ordered)."""
-    asked = groups.select("group", F.posexplode("keys").alias("ordinal", "alias"))
-    return asked.join(index, "alias").groupBy("group").agg(F.min_by("canonical_id", "ordinal").alias("canonical_id"))
+    groups: group, keys (ordered). A URL, which postings can share, doesn't
+    attach a group to a job whose ids conflict with the group's."""
+    asked = groups.select("group", "keys", F.posexplode("keys").alias("ordinal", "alias"))
+    found = asked.join(index, "alias").where(~F.col("alias").startswith("url:") | ~ids_conflict(F.col("keys"), F.col("known")))
+    return found.groupBy("group").agg(F.min_by("canonical_id", "ordinal").alias("canonical_id"))
 
 
 def resolve_fuzzy(groups: DataFrame, index: DataFrame, now: Column, ttl_days: int = FUZZY_TTL_DAYS) -> DataFrame:
-    """(group, canonical_id) by fuzzy key among jobs seen lately (JOIN-02)."""
-    fresh = index.where(F.col("last_seen") >= now - F.make_interval(days=F.lit(ttl_days)))
-    return groups.select("group", F.col("fuzzy").alias("alias")).join(fresh, "alias").select("group", "canonical_id")
+    """(group, canonical_id) by the first fuzzy key among jobs seen lately, or
+    at an unknown time, without other platform ids (JOIN-02); groups: group,
+    keys, fuzzy (a key or an ordered array of keys)."""
+    fuzzy = F.col("fuzzy") if groups.schema["fuzzy"].dataType.typeName() == "array" else F.array("fuzzy")
+    asked = groups.select("group", "keys", F.posexplode(fuzzy).alias("ordinal", "alias"))
+    fresh = index.where(F.col("last_seen").isNull() | (F.col("last_seen") >= now - F.make_interval(days=F.lit(ttl_days))))
+    found = asked.join(fresh, "alias").where(~platforms_differ(F.col("keys"), F.col("known")))
+    return found.groupBy("group").agg(F.min_by("canonical_id", "ordinal").alias("canonical_id"))
+
+
+def canonical_ids(groups: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """(group, canonical_id) of every group: the stored job's by keys, else by
+    fuzzy key, else the group's first platform id in order, else its first
+    key. Groups that get one id are one job."""
+    index = alias_index(jobs)
+    by_key = resolve_ids(groups, index).withColumnRenamed("canonical_id", "by_key")
+    by_fuzzy = resolve_fuzzy(groups, index, now).withColumnRenamed("canonical_id", "by_fuzzy")
+    own = F.coalesce(F.array_min(platform_ids(F.col("keys"))), F.get("keys", F.lit(0)))
+    return groups.join(by_key, "group", "left").join(by_fuzzy, "group", "left").select("group", F.coalesce("by_key", "by_fuzzy", own).alias("canonical_id"))

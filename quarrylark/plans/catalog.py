@@ -423,37 +423,78 @@ def fused_fields(spark, sf):
     return identity.fuse(o).select(F.col("group").alias("key"), "title", "priority", "company", "url", "from_rotation", F.array_join("board_keys", ",").alias("boards"), "n_observations")
 
 
-@query("observation_groups", "WITH o AS (SELECT doc_id, substr(sha1(text), 1, 20) AS g FROM documents) SELECT doc_id AS obs_seq, min(doc_id) OVER (PARTITION BY g) AS \"group\" FROM o")
+@query("observation_groups", """
+WITH o AS (SELECT doc_id, substr(sha1(text), 1, 20) AS g, doc_id % 4 AS r, doc_id - doc_id % 4 AS b FROM documents),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS lone, count(*) OVER (PARTITION BY g) AS copies FROM o)
+SELECT c.doc_id AS obs_seq, CASE WHEN c.copies > 1 THEN c.lone WHEN c.r = 2 AND d.copies = 1 THEN d.doc_id
+  WHEN c.r = 3 AND coalesce(d.copies, 2) > 1 AND e.copies = 1 THEN e.doc_id ELSE c.doc_id END AS "group" FROM c LEFT JOIN c d ON d.doc_id = c.b LEFT JOIN c e ON e.doc_id = c.b + 2""")
 def observation_groups(spark, sf):
-    """AGG-01, SET-01, ARR-01, ARR-02: components and the ordered replay."""
-    o = table(spark, sf, "documents").select(F.col("doc_id").alias("obs_seq"), F.array(F.concat(F.lit("doc:"), text.short_hash(F.col("text")))).alias("keys"), F.lit(None).cast("string").alias("fuzzy"))
-    return identity.group_observations(o)
-
-
-_ALIAS = """s AS (SELECT user_id, (props::JSON ->> '$.k')::BIGINT AS k, max(ts) AS last_seen FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+    """AGG-01, SET-01, ARR-01, ARR-02: components and the ordered replay. Copies
+    share a feed's id. Of four others in a row the third shares the first's
+    page, the second its title alone under another platform's id, the fourth
+    its page under another id of the platform."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("feed:"), text.short_hash(F.col("text"))).alias("copy"), (F.col("doc_id") % 4).alias("r"), (F.col("doc_id") - F.col("doc_id") % 4).cast("string").alias("b"))
+    many = d.groupBy("copy").agg((F.count("*") > 1).alias("many"))
+    own = F.when(F.col("r") == 0, F.concat(F.lit("greenhouse:acme:"), "b")).when(F.col("r") == 1, F.concat(F.lit("lever:acme:"), "b")).when(F.col("r") == 2, F.concat(F.lit("alerts:"), "b")).otherwise(F.concat(F.lit("greenhouse:acme:other"), "b"))
+    page = F.when(F.col("r") != 1, F.concat(F.lit("url:"), "b"))
+    keys = F.when(F.col("many"), F.array("copy")).otherwise(F.array_compact(F.array(own, page)))
+    fuzzy = F.when(~F.col("many") & (F.col("r") < 2), F.concat(F.lit("fz:"), "b"))
+    return identity.group_observations(d.join(many, "copy").select(F.col("doc_id").alias("obs_seq"), keys.alias("keys"), fuzzy.alias("fuzzy")))
+
+
+_ALIAS = """s AS (SELECT user_id, (props::JSON ->> '$.k')::BIGINT AS k, max(ts) AS last_seen FROM events GROUP BY 1, 2),
 j AS (SELECT user_id, max(last_seen) AS last_seen, list_distinct(list(k)) AS ks FROM s GROUP BY 1),
 idx AS (SELECT alias, arg_max(user_id, [epoch_us(last_seen), user_id]) AS cid, max(last_seen) AS last_seen FROM (SELECT user_id, last_seen, unnest(ks) AS alias FROM j) GROUP BY 1)"""
 
 
-def _alias_index(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("u"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("k"))
-    jobs = e.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.collect_set("k").alias("aliases")).withColumn("canonical_id", F.format_string("u%05d", "user_id"))
-    return identity.alias_index(jobs).where(F.col("alias").startswith("k"))
+def _alias_index(spark, sf, prefix):
+    """Users as stored jobs: what their events name are aliases, and each has
+    an id of one platform."""
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit(prefix), F.get_json_object("props", "$.k")).alias("k"))
+    jobs = e.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.collect_set("k").alias("ks")).withColumn("canonical_id", F.format_string("u%05d", "user_id"))
+    jobs = jobs.withColumn("aliases", F.concat("ks", F.array(F.concat(F.lit("lever:"), (F.col("user_id") % 3).cast("string")))))
+    return identity.alias_index(jobs).where(F.col("alias").startswith(prefix))
+
+
+def _sightings(spark, sf):
+    """Events as groups with an id of a platform, but for every fifth."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    own = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("lever:"), (F.col("event_id") % 3).cast("string")))
+    return table(spark, sf, "events").select(F.col("event_id").alias("group"), k.alias("k"), own.alias("own"))
 
 
-@query("fuzzy_state_join", f"WITH {_ALIAS} SELECT event_id AS \"group\", printf('u%05d', cid) AS canonical_id FROM events e JOIN idx ON (e.props::JSON ->> '$.k')::BIGINT = alias WHERE event_type = 'signup' AND idx.last_seen >= TIMESTAMP '{NOW}' - INTERVAL 2 DAY")
+@query("fuzzy_state_join", f"WITH {_ALIAS} SELECT event_id AS \"group\", printf('u%05d', cid) AS canonical_id FROM events e JOIN idx ON (e.props::JSON ->> '$.k')::BIGINT = alias WHERE idx.last_seen >= TIMESTAMP '{NOW}' - INTERVAL 2 DAY AND (event_id % 5 = 0 OR event_id % 3 = cid % 3)")
 def fuzzy_state_join(spark, sf):
-    """JOIN-02, STA-02, STA-03, WIN-08."""
-    g = table(spark, sf, "events").where("event_type = 'signup'").select(F.col("event_id").alias("group"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("fuzzy"))
-    return identity.resolve_fuzzy(g, _alias_index(spark, sf), now(), 2)
+    """JOIN-02, STA-02, STA-03, WIN-08: jobs of another platform id are vetoed."""
+    g = _sightings(spark, sf).select("group", F.array_compact(F.array("own")).alias("keys"), F.concat(F.lit("fz:"), F.col("k").cast("string")).alias("fuzzy"))
+    return identity.resolve_fuzzy(g, _alias_index(spark, sf, "fz:"), now(), 2)
 
 
-@query("resolve_ids", f"WITH {_ALIAS}, q AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events WHERE event_type = 'signup'), a AS (SELECT event_id, 0 AS o, k FROM q UNION ALL SELECT event_id, 1, k + 1 FROM q) SELECT event_id AS \"group\", printf('u%05d', arg_min(cid, o)) AS canonical_id FROM a JOIN idx ON a.k = alias GROUP BY 1")
+@query("resolve_ids", f"""
+WITH {_ALIAS}, q AS (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events), a AS (SELECT event_id, 0 AS o, k FROM q UNION ALL SELECT event_id, 1, k + 1 FROM q)
+SELECT event_id AS "group", printf('u%05d', arg_min(cid, o)) AS canonical_id FROM a JOIN idx ON a.k = alias WHERE event_id % 5 = 0 OR event_id % 3 = cid % 3 GROUP BY 1""")
 def resolve_ids(spark, sf):
-    """JOIN-01."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    g = table(spark, sf, "events").where("event_type = 'signup'").select(F.col("event_id").alias("group"), F.array(F.concat(F.lit("k"), k.cast("string")), F.concat(F.lit("k"), (k + 1).cast("string"))).alias("keys"))
-    return identity.resolve_ids(g, _alias_index(spark, sf))
+    """JOIN-01: by the first URL whose job has no conflicting id."""
+    url = lambda n: F.concat(F.lit("url:"), (F.col("k") + n).cast("string"))
+    g = _sightings(spark, sf).select("group", F.array_compact(F.array("own", url(0), url(1))).alias("keys"))
+    return identity.resolve_ids(g, _alias_index(spark, sf, "url:"))
+
+
+@query("canonical_ids", f"""
+WITH {_ALIAS}, q AS (SELECT event_id, event_id % 3 AS n, (props::JSON ->> '$.k')::BIGINT AS k FROM events),
+u AS (SELECT event_id, cid FROM q JOIN idx ON k = alias WHERE n = cid % 3),
+o AS (SELECT user_id % 3 AS n, arg_max(user_id, [epoch_us(last_seen), user_id]) AS cid FROM j GROUP BY 1)
+SELECT event_id AS "group", CASE WHEN event_id % 5 = 0 THEN concat('greenhouse:e', n) ELSE printf('u%05d', coalesce(u.cid, o.cid)) END AS canonical_id FROM q LEFT JOIN u USING (event_id) JOIN o USING (n)""")
+def canonical_ids(spark, sf):
+    """JOIN-01, JOIN-02, STA-02: the stored job by URL, by platform id where
+    the URL's job has another, else the group's own platform id."""
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("url:"), F.get_json_object("props", "$.k")).alias("k"))
+    jobs = e.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.collect_set("k").alias("ks")).withColumn("canonical_id", F.format_string("u%05d", "user_id"))
+    jobs = jobs.withColumn("aliases", F.concat("ks", F.array(F.concat(F.lit("lever:"), (F.col("user_id") % 3).cast("string")))))
+    n = (F.col("group") % 3).cast("string")
+    known = F.array(F.concat(F.lit("url:"), F.col("k").cast("string")), F.concat(F.lit("lever:"), n))
+    keys = F.when(F.col("group") % 5 == 0, F.array(F.lit("feed:none"), F.concat(F.lit("greenhouse:e"), n))).otherwise(known)
+    return identity.canonical_ids(_sightings(spark, sf).select("group", keys.alias("keys"), F.lit(None).cast("string").alias("fuzzy")), jobs, now())
 
 
 # ------------------------------------------------------------------- state

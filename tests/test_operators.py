@@ -88,10 +88,35 @@ def test_alias_index(spark):
     index = identity.alias_index(jobs)
     assert {r.alias: r.canonical_id for r in index.collect()} == {"x": "a", "b": "b", "a": "a", "z": "c", "c": "c"}
     groups = spark.createDataFrame([(1, ["q", "z", "x"], "z"), (2, ["q"], "x")], "group long, keys array<string>, fuzzy string")
+    assert {r.alias: r.known for r in index.collect()}["x"] == ["a", "x", "b"]
     assert {r.group: r.canonical_id for r in identity.resolve_ids(groups, index).collect()} == {1: "c"}
     assert {r.group: r.canonical_id for r in identity.resolve_fuzzy(groups, index, now()).collect()} == {2: "a"}
 
 
+def test_other_platforms_ids_keep_groups_apart(spark):
+    """Equal titles under ids of two platforms stay two postings; a group
+    without platform ids joins the first."""
+    assert identity.replay([(1, ["greenhouse:a:1"], "fz:x"), (2, ["lever:b:2"], "fz:x"), (3, ["feed:9"], "fz:x"), (4, ["lever:b:2"], None)]) == {1: 1, 2: 2, 3: 1, 4: 2}
+    assert identity.replay([(1, ["greenhouse:a:1", "lever:b:2"], "fz:x"), (2, ["lever:b:2"], "fz:x")]) == {1: 1, 2: 1}
+    assert identity.replay([(1, ["greenhouse:a:1", "url:u"], None), (2, ["greenhouse:a:2", "url:u"], None), (3, ["lever:b:3", "url:u"], None)]) == {1: 1, 2: 2, 3: 1}
+
+
+def test_stored_jobs_are_found_unless_ids_differ(spark):
+    jobs = spark.createDataFrame(
+        [("greenhouse:a:1", ["url:apply", "fz:x"], at(1)), ("lever:b:2", ["fz:y", "url:two"], at(2)), ("old", ["fz:z"], at(90)), ("http:weak", ["url:w", "http://q"], at(1))],
+        "canonical_id string, aliases array<string>, last_seen timestamp",
+    )
+    rows = [
+        (1, ["url:apply"], ["fz:none"]),  # a page alone attaches
+        (2, ["greenhouse:a:7", "url:apply"], ["fz:x"]),  # the same page under another id of the platform doesn't, nor does its title
+        (3, ["ashby:c:3", "url:two"], []),  # ids of unlike platforms don't conflict by URL
+        (4, ["ashby:c:4"], ["fz:y"]),  # but do by title
+        (5, ["feed:5"], ["fz:no", "fz:y"]), (6, ["feed:6"], ["fz:z"]), (7, ["url:none", "workday:q:1", "ashby:p:9"], []), (8, ["http://other", "url:w"], []), (9, ["q", "greenhouse:a:1"], []),
+    ]
+    got = {r.group: r.canonical_id for r in identity.canonical_ids(spark.createDataFrame(rows, "group long, keys array<string>, fuzzy array<string>"), jobs, now()).collect()}
+    assert got == {1: "greenhouse:a:1", 2: "greenhouse:a:7", 3: "lever:b:2", 4: "ashby:c:4", 5: "lever:b:2", 6: "feed:6", 7: "ashby:p:9", 8: "http:weak", 9: "greenhouse:a:1"}
+
+
 # ----------------------------------------------------------------- scoring
 def test_score_parts_add_up(spark):
     rows = [("the thing", "that with from " * 40, 5), ("un la", "x", 1), ("de mixed", "nothing", 1), ("plain", "", 1), ("the end", "short", 5)]
