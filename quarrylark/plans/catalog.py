@@ -254,16 +254,20 @@ def url_hosts(spark, sf):
 
 
 _TRACK = "[" + ", ".join(f"'{p}'" for p in urls.TRACKING) + "]"
+_SAID_URL = "concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_page=', page_id, '&pk_x=1&z=a%20b&empty=&Gh_Src=2#top')"
 
 
 @query("url_canonical", rf"""
-WITH a AS (SELECT page_id, url, {_HOST} AS host, regexp_replace(url, '#.*$', '') AS rest FROM pages),
+WITH u AS (SELECT page_id, {_SAID_URL} AS url FROM pages),
+a AS (SELECT page_id, url, {_HOST} AS host, regexp_replace(url, '#.*$', '') AS rest FROM u),
 b AS (SELECT page_id, host, regexp_replace(regexp_replace(regexp_extract(rest, '^[A-Za-z]+://[^/?#]*([^?]*)', 1), '/+', '/', 'g'), '/$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: length(p) > 0 AND NOT list_contains({_TRACK}, lower(regexp_extract(p, '^([^=]*)', 1))))) AS q FROM a)
-SELECT page_id, concat('https://', host, path, CASE WHEN len(q) > 0 THEN concat('?', array_to_string(q, '&')) ELSE '' END) AS canonical FROM b""")
+  list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: length(regexp_extract(p, '=(.*)$', 1)) > 0 AND NOT list_contains({_TRACK}, lower(regexp_extract(p, '^([^=]*)', 1))) AND NOT regexp_matches(lower(p), '^(utm_|_ga|hsa_|pk_)'))) AS q FROM a)
+SELECT page_id, concat('https://', host, CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN len(q) > 0 THEN concat('?', replace(array_to_string(q, '&'), '%20', '+')) ELSE '' END) AS canonical FROM b""")
 def url_canonical(spark, sf):
-    """URL-01, FLT-11."""
-    return table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+    """URL-01, FLT-11, with parameters that track, are empty or encoded."""
+    u = F.col("url")
+    said = F.concat(u, F.when(u.contains("?"), "&").otherwise("?"), F.lit("utm_page="), F.col("page_id").cast("string"), F.lit("&pk_x=1&z=a%20b&empty=&Gh_Src=2#top"))
+    return table(spark, sf, "pages").select("page_id", urls.canonical_url(said).alias("canonical"))
 
 
 @query("url_tests", "SELECT page_id, regexp_matches(lower(url), '^https?://') AS http, regexp_matches(lower(url), '/(?:jobs?|careers?|positions?|vacanc(?:y|ies)|openings?|emplois?|offres?|stellen)(?:[/?-]|$)') AS job_like, regexp_matches(lower(url), '://([^/]*[.])?example[.]org([/?#:]|$)') AS aggregator FROM pages")
@@ -273,13 +277,36 @@ def url_tests(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.is_http_url(u).alias("http"), urls.looks_like_job_url(u).alias("job_like"), urls.is_aggregator(u, ["example.org"]).alias("aggregator"))
 
 
-@query("board_detect", """
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' END AS ats, CASE WHEN page_id % 3 < 2 THEN concat('board', page_id % 7) END AS slug,
-  CASE page_id % 3 WHEN 0 THEN concat('greenhouse:board', page_id % 7, ':', page_id) END AS native_id FROM pages""")
+#: (URL with {b} for a board and {k} for a number, ats, slug, native id)
+_BOARD_FORMS = [
+    ("https://boards.greenhouse.io/Board{b}/jobs/{k}", "greenhouse", "board{b}", "greenhouse:{k}"), ("https://boards-api.greenhouse.io/v1/boards/board{b}/jobs/{k}?x=1", "greenhouse", "board{b}", "greenhouse:{k}"), ("https://boards.greenhouse.io/embed/job_app?for=board{b}&token={k}", "greenhouse", "board{b}", "greenhouse:{k}"),
+    ("https://www.acme{b}.com/careers?gh_jid={k}", "greenhouse", None, "greenhouse:{k}"), ("https://jobs.lever.co/Board{b}", "lever", "board{b}", None), ("https://api.eu.lever.co/v0/postings/board{b}/01234567-89AB-cdef-0123-{k:012}", "lever", "board{b}", "lever:01234567-89ab-cdef-0123-{k:012}"),
+    ("https://jobs.ashbyhq.com/board{b}/01234567-89ab-cdef-0123-{k:012}/application", "ashby", "board{b}", "ashby:01234567-89ab-cdef-0123-{k:012}"), ("https://careers.smartrecruiters.com/Board{b}/{k:012}-engineer", "smartrecruiters", "board{b}", "smartrecruiters:{k:012}"), ("https://apply.workable.com/board{b}/j/a{k:012}", "workable", "board{b}", None),
+    ("https://apply.workable.com/board{b}/j/ab{k:06}", "workable", "board{b}", "workable:AB{k:06}"), ("https://board{b}.recruitee.com/o/dev-{k}", "recruitee", "board{b}", "recruitee:board{b}:dev-{k}"), ("https://board{b}.jobs.personio.de/job/{k}", "personio", "board{b}", "personio:board{b}:{k}"),
+    ("https://board{b}.wd3.myworkdayjobs.com/en-US/Site/job/Paris/Dev_jr{k}", "workday", "board{b}", "workday:board{b}:JR{k}"), ("https://board{b}.fa.em2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1/job/{k}", "oracle", "board{b}.fa.em2", "oracle:board{b}.em2:{k}"), ("https://example.org/board{b}/jobs/{k}", None, None, None),
+]
+
+
+def _sql_form(form: str | None) -> str:
+    if form is None:
+        return "NULL"
+    parts = form.replace("{b}", "|b|").replace("{k:012}", "|k12|").replace("{k:06}", "|k6|").replace("{k}", "|k|").split("|")
+    names = {"b": "page_id % 7", "k": "page_id", "k12": "printf('%012d', page_id)", "k6": "printf('%06d', page_id)"}
+    return "concat(" + ", ".join(names[p] if i % 2 else f"'{p}'" for i, p in enumerate(parts)) + ")"
+
+
+def _cases(column: int) -> str:
+    return f"CASE page_id % {len(_BOARD_FORMS)} " + " ".join(f"WHEN {i} THEN {_sql_form(f[column])}" for i, f in enumerate(_BOARD_FORMS)) + " END"
+
+
+@query("board_detect", f"SELECT page_id, {_cases(1)} AS ats, {_cases(2)} AS slug, {_cases(3)} AS native_id FROM pages")
 def board_detect(spark, sf):
-    """EXT-11, EXT-12, over URLs made from page ids."""
-    k, b = F.col("page_id").cast("string"), F.concat(F.lit("Board"), (F.col("page_id") % 7).cast("string"))
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://boards.greenhouse.io/"), b, F.lit("/jobs/"), k)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://jobs.lever.co/"), b)).otherwise(F.col("url"))
+    """EXT-11, EXT-12: every platform's forms, with page ids in them."""
+    k, b = F.col("page_id"), (F.col("page_id") % 7).cast("string")
+    url = None
+    for i, (form, *_) in enumerate(_BOARD_FORMS):
+        said = F.format_string(form.replace("%", "%%").replace("{b}", "%1$s").replace("{k:012}", "%2$012d").replace("{k:06}", "%2$06d").replace("{k}", "%2$d"), b, k)
+        url = F.when(k % len(_BOARD_FORMS) == i, said) if url is None else url.when(k % len(_BOARD_FORMS) == i, said)
     return table(spark, sf, "pages").select("page_id", urls.detect_board(url).alias("b")).select("page_id", "b.ats", "b.slug", "b.native_id")
 
 
@@ -357,14 +384,29 @@ def deadline_badges(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.deadline_badge(F.to_date("o_orderdate"), F.lit("1998-07-01").cast("date")).alias("badge"))
 
 
-@query("salary_parse", """
-SELECT p_partkey, low, high, currency, period, (high * CASE period WHEN 'hour' THEN 2080 WHEN 'month' THEN 12 ELSE 1 END)::DOUBLE AS per_year FROM (
-  SELECT p_partkey, p_size * 1000.0::DOUBLE AS low, (p_size + 10) * 1000.0::DOUBLE AS high, CASE p_size % 2 WHEN 0 THEN 'EUR' ELSE 'GBP' END AS currency,
-    CASE WHEN p_size % 3 = 0 THEN 'year' WHEN (p_size + 10) * 1000 < 15000 THEN 'month' ELSE 'year' END AS period FROM part)""")
+#: (text with {n} for a number, country, low, high, currency, period)
+_PAY_FORMS = [
+    ("€{n}k - {m}k per year", None, "n * 1000", "(n + 10) * 1000", "EUR", "year"), ("£{n},500.50 per annum", None, "n * 1000 + 500", "n * 1000 + 500", "GBP", "year"), ("{n}.000 - {m}.000 EUR", None, "n * 1000", "(n + 10) * 1000", "EUR", "year"), ("up to {n} 000 chf a year", None, None, "n * 1000", "CHF", "year"),
+    ("${n} an hour, 37-hour week", "Canada", "n", "n", "CAD", "hour"), ("{n}-{m}k plus 10% bonus", "France", "n * 1000", "(n + 10) * 1000", "EUR", "year"), ("${n}k, 25 days leave", "Germany", "n * 1000", "n * 1000", "USD", "year"), ("competitive, {n} of us", None, None, None, None, None), ("€{n}0 per day x 13", None, "n * 10", "n * 10", "EUR", "day"),
+]
+
+
+def _pay_case(column: int) -> str:
+    said = lambda v: "NULL" if v is None else v if column < 4 else f"'{v}'"
+    return f"CASE p_partkey % {len(_PAY_FORMS)} " + " ".join(f"WHEN {i} THEN {said(f[column])}" for i, f in enumerate(_PAY_FORMS)) + " END"
+
+
+@query("salary_parse", f"""
+SELECT p_partkey, low::DOUBLE AS low, high::DOUBLE AS high, currency, period, (high * CASE period WHEN 'hour' THEN 2080 WHEN 'day' THEN 260 ELSE 1 END)::DOUBLE AS per_year FROM (
+  SELECT p_partkey, {_pay_case(2)} AS low, {_pay_case(3)} AS high, {_pay_case(4)} AS currency, {_pay_case(5)} AS period FROM (SELECT p_partkey, p_size + 19 AS n FROM part))""")
 def salary_parse(spark, sf):
-    """MAT-01, MAT-02, over texts made from part sizes."""
-    said = F.concat(F.when(F.col("p_size") % 2 == 0, "€").otherwise("£"), F.col("p_size").cast("string"), F.lit("k - "), (F.col("p_size") + 10).cast("string"), F.lit("k"), F.when(F.col("p_size") % 3 == 0, " per year").otherwise(""))
-    rows = table(spark, sf, "part").select("p_partkey", money.parse_salary(said).alias("s")).select("p_partkey", "s.*")
+    """MAT-01, MAT-02, over texts of many shapes made from part sizes."""
+    n = F.col("p_size") + 19
+    said = country = None
+    for i, (form, place, *_) in enumerate(_PAY_FORMS):
+        one, here = F.format_string(form.replace("%", "%%").replace("{n}", "%1$d").replace("{m}", "%2$d"), n, n + 10), F.col("p_partkey") % len(_PAY_FORMS) == i
+        said, country = (F.when(here, one), F.when(here, F.lit(place))) if said is None else (said.when(here, one), country.when(here, F.lit(place)))
+    rows = table(spark, sf, "part").select("p_partkey", money.parse_salary(said, country).alias("s")).select("p_partkey", "s.*")
     return rows.withColumn("per_year", money.per_year(F.col("high"), F.col("period")))
 
 

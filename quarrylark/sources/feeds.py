@@ -167,7 +167,7 @@ def cdx_boards(lines: DataFrame, known: DataFrame) -> DataFrame:
     """New boards in crawl index lines (SRC-34): line is JSON with a url."""
     from quarrylark.functions.urls import detect_board
 
-    boards = lines.select(detect_board(F.get_json_object("line", "$.url")).alias("b")).where(F.col("b").isNotNull()).select("b.ats", "b.slug").distinct()
+    boards = lines.select(detect_board(F.get_json_object("line", "$.url")).alias("b")).where(F.col("b.slug").isNotNull()).select("b.ats", "b.slug").distinct()
     return boards.join(known.select("ats", "slug"), ["ats", "slug"], "left_anti")
 
 

@@ -65,18 +65,26 @@ def test_repair_entities():
 
 
 def test_urls(spark):
-    said = ["HTTP://www.Example.com:80//a//b/?utm_source=x&b=2&a=1#top", "https://x.co.uk/", "ftp://x.com/a", "nonsense", None, "https://a.com?ref=1", "https://a.com:8443/x"]
-    assert many(spark, urls.canonical_url, said) == ["https://example.com/a/b?a=1&b=2", "https://x.co.uk", None, None, None, "https://a.com", "https://a.com:8443/x"]
+    said = ["HTTP://www.Example.com:80//a//b/?utm_source=x&b=2&a=1#top", "https://x.co.uk/", "ftp://x.com/a", "nonsense", None, "https://a.com?ref=1", "https://a.com:8443/x", "https://a.com/?utm_x=1&pk_c=2&q=a%20b&p=a+b&empty=&flag", "https://a.com/x?q=%zz"]
+    assert many(spark, urls.canonical_url, said) == ["https://example.com/a/b?a=1&b=2", "https://x.co.uk/", None, None, None, "https://a.com/", "https://a.com:8443/x", "https://a.com/?p=a+b&q=a+b", "https://a.com/x?q=%25zz"]
     assert many(spark, urls.registrable_domain, ["https://jobs.x.co.uk/a", "https://www.a.b.com", "https://b.com"]) == ["x.co.uk", "b.com", "b.com"]
     df = spark.createDataFrame([("https://a.com/b/c", "../d#x"), ("https://a.com", "mailto:x"), (None, None)], "b string, x string")
     assert [r.r for r in df.select(urls.absolutize(F.col("b"), F.col("x")).alias("r")).collect()] == ["https://a.com/d", None, None]
 
 
+_ID = "0123abcd-0123-0123-0123-0123456789ab"
 BOARDS = [
-    ("https://boards.greenhouse.io/Acme/jobs/123", ("greenhouse", "acme", "greenhouse:acme:123")), ("https://jobs.lever.co/acme", ("lever", "acme", None)),
-    ("https://jobs.ashbyhq.com/acme/0123abcd-0123-0123-0123-0123456789ab", ("ashby", "acme", "ashby:acme:0123abcd-0123-0123-0123-0123456789ab")), ("https://jobs.smartrecruiters.com/Acme/744000", ("smartrecruiters", "acme", "smartrecruiters:acme:744000")),
-    ("https://apply.workable.com/acme/j/AB12", ("workable", "acme", "workable:acme:AB12")), ("https://acme.recruitee.com/o/dev", ("recruitee", "acme", "recruitee:acme:dev")), ("https://acme.jobs.personio.de/job/9", ("personio", "acme", "personio:acme:9")),
-    ("https://acme.wd3.myworkdayjobs.com/en-US/Site/job/X/Dev_R-1", ("workday", "acme", "workday:acme:R-1")), ("https://acme.fa.em2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/job/77", ("oracle", "acme", "oracle:acme:77")), ("https://example.com/jobs/1", None),
+    ("https://boards.greenhouse.io/Acme/jobs/123", ("greenhouse", "acme", "greenhouse:123")), ("https://job-boards.eu.greenhouse.io/acme", ("greenhouse", "acme", None)), ("https://boards-api.greenhouse.io/v1/boards/acme/jobs/123?x=1", ("greenhouse", "acme", "greenhouse:123")),
+    ("https://boards.greenhouse.io/embed/job_app?for=acme&token=123", ("greenhouse", "acme", "greenhouse:123")), ("https://boards.greenhouse.io/embed/job_app?token=5&for=Acme", ("greenhouse", "acme", "greenhouse:5")), ("https://boards.greenhouse.io/embed/job_board?for=acme", ("greenhouse", "acme", None)),
+    ("https://www.acme.com/careers?gh_jid=123", ("greenhouse", None, "greenhouse:123")), ("https://acme.com/careers?gh_jid=12x", None), ("https://boards.greenhouse.io/acme?gh_jid=7", ("greenhouse", "acme", "greenhouse:7")),
+    ("https://jobs.lever.co/acme", ("lever", "acme", None)), (f"https://jobs.eu.lever.co/Acme/{_ID.upper()}/apply", ("lever", "acme", f"lever:{_ID}")), (f"https://api.lever.co/v0/postings/acme/{_ID}", ("lever", "acme", f"lever:{_ID}")),
+    (f"https://jobs.ashbyhq.com/acme/{_ID}", ("ashby", "acme", f"ashby:{_ID}")), ("https://api.ashbyhq.com/posting-api/job-board/acme", ("ashby", "acme", None)),
+    ("https://jobs.smartrecruiters.com/Acme/744000", ("smartrecruiters", "acme", "smartrecruiters:744000")), ("https://api.smartrecruiters.com/v1/companies/acme/postings/744000", ("smartrecruiters", "acme", "smartrecruiters:744000")),
+    ("https://apply.workable.com/acme/j/ab12cd", ("workable", "acme", "workable:AB12CD")), ("https://apply.workable.com/api/v1/widget/accounts/acme", ("workable", "acme", None)),
+    ("https://acme.recruitee.com/o/dev", ("recruitee", "acme", "recruitee:acme:dev")), ("https://acme.jobs.personio.de/job/9", ("personio", "acme", "personio:acme:9")), ("https://acme.jobs.personio.com", ("personio", "acme", None)),
+    ("https://acme.wd3.myworkdayjobs.com/en-US/Site/job/X/Dev_R-1", ("workday", "acme", "workday:acme:R-1")), ("https://acme.wd3.myworkdayjobs.com/Site/job/Paris/Data-Lead_jr_0042-1/", ("workday", "acme", "workday:acme:0042-1")), ("https://acme.wd3.myworkdayjobs.com/Site", ("workday", "acme", None)),
+    ("https://acme.fa.em2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/job/77", ("oracle", "acme.fa.em2", "oracle:acme.em2:77")), ("https://acme.fa.em2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX", ("oracle", "acme.fa.em2", None)),
+    ("https://example.com/jobs/1", None),
 ]
 
 
@@ -110,12 +118,19 @@ def test_ambiguous_dates():
     assert dates.resolve_numeric(10, 9, 2026, None, TODAY) is None and dates.resolve_numeric(31, 12, 2026, None, TODAY) == dt.date(2026, 12, 31)
 
 
-SALARIES = [("€50k - 60k", (50000, 60000, "EUR", "year")), ("$25/hour", (25, 25, "USD", "hour")), ("£400 per day", (400, 400, "GBP", "day")), ("up to 70,000 EUR", (None, 70000, "EUR", "year")), ("3000 EUR monthly", (3000, 3000, "EUR", "month")), ("C$90 000 a year", (90000, 90000, "CAD", "year")), ("competitive", None), ("2500 chf", (2500, 2500, "CHF", "month"))]
+SALARIES = [
+    ("€50k - 60k", None, (50000, 60000, "EUR", "year")), ("$25/hour", None, (25, 25, "USD", "hour")), ("£400 per day", None, (400, 400, "GBP", "day")), ("up to 70,000 EUR", None, (None, 70000, "EUR", "year")), ("3000 EUR monthly", None, (3000, 3000, "EUR", "month")),
+    ("C$90 000 a year", None, (90000, 90000, "CAD", "year")), ("competitive", None, None), ("2500 chf", None, (2500, 2500, "CHF", "month")), ("45.000 - 55.000 EUR", None, (45000, 55000, "EUR", "year")), ("40000 academic year", None, None), ("40000 academic year", "France", (40000, 40000, "EUR", "year")),
+    ("£31,250.50 per annum", None, (31250, 31250, "GBP", "year")), ("45-55k EUR", None, (45000, 55000, "EUR", "year")), ("$90,000", "Canada", (90000, 90000, "CAD", "year")), ("$90,000", "France", (90000, 90000, "USD", "year")), ("€240 an hour", None, (240, 240, "EUR", "hour")), ("EUR 240", None, (240, 240, "EUR", "hour")),
+    ("€40k plus 10% bonus, 37-hour week, 25 days leave", None, (40000, 40000, "EUR", "year")), ("2 800 € sur 13 mois", None, (2800, 2800, "EUR", "month")), ("AED 25,000", None, (25000, 25000, "AED", "month")), ("€3 a year", None, None), ("EUR 9,000,000 per year", None, None), ("CHF 120'000 - 130'000", None, (120000, 130000, "CHF", "year")),
+    ("Salaire : 38 000 à 42 000 € par an, payé par mois", None, (38000, 42000, "EUR", "year")), ("15,50 € de l'heure", None, (15.5, 15.5, "EUR", "hour")),
+]
 
 
 def test_salaries(spark):
-    got = many(spark, money.parse_salary, [s for s, _ in SALARIES])
-    assert [tuple(g) if g else None for g in got] == [e for _, e in SALARIES]
+    df = spark.createDataFrame([(k, s, c) for k, (s, c, _) in enumerate(SALARIES)], "k int, t string, c string")
+    got = [r.s for r in df.select("k", money.parse_salary(F.col("t"), F.col("c")).alias("s")).orderBy("k").collect()]
+    assert [tuple(g) if g else None for g in got] == [e for _, _, e in SALARIES]
     assert many(spark, lambda c: money.per_year(F.lit(100.0), c, F.lit("Netherlands")), ["month", "year", "day"]) == [1296.0, 100.0, 26000.0]
     assert many(spark, lambda c: money.in_euros(F.lit(5.0), c), [2.0, 0.0, None], "double") == [2.0, None, None]
 
