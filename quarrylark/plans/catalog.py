@@ -335,7 +335,7 @@ def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.html_text(F.col("html")).alias("body"))
 
 
-@query("page_postings")
+@query("page_postings", f"SELECT page_id, concat('Post ', page_id) AS title, {_HOST} AS company, 'jsonld' AS method FROM pages")
 def page_postings(spark, sf):
     """EXT-01 to EXT-05, SRC-32: postings found by the ladder, with each page
     wrapped as one that carries structured data."""
@@ -869,33 +869,72 @@ def adjustment_chain(spark, sf):
 
 
 # -------------------------------------------------------------- procedural
-@query("deadline_find")
+def _golden(column: str, cases: list[tuple], value) -> str:
+    """A CASE over the cases' numbers."""
+    return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {k} THEN {value(c)}" for k, c in enumerate(cases)) + " END"
+
+
+def _said(column, cases: list[tuple], field: int = 0):
+    out = None
+    for k, c in enumerate(cases):
+        here = column % len(cases) == k
+        out = F.when(here, F.lit(c[field])) if out is None else out.when(here, F.lit(c[field]))
+    return out
+
+
+#: (end of a text, country, deadline as of 31 January 2024)
+_DEADLINES = [
+    ("Closing date: 30 March 2024 at 5pm", None, "2024-03-30"), ("Date limite de candidature : 05/04/2024", "France", "2024-04-05"), ("Closes: 4 Mar 2024", None, "2024-03-04"), ("This vacancy closes on 12 March 2024.", None, "2024-03-12"), ("Please apply by Mar 2nd.", None, "2024-03-02"),
+    ("Applications close 03/30/2024", "United States", "2024-03-30"), ("Merci d'envoyer votre CV avant le 15 mars 2024.", "France", "2024-03-15"), ("Poste à pourvoir avant le 1er mars 2024.", "France", None), ("Our office closes on 24 February and reopens.", None, None), ("Closing date: ongoing. Posted 01/02/2024", None, None),
+    ("Closing date: 11/12/2023", "Canada", "2023-12-11"), ("Apply by 10/01/2024", None, None), ("Bewerbungsfrist: 30.04.2024", "Germany", "2024-04-30"), ("Our office closes on 4 March 2024. Apply by 10 March 2024", None, "2024-03-10"), ("<p>Closing Date:</p><p>25 Feb 2024</p>", None, "2024-02-25"), ("Nothing to say", None, None),
+]
+
+
+@query("deadline_find", "SELECT doc_id, " + _golden("doc_id", _DEADLINES, lambda c: f"DATE '{c[2]}'" if c[2] else "NULL") + " AS deadline FROM documents")
 def deadline_find(spark, sf):
-    """DAT-04, DAT-05, over texts that end in a made date."""
+    """DAT-04, DAT-05: whole texts that end in sentences with and without one."""
     import datetime as dt
 
-    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(". Apply by "), F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("doc_id") % 60).cast("int")), "d MMMM yyyy")).alias("t"), F.lit(None).cast("string").alias("country"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(". "), _said(F.col("doc_id"), _DEADLINES)).alias("t"), _said(F.col("doc_id"), _DEADLINES, 1).cast("string").alias("country"))
     return d.select("doc_id", dates.find_deadline(dt.date(2024, 1, 31))("t", "country").alias("deadline"))
 
 
-@query("work_auth")
+#: (end of a text, country, scope, remote, reading, rights needed, sponsorship offered) for someone at home in France
+_RIGHTS = [
+    ("Visa sponsorship is available.", None, None, False, "offer", False, True), ("We are unable to offer sponsorship.", None, None, False, "refusal", True, False), ("You must have the right to work here.", "Germany", None, False, "demand", True, False), ("You must have the right to work here.", "France", None, False, "demand", False, False),
+    ("US citizens only.", "United States", None, False, "demand", True, False), ("US citizenship is not required.", "United States", None, False, "neutral", False, False), ("EU citizens and non-EU nationals alike.", None, None, False, "neutral", False, False), ("Must be authorized to work; sponsorship can be provided.", None, None, False, "offer", False, True),
+    ("No visa sponsorship, work from home.", None, "Worldwide", True, "refusal", False, False), ("Candidates from any country can apply. You must have a work permit.", None, None, False, "neutral", False, False), ("Security clearance desirable.", None, None, False, "neutral", False, False), ("This role is not eligible for visa sponsorship.", None, None, False, "refusal", True, False), ("Great team.", None, None, False, "neutral", False, False),
+]
+
+
+@query("work_auth", "SELECT doc_id, " + ", ".join(_golden("doc_id", _RIGHTS, (lambda k: lambda c: repr(c[k]) if k == 4 else str(c[k]).lower())(k)) + f" AS {name}" for k, name in ((4, "reading"), (5, "required"), (6, "offered"))) + " FROM documents")
 def work_auth(spark, sf):
-    """SCR-03."""
-    k = F.col("doc_id") % 4
-    t = F.concat("text", F.when(k == 0, ". Visa sponsorship is available.").when(k == 1, ". We are unable to offer sponsorship.").when(k == 2, ". You must have the right to work here.").otherwise("."))
-    return table(spark, sf, "documents").select("doc_id", scoring.work_authorisation(t).alias("reading"))
+    """SCR-03: what whole texts say at their ends, and what it means where."""
+    i = F.col("doc_id")
+    t = F.concat("text", F.lit(". "), _said(i, _RIGHTS))
+    rights = scoring.rights_columns(("France",))(t, _said(i, _RIGHTS, 1).cast("string"), _said(i, _RIGHTS, 2).cast("string"), _said(i, _RIGHTS, 3))
+    return table(spark, sf, "documents").select("doc_id", scoring.work_authorisation(t).alias("reading"), rights.alias("r")).select("doc_id", "reading", "r.required", "r.offered")
+
+
+#: (place as written, city, region, country, work mode, shown)
+_PLACES = [
+    ("Paris, France", "Paris", None, "France", None, "Paris, France"), ("Remote - Germany", None, None, "Germany", "remote", "Remote, Germany"), ("Toronto, ON, CA", "Toronto", "Ontario", "Canada", None, "Toronto, Ontario, Canada"), ("San Francisco, CA", "San Francisco", "California", "United States", None, "San Francisco, California, United States"),
+    ("FR-Lyon", "Lyon", None, "France", None, "Lyon, France"), ("Hybrid, Berlin", "Berlin", None, "Germany", "hybrid", "Berlin, Germany"), ("CA", None, None, "Canada", None, "Canada"), ("", None, None, None, None, ""),
+]
 
 
-@query("location_parse")
+@query("location_parse", "SELECT c_custkey, " + ", ".join(_golden("c_custkey", _PLACES, (lambda k: lambda c: "NULL" if c[k] is None else f"'{c[k]}'")(k)) + f" AS {name}" for k, name in ((1, "city"), (2, "region"), (3, "country"), (4, "work_mode"), (5, "shown"))) + " FROM customer")
 def location_parse(spark, sf):
     """LOC-01 to LOC-04."""
-    k = F.col("c_custkey") % 5
-    raw = F.when(k == 0, "Paris, France").when(k == 1, "Remote - Germany").when(k == 2, "Toronto, ON, CA").when(k == 3, "San Francisco, CA").otherwise("FR-Lyon")
-    c = table(spark, sf, "customer").select("c_custkey", raw.alias("raw")).select("c_custkey", places.parse_location()("raw", F.lit(None).cast("boolean"), F.lit(None).cast("string")).alias("l"))
+    c = table(spark, sf, "customer").select("c_custkey", _said(F.col("c_custkey"), _PLACES).alias("raw")).select("c_custkey", places.parse_location()("raw", F.lit(None).cast("boolean"), F.lit(None).cast("string")).alias("l"))
     return c.select("c_custkey", "l.city", "l.region", "l.country", "l.work_mode", places.display(F.col("l")).alias("shown"))
 
 
-@query("digest_pack")
+@query("digest_pack", """
+WITH RECURSIVE l AS (SELECT conv_id || '/' || role AS recipient, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, length(text) AS n FROM conversations),
+p(recipient, k, part, size) AS (SELECT recipient, k, 0, n FROM l WHERE k = 1 UNION ALL
+  SELECT l.recipient, l.k, CASE WHEN p.size > 0 AND p.size + 1 + l.n > 1000 THEN p.part + 1 ELSE p.part END, CASE WHEN p.size > 0 AND p.size + 1 + l.n > 1000 THEN l.n WHEN p.size > 0 THEN p.size + 1 + l.n ELSE l.n END FROM p JOIN l ON l.recipient = p.recipient AND l.k = p.k + 1)
+SELECT recipient, part::INTEGER AS part, max(size)::INTEGER AS size FROM p GROUP BY 1, 2""")
 def digest_pack(spark, sf):
     """TOP-11, STR-13: a recipient's lines in parts."""
     c = table(spark, sf, "conversations").select(F.col("role").alias("role"), F.concat(F.col("conv_id").cast("string"), F.lit("/"), "role").alias("recipient"), F.col("turn").alias("ordinal"), F.col("text").alias("line"))

@@ -72,13 +72,13 @@ def long_texts(spark, tmp_path):
 
 
 def test_work_auth_reads_whole_texts(spark, long_texts):
-    from quarrylark.operators.scoring import read_work_auth
+    from quarrylark.operators.scoring import needs_rights, read_work_auth
 
     sf, texts, _ = long_texts
-    ends = [". Visa sponsorship is available.", ". We are unable to offer sponsorship.", ". You must have the right to work here.", "."]
-    got = {r.doc_id: r.reading for r in catalog.QUERIES["work_auth"](spark, sf).collect()}
-    assert got == {k: read_work_auth(t + ends[k % 4]) for k, t in enumerate(texts)}
-    assert got[0] == "refusal" and got[3] == "offer" and got[4] == "offer" and got[7] == "neutral"
+    got = {r.doc_id: (r.reading, r.required, r.offered) for r in catalog.QUERIES["work_auth"](spark, sf).collect()}
+    ends = [(f"{t}. {catalog._RIGHTS[k][0]}", *catalog._RIGHTS[k][1:4]) for k, t in enumerate(texts)]
+    assert got == {k: (read_work_auth(t), *needs_rights(t, c, s, r, ("France",))) for k, (t, c, s, r) in enumerate(ends)}
+    assert got[0][0] == "refusal" and got[3][0] == "offer" and got[4] == ("demand", True, False)
 
 
 def test_deadline_find_reads_whole_texts(spark, long_texts):
@@ -88,9 +88,9 @@ def test_deadline_find_reads_whole_texts(spark, long_texts):
 
     sf, texts, _ = long_texts
     got = {r.doc_id: r.deadline for r in catalog.QUERIES["deadline_find"](spark, sf).collect()}
-    made = [dt.date(2024, 2, 1) + dt.timedelta(k) for k in range(len(texts))]
-    assert got == {k: deadline_in(f"{t}. Apply by {d.day} {d:%B %Y}", dt.date(2024, 1, 31)) for (k, t), d in zip(enumerate(texts), made, strict=True)}
-    assert got[2] == dt.date(2024, 4, 3) and got[7] == dt.date(2024, 2, 1) and got[3] == made[3]
+    ends = [(f"{t}. {catalog._DEADLINES[k][0]}", catalog._DEADLINES[k][1]) for k, t in enumerate(texts)]
+    assert got == {k: deadline_in(t, dt.date(2024, 1, 31), c) for k, (t, c) in enumerate(ends)}
+    assert got[2] == dt.date(2024, 4, 3) and got[7] == dt.date(2024, 2, 1) and got[3] == dt.date(2024, 3, 12)
 
 
 def test_digest_pack_keeps_whole_lines(spark, long_texts):

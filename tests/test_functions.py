@@ -113,6 +113,20 @@ def test_deadlines(said, expected):
     assert dates.deadline_in(said, TODAY) == expected
 
 
+#: (text, country, deadline as of 20 September 2026)
+MORE_DEADLINES = [
+    ("Closing date: 4 March", "United Kingdom", dt.date(2027, 3, 4)), ("Apply by 14 September", None, dt.date(2026, 9, 14)), ("Applications must be received by 1st of October 2026", None, dt.date(2026, 10, 1)), ("Send your CV before October 3", None, dt.date(2026, 10, 3)),
+    ("This position is open until 5 October 2026", None, dt.date(2026, 10, 5)), ("The shop closes on 5 October 2026", None, None), ("Dossier de candidature au plus tard le 3 novembre 2026", "France", dt.date(2026, 11, 3)), ("Contrat jusqu'au 3 novembre 2026", "France", None),
+    ("Closing date: 03/11/2026", "United States", None), ("Closing date: 03/11/2026", "United Kingdom", dt.date(2026, 11, 3)), ("Closing date: 10/08/2026", "Canada", None), ("Deadline:\n\u2022 12 Oct", None, dt.date(2026, 10, 12)), ("Deadline: at 12 noon on 12 October", None, dt.date(2026, 10, 12)),
+    ("Deadline: 31 February 2027", None, None), ("Closing date: see website. Interviews 12 October 2026", None, None),
+]
+
+
+@pytest.mark.parametrize("said,country,expected", MORE_DEADLINES)
+def test_deadlines_by_place_and_subject(said, country, expected):
+    assert dates.deadline_in(said, dt.date(2026, 9, 20), country) == expected
+
+
 def test_ambiguous_dates():
     assert dates.resolve_numeric(3, 4, 2026, "France", TODAY) == dt.date(2026, 4, 3) and dates.resolve_numeric(3, 4, 2026, "US", TODAY) == dt.date(2026, 3, 4)
     assert dates.resolve_numeric(10, 9, 2026, None, TODAY) is None and dates.resolve_numeric(31, 12, 2026, None, TODAY) == dt.date(2026, 12, 31)

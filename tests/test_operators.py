@@ -145,6 +145,16 @@ def test_work_auth(said, expected):
     assert scoring.read_work_auth(said) == expected
 
 
+def test_rights_by_place():
+    home = ("France",)
+    assert scoring.needs_rights("You must be a French citizen.", "Germany", None, False, home) == (True, False)
+    assert scoring.needs_rights("You must be a French citizen.", "France", None, False, home) == (False, False)
+    assert scoring.needs_rights("We do not sponsor.", None, "Worldwide", True, home) == (False, False) and scoring.needs_rights("We do not sponsor.", None, "Europe", True, home) == (True, False)
+    assert scoring.needs_rights("Must have work authorization. Visa sponsorship provided. No sponsorship for contractors.") == (True, False)
+    assert scoring.needs_rights("Must have work authorization. Visa sponsorship provided.") == (False, True) and scoring.needs_rights(None) == (False, False)
+    assert scoring.needs_rights("Open to EU citizens and non-EU nationals. Applicants from overseas are welcome; must have a work permit.") == (False, False)
+
+
 @pytest.mark.parametrize("said,expected", [("5+ years of experience", 5), ("2-4 years experience and 10 years experience", 2), ("We have over 20 years of experience", None), ("3 years old", None), ("", None)])
 def test_years(said, expected):
     assert scoring.years_asked(said) == expected
