@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylark.functions.text import normalize_title
+from quarrylark.session import cut
+
 FULL_TEXT, KEEP_CHANGES, KEEP_SOURCES, KEEP_ALIASES, KEEP_ITEMS = 300, 10, 12, 40, 80
 FIELDS = ["title", "company", "country", "url", "salary", "description"]
+#: Fields that an empty new value doesn't overwrite, and those whose change is worth an alert.
+KEPT_FIELDS, ALERT_FIELDS = {"company", "url", "apply_url"}, {"title", "location_raw", "salary", "remote"}
 TTL_DAYS = {"fuzzy": 60, "text": 7, "rejected": 30, "kept": 180, "page": 30}
 #: Days that a posting counts as listed by what its sources are.
 LISTED_DAYS = {"ats": 5, "employer_page": 5, "feed": 21, "other": 35}
@@ -28,25 +33,58 @@ def upsert(state: DataFrame, seen: DataFrame, now: Column, fields: list[str] | N
     canonical_id, the fields, priority, last_seen; state also first_seen and
     changes. New ids are inserted. Known ids are refreshed; their fields are
     overwritten if the new row has the authority and not less text, or more
-    text. Changed fields are logged, the last KEEP_CHANGES. Adds action."""
+    text; company and links stay where the new row has none. Changed fields
+    are logged, the last KEEP_CHANGES; titles that are equal when normalised
+    haven't changed. Adds action.
+
+    Of these, what both frames have is merged at every sighting: aliases (the
+    first KEEP_ALIASES), board_keys, sources, from_rotation (only if both).
+    posted_at with posted_at_reliable is taken with the fields, but never an
+    unreliable date for a reliable one. With notified in the state, a changed
+    ALERT_FIELDS of a job that was notified sets pending_update."""
     fields = fields or FIELDS
     old, new = state.alias("o"), seen.alias("n")
+    shared = set(state.columns) & set(seen.columns)
     both = old.join(new, F.col("o.canonical_id") == F.col("n.canonical_id"), "full_outer")
     is_new, gone = F.col("o.canonical_id").isNull(), F.col("n.canonical_id").isNull()
     better_, worse = better(F.col("n.description"), F.col("o.description")), better(F.col("o.description"), F.col("n.description"))
     take = is_new | (~gone & (((F.col("n.priority") >= F.col("o.priority")) & ~worse) | better_))
-    changed = F.filter(F.array(*[F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+
+    def value(f: str) -> Column:
+        given = F.col(f"n.{f}")
+        return F.when(take, F.coalesce(F.nullif(given, F.lit("")), F.col(f"o.{f}")) if f in KEPT_FIELDS else given).otherwise(F.col(f"o.{f}"))
+
+    same = lambda f: (normalize_title(F.col(f"o.{f}")) if f == "title" else F.col(f"o.{f}")).eqNullSafe(normalize_title(value(f)) if f == "title" else value(f))
+    changed = F.filter(F.array(*[F.when(~same(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     logged = F.when(take & ~is_new, changed).otherwise(F.array().cast("array<string>"))
     entry = F.array(F.struct(now.alias("at"), logged.alias("fields")))
     kind = "array<struct<at:timestamp,fields:array<string>>>"
     history = F.coalesce(F.col("o.changes"), F.array().cast(kind))
+    lists = lambda c: (F.coalesce(F.col(f"o.{c}"), F.array().cast(state.schema[c].dataType)), F.coalesce(F.col(f"n.{c}"), F.array().cast(state.schema[c].dataType)))
+    more = []
+    if "aliases" in shared:
+        more.append(F.slice(F.array_distinct(F.concat(*lists("aliases"))), 1, KEEP_ALIASES).alias("aliases"))
+    if "board_keys" in shared:
+        more.append(F.array_sort(F.array_union(*lists("board_keys"))).alias("board_keys"))
+    if "sources" in shared:
+        more.append(merge_sources(*lists("sources")).alias("sources"))
+    if "from_rotation" in shared:
+        more.append(F.when(is_new | gone, F.coalesce("n.from_rotation", "o.from_rotation")).otherwise(F.col("o.from_rotation") & F.col("n.from_rotation")).alias("from_rotation"))
+    if {"posted_at", "posted_at_reliable"} <= shared:
+        dated = take & F.col("n.posted_at").isNotNull() & (F.coalesce("n.posted_at_reliable", F.lit(False)) | ~F.coalesce("o.posted_at_reliable", F.lit(False)))
+        more += [F.when(dated, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in ("posted_at", "posted_at_reliable")]
+    if "notified" in state.columns:
+        told = F.coalesce("o.notified", F.lit(False))
+        waiting = F.coalesce("o.pending_update", F.lit(False)) if "pending_update" in state.columns else F.lit(False)
+        more += [told.alias("notified"), (waiting | (told & F.arrays_overlap(logged, F.array(*map(F.lit, sorted(ALERT_FIELDS)))))).alias("pending_update")]
     return both.select(
         F.coalesce("n.canonical_id", "o.canonical_id").alias("canonical_id"),
-        *[F.when(take, F.col(f"n.{f}")).otherwise(F.col(f"o.{f}")).alias(f) for f in fields],
+        *[value(f).alias(f) for f in fields],
         F.when(take, F.col("n.priority")).otherwise(F.col("o.priority")).alias("priority"),
         F.coalesce("o.first_seen", "n.last_seen").alias("first_seen"),
         F.greatest("n.last_seen", "o.last_seen").alias("last_seen"),
         F.when(F.size(logged) > 0, F.slice(F.concat(history, entry.cast(kind)), F.greatest(F.size(history) + 2 - KEEP_CHANGES, F.lit(1)), KEEP_CHANGES)).otherwise(history).alias("changes"),
+        *more,
         F.when(is_new, "insert").when(gone, "keep").when(F.size(logged) > 0, "update").otherwise("refresh").alias("action"),
     )
 
@@ -113,6 +151,7 @@ def pages_to_fetch(queue: DataFrame, cache: DataFrame, now: Column, days: int =
 def failure_streak(runs: DataFrame, key: str, at: str, failed: Column) -> DataFrame:
     """(key, streak): how many of the key's last runs in a row failed (WIN-07,
     STA-08)."""
+    # two aggregates with partial sums, not a window: one key may have most of the runs
     last_ok = F.max(F.when(~failed, F.col(at)))
     ends = runs.groupBy(key).agg(last_ok.alias("ok"))
     return runs.join(ends, key).groupBy(key).agg(F.count_if(failed & (F.col("ok").isNull() | (F.col(at) > F.col("ok")))).alias("streak"))
@@ -163,8 +202,10 @@ def select_boards(boards: DataFrame, budget: int) -> DataFrame:
 
 def rotate(items: DataFrame, order: str, cursor: int, budget: int) -> tuple[DataFrame, Column]:
     """The next `budget` items after a stored cursor, wrapping (WIN-03,
-    STA-12). Ordinals are given by range partitions, not in one task."""
-    ranged = items.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    STA-12). Ordinals are given by range partitions, not in one task; the
+    partitions are cut, as their bounds are sampled anew when they are made
+    again."""
+    ranged = cut(items.repartitionByRange(F.col(order)).sortWithinPartitions(order)).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row a partition
     total, before, base = sum(sizes.values()), {}, 0
     for p in sorted(sizes):
@@ -184,37 +225,51 @@ class Conflict(RuntimeError):
 class VersionedTable:
     """Immutable snapshots and a manifest that names the current one (SNK-01,
     SNK-08, SRC-41, STA-16). A commit writes a new snapshot, reads it back,
-    and swaps the manifest if it is still the one that was read; else the
-    snapshot stays as a conflict copy. Reads fall back to the version before
-    if the current one can't be read, and refuse to start empty when a
-    manifest exists."""
+    and makes the next version's manifest if nobody has; else the snapshot
+    stays as a conflict copy. Reads fall back to the version before if the
+    current one can't be read, and refuse to start empty when a manifest
+    exists.
+
+    Making a manifest and writing it are two steps. One that can't be read is
+    being written, and a conflict, for `grace` seconds; after that its writer
+    is taken for dead: reads skip it, and its number stays used."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, grace: float = 600.0):
+        self.spark, self.folder, self.grace = spark, folder.rstrip("/"), grace
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self) -> list[str]:
+    def _manifests(self) -> list[tuple[int, str, float]]:
+        """(version, name, time of the last write in seconds)."""
         root = self._path(self.folder)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
+        found = self._fs.listStatus(root) if self._fs.exists(root) else []
+        names = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in found]
+        return sorted((int(n[9:21]), n, at) for n, at in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _read(self, name: str) -> dict | None:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
 
     def versions(self) -> list[dict]:
-        out = []
-        for name in self._names():
-            if name.startswith("manifest-"):
-                stream = self._fs.open(self._path(f"{self.folder}/{name}"))
-                try:
-                    out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-                finally:
-                    stream.close()
-        return sorted(out, key=lambda m: m["version"])
+        """The manifests that can be read."""
+        return [m for _, name, _ in self._manifests() if (m := self._read(name))]
 
     def etag(self) -> int:
         """The current version, 0 before the first commit."""
-        return max((m["version"] for m in self.versions()), default=0)
+        last = self._manifests()[-1:]
+        for version, name, at in last:
+            if self._read(name) is None and time.time() - at < self.grace:
+                raise Conflict(f"version {version} is being written")
+        return last[0][0] if last else 0
 
     def load(self) -> DataFrame | None:
+        self.etag()
         for m in reversed(self.versions()):
             try:
                 df = self.spark.read.parquet(f"{self.folder}/{m['snapshot']}")
@@ -223,7 +278,7 @@ class VersionedTable:
             except Exception as e:
                 if "PATH_NOT_FOUND" not in str(e) and "FAILED_READ_FILE" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
-        if self.versions():
+        if self._manifests():
             raise RuntimeError(f"no version of {self.folder} can be read")
         return None
 

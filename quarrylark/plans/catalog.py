@@ -540,19 +540,37 @@ def canonical_ids(spark, sf):
 
 
 # ------------------------------------------------------------------- state
-@query("upsert_changes", """
-WITH o AS (SELECT user_id, arg_max(event_type, [epoch_us(ts), event_id]) AS title, count(*) AS n, max(ts) AS last_seen FROM events WHERE ts < TIMESTAMP '2024-01-11' AND user_id % 3 <> 0 GROUP BY 1),
-n AS (SELECT user_id, arg_max(event_type, [epoch_us(ts), event_id]) AS title, count(*) AS n, max(ts) AS last_seen FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND user_id % 3 <> 1 GROUP BY 1)
-SELECT coalesce(n.user_id, o.user_id) AS canonical_id, CASE WHEN o.user_id IS NULL THEN 'insert' WHEN n.user_id IS NULL THEN 'keep' WHEN n.n >= o.n AND n.title <> o.title THEN 'update' ELSE 'refresh' END AS action,
-  CASE WHEN o.user_id IS NULL OR (n.user_id IS NOT NULL AND n.n >= o.n) THEN n.title ELSE o.title END AS title, floor(epoch(coalesce(n.last_seen, o.last_seen)))::BIGINT AS last_seen FROM o FULL JOIN n ON o.user_id = n.user_id""")
+_UPSERT = """e AS (SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events),
+o AS (SELECT user_id, arg_max(event_type, [epoch_us(ts), event_id]) AS title, count(*) AS n, max(ts) AS last_seen, concat('firm', user_id % 7) AS company, list(DISTINCT k) AS ks, list(DISTINCT event_type) AS boards, user_id % 4 < 2 AS told, user_id % 3 = 1 AS rotation
+  FROM e WHERE ts < TIMESTAMP '2024-01-11' AND user_id % 3 <> 0 GROUP BY user_id),
+n AS (SELECT user_id, arg_max(event_type, [epoch_us(ts), event_id]) AS title, count(*) AS n, max(ts) AS last_seen, CASE WHEN user_id % 5 > 0 THEN concat('firm', user_id % 6) END AS company, list(DISTINCT k) AS ks, list(DISTINCT event_type) AS boards, user_id % 2 = 0 AS rotation
+  FROM e WHERE ts >= TIMESTAMP '2024-01-11' AND user_id % 3 <> 1 GROUP BY user_id),
+j AS (SELECT coalesce(n.user_id, o.user_id) AS id, o.user_id IS NULL AS fresh, n.user_id IS NULL AS gone, o.user_id IS NULL OR (n.user_id IS NOT NULL AND n.n >= o.n) AS taken, o.title AS t0, n.title AS t1, o.company AS c0, n.company AS c1, o.told, o.ks AS k0, n.ks AS k1, o.boards AS b0, n.boards AS b1, o.rotation AS r0, n.rotation AS r1, o.last_seen AS l0, n.last_seen AS l1 FROM o FULL JOIN n ON o.user_id = n.user_id),
+m AS (SELECT *, CASE WHEN taken THEN t1 ELSE t0 END AS title, CASE WHEN taken THEN coalesce(c1, c0) ELSE c0 END AS company, taken AND NOT fresh AND t0 <> t1 AS retitled, taken AND NOT fresh AND coalesce(c1, c0) <> c0 AS moved FROM j)"""
+
+
+@query("upsert_changes", f"""
+WITH {_UPSERT} SELECT id AS canonical_id, CASE WHEN fresh THEN 'insert' WHEN gone THEN 'keep' WHEN retitled OR moved THEN 'update' ELSE 'refresh' END AS action, title, company, floor(epoch(coalesce(l1, l0)))::BIGINT AS last_seen,
+  least(40, len(list_distinct(list_concat(coalesce(k0, []), coalesce(k1, [])))))::INTEGER AS n_aliases, array_to_string(list_sort(list_distinct(list_concat(coalesce(b0, []), coalesce(b1, [])))), ',') AS boards,
+  CASE WHEN fresh THEN r1 WHEN gone THEN r0 ELSE r0 AND r1 END AS from_rotation, coalesce(told, false) AND retitled AS pending_update FROM m""")
 def upsert_changes(spark, sf):
-    """STA-01, STA-14, JOIN-03, SET-05."""
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    by = lambda rows: rows.groupBy(F.col("user_id").alias("canonical_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("title"), F.count("*").alias("priority"), F.max("ts").alias("last_seen")).withColumn("description", F.lit("x"))
+    """STA-01, STA-14, JOIN-03, SET-05: half the month's events merged into the
+    other half's, with employers left out of some."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k"))
+    u = F.col("canonical_id")
+
+    def by(rows):
+        g = rows.groupBy(F.col("user_id").alias("canonical_id"))
+        return g.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("title"), F.count("*").alias("priority"), F.max("ts").alias("last_seen"), F.collect_set("k").alias("aliases"), F.collect_set("event_type").alias("board_keys")).withColumn("description", F.lit("x"))
+
+    firm = lambda n: F.concat(F.lit("firm"), (u % n).cast("string"))
     at = F.lit("2024-01-11").cast("timestamp")
-    old = by(e.where((F.col("ts") < at) & (F.col("user_id") % 3 != 0))).withColumn("first_seen", F.col("last_seen")).withColumn("changes", F.array().cast("array<struct<at:timestamp,fields:array<string>>>"))
-    new = by(e.where((F.col("ts") >= at) & (F.col("user_id") % 3 != 1)))
-    return state.upsert(old, new, now(), ["title", "description"]).select("canonical_id", "action", "title", F.unix_seconds("last_seen").alias("last_seen"))
+    old = by(e.where((F.col("ts") < at) & (F.col("user_id") % 3 != 0))).withColumn("company", firm(7)).withColumn("notified", u % 4 < 2).withColumn("from_rotation", u % 3 == 1)
+    old = old.withColumn("first_seen", F.col("last_seen")).withColumn("changes", F.array().cast("array<struct<at:timestamp,fields:array<string>>>"))
+    new = by(e.where((F.col("ts") >= at) & (F.col("user_id") % 3 != 1))).withColumn("company", F.when(u % 5 > 0, firm(6)).when(u % 2 == 0, "")).withColumn("from_rotation", u % 2 == 0)
+    merged = state.upsert(old, new, now(), ["title", "company", "description"])
+    # a company that is first seen empty stays so; the SQL has null for it
+    return merged.select("canonical_id", "action", "title", F.nullif(F.col("company"), F.lit("")).alias("company"), F.unix_seconds("last_seen").alias("last_seen"), F.size("aliases").alias("n_aliases"), F.array_join("board_keys", ",").alias("boards"), "from_rotation", "pending_update")
 
 
 _LAST = "l AS (SELECT user_id, max(ts) AS last_seen, list_distinct(list(event_type)) AS kinds FROM events WHERE event_id % 40 < 2 GROUP BY 1)"

@@ -51,25 +51,35 @@ def collect_stream(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def stream_upsert(stream: DataFrame, key: str, at: str) -> DataFrame:
+def stream_upsert(stream: DataFrame, key: str, at: str, folder: str | None = None) -> DataFrame:
     """Keyed state folded over micro-batches by an idempotent merge (STA-01):
-    (key, first_seen, last_seen, sightings). Every batch's state is a new
-    snapshot named after its epoch, so a batch that is run again gives the
-    same state."""
+    (key, first_seen, last_seen, sightings). Every batch's state is a snapshot
+    named after its epoch, beside the stream's checkpoint in the folder, so a
+    batch that is run again, also after a restart, gives the same state. A run
+    over a folder that has a state goes on from there."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
-    seen: dict[int, str] = {}
+    folder = folder or f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def epochs() -> list[int]:
+        """Epochs whose snapshots were written whole."""
+        root = path(f"{folder}/epochs")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n) for n in names if fs.exists(path(f"{folder}/epochs/{n}/_SUCCESS")))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         new = batch.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("sightings"))
-        if epoch - 1 in seen:
-            old = spark.read.parquet(seen[epoch - 1])
+        before = [e for e in epochs() if e < epoch]
+        if before:
+            old = spark.read.parquet(f"{folder}/epochs/{before[-1]}")
             new = old.unionByName(new).groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings"))
-        new.write.mode("overwrite").parquet(f"{folder}/{epoch}")
-        seen[epoch] = f"{folder}/{epoch}"
+        new.write.mode("overwrite").parquet(f"{folder}/epochs/{epoch}")
+        for old_epoch in before[:-1]:  # the one before may be needed if this batch is run again
+            fs.delete(path(f"{folder}/epochs/{old_epoch}"), True)
 
-    run_once(stream, merge)
-    return spark.read.parquet(seen[max(seen)])
+    run_once(stream, merge, f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/epochs/{epochs()[-1]}")
 
 
 def deliver(alerts: DataFrame, send: Callable[[str], bool], size: int = 10) -> list[tuple[str, bool]]:
@@ -105,6 +115,10 @@ class _LandedReader(DataSourceReader):
         return [InputPartition((k, p)) for k, p in enumerate(self.paths)]
 
     def read(self, partition: InputPartition):
+        # any file system that Arrow knows; a plain path must be on a folder that all executors mount
+        from pyarrow import fs
+
         k, path = partition.value
-        with open(path, encoding="utf-8") as f:
-            yield k, f.read()
+        source, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        with source.open_input_stream(name) as f:
+            yield k, f.read().decode("utf-8")

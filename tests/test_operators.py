@@ -180,6 +180,29 @@ def test_upsert(spark):
     assert {r.canonical_id: (r.title, r.description) for r in again.collect()} == {k: (r.title, r.description) for k, r in got.items()}
 
 
+def test_upsert_keeps_what_is_known_and_merges_lists(spark):
+    source = "array<struct<name:string,url:string,first_seen:timestamp,last_seen:timestamp>>"
+    kept = f"canonical_id string, title string, company string, url string, salary string, description string, priority int, last_seen timestamp, aliases array<string>, board_keys array<string>, sources {source}, from_rotation boolean, posted_at timestamp, posted_at_reliable boolean"
+    more = f"{kept}, first_seen timestamp, changes array<struct<at:timestamp,fields:array<string>>>, notified boolean"
+    row = lambda k, title, company, url, salary, priority, seen, aliases, boards, rotation, posted, sure: (k, title, company, url, salary, "d", priority, at(seen), aliases, boards, [("s", k, at(seen), at(seen))], rotation, posted, sure)
+    old = [
+        (*row("a", "Data Engineer (m/f)", "Acme", "u", "1", 10, 9, ["x", "y"], ["b2"], True, at(20), True), at(9), [], True), (*row("b", "B", "Acme", "u", "1", 10, 9, None, None, True, at(20), False), at(9), [], True),
+        (*row("c", "C", "Acme", "u", "1", 99, 9, ["x"], [], False, None, None), at(9), [], False), (*row("d", "D", "", None, "1", 10, 9, [f"k{i}" for i in range(39)], [], True, None, None), at(9), [], False),
+    ]
+    seen = [
+        row("a", "data engineer", None, "", "2", 10, 1, ["y", "z"], ["b1"], True, at(2), False), row("b", "B2", "Other", "v", "1", 10, 1, ["q"], ["b"], False, at(2), True), row("c", "C2", "Other", "v", "2", 10, 1, ["w"], ["b"], False, at(2), True),
+        row("d", "D", "New", "w", "1", 10, 1, ["m", "n"], [], True, None, None), row("e", "E", None, None, "1", 10, 1, ["n"], ["b"], True, at(2), True),
+    ]
+    fields = ["title", "company", "url", "salary", "description"]
+    got = {r.canonical_id: r for r in state.upsert(spark.createDataFrame(old, more), spark.createDataFrame(seen, kept), now(), fields).collect()}
+    assert {k: (r.company, r.url, r.action) for k, r in got.items()} == {"a": ("Acme", "u", "update"), "b": ("Other", "v", "update"), "c": ("Acme", "u", "refresh"), "d": ("New", "w", "update"), "e": (None, None, "insert")}
+    assert got["a"].changes[0].fields == ["salary"] and got["b"].changes[0].fields == ["title", "company", "url"]
+    assert got["a"].aliases == ["x", "y", "z"] and got["a"].board_keys == ["b1", "b2"] and got["c"].aliases == ["x", "w"] and len(got["d"].aliases) == 40 and got["d"].aliases[-1] == "m"
+    assert [got[k].from_rotation for k in "abcde"] == [True, False, False, True, True] and len(got["a"].sources) == 1 and got["a"].sources[0].first_seen == at(9)
+    assert (got["a"].posted_at, got["a"].posted_at_reliable) == (at(20), True) and (got["b"].posted_at, got["b"].posted_at_reliable) == (at(2), True) and got["c"].posted_at is None
+    assert [got[k].pending_update for k in "abcde"] == [True, True, False, False, False]
+
+
 def test_change_log_is_bounded(spark):
     rows = spark.createDataFrame([("a", "0", "", 1, at(9), at(9), [])], STATE)
     for k in range(1, 13):
@@ -215,6 +238,21 @@ def test_versioned_table(spark, tmp_path):
     assert len(t.retain(1)) == 2 and len(t.versions()) == 1
 
 
+def test_versioned_table_survives_a_writer_that_died(spark, tmp_path):
+    """A manifest without content: a conflict while it may be being written,
+    skipped after that."""
+    t = state.VersionedTable(spark, f"file://{tmp_path}/t")
+    t.commit(spark.range(3), 0)
+    (tmp_path / "t" / "manifest-000000000002.json").write_bytes(b"")
+    with pytest.raises(state.Conflict):
+        t.load()
+    later = state.VersionedTable(spark, f"file://{tmp_path}/t", grace=0.0)
+    assert later.load().count() == 3 and later.etag() == 2
+    with pytest.raises(state.Conflict):
+        later.commit(spark.range(4), 1)
+    assert later.commit(spark.range(4), 2) == 3 and later.load().count() == 4
+
+
 def test_snapshots_and_retention(spark, tmp_path):
     obs = spark.createDataFrame([("t", "x" * 30, f"2026-09-{d:02d}", "r1", "s") for d in (1, 2, 15)], "title string, description string, day string, run string, source string")
     state.write_snapshots(obs, f"file://{tmp_path}/raw", 10)
@@ -469,6 +507,17 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert got == want
 
 
+def test_stream_state_outlives_a_restart(spark, tmp_path):
+    """A second run over the same folder reads what is new, and goes on."""
+    for k in range(2):
+        spark.createDataFrame([(k, at(k), 1), (k, at(9), k)], "id long, ts timestamp, user_id long").coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet", mode="append")
+        s = pipelines.read_events(spark, f"{tmp_path}/in", per_trigger=1)
+        got = {r.user_id: r.sightings for r in pipelines.stream_upsert(s, "user_id", "ts", f"file://{tmp_path}/state").collect()}
+    assert got == {0: 1, 1: 3}
+    again = pipelines.stream_upsert(pipelines.read_events(spark, f"{tmp_path}/in"), "user_id", "ts", f"file://{tmp_path}/state")
+    assert {r.user_id: r.sightings for r in again.collect()} == got
+
+
 def test_landed_source(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"jobs": [{"id": 1, "title": "Dev"}]}')
     spark.dataSource.register(pipelines.LandedSource)
