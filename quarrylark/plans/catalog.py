@@ -1,8 +1,5 @@
 """The engine's queries by name, each with its DuckDB equivalent where SQL has
-one. Queries read their whole tables and limits are top-k features only, but for
-still_listed, ttl_prune, source_yield and yield_verdicts, which take a part of
-the events, text_memory, which keeps 600 characters, and same_company, which compares the
-first 60 suppliers, as their SQL does."""
+one. Queries read their whole tables; limits are top-k features only."""
 
 from __future__ import annotations
 
@@ -573,26 +570,26 @@ def upsert_changes(spark, sf):
     return merged.select("canonical_id", "action", "title", F.nullif(F.col("company"), F.lit("")).alias("company"), F.unix_seconds("last_seen").alias("last_seen"), F.size("aliases").alias("n_aliases"), F.array_join("board_keys", ",").alias("boards"), "from_rotation", "pending_update")
 
 
-_LAST = "l AS (SELECT user_id, max(ts) AS last_seen, list_distinct(list(event_type)) AS kinds FROM events WHERE event_id % 40 < 2 GROUP BY 1)"
+_LAST = "l AS (SELECT user_id, event_type, max(ts) AS last_seen FROM events GROUP BY 1, 2)"
 
 
 def _last_seen(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 40 < 2")
-    return e.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"), F.collect_set("event_type").alias("kinds"))
+    """Each user's events of a type as the sightings of one posting."""
+    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max(F.col("ts").cast("timestamp")).alias("last_seen"))
 
 
-@query("still_listed", f"WITH {_LAST} SELECT user_id, last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY * CASE WHEN list_contains(kinds, 'purchase') THEN 5 WHEN list_contains(kinds, 'signup') THEN 21 ELSE 35 END AS listed FROM l")
+@query("still_listed", f"WITH {_LAST} SELECT user_id, event_type, last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY * CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 21 ELSE 35 END AS listed FROM l")
 def still_listed(spark, sf):
     """FLT-04: a purchase stands for a direct source, a signup for a feed."""
-    rename = F.transform("kinds", lambda k: F.when(k == "purchase", "ats").when(k == "signup", "feed").otherwise(k))
-    return _last_seen(spark, sf).select("user_id", state.is_listed(F.col("last_seen"), rename, now()).alias("listed"))
+    kind = F.when(F.col("event_type") == "purchase", "ats").when(F.col("event_type") == "signup", "feed").otherwise(F.col("event_type"))
+    return _last_seen(spark, sf).select("user_id", "event_type", state.is_listed(F.col("last_seen"), F.array(kind), now()).alias("listed"))
 
 
-@query("ttl_prune", f"WITH {_LAST} SELECT user_id FROM l WHERE user_id % 10 = 0 OR last_seen >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY * CASE WHEN user_id % 2 = 0 THEN 30 ELSE 180 END")
+@query("ttl_prune", f"WITH {_LAST} SELECT user_id, event_type FROM l WHERE user_id % 10 = 0 OR last_seen >= TIMESTAMP '{NOW}' + INTERVAL 22 DAY - INTERVAL 1 DAY * CASE WHEN event_type IN ('error', 'signup') THEN 30 ELSE 180 END")
 def ttl_prune(spark, sf):
-    """STA-03."""
-    rows = _last_seen(spark, sf).withColumn("tier", F.when(F.col("user_id") % 2 == 0, "rejected").otherwise("high")).withColumn("applied", F.col("user_id") % 10 == 0)
-    return state.prune(rows, now()).select("user_id")
+    """STA-03, three weeks on: errors and signups stand for rejected postings."""
+    rows = _last_seen(spark, sf).withColumn("tier", F.when(F.col("event_type").isin("error", "signup"), "rejected").otherwise("high")).withColumn("applied", F.col("user_id") % 10 == 0)
+    return state.prune(rows, now() + F.make_interval(days=F.lit(22))).select("user_id", "event_type")
 
 
 @query("dedup_memory", "WITH m AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-05' AND event_type = 'error') SELECT user_id AS id, min(ts)::VARCHAR IS NOT NULL AS fresh FROM events WHERE user_id NOT IN (SELECT user_id FROM m) GROUP BY 1")
@@ -606,11 +603,11 @@ def dedup_memory(spark, sf):
 @query("text_memory", """
 SELECT canonical_id, length(t)::INTEGER AS size FROM (SELECT coalesce(b.doc_id, a.doc_id) AS canonical_id,
   CASE WHEN b.doc_id IS NOT NULL AND (a.doc_id IS NULL OR length(b.t) >= 0.8 * length(a.t)) THEN b.t ELSE a.t END AS t, coalesce(b.doc_id, a.doc_id) AS seen
-FROM (SELECT doc_id, text AS t FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, substr(text, 1, 600) AS t FROM documents WHERE doc_id % 3 <> 1) b ON a.doc_id = b.doc_id) ORDER BY canonical_id DESC LIMIT 2500""")
+FROM (SELECT doc_id, text AS t FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, substr(text, 1, 6000) AS t FROM documents WHERE doc_id % 3 <> 1) b ON a.doc_id = b.doc_id) ORDER BY canonical_id DESC LIMIT 2500""")
 def text_memory(spark, sf):
     """STA-06, SNK-09, TOP-07."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("canonical_id"), "text", F.timestamp_seconds("doc_id").alias("seen"))
-    kept = state.remember_text(d.where("canonical_id % 3 <> 0"), d.where("canonical_id % 3 <> 1"), size=600)
+    kept = state.remember_text(d.where("canonical_id % 3 <> 0"), d.where("canonical_id % 3 <> 1"))
     return kept.select("canonical_id", F.length("text").alias("size"))
 
 
@@ -718,11 +715,14 @@ def watch_contains(spark, sf):
     return select.watched(s, spark.createDataFrame([("Supplier Inc",), ("Nobody",)], "name string"))
 
 
-@query("same_company", "SELECT a.s_suppkey AS x, b.s_suppkey AS y, a.s_suppkey % 10 = b.s_suppkey % 10 AS same FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 10 OR b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey < 50 AND b.s_suppkey < 60")
+@query("same_company", "SELECT a.s_suppkey AS x, b.s_suppkey AS y, a.s_suppkey % 10 = b.s_suppkey % 10 AS same FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 10 OR b.s_suppkey = a.s_suppkey + 1")
 def same_company(spark, sf):
-    """JOIN-21: names that differ in a number only for every tenth."""
-    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Maker "), F.format_string("name%d", F.col("s_suppkey") % 10)).alias("name")).where("s_suppkey < 60")
-    pairs = s.select(F.col("s_suppkey").alias("x"), F.col("name").alias("a"), F.explode(F.array(F.col("s_suppkey") + 10, F.col("s_suppkey") + 1)).alias("y")).where("x < 50").join(s.select(F.col("s_suppkey").alias("y"), F.col("name").alias("b")), "y")
+    """JOIN-21: each supplier with its next and its tenth; names differ in a
+    legal form, in case, or in the name proper."""
+    k = F.col("s_suppkey")
+    form = F.when(k % 20 < 10, " GmbH").when(k % 3 == 0, ", Inc.").otherwise("")
+    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.when(k % 40 < 20, "Maker ").otherwise("MAKER "), F.format_string("name%d", k % 10), form).alias("name"))
+    pairs = s.select(k.alias("x"), F.col("name").alias("a"), F.explode(F.array(k + 10, k + 1)).alias("y")).join(s.select(k.alias("y"), F.col("name").alias("b")), "y")
     return pairs.select("x", "y", select.same_company(F.col("a"), F.col("b")).alias("same"))
 
 
@@ -739,7 +739,7 @@ def daily_volume(spark, sf):
     return insights.daily_volume(table(spark, sf, "events"), source="event_type")
 
 
-_YIELD = f"""j AS (SELECT user_id AS id, CASE WHEN avg(value) > 25 THEN 'high' WHEN avg(value) > 15 THEN 'possible' ELSE 'rejected' END AS tier, min(ts) AS first_seen, list_distinct(list(event_type) FILTER (event_id % 97 = 0)) AS g, user_id % 5 = 0 AS applied FROM events GROUP BY 1),
+_YIELD = f"""j AS (SELECT user_id, props::JSON ->> '$.k' AS k, CASE WHEN avg(value) > 25 THEN 'high' WHEN avg(value) > 15 THEN 'possible' ELSE 'rejected' END AS tier, min(ts) AS first_seen, list_distinct(list(event_type)) AS g, user_id % 5 = 0 AS applied FROM events GROUP BY ALL),
 f AS (SELECT * FROM j WHERE tier <> 'rejected' AND first_seen >= TIMESTAMP '{NOW}' - INTERVAL 40 DAY),
 b AS (SELECT s AS source, count(*) AS found, count(*) FILTER (tier = 'high') AS high, count(*) FILTER (len(g) = 1) AS only_here, count(*) FILTER (applied) AS applied FROM (SELECT *, unnest(g) AS s FROM f) GROUP BY 1),
 v AS (SELECT event_type AS source, count(*) AS raw FROM events WHERE ts::DATE >= (TIMESTAMP '{NOW}' - INTERVAL 40 DAY)::DATE GROUP BY 1),
@@ -747,9 +747,10 @@ y AS (SELECT coalesce(b.source, v.source) AS source, coalesce(raw, 0)::BIGINT AS
 
 
 def _yield(spark, sf):
+    """A user's events of a number are one job's sightings."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs = e.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("v"), F.min("ts").alias("first_seen"), F.collect_set(F.when(F.col("event_id") % 97 == 0, F.col("event_type"))).alias("sources"))
-    jobs = jobs.withColumn("tier", F.when(F.col("v") > 25, "high").when(F.col("v") > 15, "possible").otherwise("rejected")).withColumn("applied", F.col("id") % 5 == 0)
+    jobs = e.groupBy("user_id", F.get_json_object("props", "$.k").alias("k")).agg(F.avg("value").alias("v"), F.min("ts").alias("first_seen"), F.collect_set("event_type").alias("sources"))
+    jobs = jobs.withColumn("id", F.concat_ws("|", "user_id", "k")).withColumn("tier", F.when(F.col("v") > 25, "high").when(F.col("v") > 15, "possible").otherwise("rejected")).withColumn("applied", F.col("user_id") % 5 == 0)
     return insights.source_yield(jobs, insights.daily_volume(e, source="event_type"), now(), 40)
 
 
@@ -803,13 +804,13 @@ def learned_adjust(spark, sf):
 
 
 @query("repost_waves", """
-WITH RECURSIVE p AS (SELECT event_id AS id, concat(user_id, '|', event_type) AS posting, ts, floor(epoch(ts))::BIGINT AS s FROM events WHERE event_type IN ('signup', 'error')),
-w(posting, s) AS (SELECT posting, min(s) FROM p GROUP BY 1 UNION ALL SELECT w.posting, n.s FROM w, LATERAL (SELECT min(s) AS s FROM p WHERE p.posting = w.posting AND p.s >= w.s + 864000) n WHERE n.s IS NOT NULL)
-SELECT id, (SELECT count(*) FROM w WHERE w.posting = p.posting AND p.s - w.s >= 864000)::INTEGER AS earlier FROM p""")
+WITH RECURSIVE p AS (SELECT event_id AS id, concat(user_id, '|', event_type) AS posting, floor(epoch(ts))::BIGINT AS s FROM events),
+n AS (SELECT a.posting, a.s, min(b.s) AS next FROM (SELECT DISTINCT posting, s FROM p) a JOIN (SELECT DISTINCT posting, s FROM p) b ON b.posting = a.posting AND b.s >= a.s + 864000 GROUP BY 1, 2),
+w(posting, s) AS (SELECT posting, min(s) FROM p GROUP BY 1 UNION ALL SELECT w.posting, n.next FROM w JOIN n ON n.posting = w.posting AND n.s = w.s)
+SELECT id, count(w.s)::INTEGER AS earlier FROM p LEFT JOIN w ON w.posting = p.posting AND p.s - w.s >= 864000 GROUP BY id""")
 def repost_waves(spark, sf):
     """WIN-02, JOIN-07."""
-    e = table(spark, sf, "events").where("event_type in ('signup', 'error')")
-    jobs = e.select(F.col("event_id").alias("id"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("posting"), F.col("ts").cast("timestamp").alias("first_seen"))
+    jobs = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("posting"), F.col("ts").cast("timestamp").alias("first_seen"))
     return insights.repost_waves(jobs, 10).select("id", "earlier")
 
 
