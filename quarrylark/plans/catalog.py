@@ -3,34 +3,17 @@ one. Queries read their whole tables; limits are top-k features only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylark.functions import dates, money, places, text, urls
 from quarrylark.operators import adjust, identity, insights, scoring, select, state
 from quarrylark.operators.graph import components
-from quarrylark.plans import commands
+from quarrylark.plans import commands, landed, rows  # noqa: F401  their queries are registered as they are imported
 from quarrylark.plans.bindings import NOW, SQL_TITLE, TAXONOMY, now, scored, sql_fold, sql_scored, table, title
+from quarrylark.plans.registry import ORACLE_SQL, QUERIES, query
 from quarrylark.sources import html
 from quarrylark.streaming import pipelines
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- scoring
 _SCORED = f"WITH {sql_scored()}"
 _TIER = "CASE tier WHEN 'high' THEN 0 WHEN 'possible' THEN 1 ELSE 2 END"
@@ -987,3 +970,6 @@ def stream_upsert(spark, sf):
     """STA-01 as micro-batches."""
     s = pipelines.read_events(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return pipelines.stream_upsert(s, "user_id", "ts").select("user_id", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "sightings")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,5 +1,5 @@
-"""The query language: commands and free text (VIEW-01 to VIEW-17 but VIEW-15,
-UDX-05, UDX-06, STR-12). A text becomes a Command; its view compiles to a DataFrame
+"""The query language: commands and free text (VIEW-01 to VIEW-17, UDX-05,
+UDX-06, STR-12). A text becomes a Command; its view compiles to a DataFrame
 over the tables it is given."""
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylark.functions.text import closest_word
-from quarrylark.operators import insights, select
+from quarrylark.functions.text import closest_word, fold, normalize_company
+from quarrylark.operators import insights, report, select
 
 MOST = 50
 
@@ -44,13 +44,16 @@ class Preferences:
 @dataclass(frozen=True)
 class Tables:
     """jobs: id, title, company, country, score, tier, reasons, posted_at,
-    last_seen, skills, verdict, fit; others as their operators say."""
+    last_seen, skills, verdict, fit, and for explanations what report.explain
+    needs; others as their operators say. signals may have winner, boards:
+    those of winners (winner, boards)."""
 
     jobs: DataFrame
     prefs: Preferences
     yields: DataFrame | None = None
     signals: DataFrame | None = None
     prospects: DataFrame | None = None
+    boards: DataFrame | None = None
     now: str = "2024-01-31 00:00:00"
 
 
@@ -89,8 +92,16 @@ def view_search(t: Tables, args: str) -> DataFrame:
     return _ranked(select.search(t.jobs, args, ["title", "company", "country"]), MOST)
 
 
+_CODE = re.compile(r"[0-9a-f]{5}|[0-9]+")
+
+
 def view_why(t: Tables, args: str) -> DataFrame:
-    return select.code_lookup(t.jobs, args.strip())
+    """The lines of an explanation; the bare row where the jobs table lacks the
+    columns for one."""
+    rows = select.code_lookup(t.jobs, args.strip())
+    if not {"breakdown", "evidence", "skills", "deadline", "earlier"} <= set(rows.columns):
+        return rows
+    return report.explain(rows, list(t.prefs.skills), F.to_date(F.lit(t.now))).orderBy("id", "ordinal")
 
 
 def view_sponsors(t: Tables, args: str) -> DataFrame:
@@ -99,6 +110,8 @@ def view_sponsors(t: Tables, args: str) -> DataFrame:
 
 def view_visa(t: Tables, args: str) -> DataFrame:
     rows = t.jobs.where(F.col("verdict").isNotNull())
+    if _CODE.fullmatch(args.strip()):
+        return select.code_lookup(rows, args.strip())
     if args.strip():
         rows = rows.where(F.lower("country") == args.strip().lower())
     return rows.orderBy(F.array_position(F.array(*[F.lit(v) for v in ("strong", "open", "hard", "blocked")]), F.col("verdict")), F.desc("score"), "id").limit(MOST)
@@ -125,10 +138,49 @@ def view_prospects(t: Tables, args: str) -> DataFrame:
     return t.prospects.orderBy("priority", F.desc("relevant"), "name").limit(_number(args, 20))
 
 
+def view_approach(t: Tables, args: str) -> DataFrame:
+    """Winners of awards, those with boards first (VIEW-10); with a firm's name
+    only its rows."""
+    rows = t.signals.where((F.col("kind") == "award") & F.col("winner").isNotNull())
+    rows = insights.winner_boards(rows, t.boards) if t.boards is not None else rows.withColumn("boards", F.lit(None).cast("array<string>"))
+    if args.strip() and not args.strip().isdigit():
+        rows = rows.where(F.contains(normalize_company(F.col("winner")), normalize_company(F.lit(args.strip()))))
+    return rows.orderBy(F.col("boards").isNull(), F.desc("date"), "id").limit(_number(args, 10))
+
+
 def view_weekly(t: Tables, args: str) -> DataFrame:
+    """(section, name, n, best): the week's first postings by tier, what is
+    still open among the best, applications by status, signals by kind
+    (VIEW-11)."""
     now = F.lit(t.now).cast("timestamp")
-    fresh = _visible(t).where(F.col("posted_at") >= now - F.make_interval(days=F.lit(7)))
-    return select.first_postings(fresh).where(F.col("copy") == 1).groupBy("tier").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    week = now - F.make_interval(days=F.lit(7))
+    part = lambda df, section, name, best: df.groupBy(F.col(name).cast("string").alias("name")).agg(F.count("*").alias("n"), F.max(best).cast("int").alias("best")).select(F.lit(section).alias("section"), "name", "n", "best")
+    visible = _visible(t)
+    new = select.first_postings(visible.where(F.col("posted_at") >= week)).where(F.col("copy") == 1)
+    out = part(new, "new", "tier", F.col("score")).unionByName(part(visible.where((F.col("tier") == "high") & (F.col("posted_at") < week)), "open", "tier", F.col("score")))
+    if t.prefs.applied:
+        applied = t.jobs.sparkSession.createDataFrame(sorted(t.prefs.applied.items()), "id string, status string")
+        scores = t.jobs.select(F.col("id").cast("string").alias("id"), "score")
+        out = out.unionByName(part(applied.join(scores, "id", "left"), "applied", "status", F.col("score")))
+    if t.signals is not None:
+        out = out.unionByName(part(t.signals.where(F.col("date") >= F.to_date(week)), "signals", "kind", F.lit(None)))
+    return out
+
+
+def view_context(t: Tables, args: str) -> DataFrame:
+    """(id, line): the facts that a model's text may use (VIEW-15, PRJ-05,
+    PRJ-06): of the job that a code names, else of the best rows that hold any
+    word of the question. The model is called outside."""
+    words = [w for w in re.findall(r"[a-z0-9+#]{3,}", args.lower()) if not _CODE.fullmatch(w)]
+    code = next((w for w in args.lower().split() if _CODE.fullmatch(w)), None)
+    if code:
+        rows = select.code_lookup(t.jobs, code)
+    else:
+        hay = fold(F.concat_ws(" ", "title", "company", "country"))
+        hits = F.aggregate(F.array(*map(F.lit, words)).cast("array<string>"), F.lit(0), lambda n, w: n + F.contains(hay, w).cast("int"))
+        rows = _visible(t).withColumn("hits", hits).orderBy(F.desc("hits"), F.desc("score"), "id").limit(_number("", 12))
+    extras = F.array(F.concat(F.lit("tier "), "tier"), F.when(F.size("reasons") > 0, F.concat(F.lit("rejected for "), F.array_join("reasons", ", "))))
+    return rows.select("id", select.fact_line(F.col("title"), F.nullif("company", F.lit("")), F.nullif("country", F.lit("")), F.col("score"), extras).alias("line"))
 
 
 def view_status(t: Tables, args: str) -> DataFrame:
@@ -141,7 +193,7 @@ def view_muted(t: Tables, args: str) -> DataFrame:
 
 VIEWS: dict[str, Callable[[Tables, str], DataFrame]] = {
     "jobs": view_jobs, "high": view_high, "range": view_range, "search": view_search, "why": view_why, "sponsors": view_sponsors, "visa": view_visa, "ai": view_ai,
-    "sources": view_sources, "radar": view_radar, "signals": view_signals, "prospects": view_prospects, "weekly": view_weekly, "status": view_status, "muted": view_muted,
+    "sources": view_sources, "radar": view_radar, "signals": view_signals, "prospects": view_prospects, "approach": view_approach, "ask": view_context, "pitch": view_context, "prep": view_context, "weekly": view_weekly, "status": view_status, "muted": view_muted,
 }
 ALIASES = {"top": "jobs", "find": "search", "explain": "why", "skills": "radar", "yield": "sources", "stats": "status", "review": "ai"}
 

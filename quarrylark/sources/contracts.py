@@ -8,6 +8,7 @@ import json
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,15 @@ def robots_allow(robots: dict, path: str) -> bool:
     return best[1]
 
 
+def robots_column(robots: dict):
+    """robots_allow of one origin as a column function of paths."""
+    @F.pandas_udf("boolean")
+    def allow(path: pd.Series) -> pd.Series:
+        return path.map(lambda p: robots_allow(robots, p))
+
+    return allow
+
+
 #: Shapes of secrets that must not reach tables or logs (EXX-09).
 SECRETS = [r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[=:]\s*[\"']?[^\s\"'&]+", r"\b[0-9]{8,10}:[A-Za-z0-9_-]{30,}\b", r"(?i)bearer\s+[a-z0-9._-]{16,}"]
 

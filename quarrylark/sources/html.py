@@ -325,6 +325,20 @@ def alert_rows(text: str) -> list[dict]:
     return out
 
 
+def mail_alerts(mails: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of alert mails (SRC-35): the keys, pos, title, company,
+    location, url. mails: the keys and raw, the message's bytes."""
+    fields = ["title", "company", "location", "url"]
+    schema = ", ".join(f"`{k}` {mails.schema[k].dataType.simpleString()}" for k in keys) + ", pos int, " + ", ".join(f"{f} string" for f in fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [{**{k: getattr(r, k) for k in keys}, "pos": i, **x} for r in b.itertuples() for i, x in enumerate(alert_rows(mail_text(bytes(r.raw))[1]))]
+            yield pd.DataFrame(rows, columns=[*keys, "pos", *fields])
+
+    return mails.select(*keys, "raw").mapInPandas(run, schema)
+
+
 REPLIES = [("rejected", r"unfortunately|not (?:be )?moving forward|regret|other candidates|ne pas donner suite|leider"), ("interview", r"interview|schedule a call|entretien|gesprach|availability"), ("offer", r"pleased to offer|offer letter|job offer|proposition d.embauche"), ("received", r"received your application|thank you for applying|bien recu|eingegangen")]
 
 

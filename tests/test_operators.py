@@ -523,3 +523,50 @@ def test_landed_source(spark, tmp_path):
     spark.dataSource.register(pipelines.LandedSource)
     bodies = spark.read.format("landed").option("paths", f"{tmp_path}/a.json").load()
     assert [r.title for r in feeds.parse_feed(bodies, feeds.BY_NAME["remotive"]).collect()] == ["Dev"]
+
+
+# ------------------------------------------------------------------ reports
+def test_artifacts_are_put_conditionally(spark, tmp_path):
+    import gzip
+
+    from quarrylark.operators import report
+
+    for name in ("a.json", "b.json.gz"):
+        path = f"file://{tmp_path}/{name}"
+        assert report.artifact_tag(spark, path) is None
+        first = report.write_artifact(spark, path, '{"a": 1}', None)
+        assert first == report.artifact_tag(spark, path)
+        with pytest.raises(state.Conflict):
+            report.write_artifact(spark, path, "{}", None)
+        report.write_artifact(spark, path, '{"a": 2}', first)
+        with pytest.raises(state.Conflict):
+            report.write_artifact(spark, path, "{}", first)
+        body = (tmp_path / name).read_bytes()
+        assert (gzip.decompress(body) if name.endswith("gz") else body) == b'{"a": 2}'
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.json", "b.json.gz"]
+
+
+def test_inbox_and_report_text(spark, tmp_path):
+    from quarrylark.operators import report
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"m{k}.txt").write_text(f"/mute {k}\nline")
+    got = pipelines.collect_stream(report.inbox(spark, f"file://{tmp_path}/in"), "append").collect()
+    assert sorted((r.name, r.text) for r in got) == [(f"m{k}.txt", f"/mute {k}\nline") for k in range(3)]
+    messages = spark.createDataFrame([("a", at(0)), ("b", at(1))], "name string, at timestamp")
+    assert [r.name for r in report.fresh_messages(messages, now()).collect()] == ["a"]
+    rows = spark.createDataFrame([("tier", "high", 2), ("tier", "rejected", 5), ("action", "insert", 1)], "section string, name string, value long")
+    assert report.report_markdown(rows) == "## action\n- insert: 1\n\n## tier\n- rejected: 5\n- high: 2"
+
+
+def test_explanations_leave_out_what_is_not_there(spark):
+    from quarrylark.operators import report
+
+    schema = "id long, title string, company string, score int, tier string, reasons array<string>, breakdown map<string,int>, evidence array<string>, skills array<string>, deadline date, earlier int"
+    rows = spark.createDataFrame([(1, "Dev", None, 0, "rejected", [], {}, [f"e{i}" for i in range(20)], [], None, None), (2, "Ops", "", 9, "high", ["X"], None, [], ["a"], dt.date(2020, 1, 1), 0)], schema)
+    got = {}
+    for r in report.explain(rows, [], F.lit("2024-01-31").cast("date")).orderBy("id", "ordinal").collect():
+        got.setdefault(r.id, []).append(r.line)
+    assert got[1][:3] == ["Dev", "score 0/100 · rejected", "title 0 · tech 0 · domain 0 · resp 0 · location 0"] and len(got[1]) == 15
+    assert got[2][0] == "Ops" and got[2][-3:] == ["lack: a", "rejected: X", "closed"]
