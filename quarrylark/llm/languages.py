@@ -2,12 +2,12 @@
 
 A gram is four consecutive bytes of the lower-cased text in which every run
 of non-letters is one space. Counting grams over all training documents
-gives each gram's relative frequency in each language. A gram belongs to a
-language where that frequency is at least `floor` (so at most 1/floor grams
-belong to one language, the bound of what reaches the driver) and at least
-`share` of the gram's largest. A bit-sliced Bloom filter keeps a mask of
-languages in every slot; the masks at a gram's slots, joined by AND, are all
-languages that contain it. A document's grams are counted per language bit,
+gives each gram's relative frequency in each language. A gram belongs to
+every language where that frequency is at least `floor`, so at most 1/floor
+grams belong to one language, the bound of what reaches the driver. A
+bit-sliced Bloom filter keeps a mask of languages in every slot; the masks at
+a gram's slots, joined by AND, are all languages that contain it.
+A document's grams are counted per language bit,
 the counts are corrected for the filter's false positives, and the largest
 wins (the first by name in a tie).
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quarrylark.llm.bytescan import LOWER, mix64, slices
 from quarrylark.llm.shared import bounded_batches, cut, held_out
 
-FLOOR, SHARE, PROBES, BITS_PER_GRAM, MIN_SLOTS = 2e-5, 0.25, 4, 16, 1 << 12
+FLOOR, PROBES, BITS_PER_GRAM, MIN_SLOTS = 2e-5, 4, 16, 1 << 12
 _LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
@@ -115,7 +115,7 @@ class LanguageModel:
         return said, score
 
 
-def learn_languages(docs: DataFrame, floor: float = FLOOR, share: float = SHARE) -> LanguageModel:
+def learn_languages(docs: DataFrame, floor: float = FLOOR) -> LanguageModel:
     bounded_batches(docs.sparkSession)
     taught = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -143,17 +143,14 @@ def learn_languages(docs: DataFrame, floor: float = FLOOR, share: float = SHARE)
     if not names:
         return LanguageModel([], [], None)
     size = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, float(max(1, totals[k][1])))]), F.col("lang"))
-    rate = counted.where(F.col("gram") >= 0).withColumn("rate", F.col("n") / size).where(F.col("rate") >= floor)
-    top = rate.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("of"))
-    kept = top.select("gram", F.explode(F.expr(f"filter(of, x -> x.rate >= {share} * top)")).alias("x")).select("gram", "x.lang")
-    by = kept.toPandas()
+    by = counted.where((F.col("gram") >= 0) & (F.col("n") / size >= floor)).select("gram", "lang").toPandas()
     members = [np.sort(by.gram[by.lang == k].to_numpy(np.uint32)) for k in names]
     return LanguageModel(names, members, max(names, key=lambda k: (totals[k][0], [-ord(c) for c in k])))
 
 
-def identify_languages(docs: DataFrame, floor: float = FLOOR, share: float = SHARE) -> DataFrame:
+def identify_languages(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
-    model = docs.sparkSession.sparkContext.broadcast(learn_languages(docs, floor, share))
+    model = docs.sparkSession.sparkContext.broadcast(learn_languages(docs, floor))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -227,3 +227,36 @@ def op1(spark, sf_dir: str) -> DataFrame:
     from quarrylark.llm.shared import table
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _sql_templates() -> str:
+    """The templates as rows: label, base, words, the key's place and the key."""
+    rows = []
+    for label, text, keys in [*((a, p, None) for a, p in BASE), *NOTICES]:
+        words, key = text.split(), (keys or [text])[0]
+        k = key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
+        rows.append(f"('{label}', {str(keys is None).lower()}, {words!r}, {at}, {len(k)}, '{key}')")
+    return ", ".join(rows)
+
+
+#: Key phrases found word by word, then all words of their templates compared.
+SQL = rf"""
+WITH t(label, base, words, key_at, key_len, key) AS (VALUES {_sql_templates()}), lens AS (SELECT DISTINCT key_len FROM t),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT r, w, i, key_len, array_to_string(w[i:i + key_len - 1], ' ') AS key FROM p, lens WHERE i + key_len - 1 <= len(w)),
+o AS (SELECT s.r, s.w, t.label, t.base, t.words, s.i - t.key_at AS start FROM s JOIN t ON s.key = t.key AND s.key_len = t.key_len),
+c AS (
+  SELECT r, label, base, start, len(list_filter(range(1, len(words) + 1), lambda j: CASE WHEN start + j - 1 BETWEEN 1 AND len(w) THEN w[start + j - 1] = words[j] ELSE false END)) / len(words) AS coverage
+  FROM o
+), g AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) - 1 AS first_word, max(start) FILTER (base) - 1 AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(coverage) AS score
+  FROM c WHERE coverage >= CASE WHEN base THEN 1 ELSE {MIN_COVERAGE} END GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_licenses": licenses.SQL,
     "op6_urls": urls.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_vectors": vectors.SQL,

@@ -1,8 +1,10 @@
 """Licences, languages, URLs, quality and decontamination against plain code."""
 
+import os
 import re
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +97,17 @@ def test_license_labels_and_scores_against_plain_code(spark):
     assert got[0][0] == "mit" and sum(bool(x) for x, _ in got.values()) > 100
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_licenses_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    q = con.execute(licenses.SQL)
+    columns = [c[0] for c in q.description]
+    assert sorted(map(repr, q.fetchall())) == sorted(repr(tuple(r)) for r in licenses.op1(spark, "/root/testdata/sf0.001").select(*columns).collect())
+
+
 def hits_of(items, text, window=10):
     w = WORD.findall((text or "").translate(LOWER))
     hit, named = set(), set()
@@ -190,6 +203,56 @@ def test_language_labels_of_held_out_rows_do_not_matter(spark):
     assert one == two
 
 
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang")
+    rows = languages.op4(spark, TABLES).where("held_out").join(docs, "doc_id").where("lang is not null").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_quality_of_held_out_documents(spark):
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet").select("doc_id", "quality")
+    rows = quality.op7(spark, TABLES).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    order = np.mean([(p > b) + 0.5 * (p == b) for p in good for b in bad])
+    assert len(rows) > 50 and order >= 0.97 and sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+
+
+def test_masks_name_every_language_that_has_a_gram():
+    rng = np.random.default_rng(5)
+    members = [rng.choice(1 << 20, 3000, replace=False).astype(np.uint32) for _ in range(70)]
+    bloom = languages.BitslicedBloom(members)
+    for k in (0, 33, 64, 69):
+        mask = bloom.languages(members[k])
+        assert ((mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).all()
+    other = np.arange(1 << 21, (1 << 21) + 20_000).astype(np.uint32)
+    hit = np.mean([(bloom.languages(other)[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1) for k in range(70)])
+    assert abs(hit - bloom.false_positive.mean()) < 0.002
+
+
+def test_very_long_and_empty_inputs(spark):
+    """Texts of many megabytes beside empty ones; tables without rows; null
+    keys and clashing columns."""
+    long = "the thing with words and sentences. " * 60_000
+    rows = [(1, long, "en"), (2, "", "en"), (3, None, None), (4, "le chat est là", "fr"), (None, long[:50], "en")]
+    docs = docs_of(spark, rows)
+    assert {r.doc_id: r.lang_pred for r in languages.identify_languages(docs).collect()}[1] == "en"
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(quality.score_quality(docs, labels).collect()) == 5
+    assert {r.doc_id: r.n_words for r in licenses.scan_licenses(docs).collect()}[1] == 6 * 60_000
+    bench = spark.createDataFrame([(1, long[:200])], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, bench).collect() if r.doc_id is not None}
+    assert hits[1] > 300_000 and hits[2] == hits[3] == hits[4] == 0
+    pages = spark.createDataFrame([(None, "https://a.net/fr/", "x", "y", "z"), (1, None, "x", "y", "z")], "page_id long, url string, host string, path string, rule string")
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages).collect()) == Counter([(None, "a.net", "/fr/", "net/fr/", "block"), (1, "", "", None, "allow")])
+    for empty in (languages.identify_languages(docs.limit(0)), licenses.scan_licenses(docs.limit(0)), urls.filter_urls(pages.limit(0)), decontaminate.decontaminate(docs.limit(0), bench)):
+        assert empty.count() == 0
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], 30)) + "."
