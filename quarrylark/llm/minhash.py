@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words
     stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionByName(second).unionByName(third).unionByName(clashes), "a", "b")
     named = cut(classes.select("rep", "doc_id").join(final.withColumnRenamed("node", "rep"), "rep").groupBy("component").agg(F.min("doc_id").alias("least")).join(final, "component").select(F.col("node").alias("rep"), "least"))
-    own = classes.select("rep", F.col("doc_id").alias("low")).join(named, "rep", "left").select("rep", F.coalesce("least", "low").alias("component"))
+    # cut, so that the join below is of two exchanges and is split where a class is hot
+    own = cut(classes.select("rep", F.col("doc_id").alias("low")).join(named, "rep", "left").select("rep", F.coalesce("least", "low").alias("component")))
     of_doc = held.join(own, "rep").groupBy("doc_id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
