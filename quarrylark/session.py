@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds between two collections of the driver's garbage, at least.
-COLLECT_EVERY = 5.0
+COLLECT_EVERY = 2.0
 _collected = 0.0
 
 
