@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylark.functions.text import fold, whole_word
-from quarrylark.operators.scoring import Taxonomy, Term, score
+from quarrylark.operators.scoring import HIGH, POSSIBLE, Taxonomy, Term, score
 
 NOW = "2024-01-31 00:00:00"
 
@@ -66,9 +66,8 @@ def _sql_any(x: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(f"regexp_matches({x}, '{sql_pattern(p)}')" for p in patterns) + ")"
 
 
-def sql_scored() -> str:
+def sql_scored(t: Taxonomy = TAXONOMY, points: str = "CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 ELSE 1 END", possible: int = POSSIBLE, high: int = HIGH) -> str:
     """CTEs that end in `scored`, with the columns of scored()."""
-    t = TAXONOMY
     domain = _sql_any("title", t.domain)
     negative = " OR ".join(f"(regexp_matches(title, '{sql_pattern(p)}')" + (f" AND NOT {domain}" if o else "") + (f" AND NOT regexp_matches(title, '{sql_pattern(b)}')" if b else "") + ")" for p, o, b in t.negative)
     hits = ", ".join(f"regexp_matches(body, '{sql_pattern(x.pattern)}') AS r{k}" for k, x in enumerate(t.terms))
@@ -81,7 +80,7 @@ def sql_scored() -> str:
     fams = sorted({x.family for x in t.terms})
     fam_list = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"t{k}" for k, x in enumerate(t.terms) if x.family == f) + f" THEN '{f}' END" for f in fams) + "], lambda x: x IS NOT NULL)"
     return f"""
-d0 AS (SELECT doc_id, lang, source, {sql_fold(SQL_TITLE)} AS title, {sql_fold('text')} AS body, CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 ELSE 1 END AS location_points FROM documents),
+d0 AS (SELECT doc_id, lang, source, {sql_fold(SQL_TITLE)} AS title, {sql_fold('text')} AS body, {points} AS location_points FROM documents),
 d1 AS (SELECT *, length(body) >= 300 AS described, ({negative}) AS negative,
   CASE WHEN {_sql_any('title', t.direct)} THEN 'direct' WHEN {_sql_any('title', t.adjacent)} THEN 'adjacent' WHEN {domain} AND {_sql_any('title', t.roles)} THEN 'domain_title' WHEN {domain} THEN 'domain_term' WHEN {_sql_any('title', t.generic)} THEN 'generic' ELSE 'none' END AS kind, {hits} FROM d0),
 d2 AS (SELECT *, {kept} FROM d1),
@@ -94,7 +93,7 @@ d4 AS (SELECT *, kind = 'generic' AND n_families < 2 AS weak,
 d5 AS (SELECT *, CASE WHEN weak OR negative THEN 0 ELSE CASE kind WHEN 'direct' THEN 40 WHEN 'adjacent' THEN 34 WHEN 'domain_title' THEN 34 WHEN 'domain_term' THEN 28 WHEN 'generic' THEN 12 ELSE 0 END END AS title_points,
   list_filter([CASE WHEN negative THEN 'NEGATIVE_TITLE' END, CASE WHEN kind = 'none' THEN 'NO_RELEVANT_TITLE' END, CASE WHEN weak THEN 'INSUFFICIENT_SIGNALS' END], lambda x: x IS NOT NULL) AS hard FROM d4),
 d6 AS (SELECT *, title_points + tech_points + domain_points + resp_points + location_points AS raw, NOT described AND len(hard) = 0 AND title_points >= 34 AS title_only FROM d5),
-d7 AS (SELECT *, greatest(0, least(100, CASE WHEN title_only THEN greatest(raw, 55) ELSE raw END))::INTEGER AS score FROM d6),
-d8 AS (SELECT *, CASE WHEN len(hard) > 0 THEN 'rejected' WHEN score >= 70 THEN 'high' WHEN score >= 55 THEN 'possible' ELSE 'rejected' END AS tier FROM d7),
+d7 AS (SELECT *, greatest(0, least(100, CASE WHEN title_only THEN greatest(raw, {possible}) ELSE raw END))::INTEGER AS score FROM d6),
+d8 AS (SELECT *, CASE WHEN len(hard) > 0 THEN 'rejected' WHEN score >= {high} THEN 'high' WHEN score >= {possible} THEN 'possible' ELSE 'rejected' END AS tier FROM d7),
 scored AS (SELECT *, CASE WHEN tier = 'rejected' AND len(hard) = 0 THEN 'LOW_SCORE' ELSE array_to_string(hard, ',') END AS reasons FROM d8)
 """

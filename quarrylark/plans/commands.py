@@ -6,13 +6,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylark.functions.text import closest_word, fold, normalize_company
-from quarrylark.operators import insights, report, select
+from quarrylark.operators import insights, report, scoring, select
 
 MOST = 50
 
@@ -57,6 +57,18 @@ class Tables:
     now: str = "2024-01-31 00:00:00"
 
 
+def personal_scores(rows: DataFrame, tax: scoring.Taxonomy, prefs: Preferences) -> DataFrame:
+    """Scores by what a user has set (UDX-05): their skills in place of the
+    taxonomy's, their places, their bound for possible matches (which high ones
+    reach at least), and internships only if they want them. rows: title and
+    body (folded), country, remote, scope."""
+    negative = tax.negative if prefs.interns else [*tax.negative, (r"\b(?:intern|internship|trainee|stagiaire|stage)\b", False, None)]
+    own = replace(tax, owned=frozenset(prefs.skills) or tax.owned, negative=negative)
+    points = scoring.location_points(F.col("remote"), F.col("scope"), list(prefs.locations), F.lower("country"), bool(prefs.locations))
+    scored = scoring.score(rows.withColumn("location_points", points), own, max(scoring.HIGH, prefs.threshold), prefs.threshold)
+    return scored if prefs.possible else scored.where(F.col("tier") != "possible")
+
+
 def _number(text: str, default: int, most: int = MOST) -> int:
     m = re.search(r"\d+", text or "")
     return max(1, min(most, int(m[0]))) if m else default

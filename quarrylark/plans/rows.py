@@ -3,11 +3,14 @@ are made from the tables."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from quarrylark.functions.text import fold
 from quarrylark.operators import adjust, identity, insights, report, scoring, select, state
 from quarrylark.plans import commands
-from quarrylark.plans.bindings import now, scored, sql_scored, table
+from quarrylark.plans.bindings import TAXONOMY, now, scored, sql_scored, table, title
 from quarrylark.plans.registry import query
 from quarrylark.sources import contracts
 
@@ -261,6 +264,17 @@ def _jobs(spark, sf):
     )
 
 
+_SET = commands.Preferences(threshold=45, locations=("en", "de"), skills=("from", "nicht"), possible=True)
+_OWN = replace(TAXONOMY, owned=frozenset(_SET.skills), negative=[*TAXONOMY.negative, ("(^|[^a-z0-9])(intern|internship|trainee|stagiaire|stage)($|[^a-z0-9])", False, None)])
+
+
+@query("preferred_scores", f"WITH {sql_scored(_OWN, "CASE WHEN lang IS NULL THEN 1 WHEN lang IN ('en', 'de') THEN 5 ELSE 0 END", 45, 70)} SELECT doc_id, score, tier FROM scored")
+def preferred_scores(spark, sf):
+    """UDX-05, SCR-07: one user's skills, places and bound."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("country"), fold(title()).alias("title"), fold(F.col("text")).alias("body"), F.lit(False).alias("remote"), F.lit(None).cast("string").alias("scope"))
+    return commands.personal_scores(d, TAXONOMY, _SET).select("doc_id", "score", "tier")
+
+
 @query("view_sponsors", f"{_SCORED} SELECT doc_id AS id, score FROM scored WHERE tier <> 'rejected' ORDER BY doc_id % 3, score DESC, doc_id LIMIT 8")
 def view_sponsors(spark, sf):
     """VIEW-05, TOP-09."""
