@@ -14,6 +14,19 @@ from quarrylark.plans.registry import ORACLE_SQL, QUERIES, query
 from quarrylark.sources import html
 from quarrylark.streaming import pipelines
 
+def _golden(column: str, cases: list[tuple], value) -> str:
+    """A CASE over the cases' numbers."""
+    return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {k} THEN {value(c)}" for k, c in enumerate(cases)) + " END"
+
+
+def _said(column, cases: list[tuple], field: int = 0):
+    out = None
+    for k, c in enumerate(cases):
+        here = column % len(cases) == k
+        out = F.when(here, F.lit(c[field])) if out is None else out.when(here, F.lit(c[field]))
+    return out
+
+
 # ---------------------------------------------------------------- scoring
 _SCORED = f"WITH {sql_scored()}"
 _TIER = "CASE tier WHEN 'high' THEN 0 WHEN 'possible' THEN 1 ELSE 2 END"
@@ -330,25 +343,36 @@ def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.absent"), F.lit("none")).alias("other"))
 
 
-@query("header_split", "SELECT conv_id, turn, concat(role, ' ', conv_id) AS company, 'Data Engineer' AS posting_role, CASE WHEN turn % 2 = 0 THEN 'Remote, EU' END AS place FROM conversations")
+#: (first line of a comment, company, role, place)
+_HEADERS = [
+    ("Acme | Data Engineer | Remote, EU", "Acme", "Data Engineer", "Remote, EU"), ("Acme | ONSITE | Senior GIS analyst", "Acme", "Senior GIS analyst", "ONSITE"), ("Acme Corp (YC 20) |Surveyor| Full-time", "Acme Corp (YC 20)", "Surveyor", None), ("Acme | Berlin, DE | | Lead designer | hybrid", "Acme", "Lead designer", "Berlin, DE"),
+    ("Hiring for many roles", None, None, None), ("Acme |", None, None, None), (" | Acme | Scientist ", "Acme", "Scientist", None),
+]
+
+
+@query("header_split", "SELECT conv_id, turn, " + ", ".join(_golden("(conv_id + turn)", _HEADERS, (lambda k: lambda c: f"'{c[k]}'" if c[k] else "NULL")(k)) + f" AS {name}" for k, name in ((1, "company"), (2, "posting_role"), (3, "place"))) + " FROM conversations")
 def header_split(spark, sf):
-    """EXT-16, SRC-16, over headers made from turns."""
+    """EXT-16, SRC-16."""
     c = table(spark, sf, "conversations")
-    line = F.concat(F.col("role"), F.lit(" "), F.col("conv_id").cast("string"), F.lit(" | Data Engineer"), F.when(F.col("turn") % 2 == 0, " | Remote, EU").otherwise(""))
-    return c.select("conv_id", "turn", html.split_header(line).alias("h")).select("conv_id", "turn", "h.company", F.col("h.role").alias("posting_role"), F.col("h.location").alias("place"))
+    return c.select("conv_id", "turn", html.split_header(_said(F.col("conv_id") + F.col("turn"), _HEADERS)).alias("h")).select("conv_id", "turn", "h.company", F.col("h.role").alias("posting_role"), F.col("h.location").alias("place"))
 
 
 # ------------------------------------------------------------ dates, money
-@query("date_parse", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso_epoch, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso_text FROM orders")
+#: (date as written, ISO); the last is made from the row
+_DATES = [
+    ("2024-01-16T12:00:00Z", "2024-01-16T12:00:00Z"), ("2024-01-16T12:00:00.123+02:00", "2024-01-16T10:00:00Z"), ("1705406400", "2024-01-16T12:00:00Z"), ("1705406400000", "2024-01-16T12:00:00Z"), ("16 January 2024", "2024-01-16T00:00:00Z"), ("Tue, 16 Jan 2024 12:00:00 +0000", "2024-01-16T12:00:00Z"),
+    ("16.01.2024", "2024-01-16T00:00:00Z"), ("soon", None), ("", None),
+]
+
+
+@query("date_parse", f"SELECT o_orderkey, {_golden('o_orderkey', _DATES, lambda c: f"'{c[1]}'" if c[1] else 'NULL')} AS iso, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso_own, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS iso_text FROM orders")
 def date_parse(spark, sf):
-    """DAT-01, DAT-02: ISO text, epoch seconds and a written date read alike."""
+    """DAT-01, DAT-02: texts of every form, and each row's own date as ISO text
+    and as a written date."""
     at = F.col("o_orderdate").cast("timestamp")
+    read = lambda c: dates.to_iso(dates.parse_datetime(c))
     o = table(spark, sf, "orders")
-    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    millis = F.unix_millis(at)
-    epoch = F.coalesce(dates.parse_datetime(F.when(millis > 10**12, millis.cast("string"))), at)
-    written = dates.parse_datetime(F.date_format(at, "d MMMM yyyy"))
-    return o.select("o_orderkey", dates.to_iso(dates.parse_datetime(iso)).alias("iso"), dates.to_iso(epoch).alias("iso_epoch"), dates.to_iso(written).alias("iso_text"))
+    return o.select("o_orderkey", read(_said(F.col("o_orderkey"), _DATES)).alias("iso"), read(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso_own"), read(F.date_format(at, "d MMMM yyyy")).alias("iso_text"))
 
 
 @query("ages", f"SELECT event_id, floor(epoch(TIMESTAMP '{NOW}' - ts) / 86400)::INTEGER AS days, ceil(floor(epoch(TIMESTAMP '{NOW}' - ts) / 3600) / 24)::INTEGER AS window_days FROM events")
@@ -691,11 +715,17 @@ def waiting_set(spark, sf):
     return select.exclude(table(spark, sf, "documents"), table(spark, sf, "labels"), key="doc_id").select("doc_id")
 
 
-@query("watch_contains", "SELECT s_suppkey AS job_id, 'supplier' AS watch FROM supplier WHERE s_suppkey >= 0")
+#: (company as written, the watched name that it holds) for a list of three names
+_WATCHED = [
+    ("Acme Survey GmbH", "acme survey"), ("The ACME Survey of Peru", "acme survey"), ("Acmes Survey", None), ("Survey Acme", None), ("Nordic Geo, Ltd.", "geo"), ("Nordic Geophysics", None), ("Geo Acme Survey", "acme survey"), ("", None), ("Été Géo", "geo"),
+]
+
+
+@query("watch_contains", "SELECT * FROM (SELECT s_suppkey AS job_id, " + _golden("s_suppkey", _WATCHED, lambda c: f"'{c[1]}'" if c[1] else "NULL") + " AS watch FROM supplier) WHERE watch IS NOT NULL")
 def watch_contains(spark, sf):
-    """JOIN-10."""
-    s = _suppliers(spark, sf).select(F.col("s_suppkey").alias("job_id"), F.col("name").alias("company"))
-    return select.watched(s, spark.createDataFrame([("Supplier Inc",), ("Nobody",)], "name string"))
+    """JOIN-10: whole words of the normalised name, in order."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("job_id"), _said(F.col("s_suppkey"), _WATCHED).alias("company"))
+    return select.watched(s, spark.createDataFrame([("Acme Survey Inc",), ("GEO",), ("Nobody",)], "name string"))
 
 
 @query("same_company", "SELECT a.s_suppkey AS x, b.s_suppkey AS y, a.s_suppkey % 10 = b.s_suppkey % 10 AS same FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 10 OR b.s_suppkey = a.s_suppkey + 1")
@@ -871,19 +901,6 @@ def adjustment_chain(spark, sf):
 
 
 # -------------------------------------------------------------- procedural
-def _golden(column: str, cases: list[tuple], value) -> str:
-    """A CASE over the cases' numbers."""
-    return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {k} THEN {value(c)}" for k, c in enumerate(cases)) + " END"
-
-
-def _said(column, cases: list[tuple], field: int = 0):
-    out = None
-    for k, c in enumerate(cases):
-        here = column % len(cases) == k
-        out = F.when(here, F.lit(c[field])) if out is None else out.when(here, F.lit(c[field]))
-    return out
-
-
 #: (end of a text, country, deadline as of 31 January 2024)
 _DEADLINES = [
     ("Closing date: 30 March 2024 at 5pm", None, "2024-03-30"), ("Date limite de candidature : 05/04/2024", "France", "2024-04-05"), ("Closes: 4 Mar 2024", None, "2024-03-04"), ("This vacancy closes on 12 March 2024.", None, "2024-03-12"), ("Please apply by Mar 2nd.", None, "2024-03-02"),
