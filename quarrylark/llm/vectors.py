@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrylark.llm.bytescan import mix64
 from quarrylark.llm.shared import bounded_batches, cut
@@ -68,14 +69,20 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            column = batch.column(1)
+            flat, at = column.values, column.offsets.to_numpy()
+            # a list without a missing component, all finite and not all zero
+            body = flat.to_numpy(zero_copy_only=False)
+            whole = np.concatenate(([0], np.cumsum(~np.isfinite(body))))
+            some = np.concatenate(([0], np.cumsum(body != 0)))
+            good = column.is_valid().to_numpy(zero_copy_only=False) & (whole[at[1:]] == whole[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
             d1, d2, vec = [], [], []
-            for v in batch.column(1):
-                x = np.array(v.as_py(), float) if v.is_valid and None not in (v.as_py()) else np.empty(0)
-                if len(x) and np.isfinite(x).all() and (x * x).sum() > 0:
-                    body = x.tobytes()
-                    a, b = np.frombuffer(xxhash.xxh3_128_digest(body), np.int64).tolist()
+            for ok, low, high in zip(good.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if ok:
+                    x = np.ascontiguousarray(body[low:high]) + 0.0  # one zero
+                    a, b = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist()
                     small = x.astype(np.float32)
-                    d1.append(a), d2.append(b), vec.append(small.tobytes() + b"f" if (small == x).all() else body + b"d")
+                    d1.append(a), d2.append(b), vec.append(small.tobytes() + b"f" if (small == x).all() else x.tobytes() + b"d")
                 else:
                     d1.append(None), d2.append(None), vec.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(vec, pa.binary())], names=["vec_id", "d1", "d2", "vec"])
@@ -134,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     signed, classes = _classes(vectors)
     signed, classes = cut(signed), cut(classes)
     planes = Planes(*plan_tables(classes.count(), threshold, recall, bucket))
-    kind = classes.schema["rep"].dataType.simpleString()
+    kind, rep_type = classes.schema["rep"].dataType.simpleString(), to_arrow_type(classes.schema["rep"].dataType)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,26 +156,25 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each cell that a class belongs to."""
         for batch in batches:
-            reps, hots = batch.column(0).to_numpy(zero_copy_only=False), [dict(h or []) for h in batch.column(3).to_pylist()]
-            slot = mix64(reps.astype(np.uint64) + np.uint64(SEED))
+            hots, slot = [dict(h or []) for h in batch.column(3).to_pylist()], batch.column(4).to_numpy()
             for at, v in _by_dim(batch.column(2).to_pylist()):
                 keys = planes.buckets(v)
                 out: list[tuple[int, int, int, int, bool]] = []
                 for i, row in zip(at.tolist(), keys, strict=True):
                     for t, key in enumerate(row.view(np.int64).tolist()):
                         blocks = -(-hots[i].get(key, 1) // cell)
-                        own = int(slot[i] % np.uint64(blocks))
+                        own = int(slot[i] % blocks)
                         out += [(i, key ^ (min(own, k) << 20 ^ max(own, k)) * 0x1F123BB5 if blocks > 1 else key, t, own, own != k) for k in range(blocks)]
                 who, name, table, block, cross = zip(*out, strict=True)
                 who = pa.array(who, pa.int64())
                 wrap = np.array([x & 0xFFFFFFFFFFFFFFFF for x in name], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(wrap), pa.array(table, pa.int32()), pa.array(cross, pa.bool_()), pa.array(block, pa.int32()), batch.column(0).take(who), batch.column(1).take(who), batch.column(2).take(who)], names=["cell", "table", "cross", "block", "rep", "n", "vec"])
 
-    dealt = classes.join(hot_of, "rep", "left").select("rep", "n", "vec", "hot").mapInArrow(deal, f"cell long, table int, cross boolean, block int, rep {kind}, n long, vec binary")
+    dealt = classes.join(hot_of, "rep", "left").select("rep", "n", "vec", "hot", F.xxhash64("rep", F.lit(SEED)).alias("slot")).mapInArrow(deal, f"cell long, table int, cross boolean, block int, rep {kind}, n long, vec binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by cell; a cell may go on in the next batch."""
-        left, empty = None, pa.array([], pa.int64())
+        left, types = None, [rep_type, pa.int64(), rep_type]
         for batch in _then_none(batches):
             rows = left if batch is None else pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
             if rows is None or not len(rows):
@@ -176,15 +182,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             key = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("cell", "table", "cross")], axis=1)
             edge = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(rows)]))
             done = len(edge) - 1 if batch is None else len(edge) - 2
-            reps, n, block, vec = rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy(), rows["vec"].to_pylist()
+            reps, n, block, vec = rows["rep"].to_numpy(zero_copy_only=False), rows["n"].to_numpy(), rows["block"].to_numpy(), rows["vec"].to_pylist()
             found = []
             for a, b in zip(edge[:done].tolist(), edge[1 : done + 1].tolist(), strict=True):
                 if b - a > 1 and (got := _links({"rep": reps[a:b], "n": n[a:b], "block": block[a:b], "vec": vec[a:b], "table": int(key[a, 1]), "cross": bool(key[a, 2])}, planes, threshold)):
                     found.append(got)
             left = rows.slice(int(edge[done])).combine_chunks() if done < len(edge) - 1 else None
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["rep", "links", "low"])
-        yield pa.RecordBatch.from_arrays([empty] * 3, names=["rep", "links", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), t) for k, t in enumerate(types)], names=["rep", "links", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=["rep", "links", "low"])
 
     by_cell = dealt.repartition("cell", "table", "cross").sortWithinPartitions("cell", "table", "cross")
     found = cut(by_cell.mapInArrow(compare, f"rep {kind}, links long, low {kind}").groupBy("rep", "low").agg(F.sum("links").alias("links")))

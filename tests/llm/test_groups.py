@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylark.llm import minhash, packing, pii, substrings, vectors
+from quarrylark.llm import minhash, packing, pii, quality, substrings, vectors
 from quarrylark.operators.graph import components
+from tests.llm.test_scans import hits_of
 
 DOCS = "doc_id long, text string, D1 string, rep long"
 
@@ -121,6 +122,10 @@ def test_vectors(spark):
     for cell in (1024, 16):
         assert Counter(tuple(r) for r in vectors.near_vectors(df, cell=cell).collect()) == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
+    # ids that aren't numbers, in a hot bucket of many cells
+    named = df.withColumn("vec_id", F.when(F.col("vec_id").isNotNull(), F.format_string("v%05d", "vec_id")))
+    name = lambda k: None if k is None else f"v{k:05d}"
+    assert Counter(tuple(r) for r in vectors.near_vectors(named, cell=16).collect()) == Counter({(name(k), n, name(c), keep): m for (k, n, c, keep), m in want.items()})
 
 
 def test_substrings(spark):
@@ -451,15 +456,35 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(k, int(k < 200), 0) for k, _ in docs[:120]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    ids = {}
+    ids, before = {}, {r.doc_id: r.text for r in frame.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/out/{name}")
         frame = spark.read.parquet(f"{tmp_path}/out/{name}")
         assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        ids[name] = {r.doc_id for r in frame.select("doc_id").collect()}
+        after = {r.doc_id: r.text for r in frame.collect()}
+        ids[name] = set(after)
+        # each stage's result is that of plain code over what the stage before kept
+        if name == "near_dedup":
+            assert after == {k: before[k] for k, _, _, keep in brute_near(list(before.items())) if keep}
+        elif name == "decontaminate":
+            assert after == {k: t for k, t in before.items() if not hits_of([(1, bench)], t)[1]}
+        elif name == "pii":
+            spans = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(before.items()), "doc_id long, text string")).collect()}
+            assert after == {k: None if t is None else cut_out(t, spans[k]) for k, t in before.items()} and any(spans.values())
+        else:
+            score = {r.doc_id: r.predicted for r in quality.score_quality(spark.createDataFrame(list(before.items()), "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+            assert after == {k: t for k, t in before.items() if score[k]}
+        before = after
     assert set(range(80)) <= ids["quality"] and not ids["quality"] & set(range(200, 240))
     assert 300 not in ids["near_dedup"] and 301 not in ids["near_dedup"] and 0 in ids["near_dedup"]
     assert ids["near_dedup"] - ids["decontaminate"] == {305} and ids["pii"] == ids["decontaminate"]
     assert "[EMAIL]" in frame.where("doc_id = 302").first().text
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids["pii"]
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    want = {}
+    for k, t in before.items():
+        said = np.array([*tokens.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(k, p // 2048): (len(said[p : p + 2048]), zlib.crc32(said[p : p + 2048].tobytes())) for p in range(0, len(said), 2048)}
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in packed.collect()} == want
