@@ -23,6 +23,10 @@ TTL_DAYS = {"fuzzy": 60, "text": 7, "rejected": 30, "kept": 180, "page": 30}
 LISTED_DAYS = {"ats": 5, "employer_page": 5, "feed": 21, "other": 35}
 
 
+#: Fixed values of the watchdog: hours until a missing run is started, until it is told, and starts in a row.
+FILL_HOURS, STALE_HOURS, MAX_KICKS = 1.75, 6, 4
+
+
 def better(new_text: Column, old_text: Column) -> Column:
     """The new text is full where the stored one isn't."""
     return (F.coalesce(F.length(new_text), F.lit(0)) >= FULL_TEXT) & (F.coalesce(F.length(old_text), F.lit(0)) < FULL_TEXT)
@@ -186,6 +190,24 @@ def source_due(health: DataFrame, now: Column, interval_hours: Column) -> Column
     return F.col("last_attempt").isNull() | (F.unix_seconds(F.col("last_attempt")) + wait * 3600 <= F.unix_seconds(now))
 
 
+def watchdog(jobs: DataFrame, now: Column, fill_hours: float = FILL_HOURS, stale_hours: float = STALE_HOURS, most: int = MAX_KICKS) -> DataFrame:
+    """What to do about jobs that should have run (STA-17): adds outcome
+    (fresh, running, gave_up, waiting or kick), kicks as counted now, and alert
+    (down once a job is silent for too long, recovered once it is back). Kicks
+    wait 1, 2, 4 … hours after one another, a quarter hour less for a clock
+    that runs unevenly; a run that got through clears them. Needs ran_at,
+    kicked_at, kicks, busy, alerted; a job that never ran is silent for ever."""
+    hours = lambda since: (F.unix_seconds(now) - F.unix_seconds(since)) / 3600.0
+    age = F.coalesce(hours(F.col("ran_at")), F.lit(float("inf")))
+    through = F.coalesce(F.col("ran_at") > F.col("kicked_at"), F.lit(False))
+    kicks = F.when(through, 0).otherwise(F.coalesce("kicks", F.lit(0)))
+    waits = (kicks > 0) & F.coalesce(hours(F.col("kicked_at")) < F.pow(F.lit(2.0), kicks - 1) - 0.25, F.lit(False))
+    rows = jobs.withColumn("outcome", F.when(age < fill_hours, "fresh").when(F.col("busy"), "running").when(kicks >= most, "gave_up").when(waits, "waiting").otherwise("kick"))
+    alerted = F.coalesce("alerted", F.lit(False))
+    rows = rows.withColumn("alert", F.when(alerted & (age < stale_hours), "recovered").when(~alerted & (age >= stale_hours), "down"))
+    return rows.withColumn("kicks", kicks + (F.col("outcome") == "kick").cast("int"))
+
+
 def board_due(last_checked: Column, status: Column, failures: Column, relevant: Column, now: Column) -> Column:
     """Hot boards every run, others daily, failing ones at powers of two of a
     day up to 30, invalid ones after 60 (STA-13, SRC-42)."""

@@ -203,11 +203,17 @@ def view_muted(t: Tables, args: str) -> DataFrame:
     return t.jobs.sparkSession.createDataFrame([(m,) for m in t.prefs.muted], "term string")
 
 
+def view_help(t: Tables, args: str) -> DataFrame:
+    """(name, kind): the commands (VIEW-19); /start shows the same."""
+    rows = [(n, "view") for n in sorted(VIEWS)] + [(n, "write") for n in sorted(WRITES)]
+    return t.jobs.sparkSession.createDataFrame(rows, "name string, kind string")
+
+
 VIEWS: dict[str, Callable[[Tables, str], DataFrame]] = {
     "jobs": view_jobs, "high": view_high, "range": view_range, "search": view_search, "why": view_why, "sponsors": view_sponsors, "visa": view_visa, "ai": view_ai,
-    "sources": view_sources, "radar": view_radar, "signals": view_signals, "prospects": view_prospects, "approach": view_approach, "ask": view_context, "pitch": view_context, "prep": view_context, "weekly": view_weekly, "status": view_status, "muted": view_muted,
+    "sources": view_sources, "radar": view_radar, "signals": view_signals, "prospects": view_prospects, "approach": view_approach, "ask": view_context, "pitch": view_context, "prep": view_context, "weekly": view_weekly, "help": view_help, "status": view_status, "muted": view_muted,
 }
-ALIASES = {"top": "jobs", "find": "search", "explain": "why", "skills": "radar", "yield": "sources", "stats": "status", "review": "ai"}
+ALIASES = {"start": "help", "top": "jobs", "find": "search", "explain": "why", "skills": "radar", "yield": "sources", "stats": "status", "review": "ai"}
 
 
 def _with(old: tuple[str, ...], x: str) -> tuple[str, ...]:

@@ -121,6 +121,25 @@ def boards_due(spark, sf):
     return b.select("user_id", due.alias("due"))
 
 
+@query("watchdog", f"""
+WITH j AS (SELECT c_custkey, (c_custkey % 12)::DOUBLE AS age, c_custkey % 4 AS k, CASE WHEN c_custkey % 4 > 0 THEN (c_custkey % 5)::DOUBLE END AS since, c_custkey % 6 = 0 AS busy, c_custkey % 2 = 0 AS told FROM customer),
+n AS (SELECT *, CASE WHEN since IS NOT NULL AND age < since THEN 0 ELSE k END AS kicks FROM j),
+o AS (SELECT *, CASE WHEN age < {state.FILL_HOURS} THEN 'fresh' WHEN busy THEN 'running' WHEN kicks >= {state.MAX_KICKS} THEN 'gave_up' WHEN kicks > 0 AND since < power(2, kicks - 1) - 0.25 THEN 'waiting' ELSE 'kick' END AS outcome FROM n)
+SELECT c_custkey, outcome, (kicks + (outcome = 'kick')::INTEGER)::INTEGER AS kicks, CASE WHEN told AND age < {state.STALE_HOURS} THEN 'recovered' WHEN NOT told AND age >= {state.STALE_HOURS} THEN 'down' END AS alert FROM o""")
+def watchdog(spark, sf):
+    """STA-17."""
+    k = F.col("c_custkey")
+    back = lambda h: now() - F.make_interval(hours=h.cast("int"))
+    jobs = table(spark, sf, "customer").select("c_custkey", back(k % 12).alias("ran_at"), F.when(k % 4 > 0, back(k % 5)).alias("kicked_at"), (k % 4).cast("int").alias("kicks"), (k % 6 == 0).alias("busy"), (k % 2 == 0).alias("alerted"))
+    return state.watchdog(jobs, now()).select("c_custkey", "outcome", "kicks", "alert")
+
+
+@query("view_help", "SELECT count(*) AS n FROM (SELECT DISTINCT name FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted({*commands.VIEWS, *commands.WRITES})) + ") t(name))")
+def view_help(spark, sf):
+    """VIEW-19: every view and write of the language."""
+    return commands.run("/help", commands.Tables(_jobs(spark, sf), commands.Preferences())).agg(F.count("*").alias("n"))
+
+
 @query("kept_history", "SELECT user_id, len(k)::INTEGER AS n, k[1] AS oldest FROM (SELECT user_id, (list(event_id ORDER BY event_id))[-10:] AS k FROM events GROUP BY 1)")
 def kept_history(spark, sf):
     """WIN-09."""
