@@ -19,6 +19,8 @@ FIELDS = ["title", "company", "country", "url", "salary", "description"]
 #: Fields that an empty new value doesn't overwrite, and those whose change is worth an alert.
 KEPT_FIELDS, ALERT_FIELDS = {"company", "url", "apply_url"}, {"title", "location_raw", "salary", "remote"}
 TTL_DAYS = {"fuzzy": 60, "text": 7, "rejected": 30, "kept": 180, "page": 30}
+#: Fixed value: pages that the cache keeps.
+MAX_PAGES = 30_000
 #: Days that a posting counts as listed by what its sources are.
 LISTED_DAYS = {"ats": 5, "employer_page": 5, "feed": 21, "other": 35}
 
@@ -145,6 +147,11 @@ def grow_memory(memory: DataFrame, items: DataFrame, key: str = "id", at: str =
     return rows.orderBy(F.desc(at), key).limit(cap)
 
 
+def keep_pages(cache: DataFrame, cap: int = MAX_PAGES) -> DataFrame:
+    """The `cap` pages fetched last; equal times by url (TOP-06)."""
+    return cache.orderBy(F.desc("fetched_at"), "url").limit(cap)
+
+
 def pages_to_fetch(queue: DataFrame, cache: DataFrame, now: Column, days: int = TTL_DAYS["page"]) -> DataFrame:
     """Queue rows whose page is unknown, stale or changed since (JOIN-12,
     JOIN-13). Both have url and lastmod; the cache has fetched_at."""

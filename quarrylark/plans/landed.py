@@ -23,7 +23,12 @@ _SAID = {
 
 
 def _put(node: dict, path: str, value):
-    """Set a value at a JSON path; a value that is there stays."""
+    """Set a value at a JSON path; a value that is there stays. The two bounds
+    of a range get the value and one of their own."""
+    if "+" in path:
+        for p, v in zip(path.split("+"), (value, f"{value}9"), strict=True):
+            _put(node, p, v)
+        return None
     steps = [s for s in re.split(r"\.|(\[[0-9*]\])", path.removeprefix("$")) if s]
     many = steps[-1] == "[*]"
     for step, after in zip(steps, [*steps[1:], None], strict=True):
@@ -45,6 +50,8 @@ def _put(node: dict, path: str, value):
 
 
 def _get(node, path: str):
+    if "+" in path:
+        return "-".join(_get(node, p) for p in path.split("+"))
     for step in [s for s in re.split(r"\.|\[([0-9*])\]", path.removeprefix("$")) if s]:
         if step == "*":
             return ", ".join(node)

@@ -140,6 +140,12 @@ def view_help(spark, sf):
     return commands.run("/help", commands.Tables(_jobs(spark, sf), commands.Preferences())).agg(F.count("*").alias("n"))
 
 
+@query("page_eviction", "SELECT event_id::VARCHAR AS url FROM events ORDER BY ts DESC, event_id::VARCHAR LIMIT 30000")
+def page_eviction(spark, sf):
+    """TOP-06: events as fetched pages."""
+    return state.keep_pages(table(spark, sf, "events").select(F.col("event_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"))).select("url")
+
+
 @query("kept_history", "SELECT user_id, len(k)::INTEGER AS n, k[1] AS oldest FROM (SELECT user_id, (list(event_id ORDER BY event_id))[-10:] AS k FROM events GROUP BY 1)")
 def kept_history(spark, sf):
     """WIN-09."""

@@ -1,4 +1,5 @@
-"""Landed feeds as observations (SRC-01 to SRC-40 but SRC-19, DAT-06).
+"""Landed feeds as observations (SRC-01 to SRC-40 but those of listings and
+html, DAT-06).
 
 A connector never calls the network: bodies are landed as (source, body)
 rows or files, with the outcome of the fetch. Each feed is a declaration:
@@ -27,7 +28,9 @@ FIELDS = ["native_id", "title", "company", "url", "location_raw", "description",
 @dataclass(frozen=True)
 class JsonFeed:
     """items: path of the array; fields: JSON paths, tried in order; a path
-    that ends in [*] joins an array's values with commas."""
+    that ends in [*] joins an array's values with commas, paths joined by +
+    are the bounds of a range, and .*. stands for any key of an object, the
+    first in order that has a value."""
 
     name: str
     items: str
@@ -46,12 +49,12 @@ def _f(**paths: str) -> dict[str, list[str]]:
 #: Public response shapes of the services.
 FEEDS = [
     JsonFeed("remotive", "$.jobs", _f(native_id="$.id", title="$.title", company="$.company_name", url="$.url", location_raw="$.candidate_required_location", description="$.description", salary="$.salary", posted="$.publication_date", employment_type="$.job_type")),
-    JsonFeed("jobicy", "$.jobs", _f(native_id="$.id", title="$.jobTitle", company="$.companyName", url="$.url", location_raw="$.jobGeo", description="$.jobDescription|$.jobExcerpt", posted="$.pubDate", employment_type="$.jobType[*]")),
+    JsonFeed("jobicy", "$.jobs", _f(native_id="$.id", title="$.jobTitle", company="$.companyName", url="$.url", location_raw="$.jobGeo", description="$.jobDescription|$.jobExcerpt", salary="$.annualSalaryMin+$.annualSalaryMax", posted="$.pubDate", employment_type="$.jobType[*]")),
     JsonFeed("himalayas", "$.jobs", _f(native_id="$.guid", title="$.title", company="$.companyName", url="$.applicationLink|$.guid", location_raw="$.locationRestrictions[*]", description="$.description|$.excerpt", posted="$.pubDate", employment_type="$.employmentType")),
     JsonFeed("arbeitnow", "$.data", _f(native_id="$.slug", title="$.title", company="$.company_name", url="$.url", location_raw="$.location", description="$.description", posted="$.created_at", employment_type="$.job_types[*]", remote="$.remote")),
     JsonFeed("remoteok", "$", _f(native_id="$.id", title="$.position", company="$.company", url="$.url", location_raw="$.location", description="$.description", posted="$.date")),
     JsonFeed("usajobs", "$.SearchResult.SearchResultItems", _f(native_id="$.MatchedObjectId", title="$.MatchedObjectDescriptor.PositionTitle", company="$.MatchedObjectDescriptor.OrganizationName", url="$.MatchedObjectDescriptor.PositionURI", location_raw="$.MatchedObjectDescriptor.PositionLocationDisplay", description="$.MatchedObjectDescriptor.UserArea.Details.JobSummary", posted="$.MatchedObjectDescriptor.PublicationStartDate"), "government"),
-    JsonFeed("adzuna", "$.results", _f(native_id="$.id", title="$.title", company="$.company.display_name", url="$.redirect_url", location_raw="$.location.display_name", description="$.description", salary="$.salary_min", posted="$.created"), "aggregator"),
+    JsonFeed("adzuna", "$.results", _f(native_id="$.id", title="$.title", company="$.company.display_name", url="$.redirect_url", location_raw="$.location.display_name", description="$.description", salary="$.salary_min+$.salary_max", posted="$.created"), "aggregator"),
     JsonFeed("jooble", "$.jobs", _f(native_id="$.id", title="$.title", company="$.company", url="$.link", location_raw="$.location", description="$.snippet", salary="$.salary", posted="$.updated"), "aggregator", reliable_date=False),
     JsonFeed("jsearch", "$.data", _f(native_id="$.job_id", title="$.job_title", company="$.employer_name", url="$.job_apply_link", location_raw="$.job_city|$.job_country", description="$.job_description", posted="$.job_posted_at_datetime_utc", remote="$.job_is_remote"), "aggregator"),
     JsonFeed("reliefweb", "$.data", _f(native_id="$.id", title="$.fields.title", company="$.fields.source[0].name", url="$.fields.url", location_raw="$.fields.country[0].name", description="$.fields.body", posted="$.fields.date.created")),
@@ -59,7 +62,7 @@ FEEDS = [
     JsonFeed("freehire", "$.data", _f(native_id="$.id", title="$.title", company="$.company", url="$.url", location_raw="$.location", description="$.description", posted="$.published_at"), "aggregator"),
     JsonFeed("hn_hiring", "$.hits", _f(native_id="$.objectID", title="$.comment_text", url="$.story_url", description="$.comment_text", posted="$.created_at"), "feed"),
     JsonFeed("bundesagentur", "$.stellenangebote", _f(native_id="$.refnr", title="$.titel", company="$.arbeitgeber", url="$.externeUrl", location_raw="$.arbeitsort.ort", description="$.stellenbeschreibung", posted="$.aktuelleVeroeffentlichungsdatum"), "government"),
-    JsonFeed("eures", "$.jvs", _f(native_id="$.id", title="$.translations.en.title|$.translations.fr.title|$.title", company="$.employer.name", location_raw="$.locationMap", description="$.translations.en.description|$.translations.fr.description|$.description", posted="$.creationDate"), "government"),
+    JsonFeed("eures", "$.jvs", _f(native_id="$.id", title="$.translations.en.title|$.translations.fr.title|$.translations.*.title|$.title", company="$.employer.name", location_raw="$.locationMap", description="$.translations.en.description|$.translations.fr.description|$.translations.*.description|$.description", posted="$.creationDate"), "government"),
     JsonFeed("france_travail", "$.resultats", _f(native_id="$.id", title="$.intitule", company="$.entreprise.nom", url="$.origineOffre.urlOrigine", location_raw="$.lieuTravail.libelle", description="$.description", salary="$.salaire.libelle", posted="$.dateCreation"), "government"),
     JsonFeed("greenhouse", "$.jobs", _f(native_id="$.id", title="$.title", url="$.absolute_url", location_raw="$.location.name", description="$.content", posted="$.first_published|$.updated_at"), "ats"),
     JsonFeed("lever", "$", _f(native_id="$.id", title="$.text", url="$.hostedUrl", location_raw="$.categories.location", description="$.descriptionPlain|$.description", posted="$.createdAt", employment_type="$.categories.commitment"), "ats"),
@@ -78,7 +81,15 @@ BY_NAME = {f.name: f for f in FEEDS}
 def _value(item: Column, paths: list[str]) -> Column:
     out = []
     for p in paths:
-        if p.endswith("[*]"):
+        if "+" in p:
+            low, high = (F.nullif(F.get_json_object(item, x), F.lit("")) for x in p.split("+"))
+            out.append(F.nullif(F.concat_ws("-", low, F.when(~high.eqNullSafe(low), high)), F.lit("")))
+        elif ".*." in p:
+            head, _, tail = p.partition(".*.")
+            node = F.from_json(F.get_json_object(item, head), "map<string,string>")
+            said = F.transform(F.array_sort(F.map_keys(node)), lambda k: F.get_json_object(F.element_at(node, k), f"$.{tail}"))
+            out.append(F.get(F.filter(said, lambda v: F.length(v) > 0), F.lit(0)))
+        elif p.endswith("[*]"):
             array = F.from_json(F.get_json_object(item, p[:-3]), "array<string>")
             out.append(F.coalesce(F.array_join(array, ", "), F.get_json_object(item, p[:-3])))
         else:

@@ -570,3 +570,13 @@ def test_explanations_leave_out_what_is_not_there(spark):
         got.setdefault(r.id, []).append(r.line)
     assert got[1][:3] == ["Dev", "score 0/100 · rejected", "title 0 · tech 0 · domain 0 · resp 0 · location 0"] and len(got[1]) == 15
     assert got[2][0] == "Ops" and got[2][-3:] == ["lack: a", "rejected: X", "closed"]
+
+
+def test_feed_ranges_and_translations(spark):
+    """Bounds of pay as one text; a preferred language, else the first there is."""
+    jobs = [{"id": 1, "jobTitle": "A", "annualSalaryMin": 30000, "annualSalaryMax": 40000}, {"id": 2, "jobTitle": "B", "annualSalaryMin": 30000, "annualSalaryMax": 30000}, {"id": 3, "jobTitle": "C"}, {"id": 4, "jobTitle": "D", "annualSalaryMax": "9"}]
+    got = feeds.parse_feed(spark.createDataFrame([(0, json.dumps({"jobs": jobs}))], "landed long, body string"), feeds.BY_NAME["jobicy"]).collect()
+    assert {r.title: r.salary for r in got} == {"A": "30000-40000", "B": "30000", "C": None, "D": "9"}
+    said = [{"id": 1, "translations": {"de": {"title": "Eins"}, "fr": {"title": "Un"}}}, {"id": 2, "translations": {"nl": {"title": "Twee"}, "de": {"title": ""}}}, {"id": 3, "translations": {"en": {"title": "Three"}, "fr": {"title": "Trois"}}}, {"id": 4, "title": "Plain"}, {"id": 5, "translations": {}}]
+    got = feeds.parse_feed(spark.createDataFrame([(0, json.dumps({"jvs": said}))], "landed long, body string"), feeds.BY_NAME["eures"]).collect()
+    assert {r.native_id: r.title for r in got} == {"eures:1": "Un", "eures:2": "Twee", "eures:3": "Three", "eures:4": "Plain"}
