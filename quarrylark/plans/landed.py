@@ -294,6 +294,25 @@ def page_ladder(spark, sf):
     return html.extract_pages(rows, "2024-01-31").select("page_id", "title", "company", "method")
 
 
+def _board_page(tree, url, today):
+    """A site's own extractor: the page's heading is the only posting."""
+    title = " ".join("".join(tree.h1).split())
+    return [{"title": title, "company": "Own", "url": url, "method": "site"}] if title else []
+
+
+html.register_site_adapter(r"^adapter\.example$", _board_page)
+
+
+@query("site_adapters", "SELECT page_id, concat('Post ', page_id) AS title, 'Own' AS company, 'site' AS method FROM pages WHERE page_id % 2 = 0")
+def site_adapters(spark, sf):
+    """UDX-03, EXT-01: a registered extractor comes before the ladder, on its
+    host only."""
+    n = F.col("page_id").cast("string")
+    url = F.concat(F.when(F.col("page_id") % 2 == 0, "https://adapter.example/x/").otherwise("https://other.example/x/"), n)
+    rows = table(spark, sf, "pages").select("page_id", url.alias("url"), F.concat(F.lit("<h1>Post "), n, F.lit("</h1>")).alias("html"))
+    return html.extract_pages(rows, "2024-01-31").select("page_id", "title", "company", "method")
+
+
 @query("pay_and_place_texts", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('EUR ', o_orderkey, '-', o_orderkey + 5, ' per year') WHEN 1 THEN concat('EUR ', o_orderkey, ' per year') END AS pay, CASE o_orderkey % 2 WHEN 0 THEN 'Lyon, France' ELSE '1 Main St, France' END AS place FROM orders")
 def pay_and_place_texts(spark, sf):
     """EXT-08, EXT-09."""

@@ -3,6 +3,8 @@ are made from the tables."""
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from quarrylark.operators import adjust, identity, insights, report, scoring, se
 from quarrylark.plans import commands
 from quarrylark.plans.bindings import TAXONOMY, now, scored, sql_scored, table, title
 from quarrylark.plans.registry import query
-from quarrylark.sources import contracts
+from quarrylark.session import shared_folder
+from quarrylark.sources import contracts, feeds
 
 _SCORED = f"WITH {sql_scored()}"
 
@@ -170,6 +173,74 @@ def key_spaces(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(identity.strong_ids(keys), ",").alias("strong"), F.array_join(identity.platform_ids(keys), ",").alias("platform"))
 
 
+@query("versioned_state", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def versioned_state(spark, sf):
+    """SNK-01, SNK-05, SNK-08, SRC-41, STA-16: two commits, a third from the
+    first's state that is refused, and what a reader gets then."""
+    counts = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    t = state.VersionedTable(spark, f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    t.commit(counts.where("user_id % 2 = 0"), 0)
+    t.commit(counts, 1, ["user_id", "n"])
+    with contextlib.suppress(state.Conflict):
+        t.commit(counts.limit(0), 1)
+    return t.load()
+
+
+@query("raw_snapshots", "SELECT doc_id, '2024-01-0' || (doc_id % 5 + 1) AS day, source, substr(text, 1, 80) AS description FROM documents WHERE doc_id % 5 >= 2")
+def raw_snapshots(spark, sf):
+    """SNK-03, SNK-04, PRJ-01: observations by day, run and source, without the
+    days before a cutoff."""
+    folder = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    day = F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 5 + 1).cast("string"))
+    state.write_snapshots(table(spark, sf, "documents").select("doc_id", F.col("text").alias("description"), day.alias("day"), F.lit("r1").alias("run"), "source"), folder, 80)
+    state.drop_days_before(spark, folder, "2024-01-03")
+    return spark.read.json(folder).select("doc_id", F.col("day").cast("string").alias("day"), F.col("source").cast("string").alias("source"), "description")
+
+
+@query("report_artifact", """
+WITH r AS (SELECT 'action' AS section, CASE WHEN o_orderkey % 5 = 0 THEN 'insert' ELSE 'refresh' END AS name, count(*) AS value FROM orders GROUP BY 2 UNION ALL SELECT 'tier', CASE o_orderkey % 3 WHEN 0 THEN 'high' ELSE 'rejected' END, count(*) FROM orders GROUP BY 2)
+SELECT concat('- ', name, ': ', value) AS line FROM r UNION ALL SELECT DISTINCT concat('## ', section) FROM r""")
+def report_artifact(spark, sf):
+    """SNK-02, SNK-10: a report as a gzipped text, put if there is none yet."""
+    k = F.col("o_orderkey")
+    jobs = table(spark, sf, "orders").select(F.when(k % 3 == 0, "high").otherwise("rejected").alias("tier"), F.when(k % 5 == 0, "insert").otherwise("refresh").alias("action"))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}.txt.gz"
+    report.write_artifact(spark, path, report.report_markdown(report.run_report(jobs, spark.createDataFrame([], "source string, status string, n long"))), None)
+    return spark.read.text(path).where("value <> ''").select(F.col("value").alias("line"))
+
+
+@query("query_grid", """
+WITH g AS (SELECT n_name AS country, t.term, n_nationkey * 3 + t.k AS i FROM nation, (VALUES (0, 'gis'), (1, 'lidar'), (2, 'sig')) t(k, term)), m AS (SELECT count(*) AS n FROM g)
+SELECT country, term FROM g, m WHERE (i - 70 + n) % n < 12""")
+def query_grid(spark, sf):
+    """JOIN-23: the next queries of the grid after a cursor, over its end."""
+    countries = [r.n_name for r in table(spark, sf, "nation").orderBy("n_nationkey").limit(300).collect()]
+    return spark.createDataFrame(feeds.query_grid(countries, ["gis", "lidar", "sig"], 70, 12), "country string, term string")
+
+
+@query("configured_terms", f"{_SCORED} SELECT doc_id, terms FROM scored")
+def configured_terms(spark, sf):
+    """UDX-04, SRC-40: a taxonomy read from a configuration's table."""
+    said = "\n".join(f"[[term]]\nkind = '{t.kind}'\ncanonical = '{t.canonical}'\nweight = {t.weight}\npattern = '{t.pattern}'\nfamily = '{t.family}'" + (f"\nrequires = '{t.requires}'" if t.requires else "") for t in TAXONOMY.terms)
+    terms = feeds.load_toml(spark, said, "term", "kind string, canonical string, weight int, pattern string, family string, requires string")
+    # rows of a small table may come in any order; ordinals decide ties
+    order = {t.canonical: k for k, t in enumerate(TAXONOMY.terms)}
+    loaded = contracts.load_taxonomy(spark, terms)
+    loaded = replace(loaded, terms=sorted(loaded.terms, key=lambda t: order[t.canonical]))
+    rows = scoring.with_hits(table(spark, sf, "documents").select("doc_id", fold(F.col("text")).alias("body")), "body", loaded)
+    return rows.select("doc_id", F.array_join(F.transform("hits", lambda h: h["canonical"]), ",").alias("terms"))
+
+
+@query("model_reviews", """
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 7 END::INTEGER AS fit, CASE c_custkey % 4 WHEN 0 THEN 5 END::INTEGER AS years, CASE c_custkey % 4 WHEN 2 THEN '' ELSE 'fine' END AS summary, c_custkey % 4 = 1 AS veto FROM customer WHERE c_custkey % 4 < 3""")
+def model_reviews(spark, sf):
+    """EXX-03, EXX-04, ADJ-12: objects in models' answers, their values in
+    bounds; an answer without one gives no row."""
+    k = F.col("c_custkey") % 4
+    said = F.when(k == 0, 'Sure: {"fit": 150, "years": 5, "summary": "fine"} bye').when(k == 1, '{"fit": 7, "summary": "fine", "veto": true}').when(k == 2, '{"fit": "high"}').otherwise("no object {")
+    return contracts.reviews(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), said.alias("text")))
+
+
 # ------------------------------------------------------------ adjustments
 @query("register_bonus", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN CASE WHEN s_suppkey % 5 = 0 THEN 6 ELSE 4 END ELSE 0 END AS bonus, CASE WHEN s_suppkey % 2 = 0 THEN 'home' ELSE 'other' END AS badge FROM supplier")
 def register_bonus(spark, sf):

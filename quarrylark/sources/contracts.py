@@ -122,6 +122,19 @@ def read_review(text: str) -> dict | None:
     return {"fit": number(d.get("fit"), 0, 100), "years": number(d.get("years"), 0, 40), "summary": str(d.get("summary") or "")[:400], "concerns": str(d.get("concerns") or "")[:400], "languages": words(d.get("languages")), "requirements": words(d.get("requirements")), "restricted": d.get("restricted") is True, "veto": d.get("veto") is True, "lift": d.get("lift") is True}
 
 
+def reviews(answers: DataFrame) -> DataFrame:
+    """(id, fit, years, summary, veto) of models' answers (EXX-03); answers
+    without an object give no row. answers: id, text."""
+    kind = answers.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            read = [(k, read_review(t)) for k, t in zip(b.id, b.text, strict=True)]
+            yield pd.DataFrame([{"id": k, **{f: r[f] for f in ("fit", "years", "summary", "veto")}} for k, r in read if r], columns=["id", "fit", "years", "summary", "veto"]).astype({"fit": "Int64", "years": "Int64"})
+
+    return answers.select("id", "text").mapInPandas(run, f"id {kind}, fit int, years int, summary string, veto boolean")
+
+
 def invented_codes(answer: str, known: set[str]) -> list[str]:
     """Codes in a model's text that no row has (EXX-04)."""
     return sorted({c for c in re.findall(r"\b[0-9a-f]{5}\b", answer or "") if re.search(r"\d", c)} - known)
