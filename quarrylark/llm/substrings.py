@@ -68,26 +68,18 @@ def chunks(data: np.ndarray, offs: np.ndarray, radius: int = RADIUS, most: int =
     """(ends of all chunks, rows' places in them (rows + 1)) of a slice."""
     h = gear(data)
     low = least_ahead(h, radius)
-    at = np.arange(radius, max(len(h) - radius, radius))
-    cuts = at[(h[at] < low[at - radius]) & (h[at] <= low[at + 1])] + 1
-    ends, at = [], [0]
-    for r in range(len(offs) - 1):
-        low, high = int(offs[r]), int(offs[r + 1])
-        # no cut is taken where the window or the radius reaches over an end of the row
-        last = low
-        for c in cuts[np.searchsorted(cuts, low + (1 << WINDOW_BITS) + radius) : np.searchsorted(cuts, high - radius, "right")].tolist():
-            while c - last > most:
-                last += most
-                ends.append(last)
-            ends.append(c)
-            last = c
-        while high - last > most:
-            last += most
-            ends.append(last)
-        if high > last:
-            ends.append(high)
-        at.append(len(ends))
-    return np.array(ends, np.int64), np.array(at, np.int64)
+    m = max(len(h) - 2 * radius, 0)
+    here = h[radius : radius + m]
+    cuts = np.flatnonzero((here < low[:m]) & (here <= low[radius + 1 : radius + 1 + m])) + radius + 1
+    # no cut is taken where the window or the radius reaches over an end of the row
+    row = np.searchsorted(offs, cuts - 1, "right") - 1
+    cuts = cuts[(cuts >= offs[row] + (1 << WINDOW_BITS) + radius) & (cuts <= offs[row + 1] - radius)]
+    ends = np.sort(np.concatenate((cuts, offs[1:][np.diff(offs) > 0])))
+    begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    parts = np.maximum(ends - begin - 1, 0) // most + 1
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    ends = np.minimum(np.repeat(begin, parts) + (nth + 1) * most, np.repeat(ends, parts))
+    return ends, np.searchsorted(ends, offs, "right")
 
 
 def chunk_rows(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
@@ -113,7 +105,7 @@ def chunk_rows(docs: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataF
                 text = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) >> 33 for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.int64)
                 words = np.searchsorted(starts, ends) - np.searchsorted(starts, begin)
                 size = (points[ends] - points[begin]) << 20 | words << 10 | (ends - begin)
-                order = np.lexsort((digest, row))
+                order = np.argsort(digest.view(np.uint64) ^ mix64(row.astype(np.uint64) + np.uint64(1)))
                 same = (digest[order][1:] == digest[order][:-1]) & (row[order][1:] == row[order][:-1])
                 again = np.zeros(len(digest), bool)
                 again[order[1:][same]] = again[order[:-1][same]] = True
