@@ -32,7 +32,7 @@ from quarrylark.llm.bytescan import mix64
 from quarrylark.llm.shared import bounded_batches, cut
 from quarrylark.operators.graph import components
 
-THRESHOLD, RECALL, BUCKET, CELL, SEED = 0.95, 0.9995, 32, 1024, 977
+THRESHOLD, RECALL, BUCKET, CELL, SEED = 0.95, 0.9995, 256, 1024, 977
 
 
 class Planes:
