@@ -437,6 +437,16 @@ def test_pii_finds_unseen_identifiers(spark):
     assert n_added == sum(got.values()) and (found / sum(got.values()), found / sum(want.values())) == (1.0, 1.0), (got - want, want - got)
 
 
+def test_pii_in_odd_long_texts(spark):
+    """Texts that would make patterns recurse or step back a long way."""
+    odd = ["1 " * 60_000, "me at host" + " dot com" * 30_000, "x@y" + ".z" * 60_000, "12.5-6 " * 40_000, "[a@b" * 20_000, "key=" * 20_000 + "1a", "(" * 50_000 + "1", "1" + ")" * 50_000]
+    rows = list(enumerate(odd))
+    got = {r.doc_id: (r.n_spans, r.spans) for r in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert got == {k: (1, f"email:0:{len(odd[2])}") if k == 2 else (0, "") for k, _ in rows}
+    red = {r.doc_id: r.text for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert red == {k: "[EMAIL]" if k == 2 else t for k, t in rows}
+
+
 def test_running_sum(spark):
     df = spark.createDataFrame([([],), ([3],), (list(range(500)),)], "v array<int>")
     assert [r.s for r in df.select(pii.running_sum(F.col("v")).alias("s")).collect()] == [[], [3], np.cumsum(range(500)).tolist()]
