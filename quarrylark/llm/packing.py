@@ -46,7 +46,7 @@ CAPACITY, SHARD, TIGHT, SAVED = 2048, 4096, 0.995, 0.001
 ISLANDS, POPULATION, GENERATIONS, CHILDREN = 3, 6, 10, 4
 _SLOTS, _MOST_IDS = 1 << 20, 8 << 20
 _CLASS = np.array([1 if 48 <= b <= 57 or 97 <= b <= 122 else 2 if b < 128 and SPACED[b] and b != 39 else 0 for b in range(256)], np.uint8)
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[type, str], Encoder] = {}
 
 
 class Encoder:
@@ -62,9 +62,9 @@ class Encoder:
 
     @classmethod
     def at(cls, path: str) -> Encoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        if (cls, path) not in _ENCODERS:
+            _ENCODERS[cls, path] = cls(path)
+        return _ENCODERS[cls, path]
 
     def _clear(self) -> None:
         self.keys, self.place, self.size = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int32)
@@ -77,14 +77,18 @@ class Encoder:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def encode(self, raw: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a slice's rows and the rows' places in them (rows + 1)."""
+    def spans(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to encode and the starts and ends of what is encoded apart."""
         data = LOWER[raw]
         starts, ends, _ = runs(data, offs, SPACED)
         kind = _CLASS[data]
         inner = np.flatnonzero((kind[1:] ^ kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
         inner = inner[~np.isin(inner, offs)]
-        starts, ends = np.sort(np.concatenate((starts, inner)), kind="stable"), np.sort(np.concatenate((ends, inner)), kind="stable")
+        return data, np.sort(np.concatenate((starts, inner)), kind="stable"), np.sort(np.concatenate((ends, inner)), kind="stable")
+
+    def encode(self, raw: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice's rows and the rows' places in them (rows + 1)."""
+        data, starts, ends = self.spans(raw, offs)
         row_at = np.searchsorted(starts, offs)
         if self.used > _MOST_IDS:
             self._clear()

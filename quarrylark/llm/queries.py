@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylark.llm import decontaminate, languages, licenses, minhash, packing, pii, quality, substrings, urls, vectors
+from quarrylark.llm import decontaminate, filter_audit, languages, licenses, minhash, packing, pii, quality, repair, substrings, urls, vector_packing, vectors
 
 QUERIES = {
     "op1_licenses": licenses.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_vectors": vectors.op9,
     "op10_minhash": minhash.op10,
+    "op11_vectors_packed": vector_packing.op11,
+    "op12_filter_audit": filter_audit.op12,
+    "op13_repair": repair.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_vectors": vectors.SQL,
     "op10_minhash": minhash.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_repair": repair.SQL,
 }
