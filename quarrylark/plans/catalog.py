@@ -931,8 +931,10 @@ def work_auth(spark, sf):
     """SCR-03: what whole texts say at their ends, and what it means where."""
     i = F.col("doc_id")
     t = F.concat("text", F.lit(". "), _said(i, _RIGHTS))
-    rights = scoring.rights_columns(("France",))(t, _said(i, _RIGHTS, 1).cast("string"), _said(i, _RIGHTS, 2).cast("string"), _said(i, _RIGHTS, 3))
-    return table(spark, sf, "documents").select("doc_id", scoring.work_authorisation(t).alias("reading"), rights.alias("r")).select("doc_id", "reading", "r.required", "r.offered")
+    said = F.col("said")
+    required = scoring.rights_needed(said, _said(i, _RIGHTS, 1).cast("string"), _said(i, _RIGHTS, 2).cast("string"), _said(i, _RIGHTS, 3), ("France",))
+    read = scoring.settled(table(spark, sf, "documents").select("doc_id", scoring.work_rights(t).alias("said")), "said")
+    return read.select("doc_id", scoring.work_authorisation(said).alias("reading"), required.alias("required"), scoring.sponsorship_offered(said).alias("offered"))
 
 
 #: (place as written, city, region, country, work mode, shown)

@@ -72,12 +72,17 @@ def long_texts(spark, tmp_path):
 
 
 def test_work_auth_reads_whole_texts(spark, long_texts):
-    from quarrylark.operators.scoring import needs_rights, read_work_auth
+    from quarrylark.operators.scoring import rights_said
 
     sf, texts, _ = long_texts
     got = {r.doc_id: (r.reading, r.required, r.offered) for r in catalog.QUERIES["work_auth"](spark, sf).collect()}
-    ends = [(f"{t}. {catalog._RIGHTS[k][0]}", *catalog._RIGHTS[k][1:4]) for k, t in enumerate(texts)]
-    assert got == {k: (read_work_auth(t), *needs_rights(t, c, s, r, ("France",))) for k, (t, c, s, r) in enumerate(ends)}
+    for k, t in enumerate(texts):
+        end, country, scope, remote = catalog._RIGHTS[k][:4]
+        said = rights_said(f"{t}. {end}")
+        offered = "offer" in said and "refusal" not in said
+        needed = "refusal" in said and not (remote and scope == "Worldwide") or "demand" in said and not offered
+        reading = "refusal" if "refusal" in said else "offer" if "offer" in said else "demand" if "demand" in said and "everyone" not in said else "neutral"
+        assert got[k] == (reading, needed and country != "France" and "everyone" not in said, offered)
     assert got[0][0] == "refusal" and got[3][0] == "offer" and got[4] == ("demand", True, False)
 
 

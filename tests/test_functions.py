@@ -118,6 +118,9 @@ MORE_DEADLINES = [
     ("Closing date: 4 March", "United Kingdom", dt.date(2027, 3, 4)), ("Apply by 14 September", None, dt.date(2026, 9, 14)), ("Applications must be received by 1st of October 2026", None, dt.date(2026, 10, 1)), ("Send your CV before October 3", None, dt.date(2026, 10, 3)),
     ("This position is open until 5 October 2026", None, dt.date(2026, 10, 5)), ("The shop closes on 5 October 2026", None, None), ("Dossier de candidature au plus tard le 3 novembre 2026", "France", dt.date(2026, 11, 3)), ("Contrat jusqu'au 3 novembre 2026", "France", None),
     ("Closing date: 03/11/2026", "United States", None), ("Closing date: 03/11/2026", "United Kingdom", dt.date(2026, 11, 3)), ("Closing date: 10/08/2026", "Canada", None), ("Deadline:\n\u2022 12 Oct", None, dt.date(2026, 10, 12)), ("Deadline: at 12 noon on 12 October", None, dt.date(2026, 10, 12)),
+    ("The vacancy shuts soon. Published 2 September 2026", None, None), ("Closing date: until filled, updated 02/09/2026", None, None), ("Apply by post; we begin on 1 October 2026", None, None), ("Remplacement CDD jusqu'au 30/09/2026", "France", None), ("The survey ends on 30 September 2026", None, None),
+    ("Your application will be reviewed by 3 October 2026", None, None), ("Applications close at noon on 3 October 2026", None, dt.date(2026, 10, 3)), ("About us.\nCloses: 3 Oct 2026", None, dt.date(2026, 10, 3)), ("Job posting end date: Oct. 3, 2026", None, dt.date(2026, 10, 3)), ("Contract end date: 3 October 2026", None, None),
+    ("Candidatures acceptées jusqu'au 2 octobre 2026", "France", dt.date(2026, 10, 2)), ("Bewerbungen bitte bis 30. September 2026", "Germany", dt.date(2026, 9, 30)), ("Closing date: 12/11/2026", "Canada", dt.date(2026, 11, 12)), ("Closing date: 12/11/2026", "Poland", dt.date(2026, 11, 12)), ("Closing date 2026/10/02", None, dt.date(2026, 10, 2)),
     ("Deadline: 31 February 2027", None, None), ("Closing date: see website. Interviews 12 October 2026", None, None),
 ]
 
@@ -137,6 +140,7 @@ SALARIES = [
     ("C$90 000 a year", None, (90000, 90000, "CAD", "year")), ("competitive", None, None), ("2500 chf", None, (2500, 2500, "CHF", "month")), ("45.000 - 55.000 EUR", None, (45000, 55000, "EUR", "year")), ("40000 academic year", None, None), ("40000 academic year", "France", (40000, 40000, "EUR", "year")),
     ("£31,250.50 per annum", None, (31250, 31250, "GBP", "year")), ("45-55k EUR", None, (45000, 55000, "EUR", "year")), ("$90,000", "Canada", (90000, 90000, "CAD", "year")), ("$90,000", "France", (90000, 90000, "USD", "year")), ("€240 an hour", None, (240, 240, "EUR", "hour")), ("EUR 240", None, (240, 240, "EUR", "hour")),
     ("€40k plus 10% bonus, 37-hour week, 25 days leave", None, (40000, 40000, "EUR", "year")), ("2 800 € sur 13 mois", None, (2800, 2800, "EUR", "month")), ("AED 25,000", None, (25000, 25000, "AED", "month")), ("€3 a year", None, None), ("EUR 9,000,000 per year", None, None), ("CHF 120'000 - 130'000", None, (120000, 130000, "CHF", "year")),
+    ("$120k 401(k) match", None, (120000, 120000, "USD", "year")), ("A$100,000 + 11.5% super", None, (100000, 100000, "AUD", "year")), ("max. 60k€", None, (None, 60000, "EUR", "year")), ("jusqu'à 45 k€ /an", None, (None, 45000, "EUR", "year")), ("€3.500,75 pro Monat x 13", None, (3500, 3500, "EUR", "month")), ("GBP 12.75/h for 20 hours a week", None, (12.75, 12.75, "GBP", "hour")), ("", None, None), (None, "France", None),
     ("Salaire : 38 000 à 42 000 € par an, payé par mois", None, (38000, 42000, "EUR", "year")), ("15,50 € de l'heure", None, (15.5, 15.5, "EUR", "hour")),
 ]
 

@@ -140,19 +140,33 @@ AUTH = [
 ]
 
 
-@pytest.mark.parametrize("said,expected", AUTH)
-def test_work_auth(said, expected):
-    assert scoring.read_work_auth(said) == expected
-
-
-def test_rights_by_place():
-    home = ("France",)
-    assert scoring.needs_rights("You must be a French citizen.", "Germany", None, False, home) == (True, False)
-    assert scoring.needs_rights("You must be a French citizen.", "France", None, False, home) == (False, False)
-    assert scoring.needs_rights("We do not sponsor.", None, "Worldwide", True, home) == (False, False) and scoring.needs_rights("We do not sponsor.", None, "Europe", True, home) == (True, False)
-    assert scoring.needs_rights("Must have work authorization. Visa sponsorship provided. No sponsorship for contractors.") == (True, False)
-    assert scoring.needs_rights("Must have work authorization. Visa sponsorship provided.") == (False, True) and scoring.needs_rights(None) == (False, False)
-    assert scoring.needs_rights("Open to EU citizens and non-EU nationals. Applicants from overseas are welcome; must have a work permit.") == (False, False)
+MORE_AUTH = [
+    ("We don't offer visa sponsorship for this role", "refusal"), ("Sponsorship: none", "refusal"), ("Visa support is provided to the right person", "offer"), ("The project has an executive sponsor.", "neutral"), ("Applicants must be authorised to work without sponsorship", "refusal"),
+    ("Candidates need an existing work permit", "demand"), ("Only Canadian citizens can apply", "demand"), ("You must hold a security clearance", "demand"), ("Security clearance would be an asset, and you must like maps", "neutral"), ("Permanent residents only", "demand"),
+    ("We cannot take candidates from outside the country; a work visa is mandatory", "demand"), ("International applicants are welcome. Citizenship required", "neutral"), ("There is no need to be a citizen", "neutral"),
+    ("Not a perfect fit? Apply. Relocation assistance can be offered", "offer"), ("No remote work, but we will sponsor visas", "offer"), ("Il faut un permis; pas de sponsorship", "refusal"),
+]
+
+
+def rights_of(spark, rows, homes=()):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, country string, scope string, remote boolean").withColumn("s", scoring.work_rights(F.col("t")))
+    got = df.select(scoring.work_authorisation(F.col("s")).alias("reading"), scoring.rights_needed(F.col("s"), F.col("country"), F.col("scope"), F.col("remote"), homes).alias("needed"), scoring.sponsorship_offered(F.col("s")).alias("offered"), "k").orderBy("k")
+    return [(r.reading, r.needed, r.offered) for r in got.collect()]
+
+
+def test_work_auth(spark):
+    cases = AUTH + MORE_AUTH
+    assert [(t, r) for (t, _), (r, *_) in zip(cases, rights_of(spark, [(t, None, None, None) for t, _ in cases]), strict=True)] == cases
+
+
+def test_rights_by_place(spark):
+    cases = [
+        (("You must be a French citizen.", "Germany", None, False), (True, False)), (("You must be a French citizen.", "France", None, False), (False, False)),
+        (("We do not sponsor.", None, "Worldwide", True), (False, False)), (("We do not sponsor.", None, "Europe", True), (True, False)), (("We do not sponsor.", None, None, None), (True, False)),
+        (("Must have work authorization. Visa sponsorship provided. No sponsorship for contractors.", None, None, False), (True, False)), (("Must have work authorization. Visa sponsorship provided.", None, None, False), (False, True)),
+        ((None, None, None, None), (False, False)), (("Open to EU citizens and non-EU nationals. Applicants from overseas are welcome; must have a work permit.", None, None, False), (False, False)),
+    ]
+    assert [g[1:] for g in rights_of(spark, [c for c, _ in cases], ("France", " "))] == [e for _, e in cases]
 
 
 @pytest.mark.parametrize("said,expected", [("5+ years of experience", 5), ("2-4 years experience and 10 years experience", 2), ("We have over 20 years of experience", None), ("3 years old", None), ("", None)])
