@@ -4,8 +4,18 @@ AGG-04, JOIN-01, JOIN-02, ARR-01 to ARR-03).
 Observations carry obs_seq, which fixes the input order that ties depend on.
 Groups are built in three passes (strong keys; URL keys unless the groups'
 ids conflict; fuzzy keys unless both groups have platform ids and share
-none). Components over all keys hold every group whole, so the ordered passes
-are replayed inside each component.
+none). Components over all keys hold every group whole. Those in which
+nothing can conflict are the groups; in the others of at most `bound`
+observations the passes are replayed; larger ones are settled by rounds over
+all tasks.
+
+After the first pass an id belongs to one group only. So two groups conflict
+over a URL if they know a namespace in common, and over a fuzzy key if both
+have platform ids, and those that conflict once always will. A round drops
+the links that conflict and settles those that no earlier link can change:
+the first remaining link of both its groups, and the first one of a group
+without ids, which never conflicts. The rest waits for the next round. A page
+that very many share takes a round for each namespace that its group learns.
 """
 
 from __future__ import annotations
@@ -19,8 +29,11 @@ from pyspark.sql import functions as F
 from quarrylark.functions.text import fold, normalize_company, normalize_title, short_hash
 from quarrylark.functions.urls import canonical_url, detect_board, is_aggregator
 from quarrylark.operators.graph import components
+from quarrylark.session import cut
 
 FULL_TEXT, MAX_ALIASES, FUZZY_TTL_DAYS = 300, 25, 60
+#: Observations of a component that one task replays at most.
+MOST_REPLAYED = 10_000
 #: Namespaces that say nothing about identity, the platforms'
 #: namespaces, and the authority of a source type and of an extraction method.
 WEAK_NAMESPACES = {"http", "https", "urn", "tag", "mailto"}
@@ -113,21 +126,95 @@ def replay(rows: list[tuple[int, list[str], str | None]]) -> dict[int, int]:
     return {seq: find(seq) for seq, _, _ in rows}
 
 
-def group_observations(obs: DataFrame) -> DataFrame:
-    """obs (obs_seq, keys, fuzzy) -> (obs_seq, group), AGG-01. A component
-    shares keys, so its size is that of a posting's observations."""
-    tagged = obs.select("obs_seq", F.explode(F.concat("keys", F.when(F.col("fuzzy").isNotNull(), F.array("fuzzy")).otherwise(F.array().cast("array<string>")))).alias("key"))
-    first = tagged.groupBy("key").agg(F.min("obs_seq").alias("first"))
-    edges = tagged.join(first, "key").where(F.col("obs_seq") != F.col("first")).select(F.col("obs_seq").alias("a"), F.col("first").alias("b"))
-    placed = obs.select("obs_seq", "keys", "fuzzy").join(components(edges, "a", "b").withColumnRenamed("node", "obs_seq"), "obs_seq", "left")
+def _first_links(tagged: DataFrame) -> DataFrame:
+    """tagged (obs_seq, ordinal, key) -> (a, b, at): each observation and the
+    first that has its key; at is the link's place in the order."""
+    first = cut(tagged.groupBy("key").agg(F.min("obs_seq").alias("first")))
+    return tagged.join(first, "key").where(F.col("obs_seq") != F.col("first")).select(F.col("first").alias("a"), F.col("obs_seq").alias("b"), F.struct("obs_seq", "ordinal").alias("at"))
+
+
+def _renamed(df: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Columns of df replaced by their (node -> component), if they have one."""
+    for c in columns:
+        to = names.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"_to_{c}"))
+        df = df.join(to, F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_to_{c}", c)).drop(f"_{c}", f"_to_{c}")
+    return df
+
+
+def settle(marks: DataFrame, links: DataFrame) -> DataFrame:
+    """marks: node, mark (one row a mark, null for none); links: a, b, at.
+    Links are followed in order, unless the groups of their ends have a mark
+    in common. (node, component) of every node that is not its group's least."""
+    known = cut(marks.distinct())
+    merged = None
+    while True:
+        sets = known.groupBy("node").agg(F.collect_set("mark").alias("marks"))
+        ends = links
+        for c in ("a", "b"):
+            ends = ends.join(sets.select(F.col("node").alias(c), F.col("marks").alias(f"{c}_marks")), c)
+        ends = ends.where((F.col("a") != F.col("b")) & ~F.arrays_overlap("a_marks", "b_marks"))
+        bare = [F.size(f"{c}_marks") == 0 for c in ("a", "b")]
+        low = F.col("a") < F.col("b")
+        ends = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "at", F.when(low, bare[0]).otherwise(bare[1]).alias("a_bare"), F.when(low, bare[1]).otherwise(bare[0]).alias("b_bare"))
+        links = cut(ends.groupBy("a", "b", "a_bare", "b_bare").agg(F.min("at").alias("at")))
+        if links.isEmpty():
+            return merged if merged is not None else known.select("node", F.col("node").alias("component")).limit(0)
+        first = links.select(F.col("a").alias("node"), "at").unionByName(links.select(F.col("b").alias("node"), "at"))
+        first = cut(first.groupBy("node").agg(F.min("at").alias("first")))
+        asked = links
+        for c in ("a", "b"):
+            asked = asked.join(first.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first")), c)
+        is_a, is_b = F.col("at") == F.col("a_first"), F.col("at") == F.col("b_first")
+        stars = components(asked.where(F.col("a_bare") & is_a | F.col("b_bare") & is_b | is_a & is_b), "a", "b").where("node <> component")
+        stars = cut(stars)
+        known = cut(_renamed(known, stars, "node").distinct())
+        # a null mark says that a node exists; it is no mark
+        links = _renamed(links.select("a", "b", "at"), stars, "a", "b")
+        merged = stars if merged is None else cut(_renamed(merged, stars, "component").unionByName(stars))
+
+
+def resolve_large(rows: DataFrame) -> DataFrame:
+    """rows (obs_seq, keys, fuzzy) -> (obs_seq, group) by rounds."""
+    tagged = cut(rows.select("obs_seq", F.posexplode("keys").alias("ordinal", "key")))
+    is_url = F.col("key").startswith("url:")
+    strong = cut(components(_first_links(tagged.where(~is_url)), "a", "b").where("node <> component"))
+    ids = rows.select(F.col("obs_seq").alias("node"), F.explode_outer(strong_ids(F.col("keys"))).alias("id"))
+    spaces = cut(_renamed(ids.select("node", _space(F.col("id")).alias("mark")), strong, "node").distinct())
+    by_url = settle(spaces, _renamed(_first_links(tagged.where(is_url)), strong, "a", "b"))
+    platforms = _renamed(spaces, by_url, "node").select("node", F.when(F.col("mark").isin(*PLATFORM_NAMESPACES), F.col("mark")).isNotNull().alias("p")).groupBy("node").agg(F.when(F.max("p"), "platform").alias("mark"))
+    said = rows.where(F.col("fuzzy").isNotNull()).select("obs_seq", F.lit(0).alias("ordinal"), F.col("fuzzy").alias("key"))
+    by_fuzzy = settle(platforms, _renamed(_renamed(_first_links(said), strong, "a", "b"), by_url, "a", "b"))
+    out = rows.select("obs_seq", F.col("obs_seq").alias("group"))
+    for names in (strong, by_url, by_fuzzy):
+        out = _renamed(out, names, "group")
+    return out
+
+
+def group_observations(obs: DataFrame, bound: int = MOST_REPLAYED) -> DataFrame:
+    """obs (obs_seq, keys, fuzzy) -> (obs_seq, group), AGG-01, JOIN-01."""
+    rows = cut(obs.select("obs_seq", "keys", "fuzzy"))
+    tagged = rows.select("obs_seq", F.posexplode(F.concat("keys", F.when(F.col("fuzzy").isNotNull(), F.array("fuzzy")).otherwise(F.array().cast("array<string>")))).alias("ordinal", "key"))
+    placed = cut(rows.join(components(_first_links(tagged), "a", "b").withColumnRenamed("node", "obs_seq"), "obs_seq", "left"))
+    linked = placed.where(F.col("component").isNotNull())
+    # at odds: two ids in a namespace, or of platforms
+    ids = linked.select("component", F.explode(strong_ids(F.col("keys"))).alias("id"))
+    spaces = ids.groupBy("component", _space(F.col("id")).alias("space")).agg((F.min("id") < F.max("id")).alias("several"))
+    platform = F.count_if(F.col("space").isin(*PLATFORM_NAMESPACES))
+    at_odds = spaces.groupBy("component").agg((F.bool_or("several") | (platform > 1)).alias("odd")).where("odd").select("component")
+    sizes = linked.join(at_odds, "component", "left_semi").groupBy("component").agg(F.count("*").alias("n"))
+    sizes = cut(sizes)
+    marked = placed.join(sizes, "component", "left")
 
     def each(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [(r["obs_seq"], r["keys"], r["fuzzy"]) for r in table.to_pylist()]
-        found = replay(rows)
+        found = replay([(r["obs_seq"], r["keys"], r["fuzzy"]) for r in table.to_pylist()])
         return pa.table({"obs_seq": pa.array(list(found), pa.int64()), "group": pa.array(list(found.values()), pa.int64())})
 
-    alone = placed.where(F.col("component").isNull()).select("obs_seq", F.col("obs_seq").alias("group"))
-    return placed.where(F.col("component").isNotNull()).groupBy("component").applyInArrow(each, "obs_seq long, group long").unionByName(alone)
+    whole = marked.where(F.col("n").isNull()).select("obs_seq", F.coalesce("component", "obs_seq").alias("group"))
+    small = marked.where(F.col("n") <= bound).select("component", "obs_seq", "keys", "fuzzy")
+    out = whole.unionByName(small.groupBy("component").applyInArrow(each, "obs_seq long, group long"))
+    if not sizes.where(F.col("n") > bound).isEmpty():
+        out = out.unionByName(resolve_large(cut(marked.where(F.col("n") > bound).select("obs_seq", "keys", "fuzzy"))))
+    return out
 
 
 def fuse(obs: DataFrame, aggregators: list[str] | None = None) -> DataFrame:
@@ -173,7 +260,7 @@ def _space(key: Column) -> Column:
 
 def strong_ids(keys: Column) -> Column:
     """The keys that a source issued: no URL, hash or fuzzy key."""
-    return F.filter(keys, lambda k: k.contains(":") & ~_space(k).isin(*WEAK_NAMESPACES, "url", "hash", "fz"))
+    return F.filter(keys, lambda k: k.contains(":") & (F.length(k) > F.length(_space(k)) + 1) & ~_space(k).isin(*WEAK_NAMESPACES, "url", "hash", "fz"))
 
 
 def platform_ids(keys: Column) -> Column:

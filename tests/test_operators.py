@@ -3,6 +3,8 @@ commands and streaming on small tables."""
 
 import datetime as dt
 import json
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -67,6 +69,29 @@ def test_groups_do_not_depend_on_partitions(spark):
         assert {r.obs_seq: r.group for r in got} == want
 
 
+@pytest.mark.parametrize("bound", [3])
+def test_rounds_are_the_replay(spark, bound):
+    """120 random graphs at once, each with keys of its own."""
+    rng, rows = random.Random(bound), []
+    for g in range(120):
+        names = [f"{space}:{g}-{k}" for space in ("a", "b", "c", "lever", "ashby", "http", "url", "url") for k in range(rng.randint(1, 3))] + [f"hash:{g}", f"a:b:{g}", f"d:{g}:"]
+        for k in range(rng.randint(1, 14)):
+            keys = rng.sample(names, rng.randint(1, 4)) if rng.random() < 0.6 else [f"url:{g}-{rng.randint(0, 2)}"]
+            rows.append((g * 100 + k, keys, rng.choice([None, f"fz:{g}-1", f"fz:{g}-2"])))
+    got = identity.group_observations(spark.createDataFrame(rows, "obs_seq long, keys array<string>, fuzzy string"), bound).collect()
+    assert {r.obs_seq: r.group for r in got} == identity.replay(rows) and len(got) == len(rows)
+
+
+def test_a_page_that_very_many_share(spark):
+    """One page, links in a chain, ids of a few namespaces: a few rounds, no task holds the component."""
+    space = {1: "feed", 2: "greenhouse", 3: "lever", 4: "ashby"}
+    rows = [(k, [f"{space.get(k % 9)}:{k // 18}"] * (k % 9 in space) + ["url:page"] * (k % 4 > 0) + [f"url:{k}", f"url:{k + 1}"] * (k % 5 == 0), f"fz:{k % 50}" if k % 3 else None) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "obs_seq long, keys array<string>, fuzzy string")
+    got = {r.obs_seq: r.group for r in identity.group_observations(df).collect()}
+    assert got == identity.replay(rows)
+    assert max(Counter(got.values()).values()) > 10_000
+
+
 def test_fusion(spark):
     rows = [
         (1, 1, 40, "Aggregate title", "", "https://agg.com/1", None, "x" * 400, at(3), False, True, "b1"),
