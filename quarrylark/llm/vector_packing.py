@@ -56,21 +56,27 @@ class Limits(NamedTuple):
 LIMITS = Limits()
 
 
+#: 1 a letter or digit of ASCII, 2 its other printing characters, 4 its white space.
+_KIND = np.array([1 if b < 128 and chr(b).isalnum() else 2 if 33 <= b <= 126 else 4 if b == 32 or 9 <= b <= 13 else 0 for b in range(256)], np.uint8)
+
+
 class ByteEncoder(Encoder):
-    """A byte-level tokenizer: a token never starts before and ends after the
-    place where ASCII white space follows a printing character, so texts are
-    encoded apart there. The character is known to print where it is ASCII or
-    has two bytes and isn't one of U+0080 to U+00BF."""
+    """A byte-level tokenizer. Texts are encoded apart where one of its tokens
+    always ends: where white space of ASCII follows a printing character, and
+    where other characters of ASCII follow its letters or digits. A character
+    of two bytes prints unless it is one of U+0080 to U+00BF."""
 
     def spans(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(raw):
             return raw, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        white = (raw == 32) | (raw >= 9) & (raw <= 13)
-        prints = (raw > 32) & (raw < 127)
+        kind = _KIND[raw]
+        prints = (kind == 1) | (kind == 2)
         prints[1:] |= (raw[1:] >= 128) & (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xDF)
-        inner = np.flatnonzero(white[1:] & prints[:-1]) + 1
-        starts = np.unique(np.concatenate((inner, offs[:-1][np.diff(offs) > 0])))
-        return raw, starts, np.concatenate((starts[1:], [len(raw)]))
+        opens = np.zeros(len(raw) + 1, bool)
+        opens[1:-1] = (kind[1:] == 4) & prints[:-1] | (kind[1:] == 2) & (kind[:-1] == 1)
+        opens[offs] = True
+        starts = np.flatnonzero(opens[:-1])
+        return raw, starts, np.append(starts[1:], len(raw))
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
