@@ -317,12 +317,16 @@ class VersionedTable:
         snapshot = f"snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{snapshot}")
         rows = self.spark.read.parquet(f"{self.folder}/{snapshot}").count()
-        body = json.dumps({"version": expected + 1, "snapshot": snapshot, "rows": rows, "at": time.time()}).encode()
+        return self._publish({"snapshot": snapshot, "rows": rows}, expected)
+
+    def _publish(self, body: dict, expected: int) -> int:
+        """Make the next version's manifest, unless there is one."""
+        content = json.dumps({**body, "version": expected + 1, "at": time.time()}).encode()
         try:  # creating without overwriting is the compare-and-set
             out = self._fs.create(self._path(f"{self.folder}/manifest-{expected + 1:012d}.json"), False)
         except Exception as e:
-            raise Conflict(f"version {expected + 1} exists; {snapshot} is kept") from e
-        out.write(bytearray(body))
+            raise Conflict(f"version {expected + 1} exists; what was written is kept") from e
+        out.write(bytearray(content))
         out.close()
         return expected + 1
 

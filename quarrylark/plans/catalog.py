@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylark.functions import dates, money, places, text, urls
 from quarrylark.operators import adjust, identity, insights, scoring, select, state
 from quarrylark.operators.graph import components
-from quarrylark.plans import commands, landed, rows  # noqa: F401  their queries are registered as they are imported
+from quarrylark.plans import commands, durable, landed, rows  # noqa: F401  their queries are registered as they are imported
 from quarrylark.plans.bindings import NOW, SQL_TITLE, TAXONOMY, now, scored, sql_fold, sql_scored, table, title
 from quarrylark.plans.registry import ORACLE_SQL, QUERIES, query
 from quarrylark.sources import html
