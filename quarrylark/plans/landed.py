@@ -15,67 +15,6 @@ from quarrylark.plans.bindings import NOW, now, table
 from quarrylark.plans.registry import query
 from quarrylark.sources import feeds, html, listings
 
-#: What a made item holds, with @ for its number.
-_SAID = {
-    "native_id": "@", "title": "Title @", "company": "Firm @", "url": "https://x.example/@", "location_raw": "Paris", "description": "<p>Text&nbsp;@ &amp; more</p>", "salary": "@0 EUR", "posted": "2024-01-02T03:04:05Z",
-    "employment_type": "Full", "remote": "true",
-}
-
-
-def _put(node: dict, path: str, value):
-    """Set a value at a JSON path; a value that is there stays. The two bounds
-    of a range get the value and one of their own."""
-    if "+" in path:
-        for p, v in zip(path.split("+"), (value, f"{value}9"), strict=True):
-            _put(node, p, v)
-        return None
-    steps = [s for s in re.split(r"\.|(\[[0-9*]\])", path.removeprefix("$")) if s]
-    many = steps[-1] == "[*]"
-    for step, after in zip(steps, [*steps[1:], None], strict=True):
-        last = after is None or after == "[*]"
-        if step == "[0]":
-            if last:
-                return node.append(value) if not node else None
-            if not node:
-                node.append({})
-            node = node[0]
-            continue
-        if step == "[*]":
-            return None
-        fresh = ([value, "Part"] if many else value) if last else [] if after == "[0]" else {}
-        node = node.setdefault(step, fresh)
-        if last and not many:
-            return None
-    return None
-
-
-def _get(node, path: str):
-    if "+" in path:
-        return "-".join(_get(node, p) for p in path.split("+"))
-    for step in [s for s in re.split(r"\.|\[([0-9*])\]", path.removeprefix("$")) if s]:
-        if step == "*":
-            return ", ".join(node)
-        node = node[int(step)] if isinstance(node, list) else node.get(step)
-    return node
-
-
-def _made(feed: feeds.JsonFeed) -> tuple[str, dict]:
-    """(body with @ for the number, what each field must read)."""
-    item: dict = {}
-    for f in ("title", *[x for x in feeds.FIELDS if x != "title"]):
-        if f in feed.fields:
-            _put(item, feed.fields[f][0], _SAID[f])
-    notice = {"legal": "notice"}
-    items: list = [notice, item]
-    body: object = items
-    for step in reversed([s for s in re.split(r"\.|(\[0\])", feed.items.removeprefix("$")) if s]):
-        body = [body] if step == "[0]" else {step: body}
-    return json.dumps(body), {f: _get(item, feed.fields[f][0]) if f in feed.fields else None for f in feeds.FIELDS}
-
-
-_MADE = [(f, *_made(f)) for f in feeds.FEEDS]
-
-
 def _sql(value: str | None, number: str) -> str:
     if value is None:
         return "NULL"
@@ -87,29 +26,96 @@ def _case(number: str, cases: list[str]) -> str:
     return f"CASE {number} % {len(cases)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END"
 
 
-def _plain(said: str | None) -> str | None:
-    return None if said is None else re.sub("<[^>]*>", "", said).replace("&nbsp;", " ").replace("&amp;", "&")
-
-
-def _read(field: str) -> str:
-    return _case("doc_id", [_sql(_plain(v[field]) if field == "description" else v[field], "doc_id") for _, _, v in _MADE])
+#: Answers as the services give them, and what has to be read from each: source, board, body, then native id, title,
+#: company, url, apply url, place, description, salary, employment, remote. @ is the document's number, L its language.
+_N = None
+_ANSWERS = [
+    ("remotive", _N, '{"job-count":2,"jobs":[{"legal":"notice"},{"id":@,"url":"https://r.example/@","title":"Role @ L","company_name":"Firm L","job_type":"full_time","publication_date":"2024-01-02T03:04:05","candidate_required_location":"Europe","salary":"","description":"<p>Maps&nbsp;@ &amp; more</p>"}]}',
+     "@", "Role @ L", "Firm L", "https://r.example/@", "https://r.example/@", "Remote - Europe", "Maps @ & more", _N, "full_time", True),
+    ("jobicy", _N, '{"jobs":[{"id":@,"jobTitle":"Role @ L","companyName":"Firm","url":"https://j.example/@","jobGeo":"","jobType":["full-time","contract"],"jobExcerpt":"Short @","annualSalaryMin":@1,"annualSalaryMax":@2,"salaryCurrency":"CAD"}]}',
+     "@", "Role @ L", "Firm", "https://j.example/@", "https://j.example/@", "Remote", "Short @", "CAD @1–@2", "full-time, contract", True),
+    ("himalayas", _N, '{"jobs":[{"guid":"h-@","title":"Role @","companyName":"Firm","applicationLink":"https://h.example/@","locationRestrictions":[{"alpha2":"L","name":"Land L"},"Spain"],"excerpt":"Short @","employmentType":"Full Time","minSalary":0,"maxSalary":@9,"currency":"EUR","publishedAt":"2024-01-02"}]}',
+     "h-@", "Role @", "Firm", "https://h.example/@", "https://h.example/@", "Remote - Land L, Spain", "Short @", "EUR –@9", "Full Time", True),
+    ("arbeitnow", _N, '{"data":[{"slug":"role-@","company_name":"Firm","title":"Role @","description":"Long @","remote":false,"url":"https://a.example/@","job_types":["berufseinstieg"],"location":"Berlin","created_at":1704164645}]}',
+     "role-@", "Role @", "Firm", "https://a.example/@", "https://a.example/@", "Berlin", "Long @", _N, "berufseinstieg", False),
+    ("remoteok", _N, '[{"legal":"notice"},{"id":"@","epoch":1704164645,"company":"Firm","position":"Role @","url":"https://o.example/@","apply_url":"https://o.example/@/apply","location":"L","description":"Long @","salary_min":@0,"salary_max":@5},{"id":"@","position":"Role again"}]',
+     "@", "Role @", "Firm", "https://o.example/@", "https://o.example/@/apply", "Remote - L", "Long @", "USD @0–@5", _N, True),
+    ("usajobs", _N, '{"SearchResult":{"SearchResultItems":[{"MatchedObjectId":"7@","MatchedObjectDescriptor":{"PositionID":"P-@","PositionTitle":"Role @","PositionURI":"https://u.example/@","ApplyURI":["https://u.example/@/apply"],"PositionLocationDisplay":"Denver, Colorado","DepartmentName":"Interior","PositionSchedule":[{"Name":"Full-time","Code":"1"},{"Name":"Shift"}],"PositionRemuneration":[{"MinimumRange":"@1","MaximumRange":"@2","Description":"Per Year"}],"QualificationSummary":"Quality @","UserArea":{"Details":{"JobSummary":"Long @","MajorDuties":["Map.","Measure."]}}}}]}}',
+     "P-@", "Role @", "Interior", "https://u.example/@", "https://u.example/@/apply", "Denver, Colorado", "Long @\n\nQuality @\n\nMap. Measure.", "USD @1–@2 Per Year", "Full-time, Shift", _N),
+    ("adzuna", _N, '{"results":[{"id":"@","title":"Role @","company":{"display_name":"Firm"},"redirect_url":"https://z.example/@","location":{"display_name":"Leeds"},"description":"Short @","salary_min":@1,"salary_max":@1,"created":"2024-01-02T03:04:05Z"}]}',
+     "@", "Role @", "Firm", "https://z.example/@", "https://z.example/@", "Leeds", "Short @", "@1", _N, _N),
+    ("jooble", _N, '{"totalCount":1,"jobs":[{"id":@,"title":"Role @","company":"Firm","link":"https://l.example/@","location":"Lyon","snippet":"Short @","salary":"@ EUR","updated":"2024-01-02"}]}',
+     "@", "Role @", "Firm", "https://l.example/@", "https://l.example/@", "Lyon", "Short @", "@ EUR", _N, _N),
+    ("jsearch", _N, '{"data":[{"job_id":"s@==","job_title":"Role @","employer_name":"Firm","job_apply_link":"https://s.example/@","job_city":"","job_country":"US","job_description":"Long @","job_is_remote":true}]}',
+     "s@==", "Role @", "Firm", "https://s.example/@", "https://s.example/@", "US", "Long @", _N, _N, True),
+    ("reliefweb", _N, '{"data":[{"id":"@","fields":{"title":"Role @","url":"https://w.example/@","body":"Long @","source":[{"name":"Firm"},{"name":"Other"}],"country":[{"name":"Chad"}],"date":{"created":"2024-01-02"}}}]}',
+     "@", "Role @", "Firm", "https://w.example/@", "https://w.example/@", "Chad", "Long @", _N, _N, _N),
+    ("workable_search", _N, '{"jobs":[{"id":"k@","title":"Role @","company":{"title":"Firm"},"url":"https://k.example/@","location":{"city":"Porto","countryName":"Portugal"},"description":"Long @","created":"2024-01-02"}]}',
+     "k@", "Role @", "Firm", "https://k.example/@", "https://k.example/@", "Porto", "Long @", _N, _N, _N),
+    ("freehire", _N, '{"data":[{"public_slug":"gone-@","title":"Closed @","closed_at":"2024-01-01"},{"public_slug":"role-@","id":1,"title":"Role @","company":"Firm","url":"https://f.example/@?utm_source=x","location":"Lyon","countries":["xx","fr"],"description":"Long @","work_mode":"remote","posted_at":"2024-01-02","enrichment":{"salary_min":@1,"salary_max":0,"salary_currency":"EUR","salary_period":"year","employment_type":"full_time"}}]}',
+     "role-@", "Role @", "Firm", "https://f.example/@", "https://f.example/@", "Lyon, France", "Long @", "EUR @1– year", "full time", True),
+    ("freehire", _N, '{"data":[{"public_slug":"bare-@","title":"Role @","url":"","location":"Nice, France","countries":["FR"],"work_mode":"onsite","enrichment":null}]}',
+     "bare-@", "Role @", _N, "https://freehire.dev/jobs/bare-@", "https://freehire.dev/jobs/bare-@", "Nice, France", _N, _N, _N, _N),
+    ("hn_hiring", _N, '{"hits":[{"objectID":"@","comment_text":"Role @ | Firm","story_url":"https://n.example/@","created_at":"2024-01-02T03:04:05Z"}]}',
+     "@", "Role @ | Firm", _N, "https://n.example/@", "https://n.example/@", _N, "Role @ | Firm", _N, _N, _N),
+    ("bundesagentur", _N, '{"maxErgebnisse":1,"ergebnisliste":[{"referenznummer":"10-@-S","stellenangebotsTitel":"Role @","firma":"Firm","externeURL":"https://b.example/@","stellenlokationen":[{"adresse":{"ort":"Bonn","region":"NORDRHEIN_WESTFALEN"}}],"homeofficemoeglich":true,"homeofficeprozent":100,"arbeitszeitVollzeit":true,"gehaltsspanneVon":@1,"gehaltsspanneBis":@2,"verguetungsangabe":"JAHRESGEHALT"}]}',
+     "10-@-S", "Role @", "Firm", "https://www.arbeitsagentur.de/jobsuche/jobdetail/10-@-S", "https://b.example/@", "Bonn, Nordrhein Westfalen, Germany", _N, "EUR @1–@2 yearly", "Full-time", True),
+    ("bundesagentur", _N, '{"ergebnisliste":[{"referenznummer":"10-@-T","stellenangebotsTitel":"Role @","homeofficemoeglich":true,"homeofficeprozent":50,"gehaltsspanneBis":@2,"stellenlokationen":[]}]}',
+     "10-@-T", "Role @", _N, "https://www.arbeitsagentur.de/jobsuche/jobdetail/10-@-T", "https://www.arbeitsagentur.de/jobsuche/jobdetail/10-@-T", "Germany", _N, "EUR –@2", _N, _N),
+    ("eures", _N, '{"jvs":[{"id":"e@","translations":{"sv":{"title":"Roll @","description":"Kort @"},"nl":{"title":"Rol @","description":"Lang @"}},"employer":{"name":"Firm"},"creationDate":1704164645000}]}',
+     "e@", "Rol @", "Firm", _N, _N, _N, "Lang @", _N, _N, _N),
+    ("france_travail", _N, '{"resultats":[{"id":"@F","intitule":"Role @","entreprise":{"nom":"Firm"},"lieuTravail":{"libelle":"34 - Montpellier"},"description":"Long @","salaire":{"libelle":"Annuel de @ Euros"},"contact":{"urlPostulation":"https://t.example/@"},"dateCreation":"2024-01-02"}]}',
+     "@F", "Role @", "Firm", "https://candidat.francetravail.fr/offres/recherche/detail/@F", "https://t.example/@", "34 - Montpellier", "Long @", "Annuel de @ Euros", _N, _N),
+    ("greenhouse", _N, '{"jobs":[{"id":@,"title":"Role @","absolute_url":"https://g.example/@","location":{"name":"Oslo"},"content":"&lt;p&gt;Long @&lt;/p&gt;","updated_at":"2024-01-02"}]}',
+     "@", "Role @", _N, "https://g.example/@", "https://g.example/@", "Oslo", "Long @", _N, _N, _N),
+    ("lever", _N, '[{"id":"v@","text":"Role @","hostedUrl":"https://v.example/@","categories":{"location":"Oslo","commitment":"Full-time"},"descriptionPlain":"Long @","createdAt":1704164645000}]',
+     "v@", "Role @", _N, "https://v.example/@", "https://v.example/@", "Oslo", "Long @", _N, "Full-time", _N),
+    ("ashby", _N, '{"jobs":[{"id":"y@","title":"Role @","jobUrl":"https://y.example/@","location":"Oslo","descriptionHtml":"<b>Long</b> @","employmentType":"FullTime","isRemote":false}]}',
+     "y@", "Role @", _N, "https://y.example/@", "https://y.example/@", "Oslo", "Long @", _N, "FullTime", False),
+    ("smartrecruiters", _N, '{"content":[{"id":"74@","name":"Role @","company":{"name":"Firm"},"ref":"https://m.example/@","location":{"city":"Oslo","remote":true},"releasedDate":"2024-01-02","typeOfEmployment":{"label":"Full-time"}}]}',
+     "74@", "Role @", "Firm", "https://m.example/@", "https://m.example/@", "Oslo", _N, _N, "Full-time", True),
+    ("workable", _N, '{"jobs":[{"shortcode":"AB@","title":"Role @","url":"https://wk.example/@","city":"","country":"Norway","telecommuting":true,"description":"Long @"}]}',
+     "AB@", "Role @", _N, "https://wk.example/@", "https://wk.example/@", "Norway", "Long @", _N, _N, True),
+    ("recruitee", _N, '{"offers":[{"id":@,"title":"Role @","company_name":"Firm","careers_url":"https://rc.example/@","location":"Oslo","description":"Long @","remote":false}]}',
+     "@", "Role @", "Firm", "https://rc.example/@", "https://rc.example/@", "Oslo", "Long @", _N, _N, False),
+    ("workday", "Acme/wd3/Careers", '{"total":2,"jobPostings":[{"title":"Role @","externalPath":"/job/Oslo/Role_JR-@","locationsText":"Oslo","postedOn":"Posted Today","bulletFields":["jr-@"]}]}',
+     "acme:JR-@", "Role @", _N, "https://Acme.wd3.myworkdayjobs.com/Careers/job/Oslo/Role_JR-@", "https://Acme.wd3.myworkdayjobs.com/Careers/job/Oslo/Role_JR-@", "Oslo", _N, _N, _N, _N),
+    ("oracle", _N, '{"items":[{"requisitionList":[{"Id":"@","Title":"Role @","PrimaryLocation":"Oslo","ShortDescriptionStr":"Short @","PostedDate":"2024-01-02"}]}]}',
+     "@", "Role @", _N, _N, _N, "Oslo", "Short @", _N, _N, _N),
+    ("tenders", _N, '{"notices":[{"publication-number":"@-2024","notice-title":"Role @","buyer-name":"Firm","buyer-country":"NOR","links":{"html":"https://t.example/@"},"publication-date":"2024-01-02"}]}',
+     "@-2024", "Role @", "Firm", "https://t.example/@", "https://t.example/@", "NOR", _N, _N, _N, _N),
+    ("procurement_notices", _N, '{"procnotices":[{"id":"OP@","bid_description":"Role @","contact_organization":"Firm","project_ctry_name":"Chad","url":"https://p.example/@","noticedate":"02-Jan-2024"}]}',
+     "OP@", "Role @", "Firm", "https://p.example/@", "https://p.example/@", "Chad", _N, _N, _N, _N),
+    ("remotive", _N, "<html>moved</html>", _N, _N, _N, _N, _N, _N, _N, _N, _N, _N),
+    ("lever", _N, "[]", _N, _N, _N, _N, _N, _N, _N, _N, _N, _N),
+]
+
+
+def _said_sql(column: int) -> str:
+    """A column of the answers by the document's number."""
+
+    def one(value) -> str:
+        if value is None or isinstance(value, bool):
+            return "NULL" if value is None else str(value).lower()
+        text = value.replace("'", "''").replace("\n", "'||chr(10)||'")
+        text = re.sub(r"\bL\b", "'||lang||'", text).replace("@", "'||doc_id||'")
+        return f"'{text}'"
+
+    return _case("doc_id", [one(a[column]) for a in _ANSWERS])
 
 
 @query("json_feeds", f"""
-SELECT doc_id AS landed, {_case("doc_id", [f"'{f.name}'" for f, _, _ in _MADE])} AS source_name, {_case("doc_id", [f"'{f.source_type}'" for f, _, _ in _MADE])} AS source_type, {_case("doc_id", [f"concat('{f.name}:', {_sql(v['native_id'], 'doc_id')})" for f, _, v in _MADE])} AS native_id,
-  {_read("title")} AS title, {_read("company")} AS company, {_read("url")} AS url, {_read("location_raw")} AS location_raw, {_read("description")} AS description, {_read("salary")} AS salary, {_read("employment_type")} AS employment_type, {_case("doc_id", ["true" if "remote" in f.fields else "NULL" for f, _, _ in _MADE])} AS remote_flag
-FROM documents""")
+SELECT * FROM (SELECT doc_id AS landed, {_case("doc_id", [f"'{a[0]}'" for a in _ANSWERS])} AS source_name, {_case("doc_id", [f"'{a[0]}:'" for a in _ANSWERS])} || {_said_sql(3)} AS native_id, {_said_sql(4)} AS title, {_said_sql(5)} AS company, {_said_sql(6)} AS url, {_said_sql(7)} AS apply_url,
+  {_said_sql(8)} AS location_raw, {_said_sql(9)} AS description, {_said_sql(10)} AS salary, {_said_sql(11)} AS employment_type, {_said_sql(12)} AS remote_flag FROM (SELECT doc_id, coalesce(lang, 'xx') AS lang FROM documents)) WHERE title IS NOT NULL""")
 def json_feeds(spark, sf):
-    """SRC-01 to SRC-06, SRC-08, SRC-10 to SRC-14, SRC-18, SRC-20 to SRC-26,
-    SRC-28 to SRC-30, SRC-38: every JSON feed over bodies of its shape, each
-    with an item that has no title (SRC-06)."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("landed"))
-    out = None
-    for k, (feed, body, _) in enumerate(_MADE):
-        bodies = d.where(F.col("landed") % len(_MADE) == k).withColumn("body", F.replace(F.lit(body), F.lit("@"), F.col("landed").cast("string")))
-        part = feeds.parse_feed(bodies, feed).select("landed", "source_name", "source_type", "native_id", "title", "company", "url", "location_raw", F.trim("description").alias("description"), "salary", "employment_type", "remote_flag")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """SRC-01 to SRC-06, SRC-08, SRC-10 to SRC-15, SRC-17, SRC-18, SRC-20 to
+    SRC-26, SRC-28 to SRC-30, SRC-38: answers of all JSON feeds in one pass,
+    with notices, closed postings, repeated ids, empty and broken ones."""
+    k = F.col("doc_id") % len(_ANSWERS)
+    pick = lambda c: F.element_at(F.array(*[F.lit(a[c]) for a in _ANSWERS]), k.cast("int") + 1)
+    body = F.replace(F.regexp_replace(pick(2), r"\bL\b", F.coalesce("lang", F.lit("xx"))), F.lit("@"), F.col("doc_id").cast("string"))
+    bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("landed"), pick(0).alias("source"), pick(1).alias("board"), body.alias("body"))
+    return feeds.parse_feeds(bodies).select("landed", "source_name", "native_id", "title", "company", "url", "apply_url", "location_raw", F.trim("description").alias("description"), "salary", "employment_type", "remote_flag")
 
 
 @query("feed_outcomes", "SELECT doc_id AS landed, CASE doc_id % 4 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM documents")

@@ -12,6 +12,7 @@ import csv
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -19,58 +20,141 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylark.functions.places import DEFAULT
 from quarrylark.functions.text import repair_entities
 from quarrylark.sources.html import html_text, html_to_text
 
-FIELDS = ["native_id", "title", "company", "url", "location_raw", "description", "salary", "posted", "employment_type", "remote"]
+FIELDS = ["native_id", "title", "company", "url", "apply_url", "location_raw", "description", "salary", "posted", "employment_type", "remote"]
+
+
+@dataclass(frozen=True)
+class Pay:
+    """Where an item's pay is: a currency, or the path of one; the paths of
+    its bounds and of its unit."""
+
+    low: str
+    high: str
+    currency: str | None = None
+    unit: str | None = None
 
 
 @dataclass(frozen=True)
 class JsonFeed:
     """items: path of the array; fields: JSON paths, tried in order; a path
-    that ends in [*] joins an array's values with commas, paths joined by +
-    are the bounds of a range, and .*. stands for any key of an object, the
-    first in order that has a value."""
+    that ends in [*] joins an array's values (of objects their names) with
+    commas, paths joined by + are the bounds of a range, and .*. stands for
+    any key of an object, the first in order that has a value. remote_only:
+    a board of remote work, whose place is what it is restricted to. page: what
+    an id is put behind where an item has no url. closed: the path of what only
+    closed postings have. made: fields made of the item and its board."""
 
     name: str
     items: str
     fields: dict[str, list[str]]
     source_type: str = "feed"
     require: str = "title"
-    native: str | None = None
     reliable_date: bool = True
-    extra: dict[str, str] = field(default_factory=dict)
+    remote_only: bool = False
+    pay: Pay | None = None
+    page: str | None = None
+    closed: str | None = None
+    made: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
 
 
 def _f(**paths: str) -> dict[str, list[str]]:
     return {k: v.split("|") for k, v in paths.items()}
 
 
+ISO_COUNTRIES = {code.upper(): name for code, name in DEFAULT.countries.items() if len(code) == 2}
+
+
+def _at(item: Column, path: str) -> Column:
+    """What stands at a path, null if it is empty."""
+    return F.nullif(F.trim(F.get_json_object(item, path)), F.lit(""))
+
+
+def _duties(item: Column, board: Column) -> Column:
+    head = "$.MatchedObjectDescriptor"
+    duties = F.array_join(F.from_json(F.get_json_object(item, f"{head}.UserArea.Details.MajorDuties"), "array<string>"), " ")
+    return F.nullif(F.concat_ws("\n\n", _at(item, f"{head}.UserArea.Details.JobSummary"), _at(item, f"{head}.QualificationSummary"), F.nullif(duties, F.lit(""))), F.lit(""))
+
+
+def _schedules(item: Column, board: Column) -> Column:
+    named = F.from_json(F.get_json_object(item, "$.MatchedObjectDescriptor.PositionSchedule"), "array<struct<Name:string>>")
+    return F.array_join(named["Name"], ", ")
+
+
+def _german_place(item: Column, board: Column) -> Column:
+    at = "$.stellenlokationen[0].adresse"
+    return F.concat_ws(", ", _at(item, f"{at}.ort"), F.initcap(F.replace(_at(item, f"{at}.region"), F.lit("_"), F.lit(" "))), F.lit("Germany"))
+
+
+def _mostly_home(item: Column, board: Column) -> Column:
+    return F.when((_at(item, "$.homeofficemoeglich") == "true") & (_at(item, "$.homeofficeprozent").try_cast("int") >= 90), "true")
+
+
+def _workday(item: Column, board: Column) -> tuple[Column, Column, Column, Column]:
+    """tenant, server, site of `tenant/server/site`, and the requisition."""
+    part = lambda k: F.get(F.split(board, "/"), F.lit(k))
+    return part(0), part(1), part(2), F.upper(_at(item, "$.bulletFields[0]"))
+
+
+def _workday_id(item: Column, board: Column) -> Column:
+    tenant, _, _, requisition = _workday(item, board)
+    return F.when(requisition.isNotNull(), F.concat_ws(":", F.lower(tenant), requisition))
+
+
+def _workday_url(item: Column, board: Column) -> Column:
+    tenant, server, site, _ = _workday(item, board)
+    return F.concat(F.lit("https://"), tenant, F.lit("."), server, F.lit(".myworkdayjobs.com/"), site, _at(item, "$.externalPath"))
+
+
+def _slug_place(item: Column, board: Column) -> Column:
+    """The place, with the first country's name where it is not in it."""
+    codes = F.from_json(F.get_json_object(item, "$.countries"), "array<string>")
+    names = F.create_map(*[F.lit(x) for code, name in ISO_COUNTRIES.items() for x in (code, name)])
+    country = F.get(F.filter(F.transform(codes, lambda c: F.try_element_at(names, F.upper(c))), lambda c: c.isNotNull()), F.lit(0))
+    place = _at(item, "$.location")
+    return F.when(place.isNotNull() & F.contains(F.lower(place), F.lower(country)), place).otherwise(F.nullif(F.concat_ws(", ", place, country), F.lit("")))
+
+
 #: Public response shapes of the services.
 FEEDS = [
-    JsonFeed("remotive", "$.jobs", _f(native_id="$.id", title="$.title", company="$.company_name", url="$.url", location_raw="$.candidate_required_location", description="$.description", salary="$.salary", posted="$.publication_date", employment_type="$.job_type")),
-    JsonFeed("jobicy", "$.jobs", _f(native_id="$.id", title="$.jobTitle", company="$.companyName", url="$.url", location_raw="$.jobGeo", description="$.jobDescription|$.jobExcerpt", salary="$.annualSalaryMin+$.annualSalaryMax", posted="$.pubDate", employment_type="$.jobType[*]")),
-    JsonFeed("himalayas", "$.jobs", _f(native_id="$.guid", title="$.title", company="$.companyName", url="$.applicationLink|$.guid", location_raw="$.locationRestrictions[*]", description="$.description|$.excerpt", posted="$.pubDate", employment_type="$.employmentType")),
+    JsonFeed("remotive", "$.jobs", _f(native_id="$.id", title="$.title", company="$.company_name", url="$.url", location_raw="$.candidate_required_location", description="$.description", salary="$.salary", posted="$.publication_date", employment_type="$.job_type"), remote_only=True),
+    JsonFeed("jobicy", "$.jobs", _f(native_id="$.id", title="$.jobTitle", company="$.companyName", url="$.url", location_raw="$.jobGeo", description="$.jobDescription|$.jobExcerpt", posted="$.pubDate", employment_type="$.jobType[*]"), remote_only=True, pay=Pay("$.annualSalaryMin", "$.annualSalaryMax", "$.salaryCurrency")),
+    JsonFeed("himalayas", "$.jobs", _f(native_id="$.guid|$.applicationLink", title="$.title", company="$.companyName", url="$.applicationLink|$.guid", location_raw="$.locationRestrictions[*]", description="$.description|$.excerpt", posted="$.pubDate|$.publishedAt", employment_type="$.employmentType"), remote_only=True, pay=Pay("$.minSalary", "$.maxSalary", "$.currency")),
     JsonFeed("arbeitnow", "$.data", _f(native_id="$.slug", title="$.title", company="$.company_name", url="$.url", location_raw="$.location", description="$.description", posted="$.created_at", employment_type="$.job_types[*]", remote="$.remote")),
-    JsonFeed("remoteok", "$", _f(native_id="$.id", title="$.position", company="$.company", url="$.url", location_raw="$.location", description="$.description", posted="$.date")),
-    JsonFeed("usajobs", "$.SearchResult.SearchResultItems", _f(native_id="$.MatchedObjectId", title="$.MatchedObjectDescriptor.PositionTitle", company="$.MatchedObjectDescriptor.OrganizationName", url="$.MatchedObjectDescriptor.PositionURI", location_raw="$.MatchedObjectDescriptor.PositionLocationDisplay", description="$.MatchedObjectDescriptor.UserArea.Details.JobSummary", posted="$.MatchedObjectDescriptor.PublicationStartDate"), "government"),
+    JsonFeed("remoteok", "$", _f(native_id="$.id", title="$.position", company="$.company", url="$.url", apply_url="$.apply_url", location_raw="$.location", description="$.description", posted="$.epoch|$.date"), remote_only=True, pay=Pay("$.salary_min", "$.salary_max", "USD")),
+    JsonFeed(
+        "usajobs", "$.SearchResult.SearchResultItems",
+        _f(native_id="$.MatchedObjectDescriptor.PositionID|$.MatchedObjectDescriptor.PositionURI", title="$.MatchedObjectDescriptor.PositionTitle", company="$.MatchedObjectDescriptor.OrganizationName|$.MatchedObjectDescriptor.DepartmentName", url="$.MatchedObjectDescriptor.PositionURI", apply_url="$.MatchedObjectDescriptor.ApplyURI[0]", location_raw="$.MatchedObjectDescriptor.PositionLocationDisplay", posted="$.MatchedObjectDescriptor.PublicationStartDate"),
+        "government", pay=Pay("$.MatchedObjectDescriptor.PositionRemuneration[0].MinimumRange", "$.MatchedObjectDescriptor.PositionRemuneration[0].MaximumRange", "USD", "$.MatchedObjectDescriptor.PositionRemuneration[0].Description"), made={"description": _duties, "employment_type": _schedules},
+    ),
     JsonFeed("adzuna", "$.results", _f(native_id="$.id", title="$.title", company="$.company.display_name", url="$.redirect_url", location_raw="$.location.display_name", description="$.description", salary="$.salary_min+$.salary_max", posted="$.created"), "aggregator"),
     JsonFeed("jooble", "$.jobs", _f(native_id="$.id", title="$.title", company="$.company", url="$.link", location_raw="$.location", description="$.snippet", salary="$.salary", posted="$.updated"), "aggregator", reliable_date=False),
     JsonFeed("jsearch", "$.data", _f(native_id="$.job_id", title="$.job_title", company="$.employer_name", url="$.job_apply_link", location_raw="$.job_city|$.job_country", description="$.job_description", posted="$.job_posted_at_datetime_utc", remote="$.job_is_remote"), "aggregator"),
     JsonFeed("reliefweb", "$.data", _f(native_id="$.id", title="$.fields.title", company="$.fields.source[0].name", url="$.fields.url", location_raw="$.fields.country[0].name", description="$.fields.body", posted="$.fields.date.created")),
     JsonFeed("workable_search", "$.jobs", _f(native_id="$.id", title="$.title", company="$.company.title", url="$.url", location_raw="$.location.city|$.location.countryName", description="$.description", posted="$.created"), "aggregator"),
-    JsonFeed("freehire", "$.data", _f(native_id="$.id", title="$.title", company="$.company", url="$.url", location_raw="$.location", description="$.description", posted="$.published_at"), "aggregator"),
+    JsonFeed(
+        "freehire", "$.data", _f(native_id="$.public_slug|$.url", title="$.title", company="$.company", url="$.url", description="$.description", posted="$.posted_at|$.created_at"), "aggregator",
+        pay=Pay("$.enrichment.salary_min", "$.enrichment.salary_max", "$.enrichment.salary_currency", "$.enrichment.salary_period"), page="https://freehire.dev/jobs/", closed="$.closed_at",
+        made={"location_raw": _slug_place, "remote": lambda i, b: F.when(_at(i, "$.work_mode") == "remote", "true"), "employment_type": lambda i, b: F.replace(_at(i, "$.enrichment.employment_type"), F.lit("_"), F.lit(" ")), "url": lambda i, b: F.substring_index(_at(i, "$.url"), "?utm_", 1)},
+    ),
     JsonFeed("hn_hiring", "$.hits", _f(native_id="$.objectID", title="$.comment_text", url="$.story_url", description="$.comment_text", posted="$.created_at"), "feed"),
-    JsonFeed("bundesagentur", "$.stellenangebote", _f(native_id="$.refnr", title="$.titel", company="$.arbeitgeber", url="$.externeUrl", location_raw="$.arbeitsort.ort", description="$.stellenbeschreibung", posted="$.aktuelleVeroeffentlichungsdatum"), "government"),
+    JsonFeed(
+        "bundesagentur", "$.ergebnisliste", _f(native_id="$.referenznummer", title="$.stellenangebotsTitel", company="$.firma", apply_url="$.externeURL", description="$.stellenangebotsBeschreibung", posted="$.datumErsteVeroeffentlichung|$.veroeffentlichungszeitraum.von"), "government",
+        pay=Pay("$.gehaltsspanneVon", "$.gehaltsspanneBis", "EUR", "$.verguetungsangabe"), page="https://www.arbeitsagentur.de/jobsuche/jobdetail/",
+        made={"location_raw": _german_place, "remote": _mostly_home, "employment_type": lambda i, b: F.when(_at(i, "$.arbeitszeitVollzeit") == "true", "Full-time")},
+    ),
     JsonFeed("eures", "$.jvs", _f(native_id="$.id", title="$.translations.en.title|$.translations.fr.title|$.translations.*.title|$.title", company="$.employer.name", location_raw="$.locationMap", description="$.translations.en.description|$.translations.fr.description|$.translations.*.description|$.description", posted="$.creationDate"), "government"),
-    JsonFeed("france_travail", "$.resultats", _f(native_id="$.id", title="$.intitule", company="$.entreprise.nom", url="$.origineOffre.urlOrigine", location_raw="$.lieuTravail.libelle", description="$.description", salary="$.salaire.libelle", posted="$.dateCreation"), "government"),
-    JsonFeed("greenhouse", "$.jobs", _f(native_id="$.id", title="$.title", url="$.absolute_url", location_raw="$.location.name", description="$.content", posted="$.first_published|$.updated_at"), "ats"),
+    JsonFeed("france_travail", "$.resultats", _f(native_id="$.id", title="$.intitule", company="$.entreprise.nom", url="$.origineOffre.urlOrigine", apply_url="$.contact.urlPostulation", location_raw="$.lieuTravail.libelle", description="$.description", salary="$.salaire.libelle", posted="$.dateCreation"), "government", page="https://candidat.francetravail.fr/offres/recherche/detail/"),
+    JsonFeed("greenhouse", "$.jobs", _f(native_id="$.id", title="$.title", url="$.absolute_url", location_raw="$.location.name", posted="$.first_published|$.updated_at"), "ats", made={"description": lambda i, b: html_text(_at(i, "$.content"))}),  # its HTML is escaped once more
     JsonFeed("lever", "$", _f(native_id="$.id", title="$.text", url="$.hostedUrl", location_raw="$.categories.location", description="$.descriptionPlain|$.description", posted="$.createdAt", employment_type="$.categories.commitment"), "ats"),
     JsonFeed("ashby", "$.jobs", _f(native_id="$.id", title="$.title", url="$.jobUrl", location_raw="$.location", description="$.descriptionPlain|$.descriptionHtml", posted="$.publishedAt", employment_type="$.employmentType", remote="$.isRemote"), "ats"),
     JsonFeed("smartrecruiters", "$.content", _f(native_id="$.id", title="$.name", company="$.company.name", url="$.ref", location_raw="$.location.fullLocation|$.location.city", posted="$.releasedDate", employment_type="$.typeOfEmployment.label", remote="$.location.remote"), "ats"),
     JsonFeed("workable", "$.jobs", _f(native_id="$.shortcode", title="$.title", url="$.url", location_raw="$.city|$.country", description="$.description", posted="$.published_on", remote="$.telecommuting"), "ats"),
     JsonFeed("recruitee", "$.offers", _f(native_id="$.id", title="$.title", company="$.company_name", url="$.careers_url", location_raw="$.location", description="$.description", posted="$.published_at", remote="$.remote"), "ats"),
-    JsonFeed("workday", "$.jobPostings", _f(native_id="$.externalPath", title="$.title", url="$.externalPath", location_raw="$.locationsText", posted="$.postedOn"), "ats", reliable_date=False),
+    JsonFeed("workday", "$.jobPostings", _f(title="$.title", location_raw="$.locationsText", posted="$.postedOn"), "ats", reliable_date=False, made={"native_id": _workday_id, "url": _workday_url}),
     JsonFeed("oracle", "$.items[0].requisitionList", _f(native_id="$.Id", title="$.Title", location_raw="$.PrimaryLocation", description="$.ShortDescriptionStr", posted="$.PostedDate"), "ats"),
     JsonFeed("tenders", "$.notices", _f(native_id="$.publication-number|$.id", title="$.notice-title|$.title", company="$.buyer-name", url="$.links.html", location_raw="$.buyer-country", posted="$.publication-date"), "government"),
     JsonFeed("procurement_notices", "$.procnotices", _f(native_id="$.id", title="$.bid_description|$.project_name", company="$.contact_organization", url="$.url", location_raw="$.project_ctry_name", posted="$.noticedate"), "government"),
@@ -78,47 +162,100 @@ FEEDS = [
 BY_NAME = {f.name: f for f in FEEDS}
 
 
-def _value(item: Column, paths: list[str]) -> Column:
-    out = []
-    for p in paths:
-        if "+" in p:
-            low, high = (F.nullif(F.get_json_object(item, x), F.lit("")) for x in p.split("+"))
-            out.append(F.nullif(F.concat_ws("-", low, F.when(~high.eqNullSafe(low), high)), F.lit("")))
-        elif ".*." in p:
-            head, _, tail = p.partition(".*.")
-            node = F.from_json(F.get_json_object(item, head), "map<string,string>")
-            said = F.transform(F.array_sort(F.map_keys(node)), lambda k: F.get_json_object(F.element_at(node, k), f"$.{tail}"))
-            out.append(F.get(F.filter(said, lambda v: F.length(v) > 0), F.lit(0)))
-        elif p.endswith("[*]"):
-            array = F.from_json(F.get_json_object(item, p[:-3]), "array<string>")
-            out.append(F.coalesce(F.array_join(array, ", "), F.get_json_object(item, p[:-3])))
-        else:
-            out.append(F.get_json_object(item, p))
-    return F.nullif(F.trim(F.coalesce(*out)), F.lit(""))
+#: What a service's words for the unit of pay mean.
+PAY_WORDS = {"JAHRESGEHALT": "yearly", "MONATSGEHALT": "monthly", "STUNDENLOHN": "hourly"}
+
+
+def _json(text: Column, path: Column) -> Column:
+    """get_json_object with a path that is a column."""
+    return F.call_function("get_json_object", text, path)
+
+
+def _one(item: Column, path: Column) -> Column:
+    """The text at one path of a declaration."""
+    range_, any_key, list_ = F.split(path, r"\+"), F.split(path, r"\.\*\.", 2), F.rtrim(path, F.lit("[*]"))
+    bound = lambda k: F.nullif(_json(item, F.get(range_, F.lit(k))), F.lit(""))
+    both = F.nullif(F.concat_ws("-", bound(0), F.when(~bound(1).eqNullSafe(bound(0)), bound(1))), F.lit(""))
+    node = F.from_json(_json(item, F.get(any_key, F.lit(0))), "map<string,string>")
+    keyed = F.transform(F.array_sort(F.map_keys(node)), lambda k: _json(F.element_at(node, k), F.concat(F.lit("$."), F.get(any_key, F.lit(1)))))
+    array = F.from_json(_json(item, list_), "array<string>")
+    named = F.transform(array, lambda e: F.coalesce(_json(e, F.lit("$.name")), e))
+    listed = F.coalesce(F.array_join(F.filter(named, lambda e: F.length(e) > 0), ", "), _json(item, list_))
+    return F.when(path.contains("+"), both).when(path.contains(".*."), F.get(F.filter(keyed, lambda v: F.length(v) > 0), F.lit(0))).when(path.endswith("[*]"), listed).otherwise(_json(item, path))
+
+
+def _value(item: Column, paths: Column) -> Column:
+    """The first text that is not empty."""
+    said = F.transform(paths, lambda p: F.nullif(F.trim(_one(item, p)), F.lit("")))
+    return F.get(F.filter(said, lambda v: v.isNotNull()), F.lit(0))
+
+
+def _specs(spark: SparkSession, feeds: list[JsonFeed]) -> DataFrame:
+    """The declarations as rows, one a feed."""
+    kind = "source string, source_type string, items string, require string, reliable boolean, remote_only boolean, page string, closed string, fields map<string,array<string>>, pay struct<low:string,high:string,currency:string,unit:string>"
+    pay = lambda f: (f.pay.low, f.pay.high, f.pay.currency, f.pay.unit) if f.pay else None
+    return spark.createDataFrame([(f.name, f.source_type, f.items, f.require, f.reliable_date, f.remote_only, f.page, f.closed, f.fields, pay(f)) for f in feeds], kind)
+
+
+def _items(bodies: DataFrame, feeds: list[JsonFeed]) -> DataFrame:
+    """Bodies beside their feed's declaration, with the array of items. The
+    declarations are configuration, one row a feed."""
+    rows = bodies if "board" in bodies.columns else bodies.withColumn("board", F.lit(None).cast("string"))
+    rows = rows.select("landed", "source", "board", "body").join(F.broadcast(_specs(bodies.sparkSession, feeds)), "source")
+    array = F.when(F.col("items") == "$", F.col("body")).otherwise(_json(F.col("body"), F.col("items")))
+    return rows.withColumn("array", F.from_json(array, "array<string>"))
+
+
+def _pay(item: Column) -> Column:
+    at = lambda name: _json(item, F.col(f"pay.{name}"))
+    bound = lambda name: F.coalesce(F.nullif(F.nullif(at(name), F.lit("0")), F.lit("")), F.lit(""))
+    currency = F.when(F.col("pay.currency").startswith("$"), at("currency")).otherwise(F.col("pay.currency"))
+    words = F.create_map(*[F.lit(x) for kv in PAY_WORDS.items() for x in kv])
+    unit = F.coalesce(F.try_element_at(words, at("unit")), at("unit"))
+    said = F.concat_ws(" ", F.nullif(currency, F.lit("")), F.concat(bound("low"), F.lit("–"), bound("high")), F.nullif(unit, F.lit("")))
+    return F.when((bound("low") != "") | (bound("high") != ""), said)
+
+
+def parse_feeds(bodies: DataFrame, feeds: list[JsonFeed] | None = None) -> DataFrame:
+    """Observations of landed bodies of any feeds (SRC-01), in one pass: items
+    without the required field go (a notice, say), closed ones too, repeated
+    ids of a source stay once, the first body wins. bodies: landed (order),
+    source, body and, where a feed's links need it, board."""
+    feeds = FEEDS if feeds is None else feeds
+    rows = _items(bodies, feeds).withColumn("items", F.col("array")).drop("array").select("*", F.posexplode("items").alias("pos", "item"))
+    item, board = F.col("item"), F.col("board")
+    rows = rows.where(F.col("closed").isNull() | _json(item, F.col("closed")).isNull())
+
+    def read(f: str) -> Column:
+        value = _value(item, F.try_element_at(F.col("fields"), F.lit(f)))
+        for feed in feeds:
+            if f in feed.made:
+                value = F.when(F.col("source") == feed.name, F.nullif(F.trim(feed.made[f](item, board)), F.lit(""))).otherwise(value)
+        return value.alias(f)
+
+    rows = rows.select("landed", "pos", "source", "source_type", "require", "reliable", "remote_only", "page", _pay(item).alias("pay_said"), *[read(f) for f in FIELDS])
+    rows = rows.withColumn("url", F.coalesce("url", F.concat("page", "native_id"))).where(F.try_element_at(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))]), F.col("require")).isNotNull())
+    rows = rows.withColumn("key", F.coalesce("native_id", "url", F.concat_ws("|", "landed", "pos")))
+    first = rows.groupBy("source", "key").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("source", "key")]), F.struct("landed", "pos")).alias("r")).select("source", "r.*")
+    place = F.when(F.col("remote_only"), F.concat_ws(" - ", F.lit("Remote"), "location_raw")).otherwise(F.col("location_raw"))
+    return first.select(
+        F.col("source").alias("source_name"), "source_type", F.when(F.col("native_id").isNotNull(), F.concat_ws(":", "source", "native_id")).alias("native_id"),
+        "title", "company", "url", F.coalesce("apply_url", "url").alias("apply_url"), place.alias("location_raw"), html_text(F.col("description")).alias("description"), F.coalesce("salary", "pay_said").alias("salary"), "posted",
+        (F.col("reliable") & F.col("posted").isNotNull()).alias("posted_at_reliable"), "employment_type", F.when(F.col("remote_only"), F.lit(True)).otherwise(F.expr("try_cast(remote AS boolean)")).alias("remote_flag"), F.lit("api").alias("extraction_method"), "landed", "pos",
+    )
 
 
 def parse_feed(bodies: DataFrame, feed: JsonFeed) -> DataFrame:
-    """Observations of landed bodies (SRC-01): items without the required field
-    go (a notice, say), repeated ids stay once, the first body wins. bodies:
-    landed (order), body."""
-    array = F.get_json_object("body", feed.items) if feed.items != "$" else F.col("body")
-    items = bodies.select("landed", F.posexplode(F.from_json(array, "array<string>")).alias("pos", "item"))
-    rows = items.select("landed", "pos", *[(_value(F.col("item"), feed.fields[f]) if f in feed.fields else F.lit(None).cast("string")).alias(f) for f in FIELDS])
-    rows = rows.where(F.col(feed.require).isNotNull()).withColumn("key", F.coalesce("native_id", "url", F.concat_ws("|", "landed", "pos")))
-    first = rows.groupBy("key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "key"]), F.struct("landed", "pos")).alias("r")).select("r.*")
-    return first.select(
-        F.lit(feed.name).alias("source_name"), F.lit(feed.source_type).alias("source_type"), F.when(F.col("native_id").isNotNull(), F.concat_ws(":", F.lit(feed.name), "native_id")).alias("native_id"),
-        "title", "company", "url", "location_raw", html_text(F.col("description")).alias("description"), "salary", "posted", F.lit(feed.reliable_date).alias("posted_at_reliable"),
-        "employment_type", F.expr("try_cast(remote AS boolean)").alias("remote_flag"), F.lit("api").alias("extraction_method"), "landed", "pos",
-    )
+    """parse_feeds of bodies (landed, body) of one feed."""
+    return parse_feeds(bodies.withColumn("source", F.lit(feed.name)), [feed])
 
 
 def feed_status(bodies: DataFrame, feed: JsonFeed) -> DataFrame:
     """(landed, status, n): SUCCESS, PARTIAL if items lack the required field,
     FAILED if the body doesn't have the shape."""
-    array = F.from_json(F.get_json_object("body", feed.items) if feed.items != "$" else F.col("body"), "array<string>")
-    good = F.size(F.filter(array, lambda i: _value(i, feed.fields[feed.require]).isNotNull()))
-    return bodies.select("landed", F.when(array.isNull(), "FAILED").when(good < F.size(array), "PARTIAL").otherwise("SUCCESS").alias("status"), F.coalesce(F.when(array.isNotNull(), good), F.lit(0)).alias("n"))
+    rows = _items(bodies.withColumn("source", F.lit(feed.name)), [feed])
+    good = F.size(F.filter("array", lambda i: _value(i, F.try_element_at(F.col("fields"), F.col("require"))).isNotNull()))
+    return rows.select("landed", F.when(F.col("array").isNull(), "FAILED").when(good < F.size("array"), "PARTIAL").otherwise("SUCCESS").alias("status"), F.coalesce(F.when(F.col("array").isNotNull(), good), F.lit(0)).alias("n"))
 
 
 def board_rows(lists: DataFrame, details: DataFrame) -> DataFrame:

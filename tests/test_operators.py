@@ -406,6 +406,7 @@ def test_feed(spark):
 
 
 def test_every_feed_reads_its_shape(spark):
+    bodies = []
     for feed in feeds.FEEDS:
         item: dict = {}
 
@@ -416,11 +417,14 @@ def test_every_feed_reads_its_shape(spark):
             node[parts[-1]] = value
 
         put(feed.fields["title"][0], "Title")
+        if "native_id" in feed.fields:
+            put(feed.fields["native_id"][0], "1")
         items = [item]
         for part in reversed([p for p in feed.items.removeprefix("$").split(".") if p]):
             items = {part.replace("[0]", ""): items} if "[0]" not in part else {part.replace("[0]", ""): [items]}
-        rows = feeds.parse_feed(spark.createDataFrame([(0, json.dumps(items))], "landed long, body string"), feed).collect()
-        assert [r.title for r in rows] == ["Title"], feed.name
+        bodies.append((0, feed.name, json.dumps(items)))
+    rows = feeds.parse_feeds(spark.createDataFrame(bodies, "landed long, source string, body string")).collect()
+    assert sorted((r.source_name, r.title) for r in rows) == sorted((f.name, "Title") for f in feeds.FEEDS)
 
 
 def test_rss(spark):
@@ -615,7 +619,7 @@ def test_feed_ranges_and_translations(spark):
     """Bounds of pay as one text; a preferred language, else the first there is."""
     jobs = [{"id": 1, "jobTitle": "A", "annualSalaryMin": 30000, "annualSalaryMax": 40000}, {"id": 2, "jobTitle": "B", "annualSalaryMin": 30000, "annualSalaryMax": 30000}, {"id": 3, "jobTitle": "C"}, {"id": 4, "jobTitle": "D", "annualSalaryMax": "9"}]
     got = feeds.parse_feed(spark.createDataFrame([(0, json.dumps({"jobs": jobs}))], "landed long, body string"), feeds.BY_NAME["jobicy"]).collect()
-    assert {r.title: r.salary for r in got} == {"A": "30000-40000", "B": "30000", "C": None, "D": "9"}
+    assert {r.title: r.salary for r in got} == {"A": "30000–40000", "B": "30000–30000", "C": None, "D": "–9"}
     said = [{"id": 1, "translations": {"de": {"title": "Eins"}, "fr": {"title": "Un"}}}, {"id": 2, "translations": {"nl": {"title": "Twee"}, "de": {"title": ""}}}, {"id": 3, "translations": {"en": {"title": "Three"}, "fr": {"title": "Trois"}}}, {"id": 4, "title": "Plain"}, {"id": 5, "translations": {}}]
     got = feeds.parse_feed(spark.createDataFrame([(0, json.dumps({"jvs": said}))], "landed long, body string"), feeds.BY_NAME["eures"]).collect()
     assert {r.native_id: r.title for r in got} == {"eures:1": "Un", "eures:2": "Twee", "eures:3": "Three", "eures:4": "Plain"}
