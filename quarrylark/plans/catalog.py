@@ -3,6 +3,8 @@ one. Queries read their whole tables; limits are top-k features only."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from quarrylark.functions import dates, money, places, text, urls
@@ -14,6 +16,7 @@ from quarrylark.plans.registry import ORACLE_SQL, QUERIES, query
 from quarrylark.sources import html
 from quarrylark.streaming import pipelines
 
+
 def _golden(column: str, cases: list[tuple], value) -> str:
     """A CASE over the cases' numbers."""
     return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {k} THEN {value(c)}" for k, c in enumerate(cases)) + " END"
@@ -58,6 +61,21 @@ def _hits(spark, sf):
     return scoring.with_hits(scoring.settled(d, "body"), "body", TAXONOMY).drop("body")
 
 
+#: Phrases of common words, with fillers allowed between them, and one that needs another.
+_PHRASES = [("of the", 0, None), ("the and", 2, None), ("in the", 1, "of the"), ("de la", 2, None), ("la de los", 2, None), ("der die", 2, None), ("and of the", 3, None), ("es el", 1, None), ("the the the", 2, "the and")]
+
+
+@query("phrase_terms", "SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(
+    f"CASE WHEN t{k}" + (f" AND t{[p[0] for p in _PHRASES].index(need)}" if need else "") + f" THEN '{said}' END" for k, (said, _, need) in enumerate(_PHRASES)
+) + "], lambda x: x IS NOT NULL)), ',') AS terms FROM (SELECT doc_id, " + ", ".join(f"regexp_matches(said, '{text.phrase_pattern(said, fillers)}') AS t{k}" for k, (said, fillers, _) in enumerate(_PHRASES)) + " FROM (SELECT doc_id, coalesce(lower(text), '') AS said FROM documents))")
+def phrase_terms(spark, sf):
+    """AGG-13, JOIN-19, STR-08: terms of several words with guards, by the
+    index, over whole texts; the SQL runs their patterns."""
+    tax = replace(TAXONOMY, terms=[scoring.Term("tech", said, 1, text.phrase_pattern(said, fillers), "f", need) for said, fillers, need in _PHRASES])
+    d = scoring.with_hits(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("said")), "said", tax)
+    return d.select("doc_id", F.array_join(F.array_sort(F.transform("hits", lambda h: h["canonical"])), ",").alias("terms"))
+
+
 @query("term_hits", f"{_SCORED} SELECT doc_id, terms FROM scored WHERE terms <> ''")
 def term_hits(spark, sf):
     """SCR-02, AGG-13, JOIN-19, TOP-05."""
