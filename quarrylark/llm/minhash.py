@@ -290,8 +290,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     a null doc_id stay. Of rows that share a doc_id one stays, the first by a
     hash of its columns. All columns are kept."""
     kept = near_duplicates(docs).where(F.col("kept")).select("doc_id").distinct()
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("row")
+    quoted = {c: F.col(f"`{c.replace('`', '``')}`") for c in docs.columns}
+    hashed = [quoted[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = F.min_by(F.struct(*quoted.values()), F.xxhash64(*hashed)).alias("row")
     rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -319,3 +319,18 @@ def test_damage_by_the_rows_key(spark):
         harm = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
         want = {0: [], 1: [(role, "")], 2: [(role, text.replace(".", "").replace("!", "").replace("?", ""))], 3: [(role, text)] * 2, 4: [("user", text)]}.get(harm, [(role, text)])
         assert got[c, t] == want
+
+
+# ---- op10's filter
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    """Names with dots, blanks and backticks, and names that the operator uses itself."""
+    from quarrylark.llm import minhash
+
+    text = " ".join(f"w{k}" for k in range(40))
+    names = ["doc_id", "text", "a.b", "row", "b c", "d`e", "kept"]
+    docs = spark.createDataFrame([(1, text, "x", 1, None, "q", True), (2, text + " w40", "y", 2, 2.0, "r", False), (3, "other words here", None, 3, 3.0, "s", None), (None, text, "z", 4, 4.0, "t", True)], "doc_id long, text string, c string, d int, e double, f string, g boolean").toDF(*names)
+    got = minhash.drop_near_duplicates(docs)
+    assert got.columns == names
+    assert sorted(got.collect(), key=lambda r: r["row"]) == sorted((r for r in docs.collect() if r["doc_id"] != 2), key=lambda r: r["row"])
