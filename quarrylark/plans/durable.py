@@ -12,6 +12,7 @@ from quarrylark.operators.keyed import KeyedTable
 from quarrylark.plans.bindings import table
 from quarrylark.plans.registry import query
 from quarrylark.session import cut, shared_folder
+from quarrylark.streaming import pipelines, timers
 
 
 def _users_by_run(spark, sf):
@@ -59,3 +60,38 @@ def keyed_commits(spark, sf):
 def keyed_version(spark, sf):
     """SRC-41: the state as of the third run, read after the fifth."""
     return _run_state(spark, sf, False).load(3).select("user_id", "last_type", "n")
+
+
+def _events(spark, sf):
+    return pipelines.read_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_watch", """
+WITH e AS (SELECT user_id, ts, event_type = 'error' AS failed FROM events),
+p AS (SELECT *, lag(ts) OVER w AS before, count(*) FILTER (NOT failed) OVER w AS oks FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+f AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, oks ORDER BY ts) AS streak FROM p),
+r AS (SELECT *, lag(streak) OVER (PARTITION BY user_id ORDER BY ts) AS ended FROM f),
+last AS (SELECT user_id, max(ts) AS ts FROM e GROUP BY 1)
+SELECT user_id, epoch_us(ts)::BIGINT AS at, event FROM (
+  SELECT user_id, ts, 'down' AS event FROM r WHERE failed AND streak = 3
+  UNION ALL SELECT user_id, ts, 'recovered' FROM r WHERE NOT failed AND ended >= 3
+  UNION ALL SELECT user_id, before + INTERVAL 36 HOUR, 'silent' FROM p WHERE ts > before + INTERVAL 36 HOUR
+  UNION ALL SELECT user_id, ts, 'back' FROM p WHERE ts > before + INTERVAL 36 HOUR
+  UNION ALL SELECT user_id, ts + INTERVAL 36 HOUR, 'silent' FROM last WHERE ts + INTERVAL 36 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR)""")
+def stream_watch(spark, sf):
+    """STA-08, STA-17, WIN-07: each user as a source, errors as failed runs:
+    streaks, recoveries and silences of 36 hours, by state and timers."""
+    told = timers.watch_runs(_events(spark, sf), "user_id", "ts", F.col("event_type") == "error", 3, 36.0)
+    return pipelines.collect_stream(told, "append").select("user_id", F.unix_micros("at").alias("at"), "event")
+
+
+@query("stream_reminders", """
+WITH o AS (SELECT user_id, min(ts) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1),
+c AS (SELECT o.user_id, any_value(opened) AS opened, min(ts) FILTER (ts > opened AND event_type = 'purchase') AS closed, max(ts) AS last FROM o JOIN events e USING (user_id) GROUP BY 1),
+d AS (SELECT *, opened + n * INTERVAL 1 DAY AS due FROM c, (VALUES (1), (2), (4)) s(n))
+SELECT user_id, epoch_us(due)::BIGINT AS at, 'day ' || n AS event FROM d WHERE (closed IS NULL OR due <= closed) AND due <= greatest(last, (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""")
+def stream_reminders(spark, sf):
+    """STA-09, STA-10: a user's first signup opens, the next purchase closes."""
+    kind = F.col("event_type")
+    told = timers.remind(_events(spark, sf), "user_id", "ts", kind == "signup", kind == "purchase", (1, 2, 4))
+    return pipelines.collect_stream(told, "append").select("user_id", F.unix_micros("at").alias("at"), "event")
