@@ -209,6 +209,18 @@ def view_help(t: Tables, args: str) -> DataFrame:
     return t.jobs.sparkSession.createDataFrame(rows, "name string, kind string")
 
 
+def usage(messages: DataFrame) -> DataFrame:
+    """(name, kind, n, users) of every command of the help view: how often and
+    by how many people it was given (VIEW-19). messages: who, text. Names that
+    mean another command count for that one."""
+    known = [(n, "view") for n in sorted(VIEWS)] + [(n, "write") for n in sorted(WRITES)]
+    meant = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    said = F.lower(F.regexp_extract("text", r"^\s*/([A-Za-z_]+)(?:@\w+)?(?:\s|$)", 1))
+    given = messages.select("who", F.coalesce(F.try_element_at(meant, said), said).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("who").alias("users"))
+    help_ = messages.sparkSession.createDataFrame(known, "name string, kind string")
+    return help_.join(given, "name", "left").select("name", "kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("users", F.lit(0)).alias("users"))
+
+
 VIEWS: dict[str, Callable[[Tables, str], DataFrame]] = {
     "jobs": view_jobs, "high": view_high, "range": view_range, "search": view_search, "why": view_why, "sponsors": view_sponsors, "visa": view_visa, "ai": view_ai,
     "sources": view_sources, "radar": view_radar, "signals": view_signals, "prospects": view_prospects, "approach": view_approach, "ask": view_context, "pitch": view_context, "prep": view_context, "weekly": view_weekly, "help": view_help, "status": view_status, "muted": view_muted,

@@ -246,11 +246,14 @@ def search_discoveries(spark, sf):
     return listings.search_discoveries(table(spark, sf, "pages").select(F.col("page_id").alias("landed"), body.alias("body")), known, ["linkedin.com"])
 
 
-@query("rate_rows", "SELECT currency, per_eur FROM (SELECT max(doc_id) AS m FROM documents), (VALUES ('EUR', 1.0::DOUBLE), ('USD', 1.25::DOUBLE), ('GBP', 0.5::DOUBLE)) r(currency, per_eur)")
+@query("rate_rows", """
+WITH l AS (SELECT o_custkey AS c, o_orderkey % 2 = 0 AS dollars FROM orders ORDER BY o_orderkey DESC LIMIT 1)
+SELECT currency, per_eur FROM (SELECT 'EUR' AS currency, 1.0::DOUBLE AS per_eur UNION ALL SELECT 'USD', CASE WHEN dollars THEN 1 / 0.5::DOUBLE ELSE 4::DOUBLE END FROM l UNION ALL SELECT 'GBP', CASE WHEN dollars THEN c / 0.5::DOUBLE ELSE c::DOUBLE END FROM l)""")
 def rate_rows(spark, sf):
     """SRC-39: the latest landed answer, to a base other than the euro."""
-    body = F.when(F.col("doc_id") == F.lit(0), '{"base":"EUR","rates":{"USD":9}}').otherwise('{"base":"USD","rates":{"EUR":0.8,"GBP":0.4,"BAD":0}}')
-    return listings.rate_rows(table(spark, sf, "documents").select(F.col("doc_id").alias("landed"), body.alias("body")))
+    pounds = F.col("o_custkey").cast("string")
+    body = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"base":"USD","rates":{"EUR":0.5,"BAD":0,"GBP":'), pounds, F.lit("}}"))).otherwise(F.concat(F.lit('{"base":"EUR","rates":{"USD":4,"BAD":0,"GBP":'), pounds, F.lit("}}")))
+    return listings.rate_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("landed"), body.alias("body")))
 
 
 @query("cdx_boards", "SELECT DISTINCT 'ashby' AS ats, concat('b', page_id % 13) AS slug FROM pages WHERE page_id % 2 = 0 AND page_id % 13 <> 4")

@@ -137,10 +137,16 @@ def watchdog(spark, sf):
     return state.watchdog(jobs, now()).select("c_custkey", "outcome", "kicks", "alert")
 
 
-@query("view_help", "SELECT count(*) AS n FROM (SELECT DISTINCT name FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted({*commands.VIEWS, *commands.WRITES})) + ") t(name))")
+@query("view_help", """
+WITH said AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'jobs' WHEN 'click' THEN 'why' WHEN 'purchase' THEN 'applied' WHEN 'signup' THEN 'help' ELSE 'nonsense' END AS name FROM events)
+SELECT name, kind, count(user_id) AS n, count(DISTINCT user_id) AS users FROM (VALUES ('jobs', 'view'), ('why', 'view'), ('applied', 'write'), ('help', 'view'), ('mute', 'write')) c(name, kind) LEFT JOIN said USING (name) GROUP BY ALL""")
 def view_help(spark, sf):
-    """VIEW-19: every view and write of the language."""
-    return commands.run("/help", commands.Tables(_jobs(spark, sf), commands.Preferences())).agg(F.count("*").alias("n"))
+    """VIEW-19: the commands of the language and how often people gave them;
+    here events are messages, and five commands are shown."""
+    kinds = {"view": "/Jobs 5", "click": "/why@bot 12", "purchase": "/applied x", "signup": "/start"}
+    said = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    messages = table(spark, sf, "events").select(F.col("user_id").alias("who"), F.coalesce(F.try_element_at(said, F.col("event_type")), F.lit("hello")).alias("text"))
+    return commands.usage(messages).where(F.col("name").isin("jobs", "why", "applied", "help", "mute"))
 
 
 @query("page_eviction", "SELECT event_id::VARCHAR AS url FROM events ORDER BY ts DESC, event_id::VARCHAR LIMIT 30000")
@@ -214,8 +220,8 @@ WITH g AS (SELECT n_name AS country, t.term, n_nationkey * 3 + t.k AS i FROM nat
 SELECT country, term FROM g, m WHERE (i - 70 + n) % n < 12""")
 def query_grid(spark, sf):
     """JOIN-23: the next queries of the grid after a cursor, over its end."""
-    countries = [r.n_name for r in table(spark, sf, "nation").orderBy("n_nationkey").limit(300).collect()]
-    return spark.createDataFrame(feeds.query_grid(countries, ["gis", "lidar", "sig"], 70, 12), "country string, term string")
+    countries = table(spark, sf, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("country"))
+    return feeds.query_grid(countries, ["gis", "lidar", "sig"], 70, 12)[0]
 
 
 @query("configured_terms", f"{_SCORED} SELECT doc_id, terms FROM scored")

@@ -148,10 +148,17 @@ def register_platform(name: str, parse: Callable[[DataFrame], DataFrame]) -> Non
     PLATFORM_PARSERS[name] = parse
 
 
+#: Terms that a taxonomy holds at most.
+MOST_TERMS = 100_000
+
+
 def load_taxonomy(spark: SparkSession, terms: DataFrame, **lists) -> Taxonomy:
     """A taxonomy from a table of terms (UDX-04): kind, canonical, weight,
-    pattern, family, requires; a configuration table of bounded size."""
-    rows = terms.select("kind", "canonical", "weight", "pattern", "family", "requires").limit(10_000).collect()
+    pattern, family, requires, in the order of their names. A configuration
+    table: beyond MOST_TERMS rows it is refused, none is dropped."""
+    rows = terms.select("kind", "canonical", "weight", "pattern", "family", "requires").take(MOST_TERMS + 1)
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a taxonomy has at most {MOST_TERMS} terms")
     return Taxonomy(terms=[Term(r.kind, r.canonical, int(r.weight), r.pattern, r.family, r.requires) for r in rows], **lists)
 
 

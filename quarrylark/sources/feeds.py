@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quarrylark.functions.places import DEFAULT
 from quarrylark.functions.text import repair_entities
+from quarrylark.operators.state import rotate
 from quarrylark.sources.html import html_text, html_to_text
 
 FIELDS = ["native_id", "title", "company", "url", "apply_url", "location_raw", "description", "salary", "posted", "employment_type", "remote"]
@@ -324,10 +325,13 @@ def probe_grid(slugs: DataFrame, platforms: list[str]) -> DataFrame:
     return slugs.select("slug", F.explode(F.array(*[F.lit(p) for p in platforms])).alias("ats"))
 
 
-def query_grid(countries: list[str], terms: list[str], cursor: int, budget: int) -> list[tuple[str, str]]:
-    """The next (country, term) queries after a cursor (JOIN-23)."""
-    grid = [(c, t) for c in countries for t in terms]
-    return [grid[(cursor + k) % len(grid)] for k in range(min(budget, len(grid)))] if grid else []
+def query_grid(countries: DataFrame, terms: list[str], cursor: int, budget: int) -> tuple[DataFrame, Column]:
+    """The next (country, term) queries after a cursor, and the next cursor
+    (JOIN-23). countries: place (their order), country; each asks the terms in
+    turn, so the grid is never gathered."""
+    asked = countries.select("place", "country", F.posexplode(F.array(*map(F.lit, terms))).alias("turn_of", "term"))
+    taken, following = rotate(asked.withColumn("order", F.struct("place", "turn_of")), "order", cursor, budget)
+    return taken.select("country", "term"), following
 
 
 def read_xlsx(content: bytes) -> list[list[str]]:

@@ -4,14 +4,15 @@ STA-05, STA-15, SNK-07, SNK-11, UDX-01)."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from quarrylark.session import shared_folder
+from quarrylark.session import cut, shared_folder
 
 
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> None:
@@ -82,13 +83,26 @@ def stream_upsert(stream: DataFrame, key: str, at: str, folder: str | None = Non
     return spark.read.parquet(f"{folder}/epochs/{epochs()[-1]}")
 
 
-def deliver(alerts: DataFrame, send: Callable[[str], bool], size: int = 10) -> list[tuple[str, bool]]:
-    """Send a bounded outbox, a few at a time; only acknowledged rows count as
-    sent (SNK-07). alerts: canonical_id, text; the outbox has a cap."""
-    done = []
-    for row in alerts.select("canonical_id", "text").limit(1000).toLocalIterator():
-        done.append((row.canonical_id, bool(send(row.text))))
-    return done
+def deliver(alerts: DataFrame, send: Callable[[str], bool], senders: int = 4) -> DataFrame:
+    """Send an outbox by so many tasks at a time (SNK-07): canonical_id, ok,
+    tries of every alert, in the shape that `outbox` takes as sent. alerts:
+    canonical_id, text. `send` goes along with the tasks; one that fails
+    counts as a try that was not acknowledged. The outcome is kept when it has
+    been computed, so reading it doesn't send again; a task that is lost in
+    between does, as deliveries count only once they are acknowledged."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sent(text: str) -> bool:
+            try:
+                return bool(send(text))
+            except Exception:
+                return False
+
+        for b in batches:
+            yield pd.DataFrame({"canonical_id": b["canonical_id"], "ok": [sent(t) for t in b["text"]], "tries": 1})
+
+    kind = alerts.schema["canonical_id"].dataType.simpleString()
+    return cut(alerts.select("canonical_id", "text").repartition(senders).mapInPandas(each, f"canonical_id {kind}, ok boolean, tries int"))
 
 
 class LandedSource(DataSource):

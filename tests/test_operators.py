@@ -311,7 +311,7 @@ def test_health_reminders_outbox(spark):
     alerts = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "canonical_id string, text string")
     sent = spark.createDataFrame([("a", True, 1), ("b", False, 5)], "canonical_id string, ok boolean, tries int")
     left = state.outbox(alerts, sent)
-    assert [r.canonical_id for r in left.collect()] == ["c"] and pipelines.deliver(left, lambda t: True) == [("c", True)]
+    assert [r.canonical_id for r in left.collect()] == ["c"] and [tuple(r) for r in pipelines.deliver(left, lambda t: True).collect()] == [("c", True, 1)] and [r.ok for r in pipelines.deliver(left, lambda t: 1 / 0).collect()] == [False]
 
 
 def test_rotation_wraps(spark):
