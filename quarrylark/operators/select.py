@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylark.functions.text import fold, job_code, normalize_company, normalize_title
+from quarrylark.session import cut
 
 TIER_RANK = {"high": 0, "possible": 1, "rejected": 2}
 CAP, INDEX_ROWS, INDEX_MISSES = 20, 900, 100
@@ -57,14 +58,50 @@ def in_range(rows: DataFrame, low: int, high: int) -> DataFrame:
     return rows.where(F.col("score").between(low, high) & soft)
 
 
+def contained(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, text): the names all of whose words stand in a text, both given
+    as distinct or repeated normalised words (JOIN-10, JOIN-11, JOIN-21).
+
+    A name is looked for by the one of its words that the fewest texts have,
+    so words that all names open with cost nothing; a name with a word that no
+    text has is not looked for. Equal texts are one, so copies are not paired
+    again; candidates are a row for each text that has a name's rarest word."""
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    asked = names.select("name").where(F.length("name") > 0).distinct()
+    held = cut(texts.select("text").where(F.length("text") > 0).distinct().select("text", F.explode(words(F.col("text"))).alias("word")))
+    # cut, so that the joins have exchanges of their own, which are split where a word is hot
+    counts = cut(held.groupBy("word").agg(F.count("*").alias("n")))
+    rarest = asked.select("name", F.explode(words(F.col("name"))).alias("word")).join(counts, "word", "left").groupBy("name")
+    rarest = rarest.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("name", F.col("r.word").alias("word"))
+    pairs = rarest.join(held, "word")
+    return pairs.where(F.size(F.array_except(words(F.col("name")), words(F.col("text")))) == 0).select("name", "text")
+
+
 def watched(jobs: DataFrame, watch: DataFrame) -> DataFrame:
-    """Jobs whose normalised company holds a watched name as whole words
-    (JOIN-10). Both are split to words, so the join is on a name's first word
-    and the whole name is checked after."""
-    names = watch.select(normalize_company(F.col("name")).alias("watch")).where(F.length("watch") > 0).distinct().withColumn("word", F.get(F.split("watch", " "), F.lit(0)))
-    j = jobs.withColumn("company_key", normalize_company(F.col("company"))).withColumn("word", F.explode(F.array_distinct(F.split("company_key", " "))))
-    hit = j.join(names, "word").where(F.contains(F.concat(F.lit(" "), F.col("company_key"), F.lit(" ")), F.concat(F.lit(" "), F.col("watch"), F.lit(" "))))
-    return hit.groupBy("job_id").agg(F.min("watch").alias("watch"))
+    """Jobs whose normalised company holds a watched name as whole words in a
+    row (JOIN-10): job_id, the first such name."""
+    names = watch.select(normalize_company(F.col("name")).alias("name"))
+    j = jobs.select("job_id", normalize_company(F.col("company")).alias("company_key"))
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    hit = contained(names, j.select(F.col("company_key").alias("text"))).where(F.contains(spaced("text"), spaced("name")))
+    # a row for each company, cut, so that a company of very many jobs is split
+    first = cut(hit.groupBy(F.col("text").alias("company_key")).agg(F.min("name").alias("watch")))
+    return j.join(first, "company_key").groupBy("job_id").agg(F.min("watch").alias("watch"))
+
+
+def company_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): names of two tables that are the same company by same_company
+    (JOIN-21), found without comparing all: by containment either way, or by
+    what is left without blanks. Both have name."""
+    key = lambda df, c: df.select(F.col("name").alias(c), normalize_company(F.col("name")).alias(f"{c}_key")).where(F.length(f"{c}_key") > 0).distinct()
+    x, y = key(left, "a"), key(right, "b")
+    keys = lambda df, c, to: df.select(F.col(f"{c}_key").alias(to))
+    one = contained(keys(x, "a", "name"), keys(y, "b", "text")).select(F.col("name").alias("a_key"), F.col("text").alias("b_key"))
+    other = contained(keys(y, "b", "name"), keys(x, "a", "text")).select(F.col("text").alias("a_key"), F.col("name").alias("b_key"))
+    joined = lambda df, c: df.select(f"{c}_key", F.replace(F.col(f"{c}_key"), F.lit(" "), F.lit("")).alias("bare")).distinct()
+    same = joined(x, "a").join(joined(y, "b"), "bare").select("a_key", "b_key")
+    pairs = one.unionByName(other).unionByName(same).distinct().where(same_company(F.col("a_key"), F.col("b_key")))
+    return pairs.join(x, "a_key").join(y, "b_key").select("a", "b").distinct()
 
 
 def exclude(rows: DataFrame, *others: DataFrame, key: str = "id") -> DataFrame:

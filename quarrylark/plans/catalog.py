@@ -746,6 +746,19 @@ def watch_contains(spark, sf):
     return select.watched(s, spark.createDataFrame([("Acme Survey Inc",), ("GEO",), ("Nobody",)], "name string"))
 
 
+_HEADS = """n AS (SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM (SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents) WHERE len(w) > 1),
+t AS (SELECT DISTINCT array_to_string(w[1:12], ' ') AS text FROM (SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM conversations) WHERE w[1] <> '')"""
+
+
+@query("name_containment", f"WITH {_HEADS} SELECT name, text FROM n JOIN t ON list_has_all(string_split(text, ' '), string_split(name, ' '))")
+def name_containment(spark, sf):
+    """JOIN-10, JOIN-11: which of the documents' first two words stand both
+    among a conversation's first twelve; words are few and very frequent."""
+    words = lambda t: F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
+    heads = lambda name, n, to: table(spark, sf, name).select(F.array_join(F.slice(words("text"), 1, n), " ").alias(to))
+    return select.contained(heads("documents", 2, "name").where(F.contains("name", F.lit(" "))), heads("conversations", 12, "text"))
+
+
 @query("same_company", "SELECT a.s_suppkey AS x, b.s_suppkey AS y, a.s_suppkey % 10 = b.s_suppkey % 10 AS same FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 10 OR b.s_suppkey = a.s_suppkey + 1")
 def same_company(spark, sf):
     """JOIN-21: each supplier with its next and its tenth; names differ in a
