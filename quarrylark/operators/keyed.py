@@ -31,12 +31,12 @@ BUCKETS, GROWN = 64, 0.25
 
 
 class KeyedTable(VersionedTable):
-    """Rows by `keys` in the folder. A table keeps the buckets and keys that
-    it was made with."""
+    """Rows by `keys` in the folder, in buckets by `bucket_by`, some of the
+    keys, by default all. A table keeps what it was made with."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = BUCKETS, grace: float = 600.0):
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = BUCKETS, grace: float = 600.0, bucket_by: list[str] | None = None):
         super().__init__(spark, folder, grace)
-        self.keys, self.buckets = keys, buckets
+        self.keys, self.buckets, self.bucket_by = keys, buckets, bucket_by or keys
 
     def manifest(self, version: int | None = None) -> dict | None:
         """A version's manifest, by default the current one's."""
@@ -44,7 +44,7 @@ class KeyedTable(VersionedTable):
         found = [m for m in self.versions() if version is None or m["version"] == version]
         if version is not None and not found:
             raise ValueError(f"no version {version}")
-        if found and (found[-1]["keys"], found[-1]["buckets"]) != (self.keys, self.buckets):
+        if found and (found[-1]["keys"], found[-1]["buckets"], found[-1]["bucket_by"]) != (self.keys, self.buckets, self.bucket_by):
             raise ValueError("the table has other keys or buckets")
         return found[-1] if found else None
 
@@ -52,7 +52,7 @@ class KeyedTable(VersionedTable):
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
 
     def _with_bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", self.bucket(*[F.col(k) for k in self.keys]))
+        return df.withColumn("bucket", self.bucket(*[F.col(k) for k in self.bucket_by]))
 
     def _files(self, kind: str, paths: list[str], schema: StructType) -> DataFrame:
         """Files of the deltas or bases with their partition columns."""
@@ -100,6 +100,16 @@ class KeyedTable(VersionedTable):
         of = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most `buckets` rows
         return self._merged(m, F.col("bucket").isin(of)).join(asked, ["bucket", *self.keys], "left_semi").drop("bucket")
 
+    def where_in(self, column: str, values: list) -> DataFrame | None:
+        """The current rows with one of a few values in the column that the
+        buckets are by; only their buckets are read, and files skip by value."""
+        m = self.manifest()
+        if not m or self.bucket_by != [column]:
+            return None
+        asked = self.spark.createDataFrame([(v,) for v in values], StructType([StructType.fromJson(m["schema"])[column]]))
+        of = sorted({r.bucket for r in self._with_bucket(asked).select("bucket").collect()})
+        return self._merged(m, F.col("bucket").isin(of) & F.col(column).isin(values)).drop("bucket")
+
     def commit(self, changed: DataFrame, expected: int, deleted: DataFrame | None = None) -> int:
         """Put the changed rows, drop the keys of `deleted`; the new version."""
         m = self.manifest()
@@ -121,7 +131,7 @@ class KeyedTable(VersionedTable):
         if bad:
             raise ValueError(f"{bad} keys are null or stand twice")
         before = m or {"bases": {}, "since": [0] * self.buckets, "deltas": [], "sizes": [], "base_rows": 0}
-        body = {**before, "keys": self.keys, "buckets": self.buckets, "schema": schema.jsonValue(), "deltas": before["deltas"] + [part] * (n > 0), "sizes": before["sizes"] + [n] * (n > 0)}
+        body = {**before, "keys": self.keys, "buckets": self.buckets, "bucket_by": self.bucket_by, "schema": schema.jsonValue(), "deltas": before["deltas"] + [part] * (n > 0), "sizes": before["sizes"] + [n] * (n > 0)}
         return self._publish(body, expected)
 
     def deltas(self) -> DataFrame | None:

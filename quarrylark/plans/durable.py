@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarrylark.operators import state
+from quarrylark.operators.grams import GramIndex
 from quarrylark.operators.keyed import KeyedTable
-from quarrylark.plans.bindings import table
+from quarrylark.plans.bindings import sql_fold, table
 from quarrylark.plans.registry import query
 from quarrylark.session import cut, shared_folder
 from quarrylark.streaming import pipelines, timers
@@ -95,3 +96,15 @@ def stream_reminders(spark, sf):
     kind = F.col("event_type")
     told = timers.remind(_events(spark, sf), "user_id", "ts", kind == "signup", kind == "purchase", (1, 2, 4))
     return pipelines.collect_stream(told, "append").select("user_id", F.unix_micros("at").alias("at"), "event")
+
+
+@query("gram_search", f"SELECT doc_id FROM documents WHERE contains({sql_fold('text')}, 'ation') AND contains({sql_fold('text')}, 'the') AND lang <> 'de'")
+def gram_search(spark, sf):
+    """FLT-12, VIEW-03, SNK-01: whole texts in the index, those in German taken
+    out again, the others changed and changed back; then two words."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    other = docs.withColumn("text", F.when(F.col("lang") == "de", F.col("text")).otherwise(F.lit("nothing of that nation the")))
+    index = GramIndex(spark, f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}", 16)
+    index.update(other)
+    index.update(docs.where("lang <> 'de'"), other)
+    return index.search(docs, "The ation").select(F.col("id").alias("doc_id"))
