@@ -48,9 +48,11 @@ def title() -> Column:
     return F.regexp_extract("text", r"^[^.\n]*", 0)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with title, body and all columns of score()."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", fold(title()).alias("title"), fold(F.col("text")).alias("body"))
+def scored(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
+    """Documents with title, body and all columns of score(). With keep, a
+    condition on the folded title, the others are dropped first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", fold(title()).alias("title"))
+    d = (d if keep is None else d.where(keep)).select("doc_id", "lang", "source", "title", fold(F.col("text")).alias("body"))
     d = d.withColumn("location_points", F.when(F.col("lang") == "en", 5).when(F.col("lang") == "fr", 3).otherwise(1))
     return score(d, TAXONOMY)
 

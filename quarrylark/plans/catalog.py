@@ -38,7 +38,8 @@ _TIER = "CASE tier WHEN 'high' THEN 0 WHEN 'possible' THEN 1 ELSE 2 END"
 @query("matches_top", f"{_SCORED} SELECT doc_id, title, score, tier FROM scored WHERE tier <> 'rejected' AND NOT regexp_matches(title, '(^|[^a-z0-9])(thing|moron)($|[^a-z0-9])') ORDER BY {_TIER}, score DESC, doc_id LIMIT 20")
 def matches_top(spark, sf):
     """VIEW-01, SCR-08, FLT-05, TOP-02: the best accepted, unmuted matches."""
-    rows = scored(spark, sf).where((F.col("tier") != "rejected") & ~select.muted(F.col("title"), F.lit(""), ["thing", "moron"]))
+    shown = scoring.may_pass(F.col("title"), TAXONOMY) & ~select.muted(F.col("title"), F.lit(""), ["thing", "moron"])
+    rows = scored(spark, sf, shown).where("tier <> 'rejected'")
     return rows.orderBy(select.tier_rank(F.col("tier")), F.desc("score"), "doc_id").limit(20).select("doc_id", "title", "score", "tier")
 
 
