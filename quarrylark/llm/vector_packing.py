@@ -19,7 +19,7 @@ dropped, it has a sequence of its own, marked `over`.
 Ids go through one shuffle, in whole sequences of a long document and rests
 below one, so a group holds at most `SHARD` short pieces or `SHARD_BYTES` of
 text, whatever the documents' lengths. One long text is encoded at once in
-its task, with about 30 bytes of arrays for each of its bytes.
+its task, with about 21 bytes of arrays for each of its bytes.
 
 A null text counts as empty: one piece that holds only end_id. Rows are packed
 one by one, so repeated rows are packed repeatedly. An empty table gives an
