@@ -451,7 +451,8 @@ def test_registers():
 def test_sources_helpers(spark):
     rules = feeds.load_toml(spark, '[[route]]\ncountry = "FR"\nhard = true\n', "route", "country string, hard boolean, note string")
     assert [tuple(r) for r in rules.collect()] == [("FR", True, None)]
-    assert feeds.query_grid(["a", "b"], ["x", "y"], 3, 3) == [("b", "y"), ("a", "x"), ("a", "y")]
+    grid, cursor = feeds.query_grid(spark.createDataFrame([(0, "a"), (1, "b")], "place int, country string"), ["x", "y"], 3, 3)
+    assert sorted(tuple(r) for r in grid.collect()) == [("a", "x"), ("a", "y"), ("b", "y")] and spark.range(1).select(cursor).first()[0] == 2
     a = spark.createDataFrame([(0, 0, "p")], "landed long, pos int, title string")
     assert [r.obs_seq for r in feeds.union_observations([a, a]).orderBy("obs_seq").collect()] == [0, 1 << 48]
     lines = spark.createDataFrame([('{"url": "https://jobs.lever.co/acme/x"}',), ('{"url": "https://jobs.lever.co/known"}',), ("bad",)], "line string")
