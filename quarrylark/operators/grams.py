@@ -3,7 +3,8 @@
 A posting says that a row's folded text has a gram of three characters. The
 postings are a KeyedTable in buckets by gram, so a search reads the buckets of
 its words' grams only, and a changed row writes the grams that it has gained
-and deletes those that it has lost. A search intersects the postings of all
+and deletes those that it has lost. What a row has gained and lost is told by
+its texts side by side, so postings are never compared nor shuffled. A search intersects the postings of all
 grams of all its words by counting them; the rows that are left are looked up
 by their keys and checked against the whole words, as a row can have the grams
 of a word apart. A search whose words are all shorter than three characters
@@ -17,16 +18,21 @@ from pyspark.sql import functions as F
 
 from quarrylark.functions.text import fold
 from quarrylark.operators.keyed import KeyedTable
-from quarrylark.session import cut
+from quarrylark.operators.scoring import settled
 
 SIZE, BUCKETS = 3, 64
 
 
 def grams_of(text: Column) -> Column:
-    """The distinct grams of a folded text; empty for null and short ones."""
-    ends = F.length(text) - SIZE + 1
-    starts = F.when(ends > 0, F.sequence(F.lit(1), ends)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_distinct(F.transform(starts, lambda k: F.substring(text, k, F.lit(SIZE)))), F.array().cast("array<string>"))
+    """The distinct grams of a folded text; empty for null and short ones. The
+    text is taken apart once: a substring walks over all that is before it."""
+    none = F.array().cast("array<string>")
+
+    def of(chars: Column) -> Column:
+        starts = F.when(F.size(chars) >= SIZE, F.sequence(F.lit(0), F.size(chars) - SIZE)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda k: F.concat(*[F.get(chars, k + i) for i in range(SIZE)])))
+
+    return F.coalesce(F.flatten(F.transform(F.array(F.split(text, "")), of)), none)
 
 
 def words_of(query: str) -> list[str]:
@@ -41,17 +47,25 @@ class GramIndex:
         self.table = KeyedTable(spark, folder, ["gram", "id"], buckets, bucket_by=["gram"])
 
     @staticmethod
-    def postings(rows: DataFrame) -> DataFrame:
-        return rows.select("id", fold(F.col("text")).alias("said")).select(F.explode(grams_of(F.col("said"))).alias("gram"), "id")
+    def _folded(rows: DataFrame, name: str) -> DataFrame:
+        """Rows with texts, folded. An id that is null or stands twice is
+        refused, so no posting stands twice."""
+        rows = rows.where(F.col("text").isNotNull())
+        bad = rows.groupBy("id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("id").isNull()).count()
+        if bad:
+            raise ValueError(f"{bad} ids are null or stand twice")
+        return rows.select("id", fold(F.col("text")).alias(name))
 
     def update(self, new: DataFrame, old: DataFrame | None = None) -> int:
         """Rows as they are now, and as they were when they were indexed last;
         rows of `old` that `new` has not are taken out. The new version."""
-        now = cut(self.postings(new))
-        if old is None:
-            return self.table.commit(now, self.table.etag())
-        before = cut(self.postings(old))
-        return self.table.commit(now.join(before, ["gram", "id"], "left_anti"), self.table.etag(), before.join(now, ["gram", "id"], "left_anti"))
+        rows = self._folded(new, "now").withColumn("before", F.lit(None).cast("string"))
+        if old is not None:
+            rows = rows.drop("before").join(self._folded(old, "before"), "id", "full_outer").where(~F.col("now").eqNullSafe(F.col("before")))
+        rows = settled(rows.select("id", grams_of(F.col("now")).alias("now"), grams_of(F.col("before")).alias("before")), "now", "before")
+        marked = lambda grams, deleted: F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(deleted).alias("deleted")))
+        changes = F.concat(marked(F.array_except("now", "before"), False), marked(F.array_except("before", "now"), True))
+        return self.table.commit_marked(rows.select("id", F.inline(changes)), self.table.etag())
 
     def candidates(self, query: str) -> DataFrame | None:
         """The ids of the rows that have all grams of the words; null if the
@@ -70,7 +84,8 @@ class GramIndex:
         words = [fold(F.lit(w)) for w in words_of(query)]
         found = self.candidates(query) if words else None
         left = rows if found is None else rows.join(found, "id", "left_semi")
-        said = fold(F.col("text"))
+        # folded behind the look-up, as the rows that it leaves are few
+        left = settled(left.withColumn("_said", fold(F.col("text"))), "_said")
         for w in words:
-            left = left.where(F.contains(said, w))
-        return left
+            left = left.where(F.contains("_said", w))
+        return left.drop("_said")

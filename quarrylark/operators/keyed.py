@@ -121,7 +121,7 @@ class KeyedTable(VersionedTable):
         if deleted is not None:
             gone = deleted.select(*self.keys).distinct().withColumn("deleted", F.lit(True))
             rows = rows.unionByName(gone, allowMissingColumns=True)
-        part = f"version={expected + 1}/part={uuid.uuid4().hex}"
+        part = self._new_part(expected)
         where = f"{self.folder}/deltas/{part}"
         self._with_bucket(rows).repartition("bucket").write.partitionBy("bucket").parquet(where)
         written = self.spark.read.schema(StructType([*[schema[k] for k in self.keys]])).parquet(where)
@@ -130,6 +130,27 @@ class KeyedTable(VersionedTable):
         n, bad = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("n") > 1) | missing)).first()
         if bad:
             raise ValueError(f"{bad} keys are null or stand twice")
+        return self._publish_delta(m, schema, part, n, expected)
+
+    def commit_marked(self, rows: DataFrame, expected: int) -> int:
+        """Changed rows and keys to drop in one frame, told apart by `deleted`;
+        the new version. The caller answers for keys that are not null and
+        stand once, so the rows are written where they are made."""
+        m = self.manifest()
+        fields = [f for f in rows.schema if f.name != "deleted"]
+        schema = StructType.fromJson(m["schema"]) if m else StructType(fields)
+        if {f.name: f.dataType for f in fields} != {f.name: f.dataType for f in schema}:
+            raise ValueError("the rows differ in columns from those of the table")
+        part = self._new_part(expected)
+        where = f"{self.folder}/deltas/{part}"
+        self._with_bucket(rows.select(*schema.names, "deleted")).write.partitionBy("bucket").parquet(where)
+        n = self.spark.read.schema(StructType([schema[self.keys[0]]])).parquet(where).count()
+        return self._publish_delta(m, schema, part, n, expected)
+
+    def _new_part(self, expected: int) -> str:
+        return f"version={expected + 1}/part={uuid.uuid4().hex}"
+
+    def _publish_delta(self, m: dict | None, schema: StructType, part: str, n: int, expected: int) -> int:
         before = m or {"bases": {}, "since": [0] * self.buckets, "deltas": [], "sizes": [], "base_rows": 0}
         body = {**before, "keys": self.keys, "buckets": self.buckets, "bucket_by": self.bucket_by, "schema": schema.jsonValue(), "deltas": before["deltas"] + [part] * (n > 0), "sizes": before["sizes"] + [n] * (n > 0)}
         return self._publish(body, expected)
