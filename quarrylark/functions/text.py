@@ -160,22 +160,24 @@ FUNCTION_WORDS = {
 }
 
 
-def language_counts(text: Column) -> dict[str, Column]:
-    """How many words of the text are function words of each language."""
+def guess_language(text: Column) -> Column:
+    """The language with most function words, the first by name in a tie,
+    null without any (STR-11). The text is taken apart once, and its function
+    words are picked out once for all languages."""
     words = F.split(F.regexp_replace(fold(text), "[^a-z]+", " "), " ")
-    return {k: F.size(F.filter(words, _in(v))) for k, v in FUNCTION_WORDS.items()}
+    known = F.filter(words, _in(sorted({w for v in FUNCTION_WORDS.values() for w in v})))
 
+    def best_of(said: Column) -> Column:
+        counts = {k: F.size(F.filter(said, _in(v))) for k, v in FUNCTION_WORDS.items()}
+        ranked = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(k).alias("k")) for k, n in counts.items()]))
+        return F.get(ranked, F.lit(0))
 
-def _in(words: list[str]):
-    return lambda w: w.isin(words)
+    best = F.get(F.filter(F.transform(F.array(known), best_of), lambda b: b["n"] < 0), F.lit(0))
+    return best["k"]
 
 
-def guess_language(text: Column) -> Column:
-    """The language with most function words, the first by name in a tie,
-    null without any (STR-11)."""
-    ranked = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(k).alias("k")) for k, n in language_counts(text).items()]))
-    best = F.get(ranked, F.lit(0))
-    return F.when(best["n"] < 0, best["k"])
+def _in(words: list[str]):
+    return lambda w: w.isin(words)
 
 
 def closest_word(word: str, known: list[str], cutoff: float = 0.8) -> str | None:

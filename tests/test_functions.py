@@ -177,3 +177,12 @@ def test_place_columns(spark):
     assert [tuple(r) for r in rows] == [("Remote, Germany", "Germany"), ("Paris, France", None), ("", None)]
     assert many(spark, places.work_mode, ["Hybrid remote", "remote", "on-site", "x"]) == ["hybrid", "remote", "onsite", None]
     assert many(spark, places.scope_from_text, ["Anywhere", "EMEA only", "x"]) == ["worldwide", "europe", None]
+
+
+def test_language_guess_takes_a_text_apart_once(spark):
+    """Each language had folded and split the text anew."""
+    said = [None, "", "12 ...", "Que", "the que el los", "Der Hund und die Katze", "LE chat ÉST dans l'eau", "zebra"]
+    df = spark.createDataFrame(list(enumerate(said)), "id long, s string").select("id", text.guess_language(F.col("s")).alias("k"))
+    assert [r.k for r in df.orderBy("id").collect()] == [None, None, None, "es", "es", "de", "fr", None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count("translate(") == 1
