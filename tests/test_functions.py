@@ -186,3 +186,41 @@ def test_language_guess_takes_a_text_apart_once(spark):
     assert [r.k for r in df.orderBy("id").collect()] == [None, None, None, "es", "es", "de", "fr", None]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == plan.count("translate(") == 1
+
+
+@pytest.mark.parametrize("end", ["jañ", "at the mar", "jañ,", "ends in may", "the year 12 of sept"])
+def test_a_sentence_may_end_in_the_name_of_a_month(end):
+    """The point was taken for that of an abbreviation, so the next sentence
+    was none of its own."""
+    assert dates.deadline_in(f"Words {end}. Closes: 4 Mar 2024", dt.date(2024, 1, 31)) == dt.date(2024, 3, 4)
+    assert dates.deadline_in(f"Apply {end}. Our office closes on 24 February", dt.date(2024, 1, 31)) is None
+
+
+def test_points_between_day_and_month_end_no_clause():
+    for said in ("apply by 4. Mar. 2024", "apply by Mar. 4, 2024", "Apply before the 4 mar. 2024 please"):
+        assert dates.deadline_in(said, dt.date(2024, 1, 31)) == dt.date(2024, 3, 4), said
+
+
+def test_deadline_find_beside_a_text_that_ends_in_a_month(spark, tmp_path):
+    from quarrylark.plans import catalog
+
+    spark.createDataFrame([(k, "Words does jañ" + "." * (k > 15)) for k in range(32)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.deadline for r in catalog.QUERIES["deadline_find"](spark, str(tmp_path)).collect()}
+    assert got == {k: (d := catalog._DEADLINES[k % 16][2]) and dt.date.fromisoformat(d) for k in range(32)}
+
+
+@given(st.text(alphabet="aZéİ́ﬁ…．’'nt.;<>\n 09/-", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_plain_is_its_definition(said):
+    import unicodedata
+
+    from quarrylark.functions.clauses import plain
+
+    bare = "".join(c for c in unicodedata.normalize("NFKD", said) if not unicodedata.combining(c)).lower()
+    assert plain(said) == bare.replace("’", "'").replace("n't", " not").replace("cannot", "can not")
+
+
+def test_says_any(spark):
+    from quarrylark.functions.clauses import says_any
+
+    assert many(spark, lambda c: says_any(c, ["visa", "from any"]), [None, "", "a VISA", "From Any place", "from  any", "revision"]) == [False, False, True, True, False, False]
