@@ -7,13 +7,18 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylark.session import bounded_batches
+
 
 def column_udf(f, kind: str):
     """A pandas UDF of a function over series; made at the call, as that needs
-    a session."""
+    a session. Its batches are bounded: by default they hold 10,000 texts, so
+    a worker would hold more the more texts a task has."""
+    if spark := SparkSession.getActiveSession():
+        bounded_batches(spark)
     return F.pandas_udf(f, kind)
 
 

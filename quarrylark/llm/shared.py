@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylark.session import cut, shared_folder
+from quarrylark.session import bounded_batches, cut, shared_folder
 
 __all__ = ["bounded_batches", "cut", "held_out", "share_file", "shared_folder", "table"]
 
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _PIECE = 1 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, whatever the texts' lengths: rows go to and
-    from Python through buffers outside the heap that hold whole batches. A
-    smaller setting of the session stays."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key).rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, most)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

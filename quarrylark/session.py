@@ -1,4 +1,4 @@
-"""The shared folder and lineage cuts."""
+"""The shared folder, lineage cuts and the size of Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Seconds between two collections of the driver's garbage, at least.
 COLLECT_EVERY = 2.0
+#: Arrow batches at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _collected = 0.0
 
 
@@ -27,6 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, whatever the texts' lengths: rows go to and
+    from Python through buffers outside the heap that hold whole batches. A
+    smaller setting of the session stays."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute the frame once into the shared folder; later reads survive the
     loss of any executor. From time to time the driver collects its garbage

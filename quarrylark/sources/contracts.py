@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylark.operators.scoring import Taxonomy, Term
+from quarrylark.session import bounded_batches
 
 #: Outcomes of a fetch (EXX-01), and what a source's status is then.
 FETCH_KINDS = {
@@ -132,6 +133,7 @@ def reviews(answers: DataFrame) -> DataFrame:
             read = [(k, read_review(t)) for k, t in zip(b.id, b.text, strict=True)]
             yield pd.DataFrame([{"id": k, **{f: r[f] for f in ("fit", "years", "summary", "veto")}} for k, r in read if r], columns=["id", "fit", "years", "summary", "veto"]).astype({"fit": "Int64", "years": "Int64"})
 
+    bounded_batches(answers.sparkSession)
     return answers.select("id", "text").mapInPandas(run, f"id {kind}, fit int, years int, summary string, veto boolean")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarrylark.functions.places import DEFAULT
 from quarrylark.functions.text import repair_entities
 from quarrylark.operators.state import rotate
+from quarrylark.session import bounded_batches
 from quarrylark.sources.html import html_text, html_to_text
 
 FIELDS = ["native_id", "title", "company", "url", "apply_url", "location_raw", "description", "salary", "posted", "employment_type", "remote"]
@@ -302,6 +303,7 @@ def rss_rows(bodies: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([{"landed": k, **r} for k, body in zip(b.landed, b.body, strict=True) for r in parse_rss(body or "")], columns=[c.split()[0] for c in schema.split(", ")])
 
+    bounded_batches(bodies.sparkSession)
     return bodies.select("landed", "body").mapInPandas(run, schema)
 
 

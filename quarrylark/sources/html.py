@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylark.session import bounded_batches
+
 _SKIP = {"script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "header", "footer"}
 
@@ -287,6 +289,7 @@ def extract_pages(pages: DataFrame, today: str) -> DataFrame:
             rows = [{"page_id": k, **{f: j.get(f) for f in _FIELDS}} for k, u, h in zip(b.page_id, b.url, b.html, strict=True) for j in extract_jobs(h, u, today, adapters)]
             yield pd.DataFrame(rows, columns=["page_id", *_FIELDS])
 
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, {POSTING}")
 
 
@@ -336,6 +339,7 @@ def mail_alerts(mails: DataFrame, keys: list[str]) -> DataFrame:
             rows = [{**{k: getattr(r, k) for k in keys}, "pos": i, **x} for r in b.itertuples() for i, x in enumerate(alert_rows(mail_text(bytes(r.raw))[1]))]
             yield pd.DataFrame(rows, columns=[*keys, "pos", *fields])
 
+    bounded_batches(mails.sparkSession)
     return mails.select(*keys, "raw").mapInPandas(run, schema)
 
 

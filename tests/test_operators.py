@@ -634,3 +634,28 @@ def test_clauses_without_rights_words_are_not_weighed(monkeypatch):
     said = "Plain words stand here. " * 5000
     assert scoring.rights_said(f"{said}Visa sponsorship is available. {said}") == {"offer"}
     assert weighed == [["visa", "sponsorship", "is", "available"]]
+
+
+def test_years_read_bounded_batches(spark):
+    """A worker held up to 10,000 texts at a time, and took a text down for
+    every figure anew."""
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        said = [None, "", "5 years", "5+ years of experience", "2-4 years experience and 10 years experience", "we have over 20 years of experience", "3 jahre Erfahrung", "19 ans " + "x " * 30 + "experience"]
+        got = many_years(spark, said)
+        assert got == [scoring.years_asked(t) for t in said] == [None, None, None, 5, 2, None, 3, None]
+        assert int(spark.conf.get(keys[0])) <= 1000 and int(spark.conf.get(keys[1]).rstrip("b")) <= 4 << 20
+        spark.conf.set(keys[0], 7)
+        many_years(spark, said)
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def many_years(spark, said):
+    df = spark.createDataFrame(list(enumerate(said)), "k long, s string")
+    return [r.y for r in df.select("k", scoring.experience_years(F.col("s")).alias("y")).orderBy("k").collect()]
